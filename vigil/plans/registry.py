@@ -39,4 +39,4 @@ def load_all() -> dict[str, Entry]:
     return REGISTRY
 
 
-MODULES = ["q_metrics"]
+MODULES = ["q_metrics", "q_logs"]
