@@ -219,15 +219,19 @@ SQL_STATUS_CLASS = """CASE WHEN {s} >= 500 THEN '5xx' WHEN {s} >= 400 THEN '4xx'
 
 
 def sql_requests(services: int = DEFAULT_SERVICES) -> str:
-    status = "(CASE event_type WHEN 'error' THEN 503 WHEN 'signup' THEN 404 ELSE 200 END)"
-    return sql_events(services) + f""",
-requests AS (SELECT event_id, ts, namespace, service, event_type AS operation, {status} AS status,
-  {SQL_STATUS_CLASS.format(s=status)} AS status_class, value / 100 AS duration_s FROM ev)"""
+    return sql_events(services) + ",\n" + SQL_REQUESTS_ONLY
+
+
+_STATUS = "(CASE event_type WHEN 'error' THEN 503 WHEN 'signup' THEN 404 ELSE 200 END)"
+SQL_REQUESTS_ONLY = f"""requests AS (SELECT event_id, ts, namespace, service, event_type AS operation, {_STATUS} AS status,
+  {SQL_STATUS_CLASS.format(s=_STATUS)} AS status_class, value / 100 AS duration_s FROM ev)"""
 
 
 def sql_dep_calls(services: int = DEFAULT_SERVICES) -> str:
-    return sql_events(services) + f""",
-dep_calls AS (SELECT event_id, ts, namespace, service,
+    return sql_events(services) + ",\n" + SQL_DEP_CALLS_ONLY
+
+
+SQL_DEP_CALLS_ONLY = f"""dep_calls AS (SELECT event_id, ts, namespace, service,
   {_sql_list(DEPENDENCIES)}[event_id % 4 + 1] AS dependency,
   CASE WHEN event_type = 'error' THEN {_sql_list(FAILURE_KINDS)}[event_id % 3 + 1] END AS kind,
   CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS outcome,
@@ -235,28 +239,34 @@ dep_calls AS (SELECT event_id, ts, namespace, service,
 
 
 def sql_counter_samples(services: int = DEFAULT_SERVICES) -> str:
-    return sql_requests(services) + f""",
-counters AS (SELECT 'http_requests_total' AS metric, namespace, service, status_class, ts, event_id,
+    return sql_requests(services) + ",\n" + SQL_COUNTERS_ONLY
+
+
+SQL_COUNTERS_ONLY = f"""counters AS (SELECT 'http_requests_total' AS metric, namespace, service, status_class, ts, event_id,
   CAST(row_number() OVER (PARTITION BY namespace, service, status_class ORDER BY ts, event_id) % {COUNTER_MODULUS} AS DOUBLE) AS value
   FROM requests)"""
 
 
 def sql_logs(services: int = DEFAULT_SERVICES) -> str:
-    ms = "CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)"
-    dep = f"{_sql_list(DEPENDENCIES)}[event_id % 4 + 1]"
-    return sql_events(services) + f""",
-logs AS (SELECT event_id, ts, namespace, service AS container,
+    return sql_events(services) + ",\n" + SQL_LOGS_ONLY
+
+
+_MS = "CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)"
+_DEP = f"{_sql_list(DEPENDENCIES)}[event_id % 4 + 1]"
+SQL_LOGS_ONLY = f"""logs AS (SELECT event_id, ts, namespace, service AS container,
   CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' WHEN 'view' THEN 'debug' ELSE 'info' END AS level,
   service || '-' || CAST(user_id % 3 AS VARCHAR) AS pod,
-  CASE WHEN event_type = 'error' THEN 'Dependency ' || {dep} || ' timed out after ' || {ms} || 'ms while processing ord_' || left(sha256(CAST(event_id AS VARCHAR)), 12)
-       WHEN event_type = 'signup' THEN 'Retrying call to ' || {dep} || ' for user ' || CAST(user_id AS VARCHAR) || ' after ' || {ms} || 'ms'
-       ELSE 'Handled ' || event_type || ' for user ' || CAST(user_id AS VARCHAR) || ' in ' || {ms} || 'ms' END AS line
+  CASE WHEN event_type = 'error' THEN 'Dependency ' || {_DEP} || ' timed out after ' || {_MS} || 'ms while processing ord_' || left(sha256(CAST(event_id AS VARCHAR)), 12)
+       WHEN event_type = 'signup' THEN 'Retrying call to ' || {_DEP} || ' for user ' || CAST(user_id AS VARCHAR) || ' after ' || {_MS} || 'ms'
+       ELSE 'Handled ' || event_type || ' for user ' || CAST(user_id AS VARCHAR) || ' in ' || {_MS} || 'ms' END AS line
   FROM ev)"""
 
 
 def sql_pod_snapshots(services: int = DEFAULT_SERVICES) -> str:
-    return sql_events(services) + """,
-pd AS (SELECT namespace, user_id, service, date_trunc('day', ts) AS day,
+    return sql_events(services) + ",\n" + SQL_PODS_ONLY
+
+
+SQL_PODS_ONLY = """pd AS (SELECT namespace, user_id, service, date_trunc('day', ts) AS day,
   sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors,
   arg_max(event_type, (ts, event_id)) AS last_type, arg_max(k, (ts, event_id)) AS last_k
   FROM ev GROUP BY ALL),
