@@ -124,7 +124,7 @@ def quantile_from_buckets(q: float, buckets: Column) -> Column:
     """
     b = F.array_sort(buckets, lambda x, y: F.when(x["le"] < y["le"], -1).when(x["le"] > y["le"], 1).otherwise(0))
     n = F.size(b)
-    last = F.element_at(b, -1)
+    last = F.try_element_at(b, F.lit(-1))
     total = last["count"]
     rank = F.lit(q) * total
     finite = F.slice(b, 1, n - 1)

@@ -39,4 +39,4 @@ def load_all() -> dict[str, Entry]:
     return REGISTRY
 
 
-MODULES = ["q_metrics", "q_logs", "q_detect"]
+MODULES = ["q_metrics", "q_logs", "q_detect", "q_memory"]

@@ -201,6 +201,34 @@ def memory_queries(spark, sf_dir, kind: str = "runbook") -> DataFrame:
     )
 
 
+def incident_queries(spark, sf_dir) -> DataFrame:
+    """Per-category centroids searching past incidents: workload facet by
+    label, and the category's first incident excluded as "self"."""
+    q = memory_queries(spark, sf_dir, kind="incident")
+    m = read(spark, sf_dir, "embeddings").groupBy("label").agg(F.min("vec_id").alias("first_id"))
+    m = m.select(
+        F.concat(F.lit("q-c"), F.col("label").cast("string")).alias("query_id"),
+        F.concat(F.lit("svc-"), (F.col("label") % 8).cast("string")).alias("q_workload"),
+        F.concat(F.lit("inc-"), F.col("first_id").cast("string")).alias("q_exclude"),
+    )
+    return q.join(m, "query_id").select(
+        "query_id", "embedding", "kind", F.col("q_workload").alias("workload"),
+        F.lit(None).cast("string").alias("category"), F.col("q_exclude").alias("exclude_incident_id"),
+    )
+
+
+def runbook_markdown(spark, sf_dir) -> DataFrame:
+    """Each document as a runbook: title line, a preamble, then three sections
+    (Symptoms = the whole text, Causes = the language, an empty Actions)."""
+    d = read(spark, sf_dir, "documents")
+    md = F.concat(
+        F.lit("# "), F.col("source"), F.lit(" runbook "), F.col("doc_id").cast("string"), F.lit("\nOverview.\n## Symptoms\n"),
+        F.col("text"), F.lit("\n## Causes\n"), F.col("lang"), F.lit("\n## Actions\n\n"),
+    )
+    return d.select(F.concat(F.col("source"), F.lit("-"), F.col("doc_id").cast("string")).alias("file_name"), "doc_id",
+                    md.alias("markdown"))
+
+
 # --- the same adapters as DuckDB CTE text (oracle side) ---------------------
 
 def _sql_list(values) -> str:
@@ -292,3 +320,14 @@ def sql_memory_queries(kind: str = "runbook") -> str:
 queries AS (SELECT 'q-c' || CAST(label AS VARCHAR) AS query_id, list(x ORDER BY pos) AS embedding,
   '{kind}' AS kind, CAST(NULL AS VARCHAR) AS workload, 'c' || CAST(label AS VARCHAR) AS category,
   CAST(NULL AS VARCHAR) AS exclude_incident_id FROM qd GROUP BY label)"""
+
+
+SQL_INCIDENT_QUERIES = sql_memory_queries("incident").replace("queries AS", "queries0 AS") + """,
+queries AS (SELECT q.query_id, q.embedding, q.kind, 'svc-' || CAST(f.label % 8 AS VARCHAR) AS workload,
+  CAST(NULL AS VARCHAR) AS category, 'inc-' || CAST(f.first_id AS VARCHAR) AS exclude_incident_id
+  FROM queries0 q JOIN (SELECT label, min(vec_id) AS first_id FROM embeddings GROUP BY label) f
+  ON q.query_id = 'q-c' || CAST(f.label AS VARCHAR))"""
+
+SQL_MARKDOWN = """md AS (SELECT source || '-' || CAST(doc_id AS VARCHAR) AS file_name, doc_id,
+  '# ' || source || ' runbook ' || CAST(doc_id AS VARCHAR) || chr(10) || 'Overview.' || chr(10) || '## Symptoms' || chr(10)
+  || text || chr(10) || '## Causes' || chr(10) || lang || chr(10) || '## Actions' || chr(10) || chr(10) AS markdown FROM documents)"""
