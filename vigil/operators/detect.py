@@ -81,6 +81,8 @@ def fixed_double(x, decimals: int) -> Column:
     scale = 10**decimals
     scaled = F.floor(c * F.lit(scale) + F.lit(0.5)).cast("bigint")
     whole = (scaled / F.lit(scale)).cast("bigint").cast("string")
+    if decimals == 0:
+        return scaled.cast("string")
     return F.concat(whole, F.lit("."), F.lpad((scaled % F.lit(scale)).cast("string"), decimals, "0"))
 
 
