@@ -83,7 +83,7 @@ class Params:
         return replace(self, **kw)
 
 
-def test_params(**kw) -> Params:
+def replay_params(**kw) -> Params:
     """Parameters sized for the synthetic tables (events minutes apart)."""
     base = dict(
         window_seconds=86400,

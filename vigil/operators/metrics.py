@@ -98,7 +98,7 @@ def _cum_cols(duration: str) -> list[Column]:
 
 
 def observations_to_histogram(
-    obs: DataFrame, by: list[str], params: Params, duration: str = "duration_s", ts: str = "ts"
+    obs: DataFrame, by: list[str], params: Params, duration: str = "duration_s", ts: str = "ts", wide: bool = False
 ) -> DataFrame:
     """Raw durations -> cumulative bucket counts per (by..., pass).
 
@@ -109,10 +109,13 @@ def observations_to_histogram(
     nb = len(BUCKET_BOUNDS) + 1
     parts = obs.groupBy(*by, slide_bucket(ts, params.slide_seconds).alias("__bucket")).agg(*_cum_cols(duration))
     w = expand_to_passes(parts, "__bucket", params)
-    wide = w.groupBy(*by, "window_start", "pass_ts").agg(*[F.sum(f"__le{i}").alias(f"__le{i}") for i in range(nb)])
+    agg = w.groupBy(*by, "window_start", "pass_ts").agg(*[F.sum(f"__le{i}").alias(f"__le{i}") for i in range(nb)])
     bounds = BUCKET_BOUNDS + [float("inf")]
     pairs = F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"__le{i}").cast("double").alias("count")) for i, b in enumerate(bounds)])
-    return wide.select(*by, "window_start", "pass_ts", F.inline(pairs))
+    if wide:
+        # one row per group with the bucket array: no further exchange needed
+        return agg.select(*by, "window_start", "pass_ts", pairs.alias("buckets"))
+    return agg.select(*by, "window_start", "pass_ts", F.inline(pairs))
 
 
 def quantile_from_buckets(q: float, buckets: Column) -> Column:
@@ -152,14 +155,15 @@ def histogram_quantile(hist: DataFrame, by: list[str], q: float, out: str = "qua
 
 def latency_p95(requests: DataFrame, params: Params) -> DataFrame:
     """p95 request seconds per (namespace, service, pass); NaN rows dropped."""
-    hist = observations_to_histogram(requests, ["namespace", "service"], params)
-    p = histogram_quantile(hist, ["namespace", "service", "window_start", "pass_ts"], 0.95, "p95")
+    hist = observations_to_histogram(requests, ["namespace", "service"], params, wide=True)
+    p = hist.select("namespace", "service", "window_start", "pass_ts", quantile_from_buckets(0.95, F.col("buckets")).alias("p95"))
     return p.filter(~F.isnan("p95"))
 
 
 def dependency_latency_p95(calls: DataFrame, params: Params) -> DataFrame:
-    hist = observations_to_histogram(calls, ["namespace", "service", "dependency"], params)
-    p = histogram_quantile(hist, ["namespace", "service", "dependency", "window_start", "pass_ts"], 0.95, "p95")
+    hist = observations_to_histogram(calls, ["namespace", "service", "dependency"], params, wide=True)
+    p = hist.select("namespace", "service", "dependency", "window_start", "pass_ts",
+                    quantile_from_buckets(0.95, F.col("buckets")).alias("p95"))
     return p.filter(~F.isnan("p95"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.config import Params, test_params
+from vigil.config import Params, replay_params
 from vigil.functions import text as X
 from vigil.operators import detect as D
 from vigil.operators import incidents as I
@@ -15,7 +15,7 @@ from vigil.plans import replay as R
 from vigil.plans.registry import register
 from vigil.sources import testdata as T
 
-P = test_params()
+P = replay_params()
 R6 = 6
 
 

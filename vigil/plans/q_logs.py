@@ -6,14 +6,14 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from vigil.config import test_params
+from vigil.config import replay_params
 from vigil.functions import text as X
 from vigil.operators import logs as L
 from vigil.operators.windows import sql_passes, sql_window_join
 from vigil.plans.registry import register
 from vigil.sources import testdata as T
 
-P = test_params()
+P = replay_params()
 
 
 def _docs(spark, sf):

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.config import test_params
+from vigil.config import replay_params
 from vigil.functions.text import sql_trim_ws
 from vigil.operators import memory as SM
 from vigil.plans.registry import register
 from vigil.sources import testdata as T
 
-P = test_params(embedding_dim=64)
+P = replay_params(embedding_dim=64)
 R6 = 6
 
 

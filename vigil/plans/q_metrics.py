@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.config import test_params
+from vigil.config import replay_params
 from vigil.operators import metrics as M
 from vigil.operators.windows import sql_passes, sql_window_join
 from vigil.plans.registry import register
 from vigil.sources import testdata as T
 
-P = test_params()
+P = replay_params()
 SERIES = ["namespace", "service", "status_class"]
 R6 = 6  # decimals kept for floating results compared with the oracle
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.config import Params, test_params
+from vigil.config import Params, replay_params
 from vigil.operators import detect as D
 from vigil.operators import incidents as I
 from vigil.operators import logs as L
@@ -23,7 +23,7 @@ SERIES = ["namespace", "service", "status_class"]
 
 def flagship_params() -> Params:
     day = 86400
-    return test_params(window_seconds=7 * day, slide_seconds=day, recovery_seconds=7 * day, cooldown_seconds=8 * day,
+    return replay_params(window_seconds=7 * day, slide_seconds=day, recovery_seconds=7 * day, cooldown_seconds=8 * day,
                        max_range_minutes=7 * 24 * 60)
 
 
