@@ -161,6 +161,7 @@ def pod_snapshots(spark, sf_dir, services: int = DEFAULT_SERVICES) -> DataFrame:
         (F.col("last.event_type") != "error").alias("ready"),
         F.when(F.col("last.k") < 5, "CrashLoopBackOff").alias("waiting_reason"),
         F.when(F.col("last.k") > 95, "OOMKilled").alias("last_termination_reason"),
+        F.col("last.k").alias("last_k"),
     )
 
 
@@ -303,7 +304,7 @@ pods AS (SELECT day + INTERVAL 1 DAY AS snapshot_ts, namespace, 'pod-' || CAST(u
   CAST(sum(errors) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS restart_count,
   last_type <> 'error' AS ready,
   CASE WHEN last_k < 5 THEN 'CrashLoopBackOff' END AS waiting_reason,
-  CASE WHEN last_k > 95 THEN 'OOMKilled' END AS last_termination_reason FROM pd)"""
+  CASE WHEN last_k > 95 THEN 'OOMKilled' END AS last_termination_reason, last_k FROM pd)"""
 
 
 SQL_MEMORY = """mem AS (SELECT 'mem-' || CAST(vec_id AS VARCHAR) AS id,
