@@ -199,15 +199,15 @@ def sql_signature_hash(normalised_expr: str) -> str:
     return f"left(sha256({normalised_expr}), 16)"
 
 
-def sql_redaction_ctes(source: str, id_cols: str, text_col: str) -> str:
+def sql_redaction_ctes(source: str, id_cols: str, text_col: str, prefix: str = "r") -> str:
     """CTE chain r0..r7 computing (text, count) stage by stage in DuckDB."""
-    parts = [f"r0 AS (SELECT {id_cols}, coalesce({text_col}, '') AS w, 0 AS n FROM {source})"]
+    parts = [f"{prefix}0 AS (SELECT {id_cols}, coalesce({text_col}, '') AS w, 0 AS n FROM {source})"]
     for i, (pattern, kind) in enumerate(REDACT_RULES, start=1):
         p = _q(re2(pattern))
         repl = _q(_replacement(kind, "re2"))
         parts.append(
-            f"r{i} AS (SELECT {id_cols}, regexp_replace(w, '{p}', '{repl}', 'g') AS w, "
-            f"n + len(regexp_extract_all(w, '{p}')) AS n FROM r{i - 1})"
+            f"{prefix}{i} AS (SELECT {id_cols}, regexp_replace(w, '{p}', '{repl}', 'g') AS w, "
+            f"n + len(regexp_extract_all(w, '{p}')) AS n FROM {prefix}{i - 1})"
         )
     return ",\n".join(parts)
 

@@ -122,3 +122,70 @@ def bundle(moments: DataFrame, families: list[DataFrame], window_seconds: int) -
         )
         out = j if out is None else out.unionByName(j)
     return out
+
+
+def service_metric_evidence(error_rate: DataFrame | None, p95: DataFrame | None, failures: DataFrame | None,
+                            dep_p95: DataFrame | None, window_minutes: int) -> DataFrame:
+    """The four metric families as Metric evidence rows, per pass.
+
+    Ids follow the service's layout (kind, source, service, family parts,
+    observation minute); texts use integer-rounded numbers so every engine
+    prints the same digits.
+    """
+    from vigil.functions.ids import evidence_id
+    from vigil.operators.detect import fixed_double, fixed_ratio
+    from vigil.operators.metrics import minute_bucket
+
+    cols = ["namespace", "workload", "observed_at", "evidence_id", "kind", "source", "summary"]
+    parts = []
+    if error_rate is not None:
+        parts.append(error_rate.select(
+            "namespace", F.col("service").alias("workload"), F.col("pass_ts").alias("observed_at"),
+            evidence_id("Metric", "prometheus", F.col("service"), F.lit("http_error_rate"), minute_bucket("pass_ts")).alias("evidence_id"),
+            F.lit("Metric").alias("kind"), F.lit("prometheus").alias("source"),
+            F.concat(F.col("service"), F.lit(": "), fixed_ratio(F.col("errors") * 100, F.col("total"), 1),
+                     F.lit(f" % of requests returned 5xx over the last {window_minutes} minutes ("),
+                     F.col("total").cast("bigint").cast("string"), F.lit(" requests)")).alias("summary"),
+        ))
+    if p95 is not None:
+        parts.append(p95.select(
+            "namespace", F.col("service").alias("workload"), F.col("pass_ts").alias("observed_at"),
+            evidence_id("Metric", "prometheus", F.col("service"), F.lit("latency_p95"), minute_bucket("pass_ts")).alias("evidence_id"),
+            F.lit("Metric").alias("kind"), F.lit("prometheus").alias("source"),
+            F.concat(F.col("service"), F.lit(": 95th percentile request duration "), fixed_double("p95", 3), F.lit("s")).alias("summary"),
+        ))
+    if failures is not None:
+        parts.append(failures.select(
+            "namespace", F.col("service").alias("workload"), F.col("pass_ts").alias("observed_at"),
+            evidence_id("Metric", "prometheus", F.col("service"), F.col("dependency"), F.col("kind"), minute_bucket("pass_ts")).alias("evidence_id"),
+            F.lit("Metric").alias("kind"), F.lit("prometheus").alias("source"),
+            F.concat(F.col("service"), F.lit(": "), F.col("failures").cast("bigint").cast("string"), F.lit(" '"), F.col("kind"),
+                     F.lit("' failures calling "), F.col("dependency")).alias("summary"),
+        ))
+    if dep_p95 is not None:
+        parts.append(dep_p95.select(
+            "namespace", F.col("service").alias("workload"), F.col("pass_ts").alias("observed_at"),
+            evidence_id("Metric", "prometheus", F.col("service"), F.col("dependency"), F.lit("latency"), minute_bucket("pass_ts")).alias("evidence_id"),
+            F.lit("Metric").alias("kind"), F.lit("prometheus").alias("source"),
+            F.concat(F.col("service"), F.lit(": calls to "), F.col("dependency"), F.lit(" take "), fixed_double("p95", 3),
+                     F.lit("s at the 95th percentile")).alias("summary"),
+        ))
+    out = parts[0].select(*cols)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*cols))
+    return out
+
+
+def log_sample_family(logs: DataFrame) -> DataFrame:
+    """Error log lines as LogSample evidence rows (namespace, workload, ...)."""
+    from vigil.functions.ids import evidence_id
+    from vigil.functions.text import log_signature, truncate, with_redaction
+
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS'+00:00'")
+    d = with_redaction(logs.filter(F.col("level") == "error"), "line", "__red", "__n")
+    return d.select(
+        "namespace", F.col("container").alias("workload"), F.col("ts").alias("observed_at"),
+        evidence_id("LogSample", "loki", iso, F.col("container"), F.col("pod"), log_signature(F.col("line"))).alias("evidence_id"),
+        F.lit("LogSample").alias("kind"), F.lit("loki").alias("source"),
+        F.concat(F.lit("[error] "), truncate("__red", 500)).alias("summary"),
+    )
