@@ -150,16 +150,28 @@ def search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool
 
 
 def to_evidence(matches: DataFrame, kind: str) -> DataFrame:
-    """Matches as evidence rows (HistoricalIncident / Runbook)."""
+    """SM6: matches as HistoricalIncident / Runbook evidence rows: id from the
+    source ref, observed at the remembered time, a summary that says plainly
+    it is memory (with the retrieval confidence as a whole percent) followed
+    by the title and the content cut at 900 characters."""
     from vigil.functions import ids
-
+    from vigil.functions.text import truncate
+    from vigil.operators.detect import fixed_double
+
+    conf = retrieval_confidence("distance")
+    label = ("PAST INCIDENT (not evidence about the current one, retrieval confidence "
+             if kind == "HistoricalIncident" else "RUNBOOK GUIDANCE (documentation, not an observation, retrieval confidence ")
+    cols = set(matches.columns)
+    title = F.col("title") if "title" in cols else F.col("source_ref")
+    content = F.col("content") if "content" in cols else F.lit("")
     return matches.select(
         "query_id",
-        ids.evidence_id(kind, "semantic-memory", F.col("id")).alias("evidence_id"),
+        ids.evidence_id(kind, "memory", F.col("source_ref")).alias("evidence_id"),
         F.lit(kind).alias("kind"),
         F.col("source_ref"),
-        retrieval_confidence("distance").alias("retrieval_confidence"),
-        F.format_string("%.3f", "distance").alias("distance_label"),
+        conf.alias("retrieval_confidence"),
+        fixed_double("distance", 3).alias("distance_label"),
+        F.concat(F.lit(label), fixed_double(conf * 100, 0), F.lit(" %): "), title, F.lit("\n"), truncate(content, 900)).alias("summary"),
     )
 
 

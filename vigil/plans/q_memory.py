@@ -78,7 +78,7 @@ def q_similar_incidents(spark, sf):
     "runbook_search",
     sql=_search_sql(
         T.sql_memory_queries(), True,
-        "SELECT query_id, 'book_' || left(sha256('Runbook|semantic-memory|' || id), 12) AS evidence_id, source_ref,"
+        "SELECT query_id, 'book_' || left(sha256('Runbook|memory|' || source_ref), 12) AS evidence_id, source_ref,"
         " round_even(least(greatest(1 - distance, 0.0), 1.0), 3) AS retrieval_confidence FROM res",
     ),
 )

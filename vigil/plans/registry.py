@@ -39,4 +39,4 @@ def load_all() -> dict[str, Entry]:
     return REGISTRY
 
 
-MODULES = ["q_metrics", "q_logs", "q_detect", "q_memory", "q_reports", "q_streaming", "q_cluster", "q_eval", "q_bundle"]
+MODULES = ["q_metrics", "q_logs", "q_detect", "q_memory", "q_reports", "q_streaming", "q_cluster", "q_eval", "q_bundle", "q_misc"]
