@@ -238,3 +238,30 @@ def q_traffic_total(spark, sf):
 def q_minute_bucket(spark, sf):
     e = T._events(spark, sf, T.DEFAULT_SERVICES)
     return e.select("event_id", M.minute_bucket("ts").alias("minute_bucket"), M.schedule_bucket("ts").alias("schedule_bucket"))
+
+
+@register(
+    "dep_failures_range",
+    sql="WITH " + SQL_DEP_FAIL_CTE + f"""
+SELECT namespace, dependency, pass_ts, sum(failures) AS failures, round(sum(failures) / {float(P.window_seconds)}, 12) AS failure_rate
+FROM dfail GROUP BY ALL""",
+)
+def q_dep_failures_range(spark, sf):
+    """Dashboard series: failures per dependency per step, all callers summed."""
+    f = M.dependency_failures(T.dep_calls(spark, sf), P)
+    g = f.groupBy("namespace", "dependency", "pass_ts").agg(F.sum("failures").alias("failures"))
+    return g.withColumn("failure_rate", F.round(F.col("failures") / float(P.window_seconds), 12))
+
+
+@register(
+    "dep_latency_range",
+    sql="WITH " + T.sql_dep_calls() + ",\n" + sql_histogram("dep_calls", "namespace, dependency", "hist")
+    + f"\nSELECT namespace, dependency, window_start, pass_ts, round(p95, {R6}) AS p95 FROM ("
+    + sql_quantile("hist", "namespace, dependency", 0.95, "p95") + ") WHERE NOT isnan(p95)",
+)
+def q_dep_latency_range(spark, sf):
+    """Dashboard series: p95 per dependency per step over all callers
+    (buckets summed before the quantile)."""
+    hist = M.observations_to_histogram(T.dep_calls(spark, sf), ["namespace", "dependency"], P, wide=True)
+    p = hist.select("namespace", "dependency", "window_start", "pass_ts", M.quantile_from_buckets(0.95, F.col("buckets")).alias("p95"))
+    return p.filter(~F.isnan("p95")).withColumn("p95", F.round("p95", R6))

@@ -242,3 +242,24 @@ def q_k8s_bundle(spark, sf):
     return (ps.select(F.lit("pods").alias("section"), "evidence_id", "summary")
             .unionByName(dep.select(F.lit("deployments").alias("section"), "evidence_id", "summary"))
             .unionByName(ev.select(F.lit("events").alias("section"), "evidence_id", "summary")))
+
+
+@register(
+    "evidence_id",
+    sql="""SELECT l_orderkey, l_linenumber, l_partkey,
+  ['log', 'sig', 'met', 'k8s', 'evt', 'hist', 'book'][l_partkey % 7 + 1] || '_' || left(sha256(concat_ws('|',
+    ['LogSample', 'LogSignature', 'Metric', 'KubernetesState', 'KubernetesEvent', 'HistoricalIncident', 'Runbook'][l_partkey % 7 + 1],
+    'lineitem', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), '')), 12) AS evidence_id FROM lineitem""",
+)
+def q_evidence_id(spark, sf):
+    """E1 for every lineitem as an item of each kind: prefix by kind + 12 hex
+    over ``Kind|source|parts`` with a NULL part kept as an empty field."""
+    from vigil.functions.ids import EVIDENCE_PREFIX
+
+    li = T.read(spark, sf, "lineitem")
+    kinds = list(EVIDENCE_PREFIX)
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("l_partkey") % 7 + 1).cast("int"))
+    prefix = F.element_at(F.array(*[F.lit(EVIDENCE_PREFIX[k]) for k in kinds]), (F.col("l_partkey") % 7 + 1).cast("int"))
+    digest = F.substring(F.sha2(F.concat_ws("|", kind, F.lit("lineitem"), F.col("l_orderkey").cast("string"),
+                                            F.col("l_linenumber").cast("string"), F.coalesce(F.lit(None).cast("string"), F.lit(""))), 256), 1, 12)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(prefix, F.lit("_"), digest).alias("evidence_id"))
