@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -20,8 +21,15 @@ P = replay_params()
 R6 = 6
 
 
-def _name(base: str, sf: str) -> str:
-    return f"{base}-{hashlib.sha1(os.path.abspath(sf).encode()).hexdigest()[:10]}"
+def _name(base: str, sf: str, run: str) -> str:
+    """One folder per run: these queries run their stream to completion now,
+    so a fresh checkpoint is the right semantics (long-running jobs keep a
+    stable name and resume from it)."""
+    return f"{base}-{hashlib.sha1(os.path.abspath(sf).encode()).hexdigest()[:10]}-{run}"
+
+
+def _run() -> str:
+    return uuid.uuid4().hex[:12]
 
 
 def _events_stream(spark, sf):
@@ -40,8 +48,8 @@ def _requests_stream(spark, sf, services: int = T.DEFAULT_SERVICES):
     )
 
 
-def stream_rates(spark, sf):
-    name = _name("error-rate", sf)
+def stream_rates(spark, sf, run=None):
+    name = _name("error-rate", sf, run or _run())
     S.run_upserts(S.error_rate_windows(_requests_stream(spark, sf), P, watermark="2 days"), name, mode="update")
     return S.latest_view(spark, name, ["namespace", "service", "pass_ts"])
 
@@ -77,12 +85,13 @@ def q_stream_incident_state(spark, sf):
     """T1 candidates written as a table, consumed by a second stream that
     keeps incident sessions (complete mode: the last batch holds the result)."""
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    rates = stream_rates(spark, sf)
+    run = _run()
+    rates = stream_rates(spark, sf, run)
     cands = S.error_rate_candidates(rates, P)
-    base = os.path.join(ensure_checkpoint_dir(spark), "streams", _name("candidates", sf))
+    base = os.path.join(ensure_checkpoint_dir(spark), "streams", _name("candidates", sf, run))
     cands.write.mode("overwrite").parquet(base)
     src = spark.readStream.schema(spark.read.parquet(base).schema).parquet(base)
-    name = _name("incident-sessions", sf)
+    name = _name("incident-sessions", sf, run)
     S.run_upserts(S.incident_sessions(src, P), name, mode="complete")
     out = spark.read.parquet(os.path.join(ensure_checkpoint_dir(spark), "streams", name, "data"))
     last = out.agg(F.max("batch_id").alias("b"))
@@ -104,10 +113,11 @@ SELECT namespace, pod, pass_ts, restart_count, prev_rc AS previous_restart_count
 def q_stream_restart_state(spark, sf):
     """Pod snapshots written by an upstream batch job, consumed as a stream
     with per-namespace restart state."""
-    base = os.path.join(ensure_checkpoint_dir(spark), "streams", _name("pod-snapshots", sf))
+    run = _run()
+    base = os.path.join(ensure_checkpoint_dir(spark), "streams", _name("pod-snapshots", sf, run))
     T.pod_snapshots(spark, sf).write.mode("overwrite").parquet(base)
     src = spark.readStream.schema(spark.read.parquet(base).schema).parquet(base)
-    name = _name("restart-state", sf)
+    name = _name("restart-state", sf, run)
     S.run_upserts(S.restart_state(src), name, mode="append")
     return S.latest_view(spark, name, ["namespace", "pod", "pass_ts"]).select(
         "namespace", "pod", "pass_ts", "restart_count", "previous_restart_count", "restart_increase"
@@ -125,6 +135,6 @@ def q_stream_evidence_dedup(spark, sf):
         F.concat(F.lit("ev-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("evidence_id"),
         F.col("l_shipdate").cast("timestamp").alias("observed_at"),
     )
-    name = _name("evidence-dedup", sf)
+    name = _name("evidence-dedup", sf, _run())
     S.run_upserts(S.dedup_evidence_stream(ev, watermark="36500 days"), name, mode="append")
     return spark.read.parquet(os.path.join(ensure_checkpoint_dir(spark), "streams", name, "data")).select("evidence_id")
