@@ -148,14 +148,18 @@ def with_redaction(df, text_col: str, out_text: str = "redacted_text", out_count
     work = "__redact_w"
     cnt = "__redact_n"
     df = df.withColumn(work, F.coalesce(src, F.lit(""))).withColumn(cnt, F.lit(0))
+    step = "__redact_k"
     for pattern, kind in REDACT_RULES:
         p = _java(pattern)
+        # count first; the replace pass only runs on texts that matched
+        # (secrets are rare, so most texts skip it)
+        df = df.withColumn(step, F.regexp_count(F.col(work), F.lit(p)))
         df = df.withColumns(
             {
-                cnt: F.col(cnt) + F.regexp_count(F.col(work), F.lit(p)),
-                work: F.regexp_replace(F.col(work), p, _replacement(kind, "java")),
+                cnt: F.col(cnt) + F.col(step),
+                work: F.when(F.col(step) > 0, F.regexp_replace(F.col(work), p, _replacement(kind, "java"))).otherwise(F.col(work)),
             }
-        )
+        ).drop(step)
     return (
         df.withColumn(out_text, strip_control(F.col(work)))
         .withColumn(out_count, F.col(cnt).cast("int"))

@@ -86,12 +86,12 @@ def fixed_double(x, decimals: int) -> Column:
     return F.concat(whole, F.lit("."), F.lpad((scaled % F.lit(scale)).cast("string"), decimals, "0"))
 
 
-def _candidate(df: DataFrame, category, severity, title, rule: str, workloads, signals, signature=None,
-               occurrences=None) -> DataFrame:
+def _cand_struct(category, severity, title, rule: str, workloads, signals, signature=None, occurrences=None) -> Column:
+    """One candidate as a struct in the shared schema (column order = CANDIDATE_COLUMNS)."""
     cat = category if isinstance(category, Column) else F.lit(category)
-    return df.select(
-        "namespace",
-        "pass_ts",
+    return F.struct(
+        F.col("namespace").alias("namespace"),
+        F.col("pass_ts").alias("pass_ts"),
         ids.fingerprint(cat, F.col("namespace"), workloads, signature).alias("fingerprint"),
         cat.alias("category"),
         severity.alias("severity"),
@@ -105,13 +105,24 @@ def _candidate(df: DataFrame, category, severity, title, rule: str, workloads, s
     )
 
 
+def _candidate(df: DataFrame, *args, **kw) -> DataFrame:
+    return df.select(_cand_struct(*args, **kw).alias("c")).select("c.*")
+
+
+def _emit(df: DataFrame, specs: list[tuple[Column, Column]]) -> DataFrame:
+    """Several rules over one facts table in one pass: each (condition,
+    candidate struct) pair contributes a candidate where its condition holds."""
+    arr = F.array_compact(F.array(*[F.when(cond, st) for cond, st in specs]))
+    return df.select(F.explode(arr).alias("c")).select("c.*")
+
+
 def _smap(**kv) -> Column:
     return F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v.cast("string") if isinstance(v, Column) else F.lit(str(v)))])
 
 
-def rule_http_error_rate(error_rate: DataFrame, params: Params) -> DataFrame:
+def _spec_http_error_rate(params: Params) -> tuple[Column, Column]:
     t = params.thresholds
-    hit = error_rate.filter((F.col("total") >= t.min_request_sample) & (F.col("ratio") >= t.http_error_rate))
+    cond = F.coalesce((F.col("total") >= t.min_request_sample) & (F.col("ratio") >= t.http_error_rate), F.lit(False))
     sev = F.when(F.col("ratio") >= 0.5, "Critical").when(F.col("ratio") >= 0.25, "High").otherwise("Medium")
     pct = fixed_ratio(F.col("errors") * 100, F.col("total"), 1)
     title = F.concat(F.col("service"), F.lit(" is returning "), pct, F.lit(" % server errors"))
@@ -121,15 +132,20 @@ def rule_http_error_rate(error_rate: DataFrame, params: Params) -> DataFrame:
         totalRequests=F.col("total").cast("bigint"),
         windowMinutes=params.window_seconds // 60,
     )
-    return _candidate(hit, HTTP_ERROR_RATE, sev, title, "http-error-rate", F.array("service"), signals)
+    return cond, _cand_struct(HTTP_ERROR_RATE, sev, title, "http-error-rate", F.array("service"), signals)
 
 
-def rule_latency(p95: DataFrame, error_rate: DataFrame, params: Params) -> DataFrame:
-    """p95 over threshold, only for services whose error-rate row shows enough traffic."""
+def rule_http_error_rate(error_rate: DataFrame, params: Params) -> DataFrame:
+    cond, st = _spec_http_error_rate(params)
+    return _emit(error_rate, [(cond, st)])
+
+
+def _spec_latency(params: Params) -> tuple[Column, Column]:
+    """p95 over threshold, only where the same service's error-rate row
+    (``total``) shows enough traffic."""
     t = params.thresholds
-    slow = p95.filter(~F.isnan("p95") & (F.col("p95") >= t.latency_p95_seconds))
-    enough = error_rate.filter(F.col("total") >= t.min_request_sample).select("namespace", "service", "pass_ts")
-    j = slow.join(enough, ["namespace", "service", "pass_ts"])
+    cond = F.coalesce(~F.isnan("p95") & (F.col("p95") >= t.latency_p95_seconds) & (F.col("total") >= t.min_request_sample),
+                      F.lit(False))
     sev = F.when(F.col("p95") >= t.latency_p95_seconds * 3, "High").otherwise("Medium")
     title = F.concat(F.col("service"), F.lit(" 95th percentile latency is "), fixed_double("p95", 2), F.lit("s"))
     signals = _smap(
@@ -137,7 +153,24 @@ def rule_latency(p95: DataFrame, error_rate: DataFrame, params: Params) -> DataF
         thresholdSeconds=f"{t.latency_p95_seconds:.3f}",
         windowMinutes=params.window_seconds // 60,
     )
-    return _candidate(j, DEPENDENCY_LATENCY, sev, title, "request-latency", F.array("service"), signals)
+    return cond, _cand_struct(DEPENDENCY_LATENCY, sev, title, "request-latency", F.array("service"), signals)
+
+
+RATE_KEYS = ["namespace", "service", "window_start", "pass_ts"]
+
+
+def rule_latency(p95: DataFrame, error_rate: DataFrame, params: Params) -> DataFrame:
+    j = p95.join(error_rate.select(*RATE_KEYS, "total"), RATE_KEYS)
+    cond, st = _spec_latency(params)
+    return _emit(j, [(cond, st)])
+
+
+def rules_on_rates(error_rate: DataFrame, p95: DataFrame, params: Params) -> DataFrame:
+    """D1 and D2 from one full outer join of the two per-(service, pass)
+    aggregates. Both sides are already hash-partitioned on the join keys,
+    so the join adds no exchange, and the raw samples are read once."""
+    j = error_rate.join(p95.select(*RATE_KEYS, "p95"), RATE_KEYS, "full")
+    return _emit(j, [_spec_http_error_rate(params), _spec_latency(params)])
 
 
 def rule_dependency_failure(failures: DataFrame, params: Params) -> DataFrame:
@@ -177,16 +210,26 @@ def restart_delta(pods: DataFrame) -> DataFrame:
     )
 
 
-def rule_pod_restart(pods_delta: DataFrame, params: Params) -> DataFrame:
-    t = params.thresholds
+def pod_facts(pods_delta: DataFrame) -> DataFrame:
+    """Per (namespace, pass, workload): everything D4 and D5 need, in one aggregation."""
     reason = F.coalesce("last_termination_reason", "waiting_reason")
-    g = pods_delta.groupBy("namespace", "pass_ts", "workload").agg(
+    unready = (~F.col("ready")) & ~F.coalesce(F.col("waiting_reason") == "CrashLoopBackOff", F.lit(False)) & ~F.coalesce(
+        F.col("last_termination_reason") == "OOMKilled", F.lit(False)
+    )
+    return pods_delta.groupBy("namespace", "pass_ts", "workload").agg(
         F.sum("restart_increase").alias("increase"),
         F.bool_or(F.coalesce(F.col("waiting_reason") == "CrashLoopBackOff", F.lit(False))).alias("crash"),
         F.bool_or(F.coalesce(F.col("last_termination_reason") == "OOMKilled", F.lit(False))).alias("oom"),
         F.count(F.lit(1)).alias("pod_count"),
         F.min_by(reason, F.when(reason.isNotNull() & (reason != ""), F.col("pod"))).alias("reason"),
-    ).filter((F.col("increase") >= t.pod_restart_increase) | F.col("crash") | F.col("oom"))
+        F.sum(unready.cast("int")).alias("unready"),
+        F.sum("restart_count").alias("restarts"),
+    )
+
+
+def _spec_pod_restart(params: Params) -> tuple[Column, Column]:
+    t = params.thresholds
+    cond = (F.col("increase") >= t.pod_restart_increase) | F.col("crash") | F.col("oom")
     cat = F.when(F.col("oom"), F.lit(OUT_OF_MEMORY)).otherwise(F.lit(POD_RESTART_LOOP))
     sev = F.when(F.col("oom") | F.col("crash"), "High").otherwise("Medium")
     title = F.when(F.col("oom"), F.concat(F.col("workload"), F.lit(" was terminated for exceeding its memory limit"))).otherwise(
@@ -199,30 +242,36 @@ def rule_pod_restart(pods_delta: DataFrame, params: Params) -> DataFrame:
         oomKilled=F.when(F.col("oom"), "true").otherwise("false"), podCount=F.col("pod_count"),
     )
     signals = F.when(F.col("reason").isNotNull(), F.map_concat(base, F.create_map(F.lit("reason"), F.col("reason")))).otherwise(base)
-    return _candidate(g, cat, sev, title, "pod-restarts", F.array("workload"), signals, signature=F.col("reason"))
+    return cond, _cand_struct(cat, sev, title, "pod-restarts", F.array("workload"), signals, signature=F.col("reason"))
 
 
-def rule_readiness(pods: DataFrame, params: Params) -> DataFrame:
+def _spec_readiness(params: Params) -> tuple[Column, Column]:
     t = params.thresholds
-    unready = (~F.col("ready")) & ~F.coalesce(F.col("waiting_reason") == "CrashLoopBackOff", F.lit(False)) & ~F.coalesce(
-        F.col("last_termination_reason") == "OOMKilled", F.lit(False)
-    )
-    g = pods.groupBy("namespace", "pass_ts", "workload").agg(
-        F.sum(unready.cast("int")).alias("unready"),
-        F.count(F.lit(1)).alias("total"),
-        F.sum("restart_count").alias("restarts"),
-    ).filter(F.col("unready") >= t.unready_pod_count)
-    all_un = F.col("unready") == F.col("total")
+    cond = F.col("unready") >= t.unready_pod_count
+    all_un = F.col("unready") == F.col("pod_count")
     sev = F.when(all_un, "High").otherwise("Medium")
     title = F.when(all_un, F.concat(F.lit("every "), F.col("workload"), F.lit(" pod is failing its readiness probe"))).otherwise(
-        F.concat(F.col("unready").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" "),
+        F.concat(F.col("unready").cast("string"), F.lit(" of "), F.col("pod_count").cast("string"), F.lit(" "),
                  F.col("workload"), F.lit(" pods are not ready"))
     )
     signals = _smap(
-        unreadyPods=F.col("unready"), totalPods=F.col("total"),
+        unreadyPods=F.col("unready"), totalPods=F.col("pod_count"),
         allReplicasUnready=F.when(all_un, "true").otherwise("false"), restartsObserved=F.col("restarts"),
     )
-    return _candidate(g, READINESS_FAILURE, sev, title, "readiness-failure", F.array("workload"), signals)
+    return cond, _cand_struct(READINESS_FAILURE, sev, title, "readiness-failure", F.array("workload"), signals)
+
+
+def rule_pod_restart(pods_delta: DataFrame, params: Params) -> DataFrame:
+    return _emit(pod_facts(pods_delta), [_spec_pod_restart(params)])
+
+
+def rule_readiness(pods: DataFrame, params: Params) -> DataFrame:
+    return _emit(pod_facts(pods), [_spec_readiness(params)])
+
+
+def rules_on_pods(pods_delta: DataFrame, params: Params) -> DataFrame:
+    """D4 and D5 from one aggregation of the pod snapshots."""
+    return _emit(pod_facts(pods_delta), [_spec_pod_restart(params), _spec_readiness(params)])
 
 
 def rule_repeated_signature(sigs: DataFrame, params: Params) -> DataFrame:
@@ -263,11 +312,26 @@ RULES: dict[str, Callable[[Snapshot, Params], DataFrame | None]] = {
 }
 
 
+def _combined_rules(s: Snapshot, p: Params) -> dict:
+    """Rules that share their input evaluate together (one pass over it)."""
+    out = {}
+    if s.error_rate is not None and s.latency_p95 is not None:
+        out["http-error-rate+request-latency"] = lambda s, p: rules_on_rates(s.error_rate, s.latency_p95, p)
+    else:
+        out["http-error-rate"] = RULES["http-error-rate"]
+        out["request-latency"] = RULES["request-latency"]
+    out["dependency-failure"] = RULES["dependency-failure"]
+    out["pod-restarts+readiness-failure"] = lambda s, p: rules_on_pods(s.pods, p) if s.pods is not None else None
+    out["repeated-error-signature"] = RULES["repeated-error-signature"]
+    return out
+
+
 def detect_all(snap: Snapshot, params: Params, rules: dict | None = None) -> tuple[DataFrame | None, list[str]]:
     """Union of every rule's candidates; a rule that fails to plan is skipped
-    and reported, the others still run."""
+    and reported, the others still run. Without an explicit rule set, rules
+    that read the same input are evaluated together."""
     out, failed = None, []
-    for name, rule in (rules or RULES).items():
+    for name, rule in (rules or _combined_rules(snap, params)).items():
         try:
             df = rule(snap, params)
         except Exception:  # noqa: BLE001 - isolation between rules is the point

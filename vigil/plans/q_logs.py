@@ -17,7 +17,9 @@ P = replay_params()
 
 
 def _docs(spark, sf):
-    return T.read(spark, sf, "documents").select("doc_id", "text")
+    from vigil.session import balanced
+
+    return balanced(T.read(spark, sf, "documents").select("doc_id", "text"))
 
 
 @register(

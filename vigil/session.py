@@ -45,3 +45,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def balanced(df, min_partitions: int | None = None):
+    """Spread CPU-heavy row-local work (regex over whole texts) over the
+    cluster when the input arrives in too few partitions (e.g. a table that is
+    one parquet row group). Inputs that already have enough partitions - the
+    normal case at scale - are returned untouched, so no shuffle is added there.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    n = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n)
+    return df

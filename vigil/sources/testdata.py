@@ -221,7 +221,9 @@ def incident_queries(spark, sf_dir) -> DataFrame:
 def runbook_markdown(spark, sf_dir) -> DataFrame:
     """Each document as a runbook: title line, a preamble, then three sections
     (Symptoms = the whole text, Causes = the language, an empty Actions)."""
-    d = read(spark, sf_dir, "documents")
+    from vigil.session import balanced
+
+    d = balanced(read(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang"))
     md = F.concat(
         F.lit("# "), F.col("source"), F.lit(" runbook "), F.col("doc_id").cast("string"), F.lit("\nOverview.\n## Symptoms\n"),
         F.col("text"), F.lit("\n## Causes\n"), F.col("lang"), F.lit("\n## Actions\n\n"),
