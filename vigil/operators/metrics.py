@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.config import Params
+from pyspark.sql import Window
+
 from vigil.operators.windows import expand_to_passes, lag_across_buckets, slide_bucket
 
 # Histogram bucket upper bounds in seconds (+Inf is implicit).
@@ -32,26 +34,57 @@ def counter_deltas(samples: DataFrame, series: list[str], ts: str = "ts", tiebre
     return d.withColumn("delta", delta).drop("__prev")
 
 
+def _reset_delta(prev: Column, cur: Column) -> Column:
+    return F.when(cur < prev, cur).otherwise(cur - prev)
+
+
 def increase(
     samples: DataFrame, series: list[str], params: Params, ts: str = "ts", tiebreak: str = "event_id"
 ) -> DataFrame:
     """``increase(counter[window])`` for every series and every pass at once.
 
+    The increase over a window is the sum of reset-aware deltas between
+    consecutive samples that are both inside the window (this is the same as
+    summing every sample's delta and dropping the one that crosses the left
+    edge). It is computed without any per-series scan of the whole history:
+
+    1. inside each (series, slide bucket): deltas between neighbours (a window
+       function partitioned by series *and* bucket, so a hot series is split
+       into one task per bucket), plus the bucket's first and last value;
+    2. buckets are expanded into the windows containing them (bucket rows,
+       not raw rows);
+    3. per (series, window): the in-bucket sums plus the deltas across
+       adjacent non-empty buckets, from a sorted array of at most
+       ``slides_per_window`` (first, last) pairs.
+
     Output: series..., window_start, pass_ts, increase, samples.
     """
-    d = counter_deltas(samples, series, ts, tiebreak)
-    key = F.struct(F.col(ts), F.col(tiebreak)) if tiebreak else F.struct(F.col(ts))
-    parts = d.groupBy(*series, slide_bucket(ts, params.slide_seconds).alias("__bucket")).agg(
-        F.sum("delta").alias("__sum"),
-        F.min_by("delta", key).alias("__first"),
-        F.min(key).alias("__first_key"),
+    order = [F.col(ts), F.col(tiebreak)] if tiebreak else [F.col(ts)]
+    key = F.struct(*order)
+    d = samples.withColumn("__b", slide_bucket(ts, params.slide_seconds))
+    w = Window.partitionBy(*series, "__b").orderBy(*order)
+    prev = F.lag("value").over(w)
+    d = d.withColumn("__d", F.when(prev.isNull(), F.lit(0.0)).otherwise(_reset_delta(prev, F.col("value"))))
+    parts = d.groupBy(*series, "__b").agg(
+        F.sum("__d").alias("__in"),
+        F.min_by("value", key).alias("__first"),
+        F.max_by("value", key).alias("__last"),
         F.count(F.lit(1)).alias("__n"),
-    )
-    w = expand_to_passes(parts, "__bucket", params)
-    return w.groupBy(*series, "window_start", "pass_ts").agg(
-        (F.sum("__sum") - F.min_by("__first", "__first_key")).alias("increase"),
+    ).withColumn("__bk", F.col("__b"))
+    x = expand_to_passes(parts, "__b", params)
+    agg = x.groupBy(*series, "window_start", "pass_ts").agg(
+        F.sum("__in").alias("__in"),
+        F.sort_array(F.collect_list(F.struct("__bk", "__first", "__last"))).alias("__bs"),
         F.sum("__n").alias("samples"),
     )
+    n = F.size("__bs")
+    cross = F.aggregate(
+        F.zip_with(F.slice("__bs", 1, n - 1), F.slice("__bs", 2, n - 1),
+                   lambda a, b: _reset_delta(a["__last"], b["__first"])),
+        F.lit(0.0), lambda acc, v: acc + v,
+    )
+    return agg.select(*series, "window_start", "pass_ts",
+                      (F.col("__in") + F.when(n > 1, cross).otherwise(F.lit(0.0))).alias("increase"), "samples")
 
 
 def rate(inc: DataFrame, params: Params) -> DataFrame:

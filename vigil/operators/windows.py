@@ -67,9 +67,11 @@ def lag_across_buckets(
     )
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, ts: str = "ts") -> DataFrame:
-    """Exact running sum per key; per-(key, day) partial sums carry the offset."""
-    d = df.withColumn("__b", F.date_trunc("day", F.col(ts)))
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, ts: str = "ts",
+                bucket: str = "hour") -> DataFrame:
+    """Exact running sum per key; per-(key, hour) partial sums carry the
+    offset, so a hot key is spread over one task per hour."""
+    d = df.withColumn("__b", F.date_trunc(bucket, F.col(ts)))
     per = d.groupBy(*keys, "__b").agg(F.sum(value).alias("__s"))
     w_days = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.withColumn("__off", F.coalesce(F.sum("__s").over(w_days), F.lit(0))).drop("__s")

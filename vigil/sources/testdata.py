@@ -91,10 +91,10 @@ def running_count(df: DataFrame, keys: list[str], order: list[str], ts: str = "t
     """Exact running row count per key, without one task per key.
 
     A plain ``row_number() over (partition by key)`` puts a whole key in one
-    task; here the count runs within (key, day) and the totals of earlier days
-    (one small row per key and day) are added back.
+    task; here the count runs within (key, hour) and the totals of earlier
+    hours (one small row per key and hour) are added back.
     """
-    day = F.date_trunc("day", F.col(ts))
+    day = F.date_trunc("hour", F.col(ts))
     d = df.withColumn("__day", day)
     per_day = d.groupBy(*keys, "__day").agg(F.count(F.lit(1)).alias("__n"))
     w_days = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
