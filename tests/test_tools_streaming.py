@@ -42,3 +42,33 @@ def test_stream_matches_batch(spark):
     batch = error_rate_windows(T.requests(spark, SF0001), replay_params()).select(
         "namespace", "service", "window_start", "pass_ts", "total", "errors", F.round("ratio", 6).alias("ratio"))
     assert sorted(streamed.collect()) == sorted(batch.collect())
+
+
+def test_recovery_timers(spark):
+    import os
+    import uuid
+    from datetime import datetime, timedelta
+
+    from vigil.config import Params
+    from vigil.session import ensure_checkpoint_dir
+    from vigil.streaming import detection as S
+
+    p = Params(window_seconds=300, slide_seconds=60, cooldown_seconds=900, recovery_seconds=600)
+    t0 = datetime(2024, 1, 1, 12, 0)
+    mins = {"a": [0, 1, 2, 14, 30], "b": [0, 5], "c": [0, 40]}
+    rows = [(fp, t0 + timedelta(minutes=m)) for fp, ms in mins.items() for m in ms] + [("z", t0 + timedelta(minutes=60))]
+    base = os.path.join(ensure_checkpoint_dir(spark), "tests", uuid.uuid4().hex)
+    spark.createDataFrame(rows, "fingerprint string, pass_ts timestamp").write.parquet(base + "/in")
+    src = spark.readStream.schema("fingerprint string, pass_ts timestamp").parquet(base + "/in")
+    name = "recovery-test-" + uuid.uuid4().hex[:8]
+    S.run_upserts(S.recovery_timers(src, p), name, mode="append")
+    got = spark.read.parquet(os.path.join(ensure_checkpoint_dir(spark), "streams", name, "data")).collect()
+    rec = {(r.fingerprint, r.first_detected_at): r.recovered_at for r in got}
+    # a: 2 -> 14 is within cooldown but past recovery (12:13 < 12:14): recovered at 12:13, then 14 joins;
+    #    30 is > 15 min after 14: new session, recovered when the watermark (13:00) passes 12:41
+    assert rec[("a", t0)] == t0 + timedelta(minutes=13)
+    assert rec[("a", t0 + timedelta(minutes=30))] == t0 + timedelta(minutes=41)
+    assert rec[("b", t0)] == t0 + timedelta(minutes=16)
+    assert rec[("c", t0)] == t0 + timedelta(minutes=11)
+    assert rec[("c", t0 + timedelta(minutes=40))] == t0 + timedelta(minutes=51)
+    assert ("z", t0 + timedelta(minutes=60)) not in rec

@@ -138,3 +138,36 @@ def q_stream_evidence_dedup(spark, sf):
     name = _name("evidence-dedup", sf, _run())
     S.run_upserts(S.dedup_evidence_stream(ev, watermark="36500 days"), name, mode="append")
     return spark.read.parquet(os.path.join(ensure_checkpoint_dir(spark), "streams", name, "data")).select("evidence_id")
+
+
+@register(
+    "stream_recovery_timer",
+    sql="WITH " + SQL_RATE + f""",
+c AS (SELECT pass_ts, left(sha256('http_error_rate|' || namespace || '|' || service), 20) AS fingerprint FROM rates
+  WHERE total >= {P.thresholds.min_request_sample} AND errors / total >= {P.thresholds.http_error_rate}),
+wm AS (SELECT max(pass_ts) AS wm FROM c),
+g AS (SELECT *, epoch(pass_ts) - epoch(lag(pass_ts) OVER (PARTITION BY fingerprint ORDER BY pass_ts)) AS gap FROM c),
+s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > {P.cooldown_seconds} THEN 1 ELSE 0 END)
+  OVER (PARTITION BY fingerprint ORDER BY pass_ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sn FROM g),
+r AS (SELECT *, lead(pass_ts) OVER (PARTITION BY fingerprint, sn ORDER BY pass_ts) AS nxt,
+  make_timestamp(((CAST(floor((epoch(pass_ts) + {P.recovery_seconds}) / {P.slide_seconds}) AS BIGINT) + 1) * {P.slide_seconds}) * 1000000) AS rp FROM s),
+x AS (SELECT fingerprint, sn, min(pass_ts) AS first_detected_at,
+  min(rp) FILTER (WHERE (nxt IS NOT NULL AND rp < nxt) OR (nxt IS NULL AND rp < (SELECT wm FROM wm))) AS recovered_at,
+  count(*) FILTER (WHERE pass_ts <= coalesce((SELECT min(r2.rp) FROM r r2 WHERE r2.fingerprint = r.fingerprint AND r2.sn = r.sn
+    AND ((r2.nxt IS NOT NULL AND r2.rp < r2.nxt) OR (r2.nxt IS NULL AND r2.rp < (SELECT wm FROM wm)))), pass_ts)) AS detection_count
+  FROM r GROUP BY fingerprint, sn)
+SELECT fingerprint, first_detected_at, recovered_at, detection_count FROM x WHERE recovered_at IS NOT NULL""",
+)
+def q_stream_recovery_timer(spark, sf):
+    """T1 candidates written as a table, then a stateful stream with
+    event-time timers emits each incident's recovery once."""
+    run = _run()
+    rates = stream_rates(spark, sf, run)
+    cands = S.error_rate_candidates(rates, P).select("fingerprint", "pass_ts")
+    base = os.path.join(ensure_checkpoint_dir(spark), "streams", _name("recovery-candidates", sf, run))
+    cands.write.mode("overwrite").parquet(base)
+    src = spark.readStream.schema(spark.read.parquet(base).schema).parquet(base)
+    name = _name("recovery-timer", sf, run)
+    S.run_upserts(S.recovery_timers(src, P), name, mode="append")
+    return spark.read.parquet(os.path.join(ensure_checkpoint_dir(spark), "streams", name, "data")).select(
+        "fingerprint", "first_detected_at", "recovered_at", "detection_count")

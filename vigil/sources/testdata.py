@@ -36,8 +36,18 @@ COUNTER_MODULUS = 40
 DEFAULT_SERVICES = 8
 
 
+_READS: dict = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan of one table. The (immutable) DataFrame is reused within a session
+    so that a plan with several adapters lists files and reads footers once."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+    df = _READS.get(key)
+    if df is None:
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        _READS[key] = df
+    return df
 
 
 def _events(spark, sf_dir, services: int) -> DataFrame:

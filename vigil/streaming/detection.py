@@ -153,3 +153,67 @@ def latest_view(spark: SparkSession, name: str, key: list[str], schema=None) ->
 def dedup_evidence_stream(evidence: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """T5: an evidence id is emitted once (within the watermark)."""
     return evidence.withWatermark("observed_at", watermark).dropDuplicatesWithinWatermark(["evidence_id"])
+
+
+# --- T3 + T4: incident state with a recovery timer --------------------------------------
+
+RECOVERY_OUT = "fingerprint string, first_detected_at timestamp, recovered_at timestamp, detection_count long"
+RECOVERY_STATE = "first_ms long, last_ms long, n long, recovered_ms long"
+
+
+def _recovery_fn(params: Params):
+    cooldown = params.cooldown_seconds * 1000
+    recovery = params.recovery_seconds * 1000
+    slide = params.slide_seconds * 1000
+
+    def rp(last_ms: int) -> int:
+        # first pass instant strictly after last + recovery
+        return ((last_ms + recovery) // slide + 1) * slide
+
+    def emit(out, fp, st):
+        first, last, n, rec = st
+        out.append((fp, pd.Timestamp(first, unit="ms"), pd.Timestamp(rec, unit="ms"), n))
+
+    def settle(fp, st, state: GroupState, out) -> None:
+        """Apply whatever the watermark already passed, then arm the next timer."""
+        wm = state.getCurrentWatermarkMs()
+        if st[3] < 0 and rp(st[1]) < wm:
+            st[3] = rp(st[1])
+            emit(out, fp, st)
+        if st[3] >= 0 and st[1] + cooldown < wm:
+            state.remove()
+            return
+        state.update(tuple(st))
+        state.setTimeoutTimestamp(max(wm, rp(st[1]) if st[3] < 0 else st[1] + cooldown))
+
+    def fn(key, pdfs, state: GroupState):
+        (fp,) = key
+        out = []
+        st = list(state.get) if state.exists else None
+        if not state.hasTimedOut:
+            rows = pd.concat(list(pdfs), ignore_index=True)
+            times = sorted(int(pd.Timestamp(t).value // 1_000_000) for t in rows["pass_ts"])
+            for t in times:
+                if st is not None:
+                    if st[3] < 0 and rp(st[1]) < t:
+                        st[3] = rp(st[1])
+                        emit(out, fp, st)
+                    st = [st[0], t, st[2] + 1, st[3]] if t - st[1] <= cooldown else None
+                if st is None:
+                    st = [t, t, 1, -1]
+        settle(fp, st, state, out)
+        if out:
+            yield pd.DataFrame(out, columns=["fingerprint", "first_detected_at", "recovered_at", "detection_count"])
+
+    return fn
+
+
+def recovery_timers(candidates: DataFrame, params: Params, watermark: str = "0 seconds") -> DataFrame:
+    """T3/T4 on a candidate stream: sessions by cooldown per fingerprint and a
+    recovery emitted by an event-time timer at the first pass instant after
+    ``last + recovery`` (or when the next detection shows it already passed).
+    A recovered incident still absorbs detections within the cooldown."""
+    src = candidates.withWatermark("pass_ts", watermark)
+    return src.groupBy("fingerprint").applyInPandasWithState(
+        _recovery_fn(params), RECOVERY_OUT, RECOVERY_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
