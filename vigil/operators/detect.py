@@ -344,32 +344,47 @@ def detect_all(snap: Snapshot, params: Params, rules: dict | None = None) -> tup
     return out, failed
 
 
-def suppress(candidates: DataFrame) -> DataFrame:
-    """Per (namespace, pass): drop repeated-signature candidates whose every
-    workload is explained by another category, keep the most frequent
-    signature per workload list, and rank by severity then precedence.
-    A pass with at most one candidate is returned unchanged.
+def _pass_window():
+    return Window.partitionBy("namespace", "pass_ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
-    All steps are windows over the same (namespace, pass) partitioning, so
-    the plan has a single exchange.
-    """
-    w = Window.partitionBy("namespace", "pass_ts")
-    wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def suppress_explained(candidates: DataFrame) -> DataFrame:
+    """Drop repeated-signature candidates whose every workload is already
+    covered by an explanatory category in the same pass (a pass with at most
+    one candidate is untouched). Adds ``pass_candidates`` for the next steps."""
+    wall = _pass_window()
     is_rep = F.col("category") == REPEATED_ERROR_SIGNATURE
     explanatory = F.col("category").isin(*EXPLANATORY)
-    c = candidates.withColumn("__n", F.count(F.lit(1)).over(wall)).withColumn(
+    c = candidates.withColumn("pass_candidates", F.count(F.lit(1)).over(wall)).withColumn(
         "__explained",
         F.array_distinct(F.flatten(F.collect_list(F.when(explanatory, F.col("affected_workloads"))).over(wall))),
     )
     covered = F.forall("affected_workloads", lambda x: F.array_contains(F.col("__explained"), x))
-    c = c.filter((F.col("__n") <= 1) | ~is_rep | ~covered)
+    return c.filter((F.col("pass_candidates") <= 1) | ~is_rep | ~covered).drop("__explained")
+
+
+def suppress_collapse(explained: DataFrame) -> DataFrame:
+    """Of the remaining signatures keep the most frequent per workload
+    list (ties: smaller fingerprint)."""
+    is_rep = F.col("category") == REPEATED_ERROR_SIGNATURE
     key = F.when(is_rep, F.array_join("affected_workloads", ",")).otherwise(F.col("fingerprint"))
     wk = Window.partitionBy("namespace", "pass_ts", "__key").orderBy(
         F.coalesce(F.col("occurrences"), F.lit(0)).desc(), F.col("fingerprint")
     )
-    c = c.withColumn("__key", key).withColumn("__top", F.row_number().over(wk))
-    c = c.filter((F.col("__n") <= 1) | ~is_rep | (F.col("__top") == 1))
+    c = explained.withColumn("__key", key).withColumn("__top", F.row_number().over(wk))
+    return c.filter((F.col("pass_candidates") <= 1) | ~is_rep | (F.col("__top") == 1)).drop("__key", "__top")
+
+
+def suppress_order(collapsed: DataFrame) -> DataFrame:
+    """Queue order per pass - severity desc, then category precedence
+    (unknown first), then fingerprint."""
     ordered = Window.partitionBy("namespace", "pass_ts").orderBy(
         F.col("severity_rank").desc(), precedence_index("category"), F.col("fingerprint")
     )
-    return c.withColumn("queue_rank", F.row_number().over(ordered)).drop("__n", "__explained", "__key", "__top")
+    return collapsed.withColumn("queue_rank", F.row_number().over(ordered)).drop("pass_candidates")
+
+
+def suppress(candidates: DataFrame) -> DataFrame:
+    """D9-D11 in sequence. Every step is a window over the same
+    (namespace, pass) partitioning, so the plan has a single exchange."""
+    return suppress_order(suppress_collapse(suppress_explained(candidates)))

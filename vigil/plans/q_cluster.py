@@ -66,6 +66,24 @@ def q_src_pods(spark, sf):
                     F.col("spec.nodeName").alias("node"), F.get(F.col("spec.containers"), 0)["resources"]["limits"]["memory"].alias("memory_limit"))
 
 
+@register(
+    "src_deployments",
+    sql="WITH " + T.sql_pod_snapshots() + """
+SELECT namespace, workload || '@' || strftime(snapshot_ts, '%Y%m%d') AS deployment, CAST(count(*) AS INTEGER) AS replicas,
+  CASE WHEN sum(CAST(ready AS INTEGER)) > 0 THEN CAST(sum(CAST(ready AS INTEGER)) AS INTEGER) END AS ready_replicas,
+  2 AS conditions FROM pods GROUP BY namespace, workload, snapshot_ts""",
+)
+def q_src_deployments(spark, sf):
+    """Deployment objects (nested conditions) read through their schema;
+    read-back path is the same JSON reader as pods and events."""
+    path = KD._dir(spark, "deployments", sf)
+    KD._write_json(KD.deployments(spark, sf), path)
+    d = J.read_objects(spark, path, J.DEPLOYMENT)
+    return d.select(F.col("metadata.namespace").alias("namespace"), F.col("metadata.name").alias("deployment"),
+                    F.col("spec.replicas").alias("replicas"), F.col("status.readyReplicas").alias("ready_replicas"),
+                    F.size("status.conditions").alias("conditions"))
+
+
 @register(
     "restart_counts",
     sql=SQL_POD_FACTS + "\nSELECT namespace, pod, observed_at, coalesce(workload, pod) AS workload, restarts AS restart_count, ready,"
@@ -113,14 +131,15 @@ def q_pod_summary(spark, sf):
                                                F.sum("restarts").alias("restarts"))
 
 
-SQL_EVENTS = "WITH " + T.sql_events() + """,
+SQL_EVENT_OBJECTS = "WITH " + T.sql_events() + """,
 ko AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'Warning' ELSE 'Normal' END AS type,
   CASE WHEN event_type = 'error' THEN 'BackOff' ELSE 'Scheduled' END AS reason,
   CASE WHEN event_type = 'error' THEN 'Back-off restarting failed container app' ELSE 'Successfully assigned pod' END
     || CASE WHEN event_id % 10 = 0 THEN ' password=hunter' || CAST(event_id AS VARCHAR) ELSE '' END AS message,
   k AS count, CASE WHEN event_id % 7 <> 0 THEN ts END AS lastTimestamp,
   CASE WHEN event_id % 7 = 0 AND event_id % 14 <> 0 THEN ts END AS eventTime, ts - INTERVAL 1 MINUTE AS firstTimestamp,
-  service || '-' || CAST(user_id AS VARCHAR) AS involved, namespace FROM ev WHERE event_type IN ('error', 'signup')),
+  service || '-' || CAST(user_id AS VARCHAR) AS involved, namespace FROM ev WHERE event_type IN ('error', 'signup'))"""
+SQL_EVENTS = SQL_EVENT_OBJECTS + """,
 """ + X.sql_redaction_ctes("ko", "event_id, type, reason, count, lastTimestamp, eventTime, firstTimestamp, involved, namespace", "message") + """,
 """ + T.SQL_PODS_ONLY + """,
 wl AS (SELECT DISTINCT namespace, CASE WHEN pod LIKE '%0' THEN pod ELSE workload END AS workload FROM pods),
@@ -134,6 +153,18 @@ kx AS (SELECT namespace, workload, involved, occurred_at,
   coalesce(count, 1) AS count, CAST(n AS INTEGER) AS redacted_value_count FROM ke)"""
 
 
+@register(
+    "src_events",
+    sql=SQL_EVENT_OBJECTS + """
+SELECT namespace, involved, type, reason, count, lastTimestamp AS last_ts, eventTime AS event_ts, firstTimestamp AS first_ts FROM ko""",
+)
+def q_src_events(spark, sf):
+    """Event objects written as JSON lines and read back with the schema."""
+    e = KD.events(spark, sf)
+    return e.select(F.col("metadata.namespace").alias("namespace"), F.col("involvedObject.name").alias("involved"), "type", "reason",
+                    "count", F.col("lastTimestamp").alias("last_ts"), F.col("eventTime").alias("event_ts"), F.col("firstTimestamp").alias("first_ts"))
+
+
 def _events(spark, sf):
     pods = KD.pods(spark, sf)
     wl = K.restart_counts(pods).select("namespace", "workload")

@@ -219,13 +219,23 @@ def q_detect_all(spark, sf):
     return cand_view(R.candidates(spark, sf, P), title=False)
 
 
+@register("suppress_explained", sql="WITH " + sql_pipeline(P) + f"\nSELECT {CAND_SQL_OUT} FROM c2")
+def q_suppress_explained(spark, sf):
+    return cand_view(D.suppress_explained(R.candidates(spark, sf, P)), title=False)
+
+
 @register(
-    "suppress_explained",
-    sql="WITH " + sql_pipeline(P) + f"\nSELECT {CAND_SQL_OUT}, queue_rank FROM sup",
+    "suppress_collapse",
+    sql="WITH " + sql_pipeline(P) + f"\nSELECT {CAND_SQL_OUT} FROM c3 WHERE n <= 1 OR category <> 'repeated_error_signature' OR top = 1",
 )
-def q_suppress(spark, sf):
+def q_suppress_collapse(spark, sf):
+    return cand_view(D.suppress_collapse(D.suppress_explained(R.candidates(spark, sf, P))), title=False)
+
+
+@register("suppress_order", sql="WITH " + sql_pipeline(P) + f"\nSELECT {CAND_SQL_OUT}, queue_rank FROM sup")
+def q_suppress_order(spark, sf):
     s = R.suppressed(spark, sf, P)
-    return cand_view(s, title=False).join(s.select("fingerprint", "pass_ts", "queue_rank"), ["fingerprint", "pass_ts"])
+    return s.select(*CAND_OUT, F.array_join("affected_workloads", ",").alias("workloads"), "queue_rank")
 
 
 @register(

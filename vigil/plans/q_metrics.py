@@ -265,3 +265,15 @@ def q_dep_latency_range(spark, sf):
     hist = M.observations_to_histogram(T.dep_calls(spark, sf), ["namespace", "dependency"], P, wide=True)
     p = hist.select("namespace", "dependency", "window_start", "pass_ts", M.quantile_from_buckets(0.95, F.col("buckets")).alias("p95"))
     return p.filter(~F.isnan("p95")).withColumn("p95", F.round("p95", R6))
+
+
+@register(
+    "targets_up",
+    sql="WITH " + SQL_INCREASE_CTE + "\nSELECT pass_ts, count(DISTINCT service) AS targets_up, count(DISTINCT service) >= 5 AS ok FROM inc GROUP BY ALL",
+)
+def q_targets_up(spark, sf):
+    """Scrape targets seen in each window (a service counts as up when any of
+    its series has a sample there); the probe wants at least 5."""
+    inc = counter_increase(spark, sf)
+    return inc.groupBy("pass_ts").agg(F.count_distinct("service").alias("targets_up"),
+                                      (F.count_distinct("service") >= 5).alias("ok"))
