@@ -18,10 +18,10 @@ def P(**kw):
     return Params(**base)
 
 
-def run(spark, corpus, queries, relaxed=False, **kw):
+def run(spark, corpus, queries, relaxed=False, strategy="auto", **kw):
     c = spark.createDataFrame(corpus, C_SCHEMA)
     q = spark.createDataFrame(queries, Q_SCHEMA)
-    rows = SM.search(c, q, P(**kw), relaxed=relaxed, corpus_blocks=3).orderBy("query_id", "rank").collect()
+    rows = SM.search(c, q, P(**kw), relaxed=relaxed, corpus_blocks=3, strategy=strategy).orderBy("query_id", "rank").collect()
     return [(r.query_id, r.id, r.mode) for r in rows], rows
 
 
@@ -52,24 +52,29 @@ def test_confidence(spark):
     assert 0.99 < c.c <= 1.0
 
 
-def test_relaxed_fallback(spark):
+@pytest.mark.parametrize("strategy", ["broadcast", "cogroup"])
+def test_relaxed_fallback(spark, strategy):
     corpus = [mem("rb", (1, 0), kind="runbook", cat="dependency_latency")]
     q = [("q", vec(1, 0), "runbook", None, "http_error_rate", None)]
-    strict, _ = run(spark, corpus, q, max_distance=0.65)
-    relaxed, _ = run(spark, corpus, q, relaxed=True, max_distance=0.65)
+    strict, _ = run(spark, corpus, q, strategy=strategy, max_distance=0.65)
+    relaxed, _ = run(spark, corpus, q, strategy=strategy, relaxed=True, max_distance=0.65)
     assert strict == [] and relaxed == [("q", "rb", "relaxed")]
     corpus = [mem("oom", (0, 1), kind="runbook", cat="out_of_memory")]
     out, _ = run(spark, corpus, [("q", vec(1, 0), "runbook", None, None, None)], relaxed=True, max_distance=0.3)
     assert out == []
 
 
-def test_top_k_across_blocks_matches_brute_force(spark):
+import pytest
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "cogroup"])
+def test_top_k_across_blocks_matches_brute_force(spark, strategy):
     import random
 
     random.seed(3)
     corpus = [mem(f"m{i:03d}", [random.uniform(-1, 1) for _ in range(DIM)]) for i in range(300)]
     queries = [(f"q{j}", vec(*[random.uniform(-1, 1) for _ in range(DIM)]), "incident", None, None, None) for j in range(7)]
-    out, rows = run(spark, corpus, queries, max_distance=2.0, top_k=5)
+    out, rows = run(spark, corpus, queries, strategy=strategy, max_distance=2.0, top_k=5)
     c = spark.createDataFrame(corpus, C_SCHEMA)
     q = spark.createDataFrame(queries, Q_SCHEMA).withColumnRenamed("embedding", "qv")
     from pyspark.sql import Window, functions as F

@@ -4,13 +4,15 @@ re-index delta, plus an approximate (LSH) search with exact re-rank.
 
 Exact search layout
 -------------------
-The corpus is hashed into ``corpus_blocks`` groups; the query batch is
-replicated once per group and the two sides are co-grouped. Each group runs
-one vectorised numpy pass over corpus chunks (matrix product, masks for the
-facets, per-query top-K by (distance, id)), so no (query, memory) pair is ever
-materialised as a row and nothing is collected to the driver. Every group's
-top-K contains the global top-K restricted to that group, so a final
-``row_number`` over the small per-group results is exact.
+The query batch (new incidents, category centroids: small) is size-checked
+and broadcast; every corpus partition is scanned where it lies with one
+vectorised numpy pass per Arrow batch (matrix product, masks for the facets,
+per-query top-K by (distance, id)). No (query, memory) pair becomes a row and
+the corpus is never shuffled. Every partition's top-K contains the global
+top-K restricted to that partition, so a final ``row_number`` over the small
+per-partition results is exact. A batch above the bound takes the other way:
+the corpus is hashed into blocks, the batch replicated per block, and the
+two sides co-grouped.
 """
 
 from __future__ import annotations
@@ -115,8 +117,44 @@ def _block_search(top_k: int, max_distance: float, relaxed: bool):
     return run
 
 
+def _partial_search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool,
+                    corpus_blocks: int | None, strategy: str) -> DataFrame:
+    """Per-partition top-K candidates (at most K per query, mode and partition)."""
+    spark = corpus.sparkSession
+    cols_c = ["id", "kind", "incident_id", "source_ref", "workload", "category", "embedding"]
+    cols_q = ["query_id", "embedding", "kind", "workload", "category", "exclude_incident_id"]
+    fn = _block_search(params.top_k, params.max_distance, relaxed)
+    q = queries.select(*cols_q)
+    if strategy in ("auto", "broadcast"):
+        # The query batch is a driver-sized input (new incidents of a pass,
+        # one centroid per category): check its size before shipping it.
+        n = q.count()
+        if n <= params.max_broadcast_queries:
+            shipped = spark.sparkContext.broadcast(q.toPandas())
+
+            def scan(batches):
+                qp = shipped.value
+                got = [fn(b, qp) for b in batches]
+                got = [g for g in got if len(g)]
+                if got:
+                    out = pd.concat(got, ignore_index=True).sort_values(["query_id", "mode", "distance", "id"])
+                    yield out.groupby(["query_id", "mode"], sort=False).head(params.top_k)
+
+            return corpus.select(*cols_c).mapInPandas(scan, SEARCH_SCHEMA)
+        if strategy == "broadcast":
+            raise ValueError(f"query batch of {n} rows exceeds max_broadcast_queries={params.max_broadcast_queries}")
+    # Large query batches: co-group corpus blocks with the replicated batch.
+    c = corpus.select(*cols_c)
+    nb = corpus_blocks or max(1, c.rdd.getNumPartitions())
+    cb = c.withColumn("__cb", F.pmod(F.xxhash64("id"), F.lit(nb)))
+    qb = q.withColumn("__cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))))
+    return cb.groupBy("__cb").cogroup(qb.groupBy("__cb")).applyInPandas(
+        lambda cc, qq: fn(cc.drop(columns="__cb"), qq.drop(columns="__cb")), SEARCH_SCHEMA
+    )
+
+
 def search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool = False,
-           corpus_blocks: int | None = None) -> DataFrame:
+           corpus_blocks: int | None = None, strategy: str = "auto") -> DataFrame:
     """Exact faceted nearest-neighbour search for a batch of queries.
 
     Filters (as in the service): kind equal; workload / category either NULL
@@ -125,17 +163,13 @@ def search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool
     ``relaxed=True`` a query that gave a facet but found nothing is answered
     without the facets (kind and self-exclusion still apply); both result
     sets come from the same pass.
+
+    ``strategy``: "broadcast" ships the (size-checked) query batch to every
+    task and scans the corpus where it lies (no corpus shuffle);
+    "cogroup" hashes the corpus into blocks and replicates the batch per
+    block (for batches above ``max_broadcast_queries``); "auto" picks.
     """
-    spark = corpus.sparkSession
-    nb = corpus_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols_c = ["id", "kind", "incident_id", "source_ref", "workload", "category", "embedding"]
-    cols_q = ["query_id", "embedding", "kind", "workload", "category", "exclude_incident_id"]
-    cb = corpus.select(*cols_c).withColumn("__cb", F.pmod(F.xxhash64("id"), F.lit(nb)))
-    qb = queries.select(*cols_q).withColumn("__cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))))
-    fn = _block_search(params.top_k, params.max_distance, relaxed)
-    partial = cb.groupBy("__cb").cogroup(qb.groupBy("__cb")).applyInPandas(
-        lambda c, q: fn(c.drop(columns="__cb"), q.drop(columns="__cb")), SEARCH_SCHEMA
-    )
+    partial = _partial_search(corpus, queries, params, relaxed, corpus_blocks, strategy)
     w = Window.partitionBy("query_id", "mode").orderBy("distance", "id")
     ranked = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= params.top_k)
     if not relaxed:
