@@ -1,5 +1,7 @@
 """Semantic memory search cases (FIXTURES F7)."""
 
+import pytest
+
 from vigil.config import Params
 from vigil.operators import memory as SM
 
@@ -64,7 +66,6 @@ def test_relaxed_fallback(spark, strategy):
     assert out == []
 
 
-import pytest
 
 
 @pytest.mark.parametrize("strategy", ["broadcast", "cogroup"])
