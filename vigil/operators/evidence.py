@@ -75,9 +75,12 @@ def completeness(evidence: DataFrame, incidents: DataFrame) -> DataFrame:
     )
 
 
-def digest(evidence: DataFrame) -> DataFrame:
+def digest(evidence: DataFrame, max_items: int | None = None) -> DataFrame:
     """Ordered text block per incident: one line per item, grouped by kind in
-    priority order, newest first inside a kind."""
+    priority order, newest first inside a kind. With ``max_items`` the
+    evidence is first trimmed by kind priority (E3), as the prompt does."""
+    if max_items is not None:
+        evidence = select(evidence, max_items)
     line = F.concat(F.lit("- ["), F.col("evidence_id"), F.lit("] "), F.col("kind"), F.lit(": "), F.coalesce("summary", F.lit("")))
     items = F.struct(kind_priority("kind").alias("p"), (-F.unix_micros(F.col("observed_at").cast("timestamp"))).alias("t"),
                      F.col("evidence_id").alias("i"), line.alias("l"))
@@ -87,15 +90,22 @@ def digest(evidence: DataFrame) -> DataFrame:
     )
 
 
-def bundle(moments: DataFrame, families: list[DataFrame], window_seconds: int) -> DataFrame:
+# Error log samples per bundle: the newest 50 (the service's search limit).
+SAMPLE_LIMIT = 50
+
+
+def bundle(moments: DataFrame, families: list[DataFrame], window_seconds: int, caps: dict | None = None) -> DataFrame:
     """Evidence for many incidents at once.
 
     ``moments``: (incident_id, namespace, workload, moment_ts). Each family:
     (namespace, workload, observed_at, evidence_id, kind, source, summary).
     Interval join on (namespace, workload) with observed_at in
     [moment - window, moment], bucketed by window width so that each moment
-    meets at most two buckets of each family (no nested loop).
+    meets at most two buckets of each family (no nested loop). ``caps``
+    limits a kind to its newest N items per incident (default: log samples
+    to 50); the limit is applied per window partition before the union.
     """
+    caps = {"LogSample": SAMPLE_LIMIT} if caps is None else caps
     span = window_seconds * 1_000_000
     m = moments.withColumn("__hi", F.unix_micros(F.col("moment_ts").cast("timestamp"))).withColumn(
         "__lo", F.col("__hi") - span
@@ -120,6 +130,12 @@ def bundle(moments: DataFrame, families: list[DataFrame], window_seconds: int) -
             F.col("f.workload").alias("workload"),
             F.col("f.summary").alias("summary"),
         )
+        kinds = [r for r in caps]
+        if kinds:
+            cap = F.create_map(*[x for k in kinds for x in (F.lit(k), F.lit(caps[k]))])
+            w = Window.partitionBy("incident_id", "kind").orderBy(F.col("observed_at").desc(), F.col("evidence_id"))
+            j = j.withColumn("__r", F.row_number().over(w)).filter(
+                F.col("__r") <= F.coalesce(cap[F.col("kind")], F.lit(2**31 - 1))).drop("__r")
         out = j if out is None else out.unionByName(j)
     return out
 

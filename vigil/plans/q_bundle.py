@@ -72,8 +72,12 @@ lev AS (SELECT namespace, container AS workload, ts AS observed_at,
 mo AS (SELECT fingerprint || '@' || strftime(pass_ts, '%Y-%m-%d %H:%M:%S') AS moment_id, namespace, wl_list[1] AS workload, pass_ts
   FROM cand WHERE detection_rule = 'http-error-rate'),
 fam AS (SELECT namespace, workload, observed_at, evidence_id, kind FROM mev UNION ALL SELECT namespace, workload, observed_at, evidence_id, kind FROM lev)
-SELECT mo.moment_id, fam.evidence_id, fam.kind FROM mo JOIN fam ON fam.namespace = mo.namespace AND fam.workload = mo.workload
-  AND fam.observed_at BETWEEN mo.pass_ts - INTERVAL {P.window_seconds} SECOND AND mo.pass_ts""",
+SELECT moment_id, evidence_id, kind FROM (
+  SELECT mo.moment_id, fam.evidence_id, fam.kind, row_number() OVER (PARTITION BY mo.moment_id, fam.kind
+    ORDER BY fam.observed_at DESC, fam.evidence_id) AS r
+  FROM mo JOIN fam ON fam.namespace = mo.namespace AND fam.workload = mo.workload
+  AND fam.observed_at BETWEEN mo.pass_ts - INTERVAL {P.window_seconds} SECOND AND mo.pass_ts)
+WHERE kind <> 'LogSample' OR r <= 50""",
 )
 def q_evidence_bundle(spark, sf):
     snap = R.build_snapshot(spark, sf, P)
