@@ -95,3 +95,30 @@ def test_sections_and_hash(spark):
         ("Causes", "cause", "out-of-memory#causes")]
     assert s[0].doc_title == "Title" and s[0].category == "out_of_memory"
     assert s[0].content == "Title\nSymptoms\n\nline one"
+
+
+def test_ann_recall_against_exact(spark):
+    """LSH candidates + exact re-rank: reported distances are exact cosine
+    distances, and recall@5 against brute force stays high."""
+    import random
+
+    random.seed(11)
+    centers = [[random.gauss(0, 1) for _ in range(DIM)] for _ in range(6)]
+    corpus = []
+    for i in range(400):
+        c = centers[i % 6]
+        corpus.append(mem(f"m{i:03d}", [x + random.gauss(0, 0.15) for x in c]))
+    queries = [(f"q{j}", vec(*[x + random.gauss(0, 0.15) for x in centers[j % 6]]), None, None, None, None) for j in range(12)]
+    c = spark.createDataFrame(corpus, C_SCHEMA)
+    q = spark.createDataFrame(queries, Q_SCHEMA)
+    p = P(max_distance=0.5, top_k=5)
+    exact_rows = SM.search(c, q, p).collect()
+    exact = {(r.query_id, r.id) for r in exact_rows}
+    dist = {(r.query_id, r.id): r.distance for r in exact_rows}
+    approx = SM.ann_search(c, q, p, bucket_length=2.0, num_tables=8).collect()
+    got = {(r.query_id, r.id) for r in approx}
+    for r in approx:
+        if (r.query_id, r.id) in dist:
+            assert abs(r.distance - dist[(r.query_id, r.id)]) < 1e-6
+    recall = len(got & exact) / len(exact)
+    assert recall >= 0.8, recall
