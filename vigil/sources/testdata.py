@@ -9,8 +9,8 @@ Mapping (events -> telemetry):
                status 503 for 'error', 404 for 'signup', else 200,
                duration_s = value / 100
   dep_calls    dependency by event_id % 4, failure kind by event_id % 3
-  counters     per (namespace, service, status_class) running request count,
-               modulo 40 so that counter resets occur
+  counters     per (namespace, service, status_class) request count so far
+               that day, modulo 40 (resets at midnight and every 40)
   logs         one line per event; text by event type, level by event type
   pod_snapshots one snapshot per (user, day): cumulative 'error' count as
                restarts, readiness and reasons from the day's last event
@@ -97,36 +97,17 @@ def dep_calls(spark, sf_dir, services: int = DEFAULT_SERVICES) -> DataFrame:
     )
 
 
-def running_count(df: DataFrame, keys: list[str], order: list[str], ts: str = "ts") -> DataFrame:
-    """Exact running row count per key, without one task per key.
-
-    A plain ``row_number() over (partition by key)`` puts a whole key in one
-    task; here the count runs within (key, hour) and the totals of earlier
-    hours (one small row per key and hour) are added back.
-    """
-    day = F.date_trunc("hour", F.col(ts))
-    d = df.withColumn("__day", day)
-    per_day = d.groupBy(*keys, "__day").agg(F.count(F.lit(1)).alias("__n"))
-    w_days = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_day.withColumn("__before", F.coalesce(F.sum("__n").over(w_days), F.lit(0))).drop("__n")
-    w_in = Window.partitionBy(*keys, "__day").orderBy(*order)
-    return (
-        d.withColumn("__rn", F.row_number().over(w_in))
-        .join(offsets, on=[*keys, "__day"])
-        .withColumn("running_count", F.col("__before") + F.col("__rn"))
-        .drop("__day", "__rn", "__before")
-    )
-
-
 def counter_samples(spark, sf_dir, services: int = DEFAULT_SERVICES) -> DataFrame:
-    """``http_requests_total``-style counter samples with planted resets."""
+    """``http_requests_total``-style counter samples with planted resets: the
+    request count of the series so far that day, modulo 40 (so the counter
+    resets at midnight and every 40 requests, like a restarted process)."""
     r = requests(spark, sf_dir, services).select("event_id", "ts", "namespace", "service", "status_class")
     keys = ["namespace", "service", "status_class"]
-    rc = running_count(r, keys, ["ts", "event_id"])
-    return rc.select(
+    w = Window.partitionBy(*keys, F.date_trunc("day", "ts")).orderBy("ts", "event_id")
+    return r.select(
         F.lit("http_requests_total").alias("metric"),
         *keys, "ts", "event_id",
-        (F.col("running_count") % COUNTER_MODULUS).cast("double").alias("value"),
+        (F.row_number().over(w) % COUNTER_MODULUS).cast("double").alias("value"),
     )
 
 
@@ -284,7 +265,7 @@ def sql_counter_samples(services: int = DEFAULT_SERVICES) -> str:
 
 
 SQL_COUNTERS_ONLY = f"""counters AS (SELECT 'http_requests_total' AS metric, namespace, service, status_class, ts, event_id,
-  CAST(row_number() OVER (PARTITION BY namespace, service, status_class ORDER BY ts, event_id) % {COUNTER_MODULUS} AS DOUBLE) AS value
+  CAST(row_number() OVER (PARTITION BY namespace, service, status_class, date_trunc('day', ts) ORDER BY ts, event_id) % {COUNTER_MODULUS} AS DOUBLE) AS value
   FROM requests)"""
 
 
