@@ -253,10 +253,14 @@ def q_evidence_of_kind(spark, sf):
 
 @register(
     "evidence_by_id",
-    sql="WITH " + O.SQL_EVIDENCE + "\nSELECT incident_id, evidence_id, kind FROM evidence WHERE evidence_id = 'ev-1-1'",
+    sql="WITH " + O.SQL_EVIDENCE + ",\n" + O.SQL_REPORTS + """
+SELECT incident_id, evidence_id, kind FROM evidence
+WHERE evidence_id IN (SELECT UNNEST(evidence_ids) FROM reports WHERE kind = 'cluster')""",
 )
 def q_evidence_by_id(spark, sf):
-    return O.evidence(spark, sf).filter(F.col("evidence_id") == "ev-1-1").select("incident_id", "evidence_id", "kind")
+    """Lookup by id, for every id a cluster report cites at once (left-semi join)."""
+    ids = O.reports(spark, sf).filter(F.col("kind") == "cluster").select(F.explode("evidence_ids").alias("evidence_id"))
+    return O.evidence(spark, sf).join(ids, "evidence_id", "left_semi").select("incident_id", "evidence_id", "kind")
 
 
 SQL_COMPLETE = "WITH " + O.SQL_EVIDENCE + """,
