@@ -403,11 +403,13 @@ _CUST_STATE = "CASE c_mktsegment WHEN 'BUILDING' THEN 'Candidate' WHEN 'AUTOMOBI
     sql="WITH " + O.SQL_WORK_ITEMS + f""",
 inc AS (SELECT CAST(c_custkey AS VARCHAR) AS incident_id, {_CUST_STATE} AS state FROM customer)
 SELECT incident_id, state FROM inc WHERE state IN ('Candidate', 'Triaging', 'Investigating', 'Failed')
-  AND incident_id NOT IN (SELECT dedup_key FROM wi WHERE state IN ('Pending', 'Claimed'))""",
+  AND incident_id NOT IN (SELECT dedup_key FROM wi WHERE state IN ('Pending', 'Claimed') AND kind = '1-URGENT')""",
 )
 def q_stranded_incidents(spark, sf):
+    """Investigation work items are the '1-URGENT' kind; an in-flight
+    incident (customer) with no active one of those is stranded."""
     inc = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("incident_id"), F.expr(_CUST_STATE).alias("state"))
-    return RP.stranded(inc, O.work_items(spark, sf))
+    return RP.stranded(inc, O.work_items(spark, sf).filter(F.col("kind") == "1-URGENT"))
 
 
 @register("stale_leases", sql="WITH " + O.SQL_WORK_ITEMS + "\nSELECT id, leased_until FROM wi WHERE state = 'Claimed' AND leased_by = 'worker-1'")
