@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from vigil.config import replay_params
+from vigil.config import Thresholds, replay_params
 from vigil.operators.windows import sql_passes, sql_window_join
 from vigil.plans.registry import register
 from vigil.session import ensure_checkpoint_dir
@@ -140,11 +140,15 @@ def q_stream_evidence_dedup(spark, sf):
     return spark.read.parquet(os.path.join(ensure_checkpoint_dir(spark), "streams", name, "data")).select("evidence_id")
 
 
+# Recovery needs gaps between detections: this query alerts at the High level.
+P_HIGH = replay_params(thresholds=Thresholds(http_error_rate=0.25))
+
+
 @register(
     "stream_recovery_timer",
     sql="WITH " + SQL_RATE + f""",
 c AS (SELECT pass_ts, left(sha256('http_error_rate|' || namespace || '|' || service), 20) AS fingerprint FROM rates
-  WHERE total >= {P.thresholds.min_request_sample} AND errors / total >= {P.thresholds.http_error_rate}),
+  WHERE total >= {P_HIGH.thresholds.min_request_sample} AND errors / total >= {P_HIGH.thresholds.http_error_rate}),
 wm AS (SELECT max(pass_ts) AS wm FROM c),
 g AS (SELECT *, epoch(pass_ts) - epoch(lag(pass_ts) OVER (PARTITION BY fingerprint ORDER BY pass_ts)) AS gap FROM c),
 s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > {P.cooldown_seconds} THEN 1 ELSE 0 END)
@@ -163,11 +167,11 @@ def q_stream_recovery_timer(spark, sf):
     event-time timers emits each incident's recovery once."""
     run = _run()
     rates = stream_rates(spark, sf, run)
-    cands = S.error_rate_candidates(rates, P).select("fingerprint", "pass_ts")
+    cands = S.error_rate_candidates(rates, P_HIGH).select("fingerprint", "pass_ts")
     base = os.path.join(ensure_checkpoint_dir(spark), "streams", _name("recovery-candidates", sf, run))
     cands.write.mode("overwrite").parquet(base)
     src = spark.readStream.schema(spark.read.parquet(base).schema).parquet(base)
     name = _name("recovery-timer", sf, run)
-    S.run_upserts(S.recovery_timers(src, P), name, mode="append")
+    S.run_upserts(S.recovery_timers(src, P_HIGH), name, mode="append")
     return spark.read.parquet(os.path.join(ensure_checkpoint_dir(spark), "streams", name, "data")).select(
         "fingerprint", "first_detected_at", "recovered_at", "detection_count")
