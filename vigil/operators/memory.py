@@ -127,10 +127,12 @@ def _partial_search(corpus: DataFrame, queries: DataFrame, params: Params, relax
     q = queries.select(*cols_q)
     if strategy in ("auto", "broadcast"):
         # The query batch is a driver-sized input (new incidents of a pass,
-        # one centroid per category): check its size before shipping it.
-        n = q.count()
+        # one centroid per category). The collect itself is bounded: at most
+        # max_broadcast_queries + 1 rows ever reach the driver.
+        qp = q.limit(params.max_broadcast_queries + 1).toPandas()
+        n = len(qp)
         if n <= params.max_broadcast_queries:
-            shipped = spark.sparkContext.broadcast(q.toPandas())
+            shipped = spark.sparkContext.broadcast(qp)
 
             def scan(batches):
                 qp = shipped.value
@@ -142,7 +144,7 @@ def _partial_search(corpus: DataFrame, queries: DataFrame, params: Params, relax
 
             return corpus.select(*cols_c).mapInPandas(scan, SEARCH_SCHEMA)
         if strategy == "broadcast":
-            raise ValueError(f"query batch of {n} rows exceeds max_broadcast_queries={params.max_broadcast_queries}")
+            raise ValueError(f"query batch exceeds max_broadcast_queries={params.max_broadcast_queries}")
     # Large query batches: co-group corpus blocks with the replicated batch.
     c = corpus.select(*cols_c)
     nb = corpus_blocks or max(1, c.rdd.getNumPartitions())

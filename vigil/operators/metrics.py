@@ -16,24 +16,12 @@ from pyspark.sql import functions as F
 from vigil.config import Params
 from pyspark.sql import Window
 
-from vigil.operators.windows import expand_to_passes, lag_across_buckets, slide_bucket
+from vigil.operators.windows import expand_to_passes, slide_bucket
 
 # Histogram bucket upper bounds in seconds (+Inf is implicit).
 BUCKET_BOUNDS = [0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0]
 
 
-def counter_deltas(samples: DataFrame, series: list[str], ts: str = "ts", tiebreak: str = "event_id") -> DataFrame:
-    """Add ``delta`` (reset-aware) per series."""
-    order = [ts, tiebreak] if tiebreak else [ts]
-    d = lag_across_buckets(samples, series, order, "value", "__prev", ts=ts)
-    delta = (
-        F.when(F.col("__prev").isNull(), F.lit(0.0))
-        .when(F.col("value") < F.col("__prev"), F.col("value"))
-        .otherwise(F.col("value") - F.col("__prev"))
-    )
-    return d.withColumn("delta", delta).drop("__prev")
-
-
 def _reset_delta(prev: Column, cur: Column) -> Column:
     return F.when(cur < prev, cur).otherwise(cur - prev)
 

@@ -44,29 +44,6 @@ def expand_to_passes(df: DataFrame, bucket_col: str, params: Params) -> DataFram
     )
 
 
-def lag_across_buckets(
-    df: DataFrame, keys: list[str], order: list[str], value: str, out: str, ts: str = "ts", bucket: str = "day"
-) -> DataFrame:
-    """``lag(value)`` per key ordered by ``order``, computed without one task per key.
-
-    The lag runs inside (key, day); the first row of each day takes the last
-    value of the key's latest earlier day from a small per-(key, day) table.
-    Exact, and a hot key is spread over as many tasks as it has days.
-    """
-    d = df.withColumn("__b", F.date_trunc(bucket, F.col(ts)))
-    within = F.lag(value).over(Window.partitionBy(*keys, "__b").orderBy(*order))
-    d = d.withColumn("__lag_in", within)
-    last = d.groupBy(*keys, "__b").agg(F.max_by(F.col(value), F.struct(*order)).alias("__last"))
-    prev = last.withColumn("__prev_last", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__b"))).drop(
-        "__last"
-    )
-    return (
-        d.join(prev, on=[*keys, "__b"], how="left")
-        .withColumn(out, F.coalesce(F.col("__lag_in"), F.col("__prev_last")))
-        .drop("__b", "__lag_in", "__prev_last")
-    )
-
-
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, ts: str = "ts",
                 bucket: str = "hour") -> DataFrame:
     """Exact running sum per key; per-(key, hour) partial sums carry the
