@@ -20,6 +20,11 @@ EVIDENCE_PREFIX = {
     "HistoricalIncident": "hist",
     "Runbook": "book",
 }
+# Evidence source names (part of the hashed id text).
+SOURCE_LOGS = "loki"
+SOURCE_METRICS = "prometheus"
+SOURCE_K8S = "kubernetes"
+SOURCE_MEMORY = "memory"
 # Kind priority used when an evidence bundle must be trimmed.
 KIND_PRIORITY = ["KubernetesState", "KubernetesEvent", "Metric", "LogSignature", "HistoricalIncident", "Runbook", "LogSample"]
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window
 
 from vigil.config import Params
 from vigil.functions import ids
+from vigil.functions.ids import SOURCE_K8S
 from vigil.functions.text import with_redaction
 
 WORKLOAD_LABEL = "app.kubernetes.io/name"
@@ -70,7 +71,7 @@ def pod_status(pods: DataFrame, now: str = "observed_at") -> DataFrame:
         F.when(F.col("last_terminated_at").isNotNull(), minutes).alias("minutes_since_last_restart"),
         F.when(F.col("last_terminated_at").isNotNull(), recent).alias("restart_is_recent"),
         summary.alias("summary"),
-        ids.evidence_id("KubernetesState", "kubernetes", F.col("namespace"), F.col("pod"), F.col("phase"),
+        ids.evidence_id("KubernetesState", SOURCE_K8S, F.col("namespace"), F.col("pod"), F.col("phase"),
                         F.col("restarts").cast("string"), F.col("waiting_reason"), F.col("last_termination_reason")).alias("evidence_id"),
     )
 
@@ -119,7 +120,7 @@ def k8s_events(events: DataFrame, workloads: DataFrame | None, since, limit: int
     iso = F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS'+00:00'")
     out = e.select(
         "namespace", "workload", "involved", "occurred_at",
-        ids.evidence_id("KubernetesEvent", "kubernetes", F.col("namespace"), F.col("involved"), F.col("reason"), iso).alias("evidence_id"),
+        ids.evidence_id("KubernetesEvent", SOURCE_K8S, F.col("namespace"), F.col("involved"), F.col("reason"), iso).alias("evidence_id"),
         F.concat(F.lit("["), F.coalesce("type", F.lit("")), F.lit("] "), F.coalesce("reason", F.lit("")), F.lit(" on "),
                  F.coalesce(F.col("involvedObject.kind"), F.lit("")), F.lit(" "), F.col("involved"), F.lit(": "),
                  F.col("redacted_message")).alias("summary"),
@@ -146,7 +147,7 @@ def deployment_status(deps: DataFrame) -> DataFrame:
     return deps.select(
         F.col("metadata.namespace").alias("namespace"), F.col("metadata.name").alias("deployment"),
         desired.alias("desired"), ready.alias("ready"), avail.alias("available"), upd.alias("updated"), summary.alias("summary"),
-        ids.evidence_id("KubernetesState", "kubernetes", F.col("metadata.namespace"), F.col("metadata.name"), F.lit("deployment"),
+        ids.evidence_id("KubernetesState", SOURCE_K8S, F.col("metadata.namespace"), F.col("metadata.name"), F.lit("deployment"),
                         F.concat_ws("/", desired.cast("string"), ready.cast("string"), avail.cast("string"))).alias("evidence_id"),
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from vigil.functions.ids import KIND_PRIORITY
+from vigil.functions.ids import SOURCE_LOGS, SOURCE_METRICS, KIND_PRIORITY
 
 EVIDENCE_COLUMNS = ["incident_id", "evidence_id", "kind", "source", "observed_at", "workload", "summary"]
 # Kinds a bundle is expected to contain when every source answered.
@@ -157,8 +157,8 @@ def service_metric_evidence(error_rate: DataFrame | None, p95: DataFrame | None,
     if error_rate is not None:
         parts.append(error_rate.select(
             "namespace", F.col("service").alias("workload"), F.col("pass_ts").alias("observed_at"),
-            evidence_id("Metric", "prometheus", F.col("service"), F.lit("http_error_rate"), minute_bucket("pass_ts")).alias("evidence_id"),
-            F.lit("Metric").alias("kind"), F.lit("prometheus").alias("source"),
+            evidence_id("Metric", SOURCE_METRICS, F.col("service"), F.lit("http_error_rate"), minute_bucket("pass_ts")).alias("evidence_id"),
+            F.lit("Metric").alias("kind"), F.lit(SOURCE_METRICS).alias("source"),
             F.concat(F.col("service"), F.lit(": "), fixed_ratio(F.col("errors") * 100, F.col("total"), 1),
                      F.lit(f" % of requests returned 5xx over the last {window_minutes} minutes ("),
                      F.col("total").cast("bigint").cast("string"), F.lit(" requests)")).alias("summary"),
@@ -166,23 +166,23 @@ def service_metric_evidence(error_rate: DataFrame | None, p95: DataFrame | None,
     if p95 is not None:
         parts.append(p95.select(
             "namespace", F.col("service").alias("workload"), F.col("pass_ts").alias("observed_at"),
-            evidence_id("Metric", "prometheus", F.col("service"), F.lit("latency_p95"), minute_bucket("pass_ts")).alias("evidence_id"),
-            F.lit("Metric").alias("kind"), F.lit("prometheus").alias("source"),
+            evidence_id("Metric", SOURCE_METRICS, F.col("service"), F.lit("latency_p95"), minute_bucket("pass_ts")).alias("evidence_id"),
+            F.lit("Metric").alias("kind"), F.lit(SOURCE_METRICS).alias("source"),
             F.concat(F.col("service"), F.lit(": 95th percentile request duration "), fixed_double("p95", 3), F.lit("s")).alias("summary"),
         ))
     if failures is not None:
         parts.append(failures.select(
             "namespace", F.col("service").alias("workload"), F.col("pass_ts").alias("observed_at"),
-            evidence_id("Metric", "prometheus", F.col("service"), F.col("dependency"), F.col("kind"), minute_bucket("pass_ts")).alias("evidence_id"),
-            F.lit("Metric").alias("kind"), F.lit("prometheus").alias("source"),
+            evidence_id("Metric", SOURCE_METRICS, F.col("service"), F.col("dependency"), F.col("kind"), minute_bucket("pass_ts")).alias("evidence_id"),
+            F.lit("Metric").alias("kind"), F.lit(SOURCE_METRICS).alias("source"),
             F.concat(F.col("service"), F.lit(": "), F.col("failures").cast("bigint").cast("string"), F.lit(" '"), F.col("kind"),
                      F.lit("' failures calling "), F.col("dependency")).alias("summary"),
         ))
     if dep_p95 is not None:
         parts.append(dep_p95.select(
             "namespace", F.col("service").alias("workload"), F.col("pass_ts").alias("observed_at"),
-            evidence_id("Metric", "prometheus", F.col("service"), F.col("dependency"), F.lit("latency"), minute_bucket("pass_ts")).alias("evidence_id"),
-            F.lit("Metric").alias("kind"), F.lit("prometheus").alias("source"),
+            evidence_id("Metric", SOURCE_METRICS, F.col("service"), F.col("dependency"), F.lit("latency"), minute_bucket("pass_ts")).alias("evidence_id"),
+            F.lit("Metric").alias("kind"), F.lit(SOURCE_METRICS).alias("source"),
             F.concat(F.col("service"), F.lit(": calls to "), F.col("dependency"), F.lit(" take "), fixed_double("p95", 3),
                      F.lit("s at the 95th percentile")).alias("summary"),
         ))
@@ -201,7 +201,7 @@ def log_sample_family(logs: DataFrame) -> DataFrame:
     d = with_redaction(logs.filter(F.col("level") == "error"), "line", "__red", "__n")
     return d.select(
         "namespace", F.col("container").alias("workload"), F.col("ts").alias("observed_at"),
-        evidence_id("LogSample", "loki", iso, F.col("container"), F.col("pod"), log_signature(F.col("line"))).alias("evidence_id"),
-        F.lit("LogSample").alias("kind"), F.lit("loki").alias("source"),
+        evidence_id("LogSample", SOURCE_LOGS, iso, F.col("container"), F.col("pod"), log_signature(F.col("line"))).alias("evidence_id"),
+        F.lit("LogSample").alias("kind"), F.lit(SOURCE_LOGS).alias("source"),
         F.concat(F.lit("[error] "), truncate("__red", 500)).alias("summary"),
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Window
 
 from vigil.config import Params
 from vigil.functions import ids, text
+from vigil.functions.ids import SOURCE_LOGS
 from vigil.operators.windows import epoch_seconds, expand_to_passes, slide_bucket
 
 # The closed set of log levels.
@@ -131,7 +132,7 @@ def to_sample_evidence(df: DataFrame, message: str = "message", workload: str =
     d = text.with_redaction(df, message, "__red", "redacted_value_count")
     return d.select(
         "*",
-        ids.evidence_id("LogSample", "loki", iso_o(ts), F.col(workload), F.col(pod), text.log_signature(F.col(message))).alias("evidence_id"),
+        ids.evidence_id("LogSample", SOURCE_LOGS, iso_o(ts), F.col(workload), F.col(pod), text.log_signature(F.col(message))).alias("evidence_id"),
         F.lit("LogSample").alias("kind"),
         F.col(ts).alias("observed_at"),
         F.concat(F.lit("["), F.coalesce(F.col(level), F.lit("info")), F.lit("] "), text.truncate("__red", SAMPLE_CHARS)).alias("summary"),
@@ -250,7 +251,7 @@ def signature_evidence(sigs: DataFrame) -> DataFrame:
     d = text.with_redaction(sigs, "normalised", "__red", "redacted_value_count")
     return d.select(
         "*",
-        ids.evidence_id("LogSignature", "loki", F.col("signature_hash"), F.col("workload")).alias("evidence_id"),
+        ids.evidence_id("LogSignature", SOURCE_LOGS, F.col("signature_hash"), F.col("workload")).alias("evidence_id"),
         F.concat(F.col("occurrences").cast("string"), F.lit("x ["), F.coalesce(F.col("level"), F.lit("")), F.lit("] "), F.col("__red")).alias("summary"),
     ).drop("__red")
 

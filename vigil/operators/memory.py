@@ -202,7 +202,7 @@ def to_evidence(matches: DataFrame, kind: str) -> DataFrame:
     content = F.col("content") if "content" in cols else F.lit("")
     return matches.select(
         "query_id",
-        ids.evidence_id(kind, "memory", F.col("source_ref")).alias("evidence_id"),
+        ids.evidence_id(kind, ids.SOURCE_MEMORY, F.col("source_ref")).alias("evidence_id"),
         F.lit(kind).alias("kind"),
         F.col("source_ref"),
         conf.alias("retrieval_confidence"),

@@ -20,6 +20,19 @@ from vigil.sources import testdata as T
 
 SERIES = ["namespace", "service", "status_class"]
 
+_PLANS: dict = {}
+
+
+def _memo(kind: str, spark: SparkSession, sf: str, params: Params, services: int, build):
+    """Reuse an already built (immutable, lazy) DataFrame plan for the same
+    session, tables and parameters; nothing is cached but the plan object."""
+    key = (kind, id(spark), spark.sparkContext.applicationId, sf, params, services)
+    df = _PLANS.get(key)
+    if df is None:
+        df = build()
+        _PLANS[key] = df
+    return df
+
 
 def flagship_params() -> Params:
     day = 86400
@@ -28,6 +41,10 @@ def flagship_params() -> Params:
 
 
 def build_snapshot(spark: SparkSession, sf: str, params: Params, services: int = T.DEFAULT_SERVICES) -> D.Snapshot:
+    return _memo("snapshot", spark, sf, params, services, lambda: _build_snapshot(spark, sf, params, services))
+
+
+def _build_snapshot(spark: SparkSession, sf: str, params: Params, services: int) -> D.Snapshot:
     counters = T.counter_samples(spark, sf, services)
     inc = M.increase(counters, SERIES, params)
     er = M.http_error_rate(inc)
@@ -46,21 +63,25 @@ def replay_end(spark: SparkSession, sf: str, params: Params) -> DataFrame:
 
 
 def candidates(spark, sf, params: Params, services: int = T.DEFAULT_SERVICES) -> DataFrame:
-    snap = build_snapshot(spark, sf, params, services)
-    cands, failed = D.detect_all(snap, params)
-    if failed:
-        raise RuntimeError(f"rules failed to plan: {failed}")
-    return cands
+    def build():
+        cands, failed = D.detect_all(build_snapshot(spark, sf, params, services), params)
+        if failed:
+            raise RuntimeError(f"rules failed to plan: {failed}")
+        return cands
+
+    return _memo("candidates", spark, sf, params, services, build)
 
 
 def suppressed(spark, sf, params: Params, services: int = T.DEFAULT_SERVICES) -> DataFrame:
-    return D.suppress(candidates(spark, sf, params, services))
+    return _memo("suppressed", spark, sf, params, services, lambda: D.suppress(candidates(spark, sf, params, services)))
 
 
 def incidents(spark, sf, params: Params, services: int = T.DEFAULT_SERVICES) -> DataFrame:
-    sup = suppressed(spark, sf, params, services)
-    sup = I.with_replay_end(sup, replay_end(spark, sf, params))
-    return I.incidents(sup, params)
+    def build():
+        sup = I.with_replay_end(suppressed(spark, sf, params, services), replay_end(spark, sf, params))
+        return I.incidents(sup, params)
+
+    return _memo("incidents", spark, sf, params, services, build)
 
 
 def pass_summary(spark, sf, params: Params, services: int = T.DEFAULT_SERVICES) -> DataFrame:
