@@ -35,6 +35,11 @@ def _render(template: str, dialect: dict) -> str:
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the detection service's behaviour.
+# The patterns below are the service's patterns with three spellings made
+# engine-neutral: {WBL}/{WBR} stand for an ASCII word boundary before/after a
+# word character (\b), {WS} for one ASCII whitespace character (\s) and {WSC}
+# for the same set inside a character class. Java 17 and RE2 disagree on \b,
+# so each engine gets its own rendering (see _JAVA / _RE2 above).
 # Log-message normalisation: ordered (pattern, replacement) pairs, applied in
 # this order, then whitespace runs collapse to one space and the result is cut
 # to 300 characters.
