@@ -125,13 +125,16 @@ def _out_dir(spark: SparkSession, name: str) -> str:
 
 def run_upserts(df: DataFrame, name: str, mode: str = "update", trigger_available_now: bool = True):
     """Run a streaming query: every micro-batch (T8: results first) is
-    appended with its batch id to ``<checkpoint dir>/streams/<name>/data``;
-    offsets and state live in ``.../checkpoint`` (T7)."""
+    written to ``<checkpoint dir>/streams/<name>/data/batch_id=<n>`` (read
+    back with ``batch_id`` as a partition column); offsets and state live in
+    ``.../checkpoint`` (T7). Writing a batch is idempotent."""
     spark = df.sparkSession
     base = _out_dir(spark, name)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(os.path.join(base, "data"))
+        # One folder per micro-batch, overwritten on a retry of the same batch,
+        # so a re-run after a failure never duplicates output.
+        batch.write.mode("overwrite").parquet(os.path.join(base, "data", f"batch_id={batch_id}"))
 
     w = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", os.path.join(base, "checkpoint"))
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="60 seconds")
