@@ -114,7 +114,10 @@ def triage_floor(proposed, detected) -> tuple[Column, Column]:
     p = F.col(proposed) if isinstance(proposed, str) else proposed
     d = F.col(detected) if isinstance(detected, str) else detected
     canon = F.array(*[F.lit(s) for s in SEVERITIES])
-    p_rank = F.array_position(F.transform(canon, lambda s: F.lower(s)), F.lower(F.coalesce(p, F.lit("")))) - 1
+    # names case-insensitively, surrounding blanks ignored; the numeric values 0-3 also parse
+    pt = F.lower(F.trim(F.coalesce(p, F.lit(""))))
+    p_rank = F.when(pt.rlike("^[0-3]$"), pt.cast("int")).otherwise(
+        F.array_position(F.transform(canon, lambda s: F.lower(s)), pt) - 1)
     known = p_rank >= 0
     d_rank = severity_rank(d)
     eff_rank = F.when(known, F.greatest(p_rank, d_rank)).otherwise(d_rank)

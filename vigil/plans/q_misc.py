@@ -87,7 +87,8 @@ _DETECTED = "CASE o_orderstatus WHEN 'F' THEN 'High' WHEN 'O' THEN 'Medium' ELSE
     sql="WITH " + O.SQL_REPORTS + f""",
 t AS (SELECT o_orderkey, {_PROPOSED} AS proposed, {_DETECTED} AS detected, 'svc-' || CAST(o_custkey % 8 AS VARCHAR) AS triage_wl,
   'svc-' || CAST(o_orderkey % 8 AS VARCHAR) AS incident_wl FROM orders),
-r AS (SELECT *, coalesce(list_position(['low', 'medium', 'high', 'critical'], lower(proposed)), 0) - 1 AS p_rank,
+r AS (SELECT *, CASE WHEN regexp_full_match(lower(trim(coalesce(proposed, ''))), '[0-3]') THEN CAST(lower(trim(proposed)) AS INTEGER)
+  ELSE coalesce(list_position(['low', 'medium', 'high', 'critical'], lower(trim(coalesce(proposed, '')))), 0) - 1 END AS p_rank,
   list_position(['Low', 'Medium', 'High', 'Critical'], detected) - 1 AS d_rank FROM t)
 SELECT reports.report_id, reports.kind, reports.incident_id, reports.investigation_id,
   CASE WHEN proposed IS NULL THEN detected ELSE ['Low', 'Medium', 'High', 'Critical'][(CASE WHEN p_rank >= 0 THEN greatest(p_rank, d_rank) ELSE d_rank END) + 1] END AS severity,

@@ -126,14 +126,15 @@ def q_ground_cluster_report(spark, sf):
     return r.select("report_id", F.array_join("real_ids", ",").alias("real_ids"), F.array_join("problems", " | ").alias("problems"))
 
 
-_PROPOSED = "CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'HIGH' WHEN '3-MEDIUM' THEN 'Medium' WHEN '4-NOT SPECIFIED' THEN 'bogus' ELSE 'low' END"
+_PROPOSED = "CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN ' HIGH' WHEN '3-MEDIUM' THEN '1' WHEN '4-NOT SPECIFIED' THEN 'bogus' ELSE 'low' END"
 _DETECTED = "CASE o_orderstatus WHEN 'F' THEN 'High' WHEN 'O' THEN 'Medium' ELSE 'Low' END"
 
 
 @register(
     "triage_floor",
     sql=f"""WITH t AS (SELECT o_orderkey, {_PROPOSED} AS proposed, {_DETECTED} AS detected FROM orders),
-r AS (SELECT *, coalesce(list_position(['low', 'medium', 'high', 'critical'], lower(proposed)), 0) - 1 AS p_rank,
+r AS (SELECT *, CASE WHEN regexp_full_match(lower(trim(coalesce(proposed, ''))), '[0-3]') THEN CAST(lower(trim(proposed)) AS INTEGER)
+  ELSE coalesce(list_position(['low', 'medium', 'high', 'critical'], lower(trim(coalesce(proposed, '')))), 0) - 1 END AS p_rank,
   list_position(['Low', 'Medium', 'High', 'Critical'], detected) - 1 AS d_rank FROM t)
 SELECT o_orderkey, ['Low', 'Medium', 'High', 'Critical'][(CASE WHEN p_rank >= 0 THEN greatest(p_rank, d_rank) ELSE d_rank END) + 1] AS effective,
   CASE WHEN p_rank < 0 THEN 'triage returned an unknown severity ''' || proposed || '''; the detected severity is kept'
