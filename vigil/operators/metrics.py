@@ -12,11 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from vigil.config import Params
 from pyspark.sql import Window
 
-from vigil.operators.windows import expand_to_passes, slide_bucket
+from vigil.config import Params
+from vigil.operators.windows import expand_to_passes, running_sum, slide_bucket
 
 # Histogram bucket upper bounds in seconds (+Inf is implicit).
 BUCKET_BOUNDS = [0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0]
@@ -214,13 +213,11 @@ def known_services(samples: DataFrame) -> DataFrame:
     )
 
 
-def requests_to_counters(requests: DataFrame, minute: bool = True) -> DataFrame:
+def requests_to_counters(requests: DataFrame) -> DataFrame:
     """Raw requests -> per-minute counter samples (running totals) by
     (namespace, service, operation, status_class)."""
     keys = ["namespace", "service", "operation", "status_class"]
     per_min = requests.groupBy(*keys, F.date_trunc("minute", "ts").alias("ts")).agg(F.count(F.lit(1)).alias("n"))
-    from vigil.operators.windows import running_sum
-
     return running_sum(per_min, keys, ["ts"], "n", "value").select(*keys, "ts", F.col("value").cast("double"))
 
 
