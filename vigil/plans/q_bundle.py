@@ -19,8 +19,6 @@ WINDOW_MIN = P.window_seconds // 60
 
 
 def _metric_ev(snap):
-    from vigil.operators import metrics as M
-
     return E.service_metric_evidence(snap.error_rate, snap.latency_p95, snap.dependency_failures, None, WINDOW_MIN)
 
 
