@@ -3,8 +3,6 @@ objects derived from the pod snapshots and events, read back through JSON."""
 
 from __future__ import annotations
 
-import hashlib
-import os
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -14,7 +12,6 @@ from vigil.functions import text as X
 from vigil.functions.ids import sql_evidence_id
 from vigil.operators import cluster as K
 from vigil.plans.registry import register
-from vigil.session import ensure_checkpoint_dir
 from vigil.sources import json_api as J
 from vigil.sources import k8sdata as KD
 from vigil.sources import testdata as T
@@ -248,8 +245,7 @@ def q_clamp_window(spark, sf):
 # --- API JSON sources ----------------------------------------------------------------------
 
 def _src_dir(spark, kind, sf):
-    h = hashlib.sha1(os.path.abspath(sf).encode()).hexdigest()[:10]
-    return os.path.join(ensure_checkpoint_dir(spark), "sources", f"{kind}-{h}")
+    return KD._dir(spark, kind, sf)
 
 
 @register(

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,10 @@ from vigil.sources import testdata as TD
 
 
 def _dir(spark: SparkSession, kind: str, sf: str) -> str:
+    """A fresh folder per write: a DataFrame that already listed an earlier
+    write must never see its files replaced underneath it."""
     h = hashlib.sha1(os.path.abspath(sf).encode()).hexdigest()[:10]
-    return os.path.join(ensure_checkpoint_dir(spark), "sources", f"{kind}-{h}")
+    return os.path.join(ensure_checkpoint_dir(spark), "sources", f"{kind}-{h}-{uuid.uuid4().hex[:12]}")
 
 
 def _write_json(df: DataFrame, path: str) -> None:
