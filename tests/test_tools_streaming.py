@@ -72,3 +72,33 @@ def test_recovery_timers(spark):
     assert rec[("c", t0)] == t0 + timedelta(minutes=11)
     assert rec[("c", t0 + timedelta(minutes=40))] == t0 + timedelta(minutes=51)
     assert ("z", t0 + timedelta(minutes=60)) not in rec
+
+
+def test_sql_tools(spark):
+    from vigil.plans.sql_tools import register_sql_tools
+
+    p = replay_params(embedding_dim=64)
+    src = Sources(logs=T.logs(spark, SF0001), pods=KD.pods(spark, SF0001), k8s_events=KD.events(spark, SF0001),
+                  deployments=KD.deployments(spark, SF0001), counters=T.counter_samples(spark, SF0001),
+                  requests=T.requests(spark, SF0001), dep_calls=T.dep_calls(spark, SF0001), memory=T.memory(spark, SF0001))
+    names = register_sql_tools(spark, src, p)
+    assert len(names) == 9
+    at = "TIMESTAMP '2024-01-20 12:00:00'"
+    logs = spark.sql(f"SELECT * FROM search_logs('prod', 'svc-0', NULL, NULL, 600, {at})").collect()
+    direct = L.search(src.logs, p, "prod", datetime(2024, 1, 20, 11, 0), datetime(2024, 1, 20, 12, 0), container="svc-0", limit=40)
+    assert [r.line for r in logs] == [r.line for r in direct.collect()]
+    assert spark.sql("SELECT * FROM pod_status('prod', 'svc-0')").count() >= 0
+    assert spark.sql(f"SELECT * FROM kubernetes_events('prod', 'svc-0', 30, {at})").count() >= 0
+    assert spark.sql(f"SELECT * FROM service_metrics('prod', 'svc-0', {at})").count() >= 0
+    q = ", ".join(["0.1"] * 64)
+    assert spark.sql(f"SELECT * FROM runbooks(array({q}), NULL, 2.0)").count() == 5
+    assert spark.sql(f"SELECT * FROM search_logs('prod', '../etc', NULL, NULL, 15, {at})").count() == 0
+
+
+def test_sql_tools_reject_bad_level(spark):
+    from vigil.plans.sql_tools import register_sql_tools
+
+    register_sql_tools(spark, Sources(logs=T.logs(spark, SF0001)), replay_params())
+    q = "SELECT * FROM search_logs('prod', 'svc-0', {lvl}, NULL, 60, TIMESTAMP '2024-01-20 12:00:00')"
+    assert spark.sql(q.format(lvl="'loud'")).count() == 0
+    assert spark.sql(q.format(lvl="NULL")).count() > 0

@@ -102,7 +102,7 @@ def workload_names(pods: DataFrame) -> DataFrame:
     return p.select("namespace", "workload").distinct().orderBy("namespace", "workload")
 
 
-def k8s_events(events: DataFrame, workloads: DataFrame | None, since, limit: int = 200) -> DataFrame:
+def k8s_events(events: DataFrame, workloads: DataFrame | None, since, limit: int | None = 200) -> DataFrame:
     """K3 for every workload at once: occurred = last ?? event ?? first time;
     drop NULL or older than ``since``; the involved object name must start
     with the workload name (a prefix join against the small, distinct
@@ -127,6 +127,8 @@ def k8s_events(events: DataFrame, workloads: DataFrame | None, since, limit: int
         F.coalesce("count", F.lit(1)).alias("count"),
         "redacted_value_count",
     )
+    if limit is None:
+        return out
     w = Window.partitionBy("namespace", "workload").orderBy(F.col("occurred_at").desc(), F.col("evidence_id"))
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
