@@ -407,5 +407,5 @@ SELECT event_id FROM logs WHERE ts >= (SELECT max(ts) FROM logs) - INTERVAL 168
 )
 def q_retention(spark, sf):
     lg = T.logs(spark, sf)
-    last = lg.agg(F.max("ts").alias("__max"))
-    return lg.crossJoin(F.broadcast(last)).filter(F.col("ts") >= F.col("__max") - F.expr("INTERVAL 168 HOURS")).select("event_id")
+    last = lg.agg(F.max("ts")).scalar()
+    return lg.filter(F.col("ts") >= last - F.expr("INTERVAL 168 HOURS")).select("event_id")

@@ -366,6 +366,7 @@ def q_cluster_status(spark, sf):
     inc = R.incidents(spark, sf, P)
     by = inc.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
     tot = by.agg(F.coalesce(F.sum(F.when(F.col("state").isin(*I.IN_FLIGHT), F.col("n"))), F.lit(0)).alias("open_incidents"))
+    # a one-row broadcast; the incident plan under both sides is shared (exchange reuse)
     return by.crossJoin(F.broadcast(tot))
 
 
