@@ -60,7 +60,7 @@ def incidents(candidates: DataFrame, params: Params, replay_end: str = "replay_e
     """Candidates -> incidents with recovery.
 
     ``replay_end`` names a column holding the last pass instant of the replay
-    (attach it with ``with_replay_end``: a scalar subquery, not a global
+    (attach it with ``with_replay_end``: a one-row broadcast, not a global
     window).
 
     Title, category, signals and workloads come from the first candidate;
@@ -110,8 +110,9 @@ def incidents(candidates: DataFrame, params: Params, replay_end: str = "replay_e
 
 def with_replay_end(candidates: DataFrame, passes_end: DataFrame) -> DataFrame:
     """Attach the last pass instant of the replay (a one-row aggregate,
-    evaluated once as a scalar subquery)."""
-    return candidates.withColumn("replay_end", passes_end.select("replay_end").scalar())
+    broadcast; a join keeps the plan reusable as a whole, which a scalar
+    subquery would not)."""
+    return candidates.crossJoin(F.broadcast(passes_end.select(F.col("replay_end"))))
 
 
 def transition_audit(log: DataFrame) -> DataFrame:
