@@ -78,8 +78,8 @@ def test_pod_status_edge_cases(spark):
     p = {r.pod: r for r in K.pod_status(J.read_objects(spark, base, SCHEMA)).collect()}
     assert p["empty"].ready is False and p["empty"].restarts == 0 and p["empty"].minutes_since_last_restart is None
     c = p["crash"]
-    assert (c.restarts, c.ready, c.waiting_reason, c.last_termination_reason, c.last_exit_code) == (5, False, "CrashLoopBackOff", "OOMKilled", 137)
-    assert c.minutes_since_last_restart == 10 and c.restart_is_recent is True and c.memory_limit == "1Gi" and c.workload == "w"
+    assert (c.restarts, c.ready, c.waiting_reason, c.last_termination_reason, c.last_exit_code) == (5, False, "CrashLoopBackOff", "OOMKilled", "137")
+    assert c.minutes_since_last_restart == "10" and c.restart_is_recent == "true" and c.memory_limit == "1Gi" and c.workload == "w"
     assert c.summary.endswith("last restart 10m ago (RECENT)")
 
 

@@ -65,11 +65,13 @@ def pod_status(pods: DataFrame, now: str = "observed_at") -> DataFrame:
         F.when(F.col("last_exit_code").isNotNull(), F.concat(F.lit("exitCode="), F.col("last_exit_code").cast("string"))),
         restart_txt,
     )
+    # Optional facts are attribute strings, present only when they apply.
     return p.select(
-        "namespace", "pod", "phase", "ready", "restarts", "waiting_reason", "last_termination_reason", "last_exit_code",
+        "namespace", "pod", "phase", "ready", "restarts", "waiting_reason", "last_termination_reason",
+        F.col("last_exit_code").cast("string").alias("last_exit_code"),
         "last_terminated_at", "memory_limit", "node", F.col("workload_label").alias("workload"), F.col(now).alias("observed_at"),
-        F.when(F.col("last_terminated_at").isNotNull(), minutes).alias("minutes_since_last_restart"),
-        F.when(F.col("last_terminated_at").isNotNull(), recent).alias("restart_is_recent"),
+        F.when(F.col("last_terminated_at").isNotNull(), minutes.cast("string")).alias("minutes_since_last_restart"),
+        F.when(F.col("last_terminated_at").isNotNull(), F.when(recent, "true").otherwise("false")).alias("restart_is_recent"),
         summary.alias("summary"),
         ids.evidence_id("KubernetesState", SOURCE_K8S, F.col("namespace"), F.col("pod"), F.col("phase"),
                         F.col("restarts").cast("string"), F.col("waiting_reason"), F.col("last_termination_reason")).alias("evidence_id"),

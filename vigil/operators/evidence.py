@@ -75,19 +75,62 @@ def completeness(evidence: DataFrame, incidents: DataFrame) -> DataFrame:
     )
 
 
+# Evidence sections of the digest, in order, with their headings.
+DIGEST_SECTIONS = [
+    ("KubernetesState", "Cluster state (authoritative)"),
+    ("KubernetesEvent", "Kubernetes events"),
+    ("Metric", "Metrics"),
+    ("LogSignature", "Repeated log patterns, with occurrence counts"),
+    ("LogSample", "Individual log lines"),
+    ("HistoricalIncident", "Similar past incidents (historical, not current evidence)"),
+    ("Runbook", "Runbook extracts (guidance, not evidence of this incident)"),
+]
+
+
+def evidence_block(evidence: DataFrame) -> Column:
+    """One evidence item as the text block the agents read."""
+    n = F.coalesce(F.col("redacted_value_count"), F.lit(0)) if "redacted_value_count" in evidence.columns else F.lit(0)
+    return F.concat(
+        F.lit('<evidence id="'), F.col("evidence_id"), F.lit('" source="'), F.coalesce("source", F.lit("")),
+        F.lit('" at="'), F.date_format("observed_at", "yyyy-MM-dd HH:mm:ss'Z'"), F.lit('">\n'),
+        F.coalesce("summary", F.lit("")), F.lit("\n"),
+        F.when(n > 0, F.concat(F.lit("("), n.cast("string"), F.lit(" sensitive value(s) removed before you saw this)\n"))).otherwise(F.lit("")),
+        F.lit("</evidence>\n"),
+    )
+
+
 def digest(evidence: DataFrame, max_items: int | None = None) -> DataFrame:
-    """Ordered text block per incident: one line per item, grouped by kind in
-    priority order, newest first inside a kind. With ``max_items`` the
-    evidence is first trimmed by kind priority (E3), as the prompt does."""
+    """The evidence section of an incident's prompt, per incident.
+
+    Sections follow ``DIGEST_SECTIONS`` (empty ones skipped), each a heading
+    and the items newest first, each item an ``<evidence ...>`` block with a
+    note when values were redacted. One grouping per incident: the sorted
+    items are folded into text, inserting a heading where the kind changes.
+    With ``max_items`` the evidence is first trimmed by kind priority (E3).
+    """
     if max_items is not None:
         evidence = select(evidence, max_items)
-    line = F.concat(F.lit("- ["), F.col("evidence_id"), F.lit("] "), F.col("kind"), F.lit(": "), F.coalesce("summary", F.lit("")))
-    items = F.struct(kind_priority("kind").alias("p"), (-F.unix_micros(F.col("observed_at").cast("timestamp"))).alias("t"),
-                     F.col("evidence_id").alias("i"), line.alias("l"))
-    return evidence.groupBy("incident_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(items)), lambda x: x["l"]), "\n").alias("digest"),
-        F.count(F.lit(1)).alias("items"),
+    kinds = [k for k, _ in DIGEST_SECTIONS]
+    rank = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind")).cast("int")
+    heading = F.element_at(F.array(*[F.lit(h) for _, h in DIGEST_SECTIONS]), F.greatest(rank, F.lit(1)))
+    items = F.struct(rank.alias("r"), (-F.unix_micros(F.col("observed_at").cast("timestamp"))).alias("t"),
+                     F.col("evidence_id").alias("i"), heading.alias("h"), evidence_block(evidence).alias("b"))
+    g = evidence.filter(rank > 0).groupBy("incident_id").agg(F.sort_array(F.collect_list(items)).alias("__it"),
+                                                           F.count(F.lit(1)).alias("items"))
+    init = F.struct(F.lit("").alias("text"), F.lit(0).alias("last"))
+    folded = F.aggregate(
+        "__it", init,
+        lambda acc, x: F.struct(
+            F.concat(acc["text"],
+                     F.when(x["r"] != acc["last"],
+                            F.concat(F.when(acc["last"] > 0, F.lit("\n")).otherwise(F.lit("")), F.lit("### "), x["h"], F.lit("\n")))
+                     .otherwise(F.lit("")),
+                     x["b"]).alias("text"),
+            x["r"].alias("last"),
+        ),
+        lambda acc: F.concat(acc["text"], F.lit("\n")),
     )
+    return g.select("incident_id", folded.alias("digest"), "items")
 
 
 # Error log samples per bundle: the newest 50 (the service's search limit).

@@ -41,8 +41,10 @@ _SUMMARY = """concat_ws(', ', 'pod ' || pod || ' phase=' || phase || ' ready=' |
 @register(
     "pod_status",
     sql=SQL_POD_FACTS + f"""
-SELECT namespace, pod, observed_at, phase, ready, restarts, waiting_reason, last_termination_reason, last_exit_code,
-  minutes_since_last_restart, restart_is_recent, memory_limit, node, workload, {_SUMMARY} AS summary,
+SELECT namespace, pod, observed_at, phase, ready, restarts, waiting_reason, last_termination_reason,
+  CAST(last_exit_code AS VARCHAR) AS last_exit_code, CAST(minutes_since_last_restart AS VARCHAR) AS minutes_since_last_restart,
+  CASE WHEN restart_is_recent THEN 'true' WHEN NOT restart_is_recent THEN 'false' END AS restart_is_recent,
+  memory_limit, node, workload, {_SUMMARY} AS summary,
   {sql_evidence_id('KubernetesState', 'kubernetes', 'namespace', 'pod', 'phase', 'CAST(restarts AS VARCHAR)', 'waiting_reason', 'last_termination_reason')} AS evidence_id
 FROM pf""",
 )
@@ -119,8 +121,8 @@ def q_unhealthy_pods(spark, sf):
 
 @register(
     "pod_summary",
-    sql=SQL_POD_FACTS + "\nSELECT namespace, phase, count(*) AS pods, sum(CASE WHEN ready THEN 1 ELSE 0 END) AS ready_pods,"
-    " sum(restarts) AS restarts FROM pf GROUP BY ALL",
+    sql=SQL_POD_FACTS + "\nSELECT namespace, phase, count(*) AS pods, CAST(sum(CASE WHEN ready THEN 1 ELSE 0 END) AS BIGINT) AS ready_pods,"
+    " CAST(sum(restarts) AS BIGINT) AS restarts FROM pf GROUP BY ALL",
 )
 def q_pod_summary(spark, sf):
     f = K.pod_fields(KD.pods(spark, sf))
@@ -200,7 +202,7 @@ def q_deployment_status(spark, sf):
     "node_status",
     sql="WITH " + T.sql_pod_snapshots() + """,
 n AS (SELECT snapshot_ts, 'node-' || CAST(CAST(right(pod, 1) AS INTEGER) % 3 AS VARCHAR) AS node, bool_and(ready) AS r FROM pods GROUP BY ALL)
-SELECT snapshot_ts, count(*) AS nodes, sum(CAST(r AS INTEGER)) AS ready_nodes, sum(CAST(node = 'node-0' AS INTEGER)) AS control_plane_nodes,
+SELECT snapshot_ts, count(*) AS nodes, CAST(sum(CAST(r AS INTEGER)) AS BIGINT) AS ready_nodes, CAST(sum(CAST(node = 'node-0' AS INTEGER)) AS BIGINT) AS control_plane_nodes,
   bool_and(r) AND count(*) >= 3 AS cluster_ready FROM n GROUP BY ALL""",
 )
 def q_node_status(spark, sf):

@@ -310,7 +310,7 @@ def q_pass_summary(spark, sf):
 @register(
     "replay",
     sql="WITH " + sql_pipeline(P) + sql_incidents(P)
-    + "\nSELECT state, category, severity, count(*) AS incidents, sum(detection_count) AS detections FROM incidents GROUP BY ALL",
+    + "\nSELECT state, category, severity, count(*) AS incidents, CAST(sum(detection_count) AS BIGINT) AS detections FROM incidents GROUP BY ALL",
     headline=True,
 )
 def q_replay(spark, sf):
@@ -359,7 +359,7 @@ def q_in_flight(spark, sf):
 @register(
     "cluster_status",
     sql=SQL_INCIDENTS + f"""
-SELECT state, count(*) AS n, coalesce(sum(count(*)) FILTER (WHERE state IN {tuple(I.IN_FLIGHT)}) OVER (), 0) AS open_incidents
+SELECT state, count(*) AS n, CAST(coalesce(sum(count(*)) FILTER (WHERE state IN {tuple(I.IN_FLIGHT)}) OVER (), 0) AS BIGINT) AS open_incidents
 FROM incidents GROUP BY state""",
 )
 def q_cluster_status(spark, sf):

@@ -102,8 +102,8 @@ SQL_SECTIONS = f"""WITH {T.SQL_MARKDOWN},
 ln AS (SELECT file_name, UNNEST(range(len(parts))) AS pos, UNNEST(parts) AS line
   FROM (SELECT file_name, string_split(markdown, chr(10)) AS parts FROM md)),
 tg AS (SELECT *, starts_with(line, '## ') AS is_h,
-  sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY file_name ORDER BY pos
-  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM ln),
+  CAST(sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY file_name ORDER BY pos
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS h FROM ln),
 sec AS (SELECT file_name, h, max(CASE WHEN is_h THEN {sql_trim_ws('substr(line, 4)')} END) AS heading,
   list(line ORDER BY pos) FILTER (WHERE NOT is_h) AS body_lines FROM tg WHERE h > 0 GROUP BY ALL
   HAVING count(*) FILTER (WHERE NOT is_h) > 0),

@@ -126,7 +126,7 @@ st AS (SELECT fl.o_orderkey, CASE WHEN recovered THEN 'Recovered' WHEN NOT triag
   ELSE 'Reported' END AS final_state, coalesce(acc.n, 0) AS accepted FROM fl LEFT JOIN acc USING (o_orderkey))
 SELECT 'inv-' || CAST(st.o_orderkey AS VARCHAR) AS investigation_id, final_state,
   CASE WHEN final_state IN ('Failed', 'Inconclusive') THEN 1 ELSE 0 END AS has_failure_reason,
-  epoch_ms(finished_at) - epoch_ms(started_at) AS duration_ms FROM st LEFT JOIN ex USING (o_orderkey)""",
+  coalesce(epoch_ms(finished_at) - epoch_ms(started_at), 0) AS duration_ms FROM st LEFT JOIN ex USING (o_orderkey)""",
 )
 def q_investigation_rows(spark, sf):
     """One record per investigation (here: per order): final state, a
@@ -145,7 +145,7 @@ def q_investigation_rows(spark, sf):
     return fs.select(
         "investigation_id", "final_state",
         F.when(F.col("final_state").isin("Failed", "Inconclusive") & F.col("terminal_outcome").isNotNull(), 1).otherwise(0).alias("has_failure_reason"),
-        (F.unix_millis(F.col("f").cast("timestamp")) - F.unix_millis(F.col("s").cast("timestamp"))).alias("duration_ms"),
+        F.coalesce(F.unix_millis(F.col("f").cast("timestamp")) - F.unix_millis(F.col("s").cast("timestamp")), F.lit(0)).alias("duration_ms"),
     )
 
 
@@ -182,7 +182,7 @@ def q_incident_memory_text(spark, sf):
 @register(
     "memory_vs_limit",
     sql="WITH " + T.sql_events() + """
-SELECT namespace, 'pod-' || CAST(user_id AS VARCHAR) AS pod, ts, value * 1048576.0 AS working_set_bytes, 268435456.0 AS limit_bytes,
+SELECT namespace, 'pod-' || CAST(user_id AS VARCHAR) AS pod, ts, value * 1048576.0 AS working_set_bytes, CAST(268435456.0 AS DOUBLE) AS limit_bytes,
   round(value * 1048576.0 / 268435456.0, 12) AS ratio FROM ev""",
 )
 def q_memory_vs_limit(spark, sf):

@@ -290,12 +290,19 @@ def q_evidence_api_check(spark, sf):
     return E.completeness(O.evidence(spark, sf), inc).select("incident_id", "api_check")
 
 
+_SECTIONS = ", ".join(f"('{k}', {i + 1}, '{h}')" for i, (k, h) in enumerate(E.DIGEST_SECTIONS))
+
+
 @register(
     "evidence_digest",
-    sql="WITH " + O.SQL_EVIDENCE + f"""
-SELECT incident_id, string_agg('- [' || evidence_id || '] ' || kind || ': ' || coalesce(summary, ''), chr(10)
-  ORDER BY coalesce(list_position({_sql_list(KIND_PRIORITY)}, kind), {len(KIND_PRIORITY) + 1}) - 1, observed_at DESC, evidence_id) AS digest,
-  count(*) AS items FROM evidence GROUP BY ALL""",
+    sql="WITH " + O.SQL_EVIDENCE + f""",
+sec AS (SELECT * FROM (VALUES {_SECTIONS}) t(kind, r, heading)),
+blk AS (SELECT e.incident_id, sec.r, sec.heading, e.observed_at, e.evidence_id,
+  '<evidence id="' || e.evidence_id || '" source="' || e.source || '" at="' || strftime(e.observed_at, '%Y-%m-%d %H:%M:%SZ') || '">' || chr(10)
+  || e.summary || chr(10) || '</evidence>' || chr(10) AS b FROM evidence e JOIN sec USING (kind)),
+ks AS (SELECT incident_id, r, count(*) AS n, '### ' || any_value(heading) || chr(10) || string_agg(b, '' ORDER BY observed_at DESC, evidence_id) AS s
+  FROM blk GROUP BY incident_id, r)
+SELECT incident_id, string_agg(s, chr(10) ORDER BY r) || chr(10) AS digest, CAST(sum(n) AS BIGINT) AS items FROM ks GROUP BY incident_id""",
 )
 def q_evidence_digest(spark, sf):
     return E.digest(O.evidence(spark, sf))
@@ -346,9 +353,9 @@ def q_report_link_check(spark, sf):
   l_shipdate + to_microseconds(CAST(l_quantity * 1000000 AS BIGINT)) AS finished_at,
   CASE WHEN CAST(l_quantity AS INTEGER) % 4 > 0 THEN list_transform(range(CAST(l_quantity AS INTEGER) % 4),
     lambda i: {_sql_list(O.TOOLS)}[(l_partkey + i) % 5 + 1]) ELSE [] END AS tools, l_discount < 0.05 AS succeeded FROM lineitem)
-SELECT agent, count(*) AS executions, sum(epoch_ms(finished_at) - epoch_ms(started_at)) AS total_ms,
-  max(epoch_ms(finished_at) - epoch_ms(started_at)) AS max_ms, sum(len(tools)) AS tool_calls,
-  sum(len(list_distinct(tools))) AS distinct_tool_calls, sum(CAST(succeeded AS INTEGER)) AS succeeded FROM ex GROUP BY agent""",
+SELECT agent, count(*) AS executions, CAST(sum(epoch_ms(finished_at) - epoch_ms(started_at)) AS BIGINT) AS total_ms,
+  max(epoch_ms(finished_at) - epoch_ms(started_at)) AS max_ms, CAST(sum(len(tools)) AS BIGINT) AS tool_calls,
+  CAST(sum(len(list_distinct(tools))) AS BIGINT) AS distinct_tool_calls, CAST(sum(CAST(succeeded AS INTEGER)) AS BIGINT) AS succeeded FROM ex GROUP BY agent""",
 )
 def q_agent_stats(spark, sf):
     return RP.agent_stats(O.executions(spark, sf))
