@@ -39,9 +39,13 @@ def triage_select(evidence: DataFrame, max_items: int = 15) -> DataFrame:
 
 
 def dedup(evidence: DataFrame, order: list[str], by: str = "evidence_id") -> DataFrame:
-    """First occurrence of an id wins (insert-or-ignore semantics)."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return evidence.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).drop("__r")
+    """First occurrence of an id wins (insert-or-ignore semantics).
+
+    A ``min_by`` aggregate rather than a window: duplicates of a hot id are
+    reduced map-side instead of being sorted in one task."""
+    cols = [c for c in evidence.columns if c != by]
+    first = evidence.groupBy(by).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("__first"))
+    return first.select(by, *[F.col(f"__first.{c}").alias(c) for c in cols]).select(*evidence.columns)
 
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, order: list[str], key: str = "evidence_id") -> DataFrame:

@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 ACTIVE = ["Pending", "Claimed"]
 
@@ -64,10 +63,12 @@ def queue_depth(items: DataFrame) -> DataFrame:
 
 
 def enqueue_dedup(items: DataFrame, requests: DataFrame, order: str) -> DataFrame:
-    """Requests that would create a row: first per (kind, dedup_key), and
-    only when no active row holds that key."""
-    w = Window.partitionBy("kind", "dedup_key").orderBy(order)
-    first = requests.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).drop("__r")
+    """Requests that would create a row: first per (kind, dedup_key) (an
+    aggregate, so a hot key is reduced map-side), and only when no active row
+    holds that key."""
+    cols = [c for c in requests.columns if c not in ("kind", "dedup_key")]
+    first = requests.groupBy("kind", "dedup_key").agg(F.min_by(F.struct(*cols), F.col(order)).alias("__first"))
+    first = first.select("kind", "dedup_key", *[F.col(f"__first.{c}").alias(c) for c in cols]).select(*requests.columns)
     active = items.filter(F.col("state").isin(*ACTIVE)).select("kind", "dedup_key")
     return first.join(active, ["kind", "dedup_key"], "left_anti")
 
