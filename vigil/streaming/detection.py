@@ -123,7 +123,8 @@ def _out_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "streams", name)
 
 
-def run_upserts(df: DataFrame, name: str, mode: str = "update", trigger_available_now: bool = True):
+def run_upserts(df: DataFrame, name: str, mode: str = "update", trigger_available_now: bool = True,
+                interval: str = "60 seconds"):
     """Run a streaming query: every micro-batch (T8: results first) is
     written to ``<checkpoint dir>/streams/<name>/data/batch_id=<n>`` (read
     back with ``batch_id`` as a partition column); offsets and state live in
@@ -137,7 +138,7 @@ def run_upserts(df: DataFrame, name: str, mode: str = "update", trigger_availabl
         batch.write.mode("overwrite").parquet(os.path.join(base, "data", f"batch_id={batch_id}"))
 
     w = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", os.path.join(base, "checkpoint"))
-    w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="60 seconds")
+    w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime=interval)
     q = w.start()
     if trigger_available_now:
         q.awaitTermination()
@@ -220,3 +221,14 @@ def recovery_timers(candidates: DataFrame, params: Params, watermark: str = "0 s
     return src.groupBy("fingerprint").applyInPandasWithState(
         _recovery_fn(params), RECOVERY_OUT, RECOVERY_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def late_rows(query) -> int:
+    """Rows the stateful operators dropped as later than the watermark,
+    summed over the query's recent progress reports."""
+    total = 0
+    for p in query.recentProgress or []:
+        for op in p.get("stateOperators", []) if isinstance(p, dict) else getattr(p, "stateOperators", []):
+            val = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else getattr(op, "numRowsDroppedByWatermark", 0)
+            total += int(val or 0)
+    return total
