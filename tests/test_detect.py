@@ -133,3 +133,25 @@ def test_sessions_partition_candidates(spark):
     # 2 -> 20 is an 18 minute gap (> cooldown): new incident; recovery at 2+10 -> first pass after 12:12
     assert inc[0].recovered_at == T0 + timedelta(minutes=13)
     assert all(r.state == "Recovered" for r in inc)
+
+
+def test_replay_api_on_own_tables(spark):
+    """The public replay entry point on plain DataFrames (no test adapters)."""
+    from vigil.plans.replay import Telemetry, replay
+
+    p = Params(window_seconds=300, slide_seconds=60, cooldown_seconds=900, recovery_seconds=600)
+    t0 = datetime(2024, 1, 1, 12, 0)
+    reqs = [("default", "api", t0 + timedelta(seconds=5 * i), 0.05) for i in range(60)]
+    cnt = []
+    for i in range(60):
+        cnt.append(("default", "api", "2xx", t0 + timedelta(seconds=5 * i), float(i)))
+        cnt.append(("default", "api", "5xx", t0 + timedelta(seconds=5 * i), float(i // 2)))
+    tel = Telemetry(
+        counters=spark.createDataFrame(cnt, "namespace string, service string, status_class string, ts timestamp, value double"),
+        requests=spark.createDataFrame(reqs, "namespace string, service string, ts timestamp, duration_s double"),
+    )
+    cands, sup, inc = replay(tel, p)
+    cats = {r.category for r in cands.collect()}
+    assert cats == {"http_error_rate"}
+    got = inc.collect()
+    assert len(got) == 1 and got[0].severity in ("High", "Critical") and got[0].detection_count >= 1

@@ -7,6 +7,8 @@ incidents. Exchanges sit at (series), (namespace, service, pass),
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,15 +46,68 @@ def build_snapshot(spark: SparkSession, sf: str, params: Params, services: int =
     return _memo("snapshot", spark, sf, params, services, lambda: _build_snapshot(spark, sf, params, services))
 
 
+@dataclass
+class Telemetry:
+    """Input tables of a replay; any may be None when the source is absent.
+
+    counters   namespace, service, status_class, ts, value [, event_id]
+    requests   namespace, service, ts, duration_s
+    dep_calls  namespace, service, dependency, kind, outcome, ts, duration_s
+    pods       snapshot_ts, namespace, pod, workload, restart_count, ready,
+               waiting_reason, last_termination_reason
+    logs       ts, namespace, container, level, pod, line
+    """
+
+    counters: DataFrame | None = None
+    requests: DataFrame | None = None
+    dep_calls: DataFrame | None = None
+    pods: DataFrame | None = None
+    logs: DataFrame | None = None
+
+
+def snapshot_from(t: Telemetry, params: Params) -> D.Snapshot:
+    """Per-pass rule inputs for every pass at once (lazy)."""
+    missing = tuple(n for n in ("counters", "requests", "dep_calls", "pods", "logs") if getattr(t, n) is None)
+    er = None
+    if t.counters is not None:
+        tiebreak = "event_id" if "event_id" in t.counters.columns else None
+        er = M.http_error_rate(M.increase(t.counters, SERIES, params, tiebreak=tiebreak))
+    return D.Snapshot(
+        error_rate=er,
+        latency_p95=M.latency_p95(t.requests, params) if t.requests is not None else None,
+        dependency_failures=M.dependency_failures(t.dep_calls, params) if t.dep_calls is not None else None,
+        pods=D.restart_delta(t.pods) if t.pods is not None else None,
+        signatures=L.error_signatures(t.logs, params) if t.logs is not None else None,
+        unavailable_sources=missing,
+    )
+
+
+def replay(t: Telemetry, params: Params, replay_end_ts=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every detection pass over the given history: (candidates, suppressed
+    candidates in queue order, incidents). ``replay_end_ts`` is the last pass
+    instant (default: the last pass of the newest request, counter sample or
+    log line)."""
+    cands, failed = D.detect_all(snapshot_from(t, params), params)
+    if failed:
+        raise RuntimeError(f"rules failed to plan: {failed}")
+    sup = D.suppress(cands)
+    if replay_end_ts is None:
+        src = next(x for x in (t.requests, t.counters, t.logs) if x is not None)
+        last = F.floor(epoch_seconds(F.max("ts")) / params.slide_seconds) * params.slide_seconds + params.window_seconds
+        end = src.agg(F.timestamp_seconds(last).alias("replay_end"))
+    else:
+        end = sup.sparkSession.createDataFrame([(replay_end_ts,)], "replay_end timestamp")
+    return cands, sup, I.incidents(I.with_replay_end(sup, end), params)
+
+
+def test_data_telemetry(spark: SparkSession, sf: str, services: int = T.DEFAULT_SERVICES) -> Telemetry:
+    return Telemetry(counters=T.counter_samples(spark, sf, services), requests=T.requests(spark, sf, services),
+                     dep_calls=T.dep_calls(spark, sf, services), pods=T.pod_snapshots(spark, sf, services),
+                     logs=T.logs(spark, sf, services))
+
+
 def _build_snapshot(spark: SparkSession, sf: str, params: Params, services: int) -> D.Snapshot:
-    counters = T.counter_samples(spark, sf, services)
-    inc = M.increase(counters, SERIES, params)
-    er = M.http_error_rate(inc)
-    p95 = M.latency_p95(T.requests(spark, sf, services), params)
-    dfail = M.dependency_failures(T.dep_calls(spark, sf, services), params)
-    pods = D.restart_delta(T.pod_snapshots(spark, sf, services))
-    sigs = L.error_signatures(T.logs(spark, sf, services), params)
-    return D.Snapshot(error_rate=er, latency_p95=p95, dependency_failures=dfail, pods=pods, signatures=sigs)
+    return snapshot_from(test_data_telemetry(spark, sf, services), params)
 
 
 def replay_end(spark: SparkSession, sf: str, params: Params) -> DataFrame:
