@@ -156,7 +156,14 @@ def q_memory_to_evidence(spark, sf):
     return SM.to_evidence(r, "HistoricalIncident")
 
 
-@register("incident_memory_text")
+@register(
+    "incident_memory_text",
+    sql="""SELECT 'inc-' || CAST(o_orderkey AS VARCHAR) AS incident_id, concat_ws(chr(10),
+  'Incident: ' || o_orderpriority, 'Category: http_error_rate', 'Affected workloads: svc-' || CAST(o_custkey % 8 AS VARCHAR),
+  'Severity: High', '', 'Symptoms: order ' || CAST(o_orderkey AS VARCHAR), 'total (cents) ' || CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR),
+  '', 'Root cause (dependency_latency): ' || o_orderstatus, '', 'Impact: orders delayed', '',
+  'Resolution guidance: restart the dependency') AS content FROM orders WHERE o_orderstatus = 'F'""",
+)
 def q_incident_memory_text(spark, sf):
     """SM10: the text embedded for a reported incident (orders with status F
     stand for reported incidents; their report fields come from the order)."""
@@ -169,7 +176,7 @@ def q_incident_memory_text(spark, sf):
                       F.concat(F.lit("Severity: "), F.lit("High")),
                       F.lit(""),
                       F.concat(F.lit("Symptoms: order "), F.col("o_orderkey").cast("string")),
-                      F.concat(F.lit("total "), F.col("o_totalprice").cast("string")),
+                      F.concat(F.lit("total (cents) "), F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string")),
                       F.lit(""),
                       F.concat(F.lit("Root cause (dependency_latency): "), F.col("o_orderstatus")),
                       F.lit(""),

@@ -173,7 +173,17 @@ def q_final_state(spark, sf):
     return V.final_state(o.join(cc, "investigation_id")).select("o_orderkey", "final_state")
 
 
-@register("findings_text")
+@register(
+    "findings_text",
+    sql="WITH " + SQL_CHECK + """,
+acc AS (SELECT *, least(greatest(confidence, 0.0), 1.0) AS conf,
+  row_number() OVER (PARTITION BY investigation_id ORDER BY least(greatest(confidence, 0.0), 1.0) DESC, position) AS rank
+  FROM gh WHERE NOT rejected)
+SELECT investigation_id, string_agg(CAST(rank AS VARCHAR) || '. [' || CAST(CAST(floor(conf * 100 + 0.5) AS BIGINT) AS VARCHAR) || ' %] '
+  || statement || ' (category: ' || coalesce(root_cause_category, '') || ', suspected workload: ' || coalesce(suspected_workload, '')
+  || ', evidence: ' || array_to_string(real_ids, ', ') || ')', chr(10) ORDER BY rank) AS findings
+FROM acc GROUP BY investigation_id""",
+)
 def q_findings_text(spark, sf):
     return V.findings_text(V.rank_accepted(grounded(spark, sf)))
 
