@@ -149,7 +149,20 @@ def q_investigation_rows(spark, sf):
     )
 
 
-@register("memory_to_evidence")
+def _sql_memory_to_evidence() -> str:
+    from vigil.plans.q_memory import _search_sql
+
+    conf = "round_even(least(greatest(1 - distance, 0.0), 1.0), 3)"
+    sel = f"""SELECT query_id, 'hist_' || left(sha256('HistoricalIncident|memory|' || source_ref), 12) AS evidence_id,
+  'HistoricalIncident' AS kind, source_ref, {conf} AS retrieval_confidence,
+  CAST(CAST(floor(distance * 1000 + 0.5) AS BIGINT) // 1000 AS VARCHAR) || '.'
+    || lpad(CAST(CAST(floor(distance * 1000 + 0.5) AS BIGINT) % 1000 AS VARCHAR), 3, '0') AS distance_label,
+  'PAST INCIDENT (not evidence about the current one, retrieval confidence '
+    || CAST(CAST(floor({conf} * 100 + 0.5) AS BIGINT) AS VARCHAR) || ' %): ' || source_ref || chr(10) AS summary FROM res"""
+    return _search_sql(T.SQL_INCIDENT_QUERIES, True, sel)
+
+
+@register("memory_to_evidence", sql=_sql_memory_to_evidence())
 def q_memory_to_evidence(spark, sf):
     """SM6 over the similar-incident search."""
     r = SM.search(T.memory(spark, sf), T.incident_queries(spark, sf), replay_params(embedding_dim=64), relaxed=True)
