@@ -113,7 +113,22 @@ def q_log_search(spark, sf):
     return r.select("event_id", "ts", "container", "pod", "level", "line")
 
 
-@register("log_sample_evidence")
+SQL_SEARCH = """SELECT * FROM logs WHERE namespace = 'prod' AND container = 'svc-0' AND contains(line, 'timed out')
+  AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-12 00:00:00' ORDER BY ts DESC, event_id DESC LIMIT 40"""
+
+
+@register(
+    "log_sample_evidence",
+    sql="WITH " + T.sql_logs() + f""",
+hits AS ({SQL_SEARCH}),
+{X.sql_redaction_ctes('hits', 'event_id, ts, container, pod, level, line', 'line', prefix='q')}
+SELECT 'log_' || left(sha256(concat_ws('|', 'LogSample', 'loki', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00',
+    container, pod, left(sha256({X.sql_normalise('line')}), 16))), 12) AS evidence_id,
+  'LogSample' AS kind, ts AS observed_at, container AS workload,
+  '[' || coalesce(level, 'info') || '] ' || CASE WHEN length(w2) > 500 THEN substr(w2, 1, 500) || '...' ELSE w2 END AS summary,
+  CAST(n AS INTEGER) AS redacted_value_count
+FROM (SELECT *, {X.sql_strip_control('w')} AS w2 FROM q{len(X.REDACT_RULES)})""",
+)
 def q_log_sample_evidence(spark, sf):
     r = L.search(T.logs(spark, sf), P, **SEARCH)
     ev = L.to_sample_evidence(r.withColumnRenamed("line", "message").withColumnRenamed("container", "workload"))
