@@ -88,7 +88,23 @@ def q_evidence_bundle(spark, sf):
     return b.select(F.col("incident_id").alias("moment_id"), "evidence_id", "kind")
 
 
-@register("cluster_health_facts")
+def _sql_health_facts() -> str:
+    from vigil.functions.ids import KIND_PRIORITY
+
+    kinds = "[" + ", ".join(f"'{k}'" for k in KIND_PRIORITY) + "]"
+    s = P.slide_seconds
+    return "WITH " + sql_pipeline(P) + SQL_METRIC_EV + SQL_LOG_EV + f""",
+hev AS (SELECT namespace, workload, observed_at, evidence_id, kind FROM mev
+  UNION ALL SELECT namespace, workload, observed_at, evidence_id, kind FROM lev),
+per AS (SELECT *, namespace || '/' || workload || '/' || strftime(make_timestamp(CAST(ceil(CAST(floor(epoch(observed_at)) AS BIGINT) / {s}) AS BIGINT)
+  * {s} * 1000000), '%Y-%m-%d %H:%M') AS incident_id FROM hev),
+rk AS (SELECT *, count(*) OVER (PARTITION BY incident_id) AS n, row_number() OVER (PARTITION BY incident_id
+  ORDER BY list_position({kinds}, kind) - 1, observed_at DESC, evidence_id) AS r FROM per)
+SELECT incident_id, count(*) AS facts, 'evidence items: ' || CAST(count(*) AS VARCHAR) AS impact FROM rk
+WHERE n <= {P.max_evidence_items} OR r <= {P.max_evidence_items} GROUP BY incident_id"""
+
+
+@register("cluster_health_facts", sql=_sql_health_facts())
 def q_cluster_health_facts(spark, sf):
     """Per workload and pass: its evidence (metrics + error samples) trimmed
     to the evidence ceiling by kind priority, with an impact line."""
