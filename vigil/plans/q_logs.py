@@ -181,7 +181,18 @@ def q_log_around(spark, sf):
     return L.around(moments, T.logs(spark, sf), 900, 900, 40)
 
 
-@register("log_enrich")
+@register(
+    "log_enrich",
+    sql="WITH " + T.sql_logs() + """
+SELECT event_id,
+  CASE WHEN level <> 'debug' THEN level END AS level_resolved,
+  CASE WHEN level <> 'debug' THEN container END AS workload,
+  CASE WHEN level <> 'debug' THEN pod END AS pod_resolved,
+  CASE WHEN level = 'debug' THEN line
+       ELSE line || ' (' || CASE WHEN level = 'error' THEN 'operation=checkout, ' ELSE '' END
+            || 'correlationId=c-' || CAST(event_id AS VARCHAR) || ')' END AS message
+FROM logs""",
+)
 def q_log_enrich(spark, sf):
     """Structured JSON lines (built from events) through enrichment."""
     e = T.logs(spark, sf)
