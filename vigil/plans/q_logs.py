@@ -210,7 +210,12 @@ def q_log_enrich(spark, sf):
     return L.enrich(raw).select("event_id", "level_resolved", "workload", "pod_resolved", "message")
 
 
-@register("camel_keys")
+@register(
+    "camel_keys",
+    sql="""SELECT event_id, array_to_string(list_sort(list_filter([
+  'eventType=' || event_type, 'userId=' || CAST(user_id AS VARCHAR),
+  CASE WHEN event_type <> 'view' THEN 'props=' || props END], lambda x: x IS NOT NULL)), ',') AS fields FROM events""",
+)
 def q_camel_keys(spark, sf):
     e = T.read(spark, sf, "events")
     m = F.create_map(
@@ -218,4 +223,5 @@ def q_camel_keys(spark, sf):
         F.lit("UserId"), F.col("user_id").cast("string"),
         F.lit("Props"), F.when(F.col("event_type") != "view", F.col("props")),
     )
-    return e.select("event_id", L.camel_keys(m).alias("fields"))
+    kv = F.transform(F.map_entries(L.camel_keys(m)), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return e.select("event_id", F.array_join(F.array_sort(kv), ",").alias("fields"))
