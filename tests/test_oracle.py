@@ -10,7 +10,8 @@ from vigil.sources.testdata import TABLES
 
 FAST = ["ts_increase", "http_error_rate", "latency_p95", "error_signatures", "redact", "log_normalise",
         "rule_pod_restart", "suppress_explained", "incident_sessions", "memory_search_relaxed", "split_sections",
-        "ground_hypotheses", "evidence_select", "enqueue_dedup", "log_around"]
+        "ground_hypotheses", "evidence_select", "enqueue_dedup", "log_around", "log_enrich", "camel_keys",
+        "findings_text", "pod_status", "evidence_digest", "triage_floor"]
 
 
 @pytest.fixture(scope="module")
