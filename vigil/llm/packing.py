@@ -38,6 +38,13 @@ from vigil.llm.common import shared_dir, stored, text_bytes, total
 END_ID = 0
 
 
+def default_vocabulary() -> str:
+    """A public tokenizer file that is installed with its package; any other file can be given."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 # --- tokens ---------------------------------------------------------------------
 
 class Words(dict):

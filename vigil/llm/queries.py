@@ -7,15 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import licenses, packing, quality, secrets, simhash, warc
+import corpus_pipeline
+from vigil.llm import licenses, lines, mixing, packing, quality, secrets, simhash, warc
 from vigil.llm.common import table
 
 
-def vocabulary() -> str:
-    """The tokenizer file that op5's contract names."""
-    import public_tokenizers
+MIX_ENTROPY = 0.997  # of the entropy of equal weights
 
-    return public_tokenizers.path("word_bpe_49k.json")
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = mixing.Target(entropy=MIX_ENTROPY, budget=1.0)
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), target)
+    return mixed.select("doc_id", "source", F.col("_tokens").alias("tokens"), F.col("_epoch").alias("epoch"),
+                        F.col("_block").alias("block"), F.col("_block_rank").alias("block_rank"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return clean.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +34,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+    return packing.pack(table(spark, sf_dir, "documents"), packing.default_vocabulary())
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +55,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_warc, op5_best_fit_packing, op6_license_scan, op7_secret_scan, op9_simhash, op10_quality_rules)}
-
-ORACLE_SQL: dict[str, str] = {"op6_license_scan": licenses.oracle_sql()}
+    f.__name__: f for f in (op2_source_mixing, op3_warc, op4_line_dedup, op5_best_fit_packing, op6_license_scan, op7_secret_scan, op9_simhash, op10_quality_rules)}
+QUERIES["pipeline"] = corpus_pipeline.run
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_source_mixing": mixing.oracle_sql(MIX_ENTROPY),
+    "op4_line_dedup": lines.oracle_sql(),
+    "op6_license_scan": licenses.oracle_sql(),
+}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
