@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vigil.llm import licenses, lines, mixing, packing, quality, secrets, simhash, warc
+from vigil.llm import ann, licenses, lines, mixing, packing, quality, secrets, simhash, warc
 from vigil.llm.common import table
 
 
+def op1_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(ann.index(vectors), vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 MIX_ENTROPY = 0.997  # of the entropy of equal weights
 
 
@@ -55,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_source_mixing, op3_warc, op4_line_dedup, op5_best_fit_packing, op6_license_scan, op7_secret_scan, op9_simhash, op10_quality_rules)}
+    f.__name__: f for f in (op1_graph_ann, op2_source_mixing, op3_warc, op4_line_dedup, op5_best_fit_packing, op6_license_scan, op7_secret_scan, op9_simhash, op10_quality_rules)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE_SQL: dict[str, str] = {
