@@ -22,7 +22,9 @@ table gives an empty table; columns other than id and text are not looked at.
 
 from __future__ import annotations
 
+import os
 import random
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -51,44 +53,67 @@ class Words(dict):
     """Token ids (little-endian uint32 bytes) of white-space separated chunks.
 
     The tokenizer never joins characters across ASCII white space, so a text's
-    ids are its chunks' ids in order, and frequent chunks are encoded once.
-    New chunks are encoded together with a chunk between them that is one known
-    id; chunks that hold its character go one by one.
+    ids are its chunks' ids in order, and frequent chunks are encoded once. It
+    also parts letters from the signs that follow them, so a chunk of Latin-1
+    letters and signs is a lower-case stem and a tail, known apart; stems need
+    none of the tokenizer's normalising and are encoded many at a time, with a
+    chunk between them that is one known id. All other chunks go one by one.
     """
 
     MARK = "0"
     MOST = 400_000  # chunks remembered per task
+    PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, vocabulary: str):
         super().__init__()
-        from tokenizers import Tokenizer
-
-        self.encode = Tokenizer.from_file(vocabulary).encode
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        full = Tokenizer.from_file(vocabulary)
+        self.encode = full.encode
+        stems = Tokenizer(full.model)
+        stems.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.encode_stems = stems.encode_batch_fast
+        self.parts: dict[str, bytes] = {"": b""}  # of stems and tails
         self.mark = self.ids(self.MARK)
-        if len(self.mark) != 1:
+        if len(self.mark) != 4:
             raise ValueError(f"the vocabulary has no single id for {self.MARK!r}")
 
-    def ids(self, chunk: str) -> list[int]:
-        return self.encode(chunk, add_special_tokens=False).ids
+    def ids(self, chunk: str) -> bytes:
+        return np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, texts: list[list[bytes]]) -> None:
         if len(self) > self.MOST:
             self.clear()
-        new = list(set(chain.from_iterable(texts)).difference(self))
-        mark = self.MARK.encode()
-        for chunk in (x for x in new if mark in x):
-            self[chunk] = np.array(self.ids(chunk.decode()), "<u4").tobytes()
-        new = [x for x in new if mark not in x]
-        for i in range(0, len(new), 1000):
-            part = new[i:i + 1000]
-            ids = np.array(self.ids(f" {self.MARK} ".join(x.decode() for x in part)), "<u4")
-            ends = np.flatnonzero(ids == self.mark[0])
-            if len(ends) != len(part) - 1:
-                raise ValueError("a chunk holds the mark's id")
-            data, ends = ids.tobytes(), [*(4 * ends).tolist(), 4 * len(ids)]
-            at = 0
-            for chunk, end in zip(part, ends):
-                self[chunk] = data[at:end]
+            self.parts = {"": b""}
+        split, stems = [], set()
+        for chunk in set(chain.from_iterable(texts)).difference(self):
+            m = self.PLAIN.fullmatch(text := chunk.decode())
+            if m:
+                stem, tail = m[1].lower(), m[2]
+                split.append((chunk, stem, tail))
+                if stem not in self.parts:
+                    stems.add(stem)
+                if tail not in self.parts:
+                    self.parts[tail] = self.ids(tail)
+            else:
+                self[chunk] = self.ids(text)
+        self._learn_stems(list(stems))
+        for chunk, stem, tail in split:
+            self[chunk] = self.parts[stem] + self.parts[tail]
+
+    def _learn_stems(self, stems: list[str]) -> None:
+        groups = [stems[i:i + 1000] for i in range(0, len(stems), 1000)]
+        mark = np.frombuffer(self.mark, "<u4")[0]
+        for group, found in zip(groups, self.encode_stems([f" {self.MARK} ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(ids == mark)
+            if len(ends) != len(group) - 1:
+                raise ValueError("a stem holds the mark's id")
+            data, at = ids.tobytes(), 0
+            for stem, end in zip(group, [*(4 * ends).tolist(), 4 * len(ids)]):
+                self.parts[stem] = data[at:end]
                 at = end + 4
 
 
@@ -103,8 +128,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str =
         words = Words(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
         for big in batches:
-            for at in range(0, big.num_rows, 500):
-                batch = big.slice(at, 500)
+            for at in range(0, big.num_rows, 1000):
+                batch = big.slice(at, 1000)
                 texts = [t.split() for t in text_bytes(batch.column(1))]
                 words.learn(texts)
                 source, piece, start, length, crc = [], [], [], [], []
