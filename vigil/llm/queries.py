@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vigil.llm import ann, licenses, lines, mixing, packing, quality, secrets, simhash, warc
+from vigil.llm import ann, licenses, lines, lm, mixing, packing, quality, secrets, simhash, warc
 from vigil.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents"), order=2)
+    return found.withColumn("log_score", F.round("log_score", 6))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -60,13 +65,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_graph_ann, op2_source_mixing, op3_warc, op4_line_dedup, op5_best_fit_packing, op6_license_scan, op7_secret_scan, op9_simhash, op10_quality_rules)}
+    f.__name__: f for f in (op1_graph_ann, op2_source_mixing, op3_warc, op4_line_dedup, op5_best_fit_packing, op6_license_scan, op7_secret_scan, op8_backoff_scores, op9_simhash, op10_quality_rules)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mixing": mixing.oracle_sql(MIX_ENTROPY),
     "op4_line_dedup": lines.oracle_sql(),
     "op6_license_scan": licenses.oracle_sql(),
+    "op8_backoff_scores": lm.oracle_sql(),
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
