@@ -13,8 +13,9 @@ Everything but the counting of key words (a bounded table, one row per key
 word) happens inside a document's row with SQL array functions: no shuffle.
 
 ``lower`` differs from folding A-Z only where a capital outside ASCII has
-ASCII letters in lower case (the Kelvin sign, a k); no template word has a k,
-and such a capital stays a word character, so counts and matches agree.
+ASCII letters in lower case: the Kelvin sign, a k, and the dotted I, an i with
+a combining dot. No template word has a k or a combining dot, and both stay
+word characters, so counts and matches agree.
 
 Defined results: a null or empty text has no words, score 0 and empty labels;
 rows are scanned one by one, so repeated rows and ids give repeated results; a
@@ -161,6 +162,7 @@ def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def oracle_sql(templates: tuple[Template, ...] = TEMPLATES, min_share: float = MIN_SHARE) -> str:
     """The same result from a plain search of every text for every template's key words (DuckDB)."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
     def holds(keys):
@@ -177,7 +179,7 @@ def oracle_sql(templates: tuple[Template, ...] = TEMPLATES, min_share: float = M
         parts.append(f"list_transform(list_filter(range({low}, len(words)), lambda i: {where}), "
                      f"lambda i: {{'label': '{t.label}', 'base': {str(t.base).lower()}, 'start': i, 'share': {share(t)}}})")
     return f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{pattern}') AS words FROM documents),
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{pattern}') AS words FROM documents),
 p AS (SELECT doc_id, len(words) AS n_words, list_filter(flatten([{', '.join(parts)}]), lambda p: p.share >= {min_share}) AS places FROM w),
 b AS (SELECT *, list_filter(places, lambda p: p.base) AS based FROM p)
 SELECT doc_id, n_words::BIGINT AS n_words, len(based)::BIGINT AS n_base,

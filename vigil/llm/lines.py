@@ -69,14 +69,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_
         ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line"))))
     gone = gone.groupBy("id", "text_hash").agg(F.collect_set("line").alias("gone")).select(
         F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "gone")
-    met = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col))).join(
-        gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    split = F.split(F.col(text_col), "\n", -1)
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(
+    # a document's own columns travel as one struct, so their names meet no others
+    whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                        F.xxhash64(F.col(text_col)).alias("text_hash"))
+    met = whole.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    split = F.split("text", "\n", -1)
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n"))
     return met.select(
-        *(text.alias(c) if c == text_col else F.col(c) for c in docs.columns),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long").alias("_lines"),
+        *(text.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_removed"))
 
 

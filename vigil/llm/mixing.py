@@ -178,19 +178,22 @@ def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str =
     # equal rows are alike: so many of each are taken
     ending = ending.groupBy("_source", "_epoch", "_b", "_block_rank", "id", "text_hash").agg(F.count("*").alias("taken"))
 
-    rows = dealt(docs.withColumn("_tokens", document_tokens(F.col(text_col))).withColumn("_text_hash", F.xxhash64(F.col(text_col))),
-                 id_col, source_col).drop("_source", "epochs", "rest", "blocks")
+    # a document's own columns travel as one struct, so their names meet no others
+    rows = dealt(docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+                             document_tokens(F.col(text_col)).alias("tokens"), F.xxhash64(F.col(text_col)).alias("text_hash")),
+                 "id", "source").select("doc", "id", "source", "tokens", "text_hash", "_block")
     whole = ranked.filter("left IS NULL").groupBy("_source", "_block").agg(
         F.sort_array(F.collect_list(F.struct("_epoch", "_block_rank"))).alias("taken")).withColumnRenamed("_block", "_b")
-    in_whole = rows.join(whole, F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_b")))
-    keep = [*docs.columns, "_tokens"]
-    in_whole = in_whole.select(*keep, "_block", F.explode("taken").alias("t")).select(
-        *keep, F.col("t._epoch").alias("_epoch"), "_block", F.col("t._block_rank").alias("_block_rank"))
-    in_last = rows.join(ending, F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_b"))
-                        & F.col(id_col).eqNullSafe(F.col("id")) & (F.col("_text_hash") == F.col("text_hash")))
-    in_last = in_last.withColumn("_n", F.row_number().over(
-        Window.partitionBy("_source", "_b", "id", "text_hash").orderBy("_text_hash"))).filter("_n <= taken")
-    return in_whole.unionByName(in_last.select(*keep, "_epoch", "_block", "_block_rank"))
+    in_whole = rows.join(whole, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_b")))
+    in_whole = in_whole.select("doc", "tokens", "_block", F.explode("taken").alias("t")).select(
+        "doc", "tokens", "t._epoch", "_block", "t._block_rank")
+    ending = ending.select("_source", "_epoch", "_b", "_block_rank", "taken", F.col("id").alias("_id"), F.col("text_hash").alias("_hash"))
+    in_last = rows.join(ending, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_b"))
+                        & F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    in_last = in_last.withColumn("copy", F.row_number().over(
+        Window.partitionBy("_source", "_b", "_id", "_hash").orderBy("_hash"))).filter("copy <= taken")
+    taken = in_whole.unionByName(in_last.select("doc", "tokens", "_epoch", "_block", "_block_rank"))
+    return taken.select("doc.*", F.col("tokens").alias("_tokens"), "_epoch", "_block", "_block_rank")
 
 
 def oracle_sql(entropy: float, budget: float = 1.0, block_docs: int = 256, seed: int = 1) -> str:

@@ -32,7 +32,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -255,10 +255,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     chosen = rows.groupBy("group_fp").agg(
         F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "text_hash")).alias("one"))
     chosen = chosen.select(F.col("one.id").alias("_id"), F.col("one.text_hash").alias("_hash"))
-    met = docs.withColumn("_th", F.xxhash64(F.col(text_col))).join(
-        chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_hash")))
+    # a document's own columns travel as one struct, so their names meet no others
+    whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    met = whole.join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     # equal rows all meet the chosen id: the first of them stays
-    from pyspark.sql import Window
-
-    one = met.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash")))
-    return one.filter("_n = 1").select(*docs.columns)
+    first = Window.partitionBy("_id", "_hash").orderBy("_hash")
+    return met.withColumn("copy", F.row_number().over(first)).filter("copy = 1").select("doc.*")
