@@ -44,9 +44,10 @@ class Params:
     embedding_dim: int = 768
     default_namespace: str = "default"
     allowed_namespaces: tuple[str, ...] = ("default",)
-    # Largest query-side row count we are willing to broadcast in the vector
-    # search; above it the search runs as a blocked shuffle join instead.
-    max_broadcast_queries: int = 20_000
+    max_signatures: int = 25        # listed per pass as evidence; rules see all
+    max_log_samples: int = 50       # newest error lines per incident
+    ann_cells: int = 16             # pivots of the approximate search
+    ann_probes: int = 6             # cells a query looks into
 
     def __post_init__(self) -> None:
         self.validate()
@@ -75,6 +76,11 @@ class Params:
         if problems:
             raise ValueError("; ".join(problems))
 
+    @property
+    def window_minutes(self) -> int:
+        """The window as texts name it: whole minutes, one at least."""
+        return max(1, self.window_seconds // 60)
+
     @property
     def slides_per_window(self) -> int:
         return self.window_seconds // self.slide_seconds

@@ -116,6 +116,12 @@ def _emit(df: DataFrame, specs: list[tuple[Column, Column]]) -> DataFrame:
     return df.select(F.explode(arr).alias("c")).select("c.*")
 
 
+def signals_text(signals="signals") -> Column:
+    """Signals as ``key=value`` lines in key order."""
+    c = F.col(signals) if isinstance(signals, str) else signals
+    return F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), "\n")
+
+
 def _smap(**kv) -> Column:
     return F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v.cast("string") if isinstance(v, Column) else F.lit(str(v)))])
 
@@ -130,7 +136,7 @@ def _spec_http_error_rate(params: Params) -> tuple[Column, Column]:
         errorRatio=fixed_ratio("errors", "total", 4),
         threshold=f"{t.http_error_rate:.4f}",
         totalRequests=F.col("total").cast("bigint"),
-        windowMinutes=params.window_seconds // 60,
+        windowMinutes=params.window_minutes,
     )
     return cond, _cand_struct(HTTP_ERROR_RATE, sev, title, "http-error-rate", F.array("service"), signals)
 
@@ -151,7 +157,7 @@ def _spec_latency(params: Params) -> tuple[Column, Column]:
     signals = _smap(
         p95Seconds=fixed_double("p95", 3),
         thresholdSeconds=f"{t.latency_p95_seconds:.3f}",
-        windowMinutes=params.window_seconds // 60,
+        windowMinutes=params.window_minutes,
     )
     return cond, _cand_struct(DEPENDENCY_LATENCY, sev, title, "request-latency", F.array("service"), signals)
 
@@ -276,13 +282,15 @@ def rules_on_pods(pods_delta: DataFrame, params: Params) -> DataFrame:
 
 def rule_repeated_signature(sigs: DataFrame, params: Params) -> DataFrame:
     t = params.thresholds
-    hit = sigs.filter((F.col("occurrences") >= t.repeated_signature_count) & (F.col("level") == "error"))
+    from vigil.operators.logs import signature_evidence
+
+    hit = signature_evidence(sigs.filter((F.col("occurrences") >= t.repeated_signature_count) & (F.col("level") == "error")))
     hit = hit.withColumn("workload", F.coalesce("workload", F.lit("unknown")))
     sev = F.when(F.col("occurrences") >= t.repeated_signature_count * 5, "High").otherwise("Medium")
     title = F.concat(F.col("workload"), F.lit(" logged the same error "), F.col("occurrences").cast("string"), F.lit(" times"))
     signals = _smap(
         occurrences=F.col("occurrences"), threshold=t.repeated_signature_count,
-        signatureHash=F.coalesce(F.col("signature_hash"), F.lit("unknown")), sample=F.col("normalised"),
+        signatureHash=F.coalesce(F.col("signature_hash"), F.lit("unknown")), sample=F.col("summary"),
     )
     return _candidate(hit, REPEATED_ERROR_SIGNATURE, sev, title, "repeated-error-signature", F.array("workload"), signals,
                       signature=F.col("signature_hash"), occurrences=F.col("occurrences").cast("int"))

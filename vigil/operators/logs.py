@@ -1,5 +1,11 @@
 """Log operators: validation, search, interval join around moments, error
-signatures per pass, enrichment of JSON lines, evidence projection."""
+signatures per pass, enrichment of JSON lines, evidence projection.
+
+A stored line goes one way through all of them: parse, enrich (``messages``),
+and redact whatever leaves the engine. Signatures hash the enriched message,
+searches and samples return its redacted text; the raw line is returned by
+none of them.
+"""
 
 from __future__ import annotations
 
@@ -27,7 +33,6 @@ LEVEL_NAMES = {
     "Critical": "fatal",
 }
 _WORKLOAD_RE = re.compile(r"^[a-z0-9]([-a-z0-9]{0,61}[a-z0-9])?$")
-MAX_SIGNATURES = 25
 SAMPLE_CHARS = 500
 
 
@@ -52,7 +57,7 @@ def validate_level(level: str | None) -> str | None:
     if level is None or not level.strip():
         return None
     if level not in LEVELS:
-        raise QueryRejected(f"'{level}' is not a valid log level. Expected one of: {', '.join(LEVELS)}.")
+        raise QueryRejected(f"unknown log level {level!r}; known: {' '.join(LEVELS)}")
     return level
 
 
@@ -119,6 +124,28 @@ def enrich(raw: DataFrame, line: str = "line", labels: str = "labels") -> DataFr
     )
 
 
+def messages(logs: DataFrame) -> DataFrame:
+    """Stored lines (ts, namespace, container, level, pod, line, ...) with the
+    enriched ``message``; container, level and pod are filled from the line
+    where the stored labels have none."""
+    labels = F.create_map(F.lit("level"), F.col("level"), F.lit("container"), F.col("container"))
+    cols = [c for c in logs.columns if c not in ("level", "container", "pod", "message")]
+    e = enrich(logs.withColumn("__labels", labels), "line", "__labels")
+    return e.select(*cols, F.col("level_resolved").alias("level"), F.col("workload").alias("container"),
+                    F.coalesce("pod", "pod_resolved").alias("pod"), "message")
+
+
+def redacted(lines: DataFrame) -> DataFrame:
+    """Replace ``message`` by its redacted text; adds ``redacted_value_count``."""
+    return text.with_redaction(lines, "message", "__red", "redacted_value_count").drop("message").withColumnRenamed("__red", "message")
+
+
+def newest_first(lines: DataFrame) -> list[Column]:
+    """Total order of lines, newest first; ties by event id where there is one, else by pod and line."""
+    ties = ["event_id"] if "event_id" in lines.columns else ["pod", "line"]
+    return [F.col("ts").desc(), *(F.col(c).desc() for c in ties)]
+
+
 # --- evidence projection (log samples) ------------------------------------------
 
 def iso_o(ts) -> Column:
@@ -131,21 +158,29 @@ def to_sample_evidence(df: DataFrame, message: str = "message", workload: str =
                        level: str = "level", ts: str = "ts") -> DataFrame:
     d = text.with_redaction(df, message, "__red", "redacted_value_count")
     return d.select(
-        "*",
+        *(c for c in df.columns if c not in (message, "line")),
         ids.evidence_id("LogSample", SOURCE_LOGS, iso_o(ts), F.col(workload), F.col(pod), text.log_signature(F.col(message))).alias("evidence_id"),
         F.lit("LogSample").alias("kind"),
+        F.lit(SOURCE_LOGS).alias("source"),
         F.col(ts).alias("observed_at"),
         F.concat(F.lit("["), F.coalesce(F.col(level), F.lit("info")), F.lit("] "), text.truncate("__red", SAMPLE_CHARS)).alias("summary"),
-    ).drop("__red")
+        F.create_map(F.lit("level"), F.coalesce(F.col(level), F.lit("unknown")), F.lit("pod"), F.coalesce(F.col(pod), F.lit("unknown")),
+                     F.lit("timestampUtc"), iso_o(ts)).alias("attributes"),
+        "redacted_value_count",
+    )
 
 
 # --- search -------------------------------------------------------------------
 
-def search(logs: DataFrame, params: Params, namespace: str | None, start: datetime, end: datetime,
-           container: str | None = None, level: str | None = None, contains: str | None = None,
-           limit: int | None = None) -> DataFrame:
-    """Equality filters (pushed to the scan / partitions), case-sensitive
-    substring, window, newest first, limit (TakeOrderedAndProject)."""
+def find(logs: DataFrame, params: Params, namespace: str | None, start: datetime, end: datetime,
+         container: str | None = None, level: str | None = None, contains: str | None = None,
+         limit: int | None = None) -> DataFrame:
+    """The newest matching lines, unredacted and with their enriched message
+    (an input of ``to_sample_evidence``; ``search`` is what callers get).
+
+    Equality filters (pushed to the scan / partitions), case-sensitive
+    substring of the stored line, window, newest first, limit
+    (TakeOrderedAndProject); only the lines that are left get parsed."""
     ns = require_namespace(namespace, params)
     start, end = clamp_window(start, end, params)
     n = clamp_limit(limit, params.max_log_lines)
@@ -157,13 +192,25 @@ def search(logs: DataFrame, params: Params, namespace: str | None, start: dateti
         cond &= F.col("level") == lv
     if contains:
         cond &= F.col("line").contains(contains)
-    return logs.filter(cond).orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(n)
+    return messages(logs.filter(cond).orderBy(*newest_first(logs)).limit(n))
+
+
+def search(logs: DataFrame, params: Params, *args, **kw) -> DataFrame:
+    """``find`` with redacted messages and without the stored lines."""
+    return redacted(find(logs, params, *args, **kw)).drop("line")
+
+
+def errors_panel(logs: DataFrame, limit: int = 100) -> DataFrame:
+    """The newest error and warning lines, enriched and redacted."""
+    hit = logs.filter(F.col("level").isin("error", "warn")).orderBy(*newest_first(logs)).limit(limit)
+    return redacted(messages(hit)).drop("line")
 
 
 def around(moments: DataFrame, logs: DataFrame, before_s: int, after_s: int, limit: int,
            moment_ts: str = "moment_ts") -> DataFrame:
     """Lines of the same (namespace, workload) in [moment - before, moment + after],
-    newest first, at most ``limit`` per moment.
+    newest first, at most ``limit`` per moment, enriched and redacted. A
+    moment without a workload takes the lines of all workloads.
 
     Interval join without a nested loop: both sides carry a time bucket of
     width ``before + after``; a moment is replicated into the (at most two)
@@ -181,39 +228,33 @@ def around(moments: DataFrame, logs: DataFrame, before_s: int, after_s: int, lim
         "__bucket", F.explode(F.sequence(F.floor(F.col("__lo") / span), F.floor(F.col("__hi") / span)))
     )
     lg = logs.withColumn("__e", micros("ts")).withColumn("__bucket", F.floor(F.col("__e") / span))
-    j = m.alias("m").join(
-        lg.alias("l"),
-        (F.col("m.namespace") == F.col("l.namespace"))
-        & (F.col("m.workload") == F.col("l.container"))
-        & (F.col("m.__bucket") == F.col("l.__bucket"))
-        & F.col("l.__e").between(F.col("m.__lo"), F.col("m.__hi")),
-    )
-    out = j.select(
-        F.col("m.moment_id").alias("moment_id"),
-        F.col(f"m.{moment_ts}").alias(moment_ts),
-        F.col("l.event_id").alias("event_id"),
-        F.col("l.ts").alias("ts"),
-        F.col("l.level").alias("level"),
-        F.col("l.pod").alias("pod"),
-        F.col("l.line").alias("line"),
-    )
-    w = Window.partitionBy("moment_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    same = ((F.col("m.namespace") == F.col("l.namespace")) & (F.col("m.__bucket") == F.col("l.__bucket"))
+            & F.col("l.__e").between(F.col("m.__lo"), F.col("m.__hi")))
+    cols = [F.col("m.moment_id").alias("moment_id"), F.col(f"m.{moment_ts}").alias(moment_ts),
+            *(F.col(f"l.{c}").alias(c) for c in logs.columns)]
+    everywhere = F.col("workload").isNull() | (F.trim("workload") == "")
+    one = m.filter(~everywhere).alias("m").join(lg.alias("l"), same & (F.col("m.workload") == F.col("l.container"))).select(*cols)
+    every = m.filter(everywhere).alias("m").join(lg.alias("l"), same).select(*cols)
+    out = one.unionByName(every)
+    w = Window.partitionBy("moment_id").orderBy(*newest_first(logs))
+    ranked = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return redacted(messages(ranked)).drop("line")
 
 
 # --- signatures -------------------------------------------------------------------
 
-def error_signatures(logs: DataFrame, params: Params, message: str = "line", workload: str = "container",
-                     top: int | None = MAX_SIGNATURES) -> DataFrame:
-    """Repeated error/warn signatures per (namespace, pass).
+def error_signatures(logs: DataFrame, params: Params, top: int | None = None) -> DataFrame:
+    """Repeated error/warn signatures per (namespace, pass); with ``top``, the
+    most frequent ones only (a listing: rules take them all).
 
-    Grouped by signature hash across workloads; workload and level come from
+    Grouped by the hash of the normalised enriched message across workloads; workload and level come from
     the newest line of the group (ties: larger pod). Distinct pods counts a
     NULL pod as one value. Rows are pre-aggregated per (slide bucket, hash,
     pod) before the sliding expansion, so the expansion never touches raw
     lines and a hot signature is already reduced map-side.
     """
-    lines = logs.filter(F.col("level").isin("error", "warn"))
+    workload, message = "container", "message"
+    lines = messages(logs).filter(F.col("level").isin("error", "warn"))
     lines = lines.withColumn("__norm", text.normalise(F.col(message)))
     lines = lines.withColumn("signature_hash", text.signature_hash("__norm"))
     sample = F.struct(F.col("level").alias("level"), F.col(workload).alias("workload"), F.col("__norm").alias("normalised"))
@@ -248,12 +289,20 @@ def error_signatures(logs: DataFrame, params: Params, message: str = "line", wor
 
 
 def signature_evidence(sigs: DataFrame) -> DataFrame:
+    """Signatures as LogSignature evidence; the text is redacted."""
     d = text.with_redaction(sigs, "normalised", "__red", "redacted_value_count")
     return d.select(
-        "*",
+        *(c for c in sigs.columns if c != "normalised"),
         ids.evidence_id("LogSignature", SOURCE_LOGS, F.col("signature_hash"), F.col("workload")).alias("evidence_id"),
+        F.lit("LogSignature").alias("kind"),
+        F.lit(SOURCE_LOGS).alias("source"),
+        F.col("last_seen").alias("observed_at"),
         F.concat(F.col("occurrences").cast("string"), F.lit("x ["), F.coalesce(F.col("level"), F.lit("")), F.lit("] "), F.col("__red")).alias("summary"),
-    ).drop("__red")
+        F.create_map(F.lit("occurrences"), F.col("occurrences").cast("string"), F.lit("signatureHash"), F.col("signature_hash"),
+                     F.lit("level"), F.coalesce("level", F.lit("unknown")), F.lit("firstSeenUtc"), iso_o("first_seen"),
+                     F.lit("lastSeenUtc"), iso_o("last_seen"), F.lit("distinctPods"), F.col("distinct_pods").cast("string")).alias("attributes"),
+        "redacted_value_count",
+    )
 
 
 def camel_keys(m) -> Column:

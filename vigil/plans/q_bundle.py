@@ -15,7 +15,7 @@ from vigil.plans.registry import register
 from vigil.sources import testdata as T
 
 P = replay_params()
-WINDOW_MIN = P.window_seconds // 60
+WINDOW_MIN = P.window_minutes
 
 
 def _metric_ev(snap):

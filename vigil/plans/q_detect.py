@@ -40,7 +40,29 @@ def sql_pipeline(p: Params, services: int = T.DEFAULT_SERVICES) -> str:
     t = p.thresholds
     bounds = "[" + ", ".join(repr(b) for b in BUCKET_BOUNDS) + ", 'inf'::DOUBLE]"
     sev_rank = "(CASE severity WHEN 'Low' THEN 0 WHEN 'Medium' THEN 1 WHEN 'High' THEN 2 WHEN 'Critical' THEN 3 END)"
-    cols = "namespace, pass_ts, category, severity, detection_rule, wl_list, sig, occurrences"
+    cols = "namespace, pass_ts, category, severity, detection_rule, wl_list, sig, occurrences, signals"
+
+    def signals(**kv):  # in key order, as text lines
+        return " || chr(10) || ".join(f"'{k}=' || {kv[k]}" for k in sorted(kv))
+
+    def whole(x):
+        return f"CAST(CAST({x} AS BIGINT) AS VARCHAR)"
+
+    def flag(x):
+        return f"CASE WHEN {x} THEN 'true' ELSE 'false' END"
+
+    minutes = f"'{p.window_minutes}'"
+    sig1 = signals(errorRatio=_sql_fixed("errors", "total", 4), threshold=f"'{t.http_error_rate:.4f}'", totalRequests=whole("total"), windowMinutes=minutes)
+    sig2 = signals(p95Seconds=_sql_fixed_double("p95", 3), thresholdSeconds=f"'{t.latency_p95_seconds:.3f}'", windowMinutes=minutes)
+    sig3 = signals(dependency="dependency", failureKind="kind", failureCount=whole("total"), threshold=f"'{t.dependency_failure_count}'",
+                   callerCount="CAST(len(callers) AS VARCHAR)")
+    sig4 = (f"'crashLoopBackOff=' || {flag('crash')} || chr(10) || 'oomKilled=' || {flag('oom')} || chr(10) || 'podCount=' || {whole('pod_count')}"
+            f" || CASE WHEN reason IS NOT NULL THEN chr(10) || 'reason=' || reason ELSE '' END || chr(10) || 'restartIncrease=' || {whole('increase')}"
+            f" || chr(10) || 'threshold={t.pod_restart_increase}'")
+    sig5 = signals(unreadyPods=whole("unready"), totalPods=whole("total"), allReplicasUnready=flag("unready = total"), restartsObserved=whole("restarts"))
+    sig6 = signals(occurrences=whole("occurrences"), threshold=f"'{t.repeated_signature_count}'", signatureHash="signature_hash",
+                   sample=f"{whole('occurrences')} || 'x [' || coalesce(level, '') || '] ' || {X.sql_strip_control('w')}")
+    red6 = X.sql_redaction_ctes("s6", "namespace, pass_ts, signature_hash, occurrences, level, workload", "normalised", prefix="dz")
     return f"""{T.sql_events(services)},
 {T.SQL_REQUESTS_ONLY},
 {T.SQL_COUNTERS_ONLY},
@@ -72,13 +94,14 @@ p95 AS (SELECT * FROM (SELECT namespace, service, pass_ts,
 dfw AS (SELECT namespace, service, dependency, coalesce(kind, 'unknown') AS kind, {sql_passes('ts', p)}
   FROM dep_calls, {sql_window_join(p)} WHERE outcome = 'failure'),
 dfail AS (SELECT namespace, service, dependency, kind, pass_ts, CAST(count(*) AS DOUBLE) AS failures FROM dfw GROUP BY ALL),
-lh AS (SELECT *, {X.sql_normalise('line')} AS norm FROM logs WHERE level IN ('error', 'warn')),
-lw AS (SELECT namespace, left(sha256(norm), 16) AS signature_hash, pod, ts, line, level, container, norm,
+lh AS (SELECT *, {X.sql_normalise('message')} AS norm FROM logs WHERE level IN ('error', 'warn')),
+lw AS (SELECT namespace, left(sha256(norm), 16) AS signature_hash, pod, ts, message, level, container, norm,
   {sql_passes('ts', p)} FROM lh, {sql_window_join(p)}),
 sg AS (SELECT namespace, pass_ts, signature_hash, count(*) AS occurrences,
-  arg_max(level, (ts, pod, line)) AS level, arg_max(container, (ts, pod, line)) AS workload FROM lw GROUP BY ALL),
-sigs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY namespace, pass_ts ORDER BY occurrences DESC, signature_hash) AS rn
-  FROM sg) WHERE rn <= 25),
+  arg_max(level, (ts, pod, message)) AS level, arg_max(container, (ts, pod, message)) AS workload,
+  arg_max(norm, (ts, pod, message)) AS normalised FROM lw GROUP BY ALL),
+s6 AS (SELECT * FROM sg WHERE occurrences >= {t.repeated_signature_count} AND level = 'error'),
+{red6},
 pp AS (SELECT DISTINCT namespace, snapshot_ts AS pass_ts FROM pods),
 ps AS (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY pass_ts) AS pass_seq FROM pp),
 pj AS (SELECT p.*, ps.pass_ts, ps.pass_seq FROM pods p JOIN ps ON p.namespace = ps.namespace AND p.snapshot_ts = ps.pass_ts),
@@ -87,12 +110,12 @@ pdl AS (SELECT *, CASE WHEN lag(pass_seq) OVER w = pass_seq - 1 THEN lag(restart
 pdelta AS (SELECT *, greatest(0, restart_count - prev_rc) AS restart_increase FROM pdl),
 d1 AS (SELECT namespace, pass_ts, 'http_error_rate' AS category,
   CASE WHEN errors / total >= 0.5 THEN 'Critical' WHEN errors / total >= 0.25 THEN 'High' ELSE 'Medium' END AS severity,
-  'http-error-rate' AS detection_rule, [service] AS wl_list, CAST(NULL AS VARCHAR) AS sig, CAST(NULL AS INTEGER) AS occurrences,
+  'http-error-rate' AS detection_rule, [service] AS wl_list, CAST(NULL AS VARCHAR) AS sig, CAST(NULL AS INTEGER) AS occurrences, {sig1} AS signals,
   service || ' is returning ' || {_sql_fixed('errors * 100', 'total', 1)} || ' % server errors' AS title
   FROM er WHERE total >= {t.min_request_sample} AND errors / total >= {t.http_error_rate}),
 d2 AS (SELECT p95.namespace, p95.pass_ts, 'dependency_latency' AS category,
   CASE WHEN p95 >= {t.latency_p95_seconds * 3} THEN 'High' ELSE 'Medium' END AS severity,
-  'request-latency' AS detection_rule, [p95.service] AS wl_list, CAST(NULL AS VARCHAR) AS sig, CAST(NULL AS INTEGER) AS occurrences,
+  'request-latency' AS detection_rule, [p95.service] AS wl_list, CAST(NULL AS VARCHAR) AS sig, CAST(NULL AS INTEGER) AS occurrences, {sig2} AS signals,
   p95.service || ' 95th percentile latency is ' || {_sql_fixed_double('p95', 2)} || 's' AS title
   FROM p95 JOIN er ON p95.namespace = er.namespace AND p95.service = er.service AND p95.pass_ts = er.pass_ts
   WHERE p95 >= {t.latency_p95_seconds} AND er.total >= {t.min_request_sample}),
@@ -100,10 +123,10 @@ d3g AS (SELECT namespace, pass_ts, dependency, kind, sum(failures) AS total, lis
   FROM dfail GROUP BY ALL HAVING sum(failures) >= {t.dependency_failure_count}),
 d3 AS (SELECT namespace, pass_ts, CASE WHEN kind = 'timeout' THEN 'dependency_latency' ELSE 'dependency_unavailable' END AS category,
   CASE WHEN len(callers) > 1 THEN 'High' ELSE 'Medium' END AS severity, 'dependency-failure' AS detection_rule,
-  callers AS wl_list, dependency || ':' || kind AS sig, CAST(NULL AS INTEGER) AS occurrences,
+  callers AS wl_list, dependency || ':' || kind AS sig, CAST(NULL AS INTEGER) AS occurrences, {sig3} AS signals,
   CAST(CAST(total AS BIGINT) AS VARCHAR) || ' ''' || kind || ''' failures calling ' || dependency || ' from ' || array_to_string(callers, ', ') AS title
   FROM d3g),
-d4g AS (SELECT namespace, pass_ts, workload, sum(restart_increase) AS increase,
+d4g AS (SELECT namespace, pass_ts, workload, sum(restart_increase) AS increase, count(*) AS pod_count,
   bool_or(coalesce(waiting_reason = 'CrashLoopBackOff', false)) AS crash,
   bool_or(coalesce(last_termination_reason = 'OOMKilled', false)) AS oom,
   arg_min(coalesce(last_termination_reason, waiting_reason), pod)
@@ -111,25 +134,25 @@ d4g AS (SELECT namespace, pass_ts, workload, sum(restart_increase) AS increase,
   FROM pdelta GROUP BY ALL),
 d4 AS (SELECT namespace, pass_ts, CASE WHEN oom THEN 'out_of_memory' ELSE 'pod_restart_loop' END AS category,
   CASE WHEN oom OR crash THEN 'High' ELSE 'Medium' END AS severity, 'pod-restarts' AS detection_rule,
-  [workload] AS wl_list, reason AS sig, CAST(NULL AS INTEGER) AS occurrences,
+  [workload] AS wl_list, reason AS sig, CAST(NULL AS INTEGER) AS occurrences, {sig4} AS signals,
   CASE WHEN oom THEN workload || ' was terminated for exceeding its memory limit'
        ELSE workload || ' restarted ' || CAST(increase AS VARCHAR) || ' time(s)' || CASE WHEN crash THEN ' and is in CrashLoopBackOff' ELSE '' END END AS title
   FROM d4g WHERE increase >= {t.pod_restart_increase} OR crash OR oom),
 d5g AS (SELECT namespace, pass_ts, workload,
   sum(CASE WHEN NOT ready AND NOT coalesce(waiting_reason = 'CrashLoopBackOff', false)
-            AND NOT coalesce(last_termination_reason = 'OOMKilled', false) THEN 1 ELSE 0 END) AS unready, count(*) AS total
+            AND NOT coalesce(last_termination_reason = 'OOMKilled', false) THEN 1 ELSE 0 END) AS unready, count(*) AS total, sum(restart_count) AS restarts
   FROM pdelta GROUP BY ALL),
 d5 AS (SELECT namespace, pass_ts, 'readiness_failure' AS category, CASE WHEN unready = total THEN 'High' ELSE 'Medium' END AS severity,
-  'readiness-failure' AS detection_rule, [workload] AS wl_list, CAST(NULL AS VARCHAR) AS sig, CAST(NULL AS INTEGER) AS occurrences,
+  'readiness-failure' AS detection_rule, [workload] AS wl_list, CAST(NULL AS VARCHAR) AS sig, CAST(NULL AS INTEGER) AS occurrences, {sig5} AS signals,
   CASE WHEN unready = total THEN 'every ' || workload || ' pod is failing its readiness probe'
        ELSE CAST(unready AS VARCHAR) || ' of ' || CAST(total AS VARCHAR) || ' ' || workload || ' pods are not ready' END AS title
   FROM d5g WHERE unready >= {t.unready_pod_count}),
 d6 AS (SELECT namespace, pass_ts, 'repeated_error_signature' AS category,
   CASE WHEN occurrences >= {t.repeated_signature_count * 5} THEN 'High' ELSE 'Medium' END AS severity,
   'repeated-error-signature' AS detection_rule, [coalesce(workload, 'unknown')] AS wl_list, signature_hash AS sig,
-  CAST(occurrences AS INTEGER) AS occurrences,
+  CAST(occurrences AS INTEGER) AS occurrences, {sig6} AS signals,
   coalesce(workload, 'unknown') || ' logged the same error ' || CAST(occurrences AS VARCHAR) || ' times' AS title
-  FROM sigs WHERE occurrences >= {t.repeated_signature_count} AND level = 'error'),
+  FROM dz{len(X.REDACT_RULES)}),
 cand0 AS (SELECT {cols}, title FROM d1 UNION ALL SELECT {cols}, title FROM d2 UNION ALL SELECT {cols}, title FROM d3
   UNION ALL SELECT {cols}, title FROM d4 UNION ALL SELECT {cols}, title FROM d5 UNION ALL SELECT {cols}, title FROM d6),
 cand AS (SELECT *, array_to_string(wl_list, ',') AS workloads, {sev_rank} AS severity_rank,
@@ -179,7 +202,7 @@ CAND_SQL_OUT = ", ".join(CAND_OUT) + ", workloads"
 def cand_view(df, title: bool = True):
     cols = [*CAND_OUT, F.array_join("affected_workloads", ",").alias("workloads")]
     if title:
-        cols.append("title")
+        cols += ["title", D.signals_text().alias("signals")]
     return df.select(*cols)
 
 
@@ -188,7 +211,7 @@ def _snap(spark, sf):
 
 
 def _rule_query(key: str, cte: str, rule_fn, title: bool = True):
-    sql = "WITH " + sql_pipeline(P) + f"\nSELECT {CAND_SQL_OUT}{', title' if title else ''} FROM cand WHERE detection_rule = '{cte}'"
+    sql = "WITH " + sql_pipeline(P) + f"\nSELECT {CAND_SQL_OUT}{', title, signals' if title else ''} FROM cand WHERE detection_rule = '{cte}'"
 
     @register(key, sql=sql)
     def q(spark, sf):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vigil.config import replay_params
 from vigil.functions import text as X
 from vigil.operators import logs as L
+from vigil.operators.detect import signals_text
 from vigil.operators.windows import sql_passes, sql_window_join
 from vigil.plans.registry import register
 from vigil.sources import testdata as T
@@ -17,9 +18,13 @@ P = replay_params()
 
 
 def _docs(spark, sf):
-    from vigil.session import balanced
+    return T.read(spark, sf, "documents").select("doc_id", "text")
 
-    return balanced(T.read(spark, sf, "documents").select("doc_id", "text"))
+
+def sql_redacted(table: str, cols: str, text: str, out: str, prefix: str) -> str:
+    """CTEs ending in ``out``: the columns, the redacted text as ``message`` and ``redacted_value_count``."""
+    return f"""{X.sql_redaction_ctes(table, cols, text, prefix=prefix)},
+{out} AS (SELECT {cols}, {X.sql_strip_control('w')} AS message, CAST(n AS INTEGER) AS redacted_value_count FROM {prefix}{len(X.REDACT_RULES)})"""
 
 
 @register(
@@ -32,10 +37,10 @@ def q_log_normalise(spark, sf):
 
 @register(
     "log_signature_hash",
-    sql="WITH " + T.sql_logs() + f"\nSELECT event_id, {X.sql_signature_hash(X.sql_normalise('line'))} AS signature_hash FROM logs",
+    sql="WITH " + T.sql_logs() + f"\nSELECT event_id, {X.sql_signature_hash(X.sql_normalise('message'))} AS signature_hash FROM logs",
 )
 def q_log_signature_hash(spark, sf):
-    return T.logs(spark, sf).select("event_id", X.log_signature("line").alias("signature_hash"))
+    return L.messages(T.logs(spark, sf)).select("event_id", X.log_signature("message").alias("signature_hash"))
 
 
 @register(
@@ -82,103 +87,113 @@ def q_level_filter(spark, sf):
     return T.logs(spark, sf).filter(F.col("level") == lv).select("event_id", "ts", "container", "level")
 
 
+_LINE = "event_id, ts, container, pod, level"
+
+
 @register(
     "errors_panel",
-    sql="WITH " + T.sql_logs()
-    + "\nSELECT event_id, ts, container, level, line FROM logs WHERE regexp_full_match(level, 'error|warn')"
-    " ORDER BY ts DESC, event_id DESC LIMIT 100",
+    sql="WITH " + T.sql_logs() + f""",
+hits AS (SELECT * FROM logs WHERE regexp_full_match(level, 'error|warn') ORDER BY ts DESC, event_id DESC LIMIT 100),
+{sql_redacted('hits', _LINE, 'message', 'red', 'q')}
+SELECT event_id, ts, container, level, message, redacted_value_count FROM red""",
 )
 def q_errors_panel(spark, sf):
-    lg = T.logs(spark, sf).filter(F.col("level").rlike("^(?:error|warn)$"))
-    return lg.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(100).select(
-        "event_id", "ts", "container", "level", "line"
-    )
+    return L.errors_panel(T.logs(spark, sf)).select("event_id", "ts", "container", "level", "message", "redacted_value_count")
 
 
 SEARCH = dict(namespace="prod", start=datetime(2024, 1, 10), end=datetime(2024, 1, 12), container="svc-0",
               contains="timed out", limit=40)
+SQL_SEARCH = """SELECT * FROM logs WHERE namespace = 'prod' AND container = 'svc-0' AND contains(line, 'timed out')
+  AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-12 00:00:00' ORDER BY ts DESC, event_id DESC LIMIT 40"""
 
 
 @register(
     "log_search",
-    sql="WITH " + T.sql_logs()
-    + """
-SELECT event_id, ts, container, pod, level, line FROM logs
-WHERE namespace = 'prod' AND container = 'svc-0' AND contains(line, 'timed out')
-  AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-12 00:00:00'
-ORDER BY ts DESC, event_id DESC LIMIT 40""",
+    sql="WITH " + T.sql_logs() + f""",
+hits AS ({SQL_SEARCH}),
+{sql_redacted('hits', _LINE, 'message', 'red', 'q')}
+SELECT {_LINE}, message, redacted_value_count FROM red""",
 )
 def q_log_search(spark, sf):
     r = L.search(T.logs(spark, sf), P, **SEARCH)
-    return r.select("event_id", "ts", "container", "pod", "level", "line")
+    return r.select("event_id", "ts", "container", "pod", "level", "message", "redacted_value_count")
 
 
-SQL_SEARCH = """SELECT * FROM logs WHERE namespace = 'prod' AND container = 'svc-0' AND contains(line, 'timed out')
-  AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-12 00:00:00' ORDER BY ts DESC, event_id DESC LIMIT 40"""
+def sql_sample_id(ts: str, container: str, pod: str, message: str) -> str:
+    return (f"'log_' || left(sha256(concat_ws('|', 'LogSample', 'loki', strftime({ts}, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00', "
+            f"{container}, {pod}, left(sha256({X.sql_normalise(message)}), 16))), 12)")
 
 
 @register(
     "log_sample_evidence",
     sql="WITH " + T.sql_logs() + f""",
-hits AS ({SQL_SEARCH}),
-{X.sql_redaction_ctes('hits', 'event_id, ts, container, pod, level, line', 'line', prefix='q')}
-SELECT 'log_' || left(sha256(concat_ws('|', 'LogSample', 'loki', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00',
-    container, pod, left(sha256({X.sql_normalise('line')}), 16))), 12) AS evidence_id,
-  'LogSample' AS kind, ts AS observed_at, container AS workload,
-  '[' || coalesce(level, 'info') || '] ' || CASE WHEN length(w2) > 500 THEN substr(w2, 1, 500) || '...' ELSE w2 END AS summary,
-  CAST(n AS INTEGER) AS redacted_value_count
-FROM (SELECT *, {X.sql_strip_control('w')} AS w2 FROM q{len(X.REDACT_RULES)})""",
+hits AS (SELECT *, {sql_sample_id('ts', 'container', 'pod', 'message')} AS evidence_id FROM ({SQL_SEARCH})),
+{sql_redacted('hits', _LINE + ', evidence_id', 'message', 'red', 'q')}
+SELECT evidence_id, 'LogSample' AS kind, ts AS observed_at, container AS workload,
+  '[' || coalesce(level, 'info') || '] ' || CASE WHEN length(message) > 500 THEN substr(message, 1, 500) || '...' ELSE message END AS summary,
+  'level=' || level || chr(10) || 'pod=' || pod || chr(10) || 'timestampUtc=' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00' AS attributes,
+  redacted_value_count FROM red""",
 )
 def q_log_sample_evidence(spark, sf):
-    r = L.search(T.logs(spark, sf), P, **SEARCH)
-    ev = L.to_sample_evidence(r.withColumnRenamed("line", "message").withColumnRenamed("container", "workload"))
-    return ev.select("evidence_id", "kind", "observed_at", "workload", "summary", "redacted_value_count")
+    ev = L.to_sample_evidence(L.find(T.logs(spark, sf), P, **SEARCH).withColumnRenamed("container", "workload"))
+    return ev.select("evidence_id", "kind", "observed_at", "workload", "summary", signals_text("attributes").alias("attributes"),
+                     "redacted_value_count")
 
 
 SQL_SIGNATURES_CTE = (
     T.sql_logs()
     + f""",
-lh AS (SELECT *, {X.sql_normalise('line')} AS norm FROM logs WHERE level IN ('error', 'warn')),
-lw AS (SELECT namespace, left(sha256(norm), 16) AS signature_hash, pod, ts, line, level, container, norm,
+lh AS (SELECT *, {X.sql_normalise('message')} AS norm FROM logs WHERE level IN ('error', 'warn')),
+lw AS (SELECT namespace, left(sha256(norm), 16) AS signature_hash, pod, ts, message, level, container, norm,
   {sql_passes('ts', P)} FROM lh, {sql_window_join(P)}),
 sg AS (SELECT namespace, window_start, pass_ts, signature_hash, count(*) AS occurrences, min(ts) AS first_seen,
   max(ts) AS last_seen, count(DISTINCT pod) + max(CASE WHEN pod IS NULL THEN 1 ELSE 0 END) AS distinct_pods,
-  arg_max(level, (ts, pod, line)) AS level, arg_max(container, (ts, pod, line)) AS workload,
-  arg_max(norm, (ts, pod, line)) AS normalised FROM lw GROUP BY ALL),
+  arg_max(level, (ts, pod, message)) AS level, arg_max(container, (ts, pod, message)) AS workload,
+  arg_max(norm, (ts, pod, message)) AS normalised FROM lw GROUP BY ALL),
 sigs AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY namespace, pass_ts
-  ORDER BY occurrences DESC, signature_hash) AS rn FROM sg) WHERE rn <= {L.MAX_SIGNATURES})"""
+  ORDER BY occurrences DESC, signature_hash) AS rn FROM sg) WHERE rn <= {P.max_signatures})"""
 )
 
 
 def signatures(spark, sf):
-    return L.error_signatures(T.logs(spark, sf), P)
+    return L.error_signatures(T.logs(spark, sf), P, top=P.max_signatures)
+
+
+_SIG = ("namespace, window_start, pass_ts, signature_hash, occurrences, first_seen, last_seen, distinct_pods, level, workload")
+
+
+def sql_signature_evidence(table: str, out: str, prefix: str) -> str:
+    return sql_redacted(table, _SIG, "normalised", out + "_red", prefix) + f""",
+{out} AS (SELECT * EXCLUDE (message), 'sig_' || left(sha256(concat_ws('|', 'LogSignature', 'loki', signature_hash, coalesce(workload, ''))), 12) AS evidence_id,
+  CAST(occurrences AS VARCHAR) || 'x [' || coalesce(level, '') || '] ' || message AS summary FROM {out}_red)"""
 
 
-@register("error_signatures", sql="WITH " + SQL_SIGNATURES_CTE + "\nSELECT * FROM sigs")
+@register("error_signatures", sql="WITH " + SQL_SIGNATURES_CTE + ",\n" + sql_signature_evidence("sigs", "sev", "q") + "\nSELECT * FROM sev")
 def q_error_signatures(spark, sf):
-    return signatures(spark, sf)
+    return L.signature_evidence(signatures(spark, sf)).select(*_SIG.split(", "), "evidence_id", "summary", "redacted_value_count")
 
 
 @register(
     "log_around",
     sql="WITH " + SQL_SIGNATURES_CTE
     + """,
-mo AS (SELECT namespace, workload, last_seen AS moment_ts,
-  namespace || '/' || CAST(pass_ts AS VARCHAR) || '/' || signature_hash AS moment_id FROM sigs)
-SELECT moment_id, moment_ts, event_id, ts, level, pod, line, rank FROM (
-  SELECT mo.moment_id, mo.moment_ts, l.event_id, l.ts, l.level, l.pod, l.line,
+mo AS (SELECT namespace, CASE WHEN occurrences % 5 > 0 THEN workload END AS workload, last_seen AS moment_ts,
+  namespace || '/' || CAST(pass_ts AS VARCHAR) || '/' || signature_hash AS moment_id FROM sigs),
+ar AS (SELECT * FROM (SELECT mo.moment_id, mo.moment_ts, l.event_id, l.ts, l.level, l.pod, l.message,
     row_number() OVER (PARTITION BY mo.moment_id ORDER BY l.ts DESC, l.event_id DESC) AS rank
-  FROM mo JOIN logs l ON l.namespace = mo.namespace AND l.container = mo.workload
-   AND l.ts BETWEEN mo.moment_ts - INTERVAL 900 SECOND AND mo.moment_ts + INTERVAL 900 SECOND)
-WHERE rank <= 40""",
+  FROM mo JOIN logs l ON l.namespace = mo.namespace AND (mo.workload IS NULL OR l.container = mo.workload)
+   AND l.ts BETWEEN mo.moment_ts - INTERVAL 900 SECOND AND mo.moment_ts + INTERVAL 900 SECOND) WHERE rank <= 40),
+""" + sql_redacted("ar", "moment_id, moment_ts, event_id, ts, level, pod, rank", "message", "red", "z") + """
+SELECT moment_id, moment_ts, event_id, ts, level, pod, message, redacted_value_count, rank FROM red""",
 )
 def q_log_around(spark, sf):
     sigs = signatures(spark, sf)
     moments = sigs.select(
-        "namespace", "workload", F.col("last_seen").alias("moment_ts"),
+        "namespace", F.when(F.col("occurrences") % 5 > 0, F.col("workload")).alias("workload"), F.col("last_seen").alias("moment_ts"),
         F.concat_ws("/", "namespace", F.date_format("pass_ts", "yyyy-MM-dd HH:mm:ss"), "signature_hash").alias("moment_id"),
     )
-    return L.around(moments, T.logs(spark, sf), 900, 900, 40)
+    return L.around(moments, T.logs(spark, sf), 900, 900, 40).select(
+        "moment_id", "moment_ts", "event_id", "ts", "level", "pod", "message", "redacted_value_count", "rank")
 
 
 @register(
@@ -188,14 +203,14 @@ SELECT event_id,
   CASE WHEN level <> 'debug' THEN level END AS level_resolved,
   CASE WHEN level <> 'debug' THEN container END AS workload,
   CASE WHEN level <> 'debug' THEN pod END AS pod_resolved,
-  CASE WHEN level = 'debug' THEN line
-       ELSE line || ' (' || CASE WHEN level = 'error' THEN 'operation=checkout, ' ELSE '' END
+  CASE WHEN level = 'debug' THEN message
+       ELSE message || ' (' || CASE WHEN level = 'error' THEN 'operation=checkout, ' ELSE '' END
             || 'correlationId=c-' || CAST(event_id AS VARCHAR) || ')' END AS message
 FROM logs""",
 )
 def q_log_enrich(spark, sf):
     """Structured JSON lines (built from events) through enrichment."""
-    e = T.logs(spark, sf)
+    e = L.messages(T.logs(spark, sf)).drop("line").withColumnRenamed("message", "line")
     as_json = F.when(
         F.col("level") != "debug",
         F.to_json(F.struct(

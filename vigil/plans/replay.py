@@ -7,6 +7,7 @@ incidents. Exchanges sit at (series), (namespace, service, pass),
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,19 +23,7 @@ from vigil.sources import testdata as T
 
 SERIES = ["namespace", "service", "status_class"]
 
-_PLANS: dict = {}
-
-
-def _memo(kind: str, spark: SparkSession, sf: str, params: Params, services: int, build):
-    """Reuse an already built (immutable, lazy) DataFrame plan for the same
-    session, tables and parameters; nothing is cached but the plan object."""
-    key = (kind, id(spark), spark.sparkContext.applicationId, sf, params, services)
-    df = _PLANS.get(key)
-    if df is None:
-        df = build()
-        _PLANS[key] = df
-    return df
-
+log = logging.getLogger(__name__)
 
 def flagship_params() -> Params:
     day = 86400
@@ -43,7 +32,7 @@ def flagship_params() -> Params:
 
 
 def build_snapshot(spark: SparkSession, sf: str, params: Params, services: int = T.DEFAULT_SERVICES) -> D.Snapshot:
-    return _memo("snapshot", spark, sf, params, services, lambda: _build_snapshot(spark, sf, params, services))
+    return snapshot_from(test_data_telemetry(spark, sf, services), params)
 
 
 @dataclass
@@ -84,32 +73,40 @@ def snapshot_from(t: Telemetry, params: Params) -> D.Snapshot:
 
 def replay(t: Telemetry, params: Params, replay_end_ts=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every detection pass over the given history: (candidates, suppressed
-    candidates in queue order, incidents). ``replay_end_ts`` is the last pass
-    instant (default: the last pass of the newest request, counter sample or
-    log line)."""
+    candidates in queue order, incidents). A rule that fails to plan is left
+    out and logged; the others run. ``replay_end_ts`` is the last pass instant
+    (default: the last pass whose window holds the newest row of any source)."""
     cands, failed = D.detect_all(snapshot_from(t, params), params)
     if failed:
-        raise RuntimeError(f"rules failed to plan: {failed}")
+        log.warning("rules left out of the replay: %s", ", ".join(failed))
+    if cands is None:
+        raise ValueError("no rule has its input tables")
     sup = D.suppress(cands)
     if replay_end_ts is None:
-        src = next(x for x in (t.requests, t.counters, t.logs) if x is not None)
-        last = F.floor(epoch_seconds(F.max("ts")) / params.slide_seconds) * params.slide_seconds + params.window_seconds
-        end = src.agg(F.timestamp_seconds(last).alias("replay_end"))
+        end = newest_pass(t, params)
     else:
         end = sup.sparkSession.createDataFrame([(replay_end_ts,)], "replay_end timestamp")
     return cands, sup, I.incidents(I.with_replay_end(sup, end), params)
 
 
+def newest_pass(t: Telemetry, params: Params) -> DataFrame:
+    """One row: the last pass instant whose window still holds a row of any source."""
+    parts = [x.agg(F.max(F.col("ts").cast("timestamp")).alias("ts")) for x in (t.counters, t.requests, t.dep_calls, t.logs) if x is not None]
+    if t.pods is not None:
+        parts.append(t.pods.agg(F.max(F.col("snapshot_ts").cast("timestamp")).alias("ts")))
+    newest = parts[0]
+    for p in parts[1:]:
+        newest = newest.union(p)
+    last = F.floor(epoch_seconds(F.max("ts")) / params.slide_seconds) * params.slide_seconds + params.window_seconds
+    return newest.agg(F.timestamp_seconds(last).alias("replay_end"))
+
+
 def test_data_telemetry(spark: SparkSession, sf: str, services: int = T.DEFAULT_SERVICES) -> Telemetry:
     return Telemetry(counters=T.counter_samples(spark, sf, services), requests=T.requests(spark, sf, services),
                      dep_calls=T.dep_calls(spark, sf, services), pods=T.pod_snapshots(spark, sf, services),
                      logs=T.logs(spark, sf, services))
 
 
-def _build_snapshot(spark: SparkSession, sf: str, params: Params, services: int) -> D.Snapshot:
-    return snapshot_from(test_data_telemetry(spark, sf, services), params)
-
-
 def replay_end(spark: SparkSession, sf: str, params: Params) -> DataFrame:
     """One row: the last pass instant whose window still holds data."""
     e = T.read(spark, sf, "events")
@@ -118,25 +115,15 @@ def replay_end(spark: SparkSession, sf: str, params: Params) -> DataFrame:
 
 
 def candidates(spark, sf, params: Params, services: int = T.DEFAULT_SERVICES) -> DataFrame:
-    def build():
-        cands, failed = D.detect_all(build_snapshot(spark, sf, params, services), params)
-        if failed:
-            raise RuntimeError(f"rules failed to plan: {failed}")
-        return cands
-
-    return _memo("candidates", spark, sf, params, services, build)
+    return D.detect_all(build_snapshot(spark, sf, params, services), params)[0]
 
 
 def suppressed(spark, sf, params: Params, services: int = T.DEFAULT_SERVICES) -> DataFrame:
-    return _memo("suppressed", spark, sf, params, services, lambda: D.suppress(candidates(spark, sf, params, services)))
+    return D.suppress(candidates(spark, sf, params, services))
 
 
 def incidents(spark, sf, params: Params, services: int = T.DEFAULT_SERVICES) -> DataFrame:
-    def build():
-        sup = I.with_replay_end(suppressed(spark, sf, params, services), replay_end(spark, sf, params))
-        return I.incidents(sup, params)
-
-    return _memo("incidents", spark, sf, params, services, build)
+    return I.incidents(I.with_replay_end(suppressed(spark, sf, params, services), replay_end(spark, sf, params)), params)
 
 
 def pass_summary(spark, sf, params: Params, services: int = T.DEFAULT_SERVICES) -> DataFrame:

@@ -1,9 +1,4 @@
-"""Session helpers.
-
-On a cluster the session is created by the platform; ``ensure_checkpoint_dir``
-only fills in ``spark.checkpoint.dir`` when it is unset (tests, local runs),
-and always under a scratch folder the caller owns.
-"""
+"""Session helpers. On a cluster the session is created by the platform."""
 
 from __future__ import annotations
 
@@ -38,29 +33,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when nothing is configured (tests, local runs) a scratch folder is
-    created and set; an existing setting is never replaced.
+    An existing setting is never replaced. Where there is none, a local
+    session (tests), whose driver is its only executor, gets a folder of its
+    own; on a cluster a machine-local folder would lose rows, so there the
+    missing setting is an error.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="vigil-ckpt-", dir=os.environ.get("VIGIL_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="vigil-shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
-    return current
-
-
-def balanced(df, min_partitions: int | None = None):
-    """Spread CPU-heavy row-local work (regex over whole texts) over the
-    cluster when the input arrives in too few partitions (e.g. a table that is
-    one parquet row group). Inputs that already have enough partitions - the
-    normal case at scale - are returned untouched, so no shuffle is added there.
-    """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    n = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n)
-    return df
+    return current.rstrip("/")

@@ -11,7 +11,8 @@ Mapping (events -> telemetry):
   dep_calls    dependency by event_id % 4, failure kind by event_id % 3
   counters     per (namespace, service, status_class) request count so far
                that day, modulo 40 (resets at midnight and every 40)
-  logs         one line per event; text by event type, level by event type
+  logs         one line per event: structured JSON for errors (some with a
+               planted password) and warnings, plain text otherwise
   pod_snapshots one snapshot per (user, day): cumulative 'error' count as
                restarts, readiness and reasons from the day's last event
   memory       embeddings as semantic memory (kind/category/workload by label
@@ -36,18 +37,8 @@ COUNTER_MODULUS = 40
 DEFAULT_SERVICES = 8
 
 
-_READS: dict = {}
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan of one table. The (immutable) DataFrame is reused within a session
-    so that a plan with several adapters lists files and reads footers once."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
-    df = _READS.get(key)
-    if df is None:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        _READS[key] = df
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _events(spark, sf_dir, services: int) -> DataFrame:
@@ -121,9 +112,15 @@ def logs(spark, sf_dir, services: int = DEFAULT_SERVICES) -> DataFrame:
     order_ref = F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 12)
     et = F.col("event_type")
     level = F.when(et == "error", "error").when(et == "signup", "warn").when(et == "view", "debug").otherwise("info")
+    event = F.col("event_id").cast("string")
+    secret = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit(" password=hunter"), event)).otherwise(F.lit(""))
     line = (
-        F.when(et == "error", F.concat(F.lit("Dependency "), dep, F.lit(" timed out after "), _ms(), F.lit("ms while processing ord_"), order_ref))
-        .when(et == "signup", F.concat(F.lit("Retrying call to "), dep, F.lit(" for user "), F.col("user_id").cast("string"), F.lit(" after "), _ms(), F.lit("ms")))
+        F.when(et == "error", F.concat(
+            F.lit('{"level":"error","msg":"Dependency '), dep, F.lit(" timed out after "), _ms(), F.lit("ms while processing ord_"), order_ref, secret,
+            F.lit('","operation":"checkout","dependency":"'), dep, F.lit('","correlationId":"c-'), event, F.lit('"}')))
+        .when(et == "signup", F.concat(
+            F.lit('{"level":"warn","msg":"Retrying call to '), dep, F.lit(" for user "), F.col("user_id").cast("string"), F.lit(" after "), _ms(),
+            F.lit('ms","correlationId":"c-'), event, F.lit('"}')))
         .otherwise(F.concat(F.lit("Handled "), et, F.lit(" for user "), F.col("user_id").cast("string"), F.lit(" in "), _ms(), F.lit("ms")))
     )
     return e.select(
@@ -212,9 +209,7 @@ def incident_queries(spark, sf_dir) -> DataFrame:
 def runbook_markdown(spark, sf_dir) -> DataFrame:
     """Each document as a runbook: title line, a preamble, then three sections
     (Symptoms = the whole text, Causes = the language, an empty Actions)."""
-    from vigil.session import balanced
-
-    d = balanced(read(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang")
     md = F.concat(
         F.lit("# "), F.col("source"), F.lit(" runbook "), F.col("doc_id").cast("string"), F.lit("\nOverview.\n## Symptoms\n"),
         F.col("text"), F.lit("\n## Causes\n"), F.col("lang"), F.lit("\n## Actions\n\n"),
@@ -275,12 +270,21 @@ def sql_logs(services: int = DEFAULT_SERVICES) -> str:
 
 _MS = "CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)"
 _DEP = f"{_sql_list(DEPENDENCIES)}[event_id % 4 + 1]"
+_ERROR_MSG = (f"'Dependency ' || {_DEP} || ' timed out after ' || {_MS} || 'ms while processing ord_' || left(sha256(CAST(event_id AS VARCHAR)), 12)"
+              " || CASE WHEN event_id % 10 = 0 THEN ' password=hunter' || CAST(event_id AS VARCHAR) ELSE '' END")
+_WARN_MSG = f"'Retrying call to ' || {_DEP} || ' for user ' || CAST(user_id AS VARCHAR) || ' after ' || {_MS} || 'ms'"
+_PLAIN_MSG = f"'Handled ' || event_type || ' for user ' || CAST(user_id AS VARCHAR) || ' in ' || {_MS} || 'ms'"
+# line: as stored; message: what reading the structured line must give
 SQL_LOGS_ONLY = f"""logs AS (SELECT event_id, ts, namespace, service AS container,
   CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' WHEN 'view' THEN 'debug' ELSE 'info' END AS level,
   service || '-' || CAST(user_id % 3 AS VARCHAR) AS pod,
-  CASE WHEN event_type = 'error' THEN 'Dependency ' || {_DEP} || ' timed out after ' || {_MS} || 'ms while processing ord_' || left(sha256(CAST(event_id AS VARCHAR)), 12)
-       WHEN event_type = 'signup' THEN 'Retrying call to ' || {_DEP} || ' for user ' || CAST(user_id AS VARCHAR) || ' after ' || {_MS} || 'ms'
-       ELSE 'Handled ' || event_type || ' for user ' || CAST(user_id AS VARCHAR) || ' in ' || {_MS} || 'ms' END AS line
+  CASE WHEN event_type = 'error' THEN '{{"level":"error","msg":"' || {_ERROR_MSG} || '","operation":"checkout","dependency":"' || {_DEP}
+         || '","correlationId":"c-' || CAST(event_id AS VARCHAR) || '"}}'
+       WHEN event_type = 'signup' THEN '{{"level":"warn","msg":"' || {_WARN_MSG} || '","correlationId":"c-' || CAST(event_id AS VARCHAR) || '"}}'
+       ELSE {_PLAIN_MSG} END AS line,
+  CASE WHEN event_type = 'error' THEN {_ERROR_MSG} || ' (operation=checkout, dependency=' || {_DEP} || ', correlationId=c-' || CAST(event_id AS VARCHAR) || ')'
+       WHEN event_type = 'signup' THEN {_WARN_MSG} || ' (correlationId=c-' || CAST(event_id AS VARCHAR) || ')'
+       ELSE {_PLAIN_MSG} END AS message
   FROM ev)"""
 
 
