@@ -1,18 +1,15 @@
 """Semantic memory: cosine distance, exact faceted top-K search (with the
 relaxed fallback), runbook section splitting, content hashing and the
-re-index delta, plus an approximate (LSH) search with exact re-rank.
+re-index delta, plus an approximate search over cells with exact re-rank.
 
 Exact search layout
 -------------------
-The query batch (new incidents, category centroids: small) is size-checked
-and broadcast; every corpus partition is scanned where it lies with one
-vectorised numpy pass per Arrow batch (matrix product, masks for the facets,
-per-query top-K by (distance, id)). No (query, memory) pair becomes a row and
-the corpus is never shuffled. Every partition's top-K contains the global
-top-K restricted to that partition, so a final ``row_number`` over the small
-per-partition results is exact. A batch above the bound takes the other way:
-the corpus is hashed into blocks, the batch replicated per block, and the
-two sides co-grouped.
+One plan for any number of queries and memories: the corpus is hashed into
+blocks, the queries meet every block, and a block is scanned by tiles of
+queries and memories with numpy (matrix product, facet masks, top-K by
+(distance, id)). No (query, memory) pair becomes a row. Every block's top-K
+contains the global top-K restricted to it, so a final ``row_number`` over the
+small per-block results is exact.
 """
 
 from __future__ import annotations
@@ -29,7 +26,7 @@ SEARCH_SCHEMA = (
     "query_id string, id string, kind string, source_ref string, workload string, category string, "
     "incident_id string, distance double, mode string, has_facet boolean"
 )
-CHUNK = 8192
+QUERY_TILE, MEMORY_TILE = 256, 8192  # a tile of distances is 16 MB
 
 # Runbook file name -> incident category.
 RUNBOOK_CATEGORY = {
@@ -64,114 +61,61 @@ def _blank(s: pd.Series) -> np.ndarray:
     return s.isna().to_numpy() | (s.fillna("").str.strip() == "").to_numpy()
 
 
-def _block_search(top_k: int, max_distance: float, relaxed: bool):
-    def run(corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if corpus.empty or queries.empty:
-            return pd.DataFrame(columns=[c.split(" ")[0] for c in SEARCH_SCHEMA.split(", ")])
-        Q = np.vstack([np.asarray(v, dtype=np.float64) for v in queries["embedding"]])
-        qn = np.linalg.norm(Q, axis=1)
-        q_kind, q_wl, q_cat, q_ex = (queries[c] for c in ("kind", "workload", "category", "exclude_incident_id"))
-        q_kind_any = _blank(q_kind)
-        q_wl_any = _blank(q_wl)
-        q_cat_any = _blank(q_cat)
-        q_ex_none = q_ex.isna().to_numpy()
-        has_facet = ~(q_wl_any & q_cat_any)
-        out = []
-        for start in range(0, len(corpus), CHUNK):
-            part = corpus.iloc[start:start + CHUNK]
-            A = np.vstack([np.asarray(v, dtype=np.float64) for v in part["embedding"]])
-            an = np.linalg.norm(A, axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dist = 1.0 - (Q @ A.T) / np.outer(qn, an)
-            c_kind = part["kind"].to_numpy(dtype=object)
-            c_wl = part["workload"].to_numpy(dtype=object)
-            c_cat = part["category"].to_numpy(dtype=object)
-            c_inc = part["incident_id"].to_numpy(dtype=object)
-            kind_ok = q_kind_any[:, None] | (c_kind[None, :] == q_kind.to_numpy(dtype=object)[:, None])
-            excl_ok = q_ex_none[:, None] | pd.isna(c_inc)[None, :] | (c_inc[None, :] != q_ex.to_numpy(dtype=object)[:, None])
-            base = kind_ok & excl_ok & (dist <= max_distance)
-            wl_ok = q_wl_any[:, None] | pd.isna(c_wl)[None, :] | (c_wl[None, :] == q_wl.to_numpy(dtype=object)[:, None])
-            cat_ok = q_cat_any[:, None] | pd.isna(c_cat)[None, :] | (c_cat[None, :] == q_cat.to_numpy(dtype=object)[:, None])
-            modes = [("strict", base & wl_ok & cat_ok)]
-            if relaxed:
-                modes.append(("relaxed", base))
-            for mode, mask in modes:
-                masked = np.where(mask, dist, np.inf)
-                k = min(top_k, masked.shape[1])
-                kth = np.partition(masked, k - 1, axis=1)[:, k - 1]
-                qi, ci = np.nonzero((masked <= kth[:, None]) & mask)
-                if len(qi) == 0:
-                    continue
-                out.append(pd.DataFrame({
-                    "qi": qi, "query_id": queries["query_id"].to_numpy()[qi],
-                    "id": part["id"].to_numpy()[ci], "kind": c_kind[ci], "source_ref": part["source_ref"].to_numpy()[ci],
-                    "workload": c_wl[ci], "category": c_cat[ci], "incident_id": c_inc[ci],
-                    "distance": dist[qi, ci], "mode": mode, "has_facet": has_facet[qi],
-                }))
-        if not out:
-            return pd.DataFrame(columns=[c.split(" ")[0] for c in SEARCH_SCHEMA.split(", ")])
-        res = pd.concat(out, ignore_index=True).sort_values(["qi", "mode", "distance", "id"])
-        res = res.groupby(["qi", "mode"], sort=False).head(top_k)
-        return res.drop(columns=["qi"])
+def _tile(Q, queries: pd.DataFrame, part: pd.DataFrame, top_k: int, max_distance: float, relaxed: bool) -> list[pd.DataFrame]:
+    """Matches of one tile of queries against one tile of memories."""
+    A = np.vstack([np.asarray(v, dtype=np.float64) for v in part["embedding"]])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dist = 1.0 - (Q @ A.T) / np.outer(np.linalg.norm(Q, axis=1), np.linalg.norm(A, axis=1))
+
+    def equal(column, name):  # a blank facet of the query matches all, a NULL one of the memory too
+        q = queries[name]
+        return _blank(q)[:, None] | pd.isna(column)[None, :] | (column[None, :] == q.to_numpy(dtype=object)[:, None])
+
+    kind, wl, cat, inc = (part[c].to_numpy(dtype=object) for c in ("kind", "workload", "category", "incident_id"))
+    kind_ok = _blank(queries["kind"])[:, None] | (kind[None, :] == queries["kind"].to_numpy(dtype=object)[:, None])
+    excluded = queries["exclude_incident_id"]
+    other = excluded.isna().to_numpy()[:, None] | pd.isna(inc)[None, :] | (inc[None, :] != excluded.to_numpy(dtype=object)[:, None])
+    base = kind_ok & other & (dist <= max_distance)
+    has_facet = ~(_blank(queries["workload"]) & _blank(queries["category"]))
+    modes = [("strict", base & equal(wl, "workload") & equal(cat, "category"))]
+    if relaxed:
+        modes.append(("relaxed", base))
+    out = []
+    for mode, mask in modes:
+        masked = np.where(mask, dist, np.inf)
+        k = min(top_k, masked.shape[1])
+        kth = np.partition(masked, k - 1, axis=1)[:, k - 1]
+        qi, ci = np.nonzero((masked <= kth[:, None]) & mask)
+        if len(qi):
+            out.append(pd.DataFrame({
+                "query_id": queries["query_id"].to_numpy()[qi], "id": part["id"].to_numpy()[ci], "kind": kind[ci],
+                "source_ref": part["source_ref"].to_numpy()[ci], "workload": wl[ci], "category": cat[ci], "incident_id": inc[ci],
+                "distance": dist[qi, ci], "mode": mode, "has_facet": has_facet[qi],
+            }))
+    return out
 
-    return run
 
+def _block_search(top_k: int, max_distance: float, relaxed: bool):
+    names = [c.split(" ")[0] for c in SEARCH_SCHEMA.split(", ")]
 
-def _partial_search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool,
-                    corpus_blocks: int | None, strategy: str) -> DataFrame:
-    """Per-partition top-K candidates (at most K per query, mode and partition)."""
-    spark = corpus.sparkSession
-    cols_c = ["id", "kind", "incident_id", "source_ref", "workload", "category", "embedding"]
-    cols_q = ["query_id", "embedding", "kind", "workload", "category", "exclude_incident_id"]
-    fn = _block_search(params.top_k, params.max_distance, relaxed)
-    q = queries.select(*cols_q)
-    if strategy in ("auto", "broadcast"):
-        # The query batch is a driver-sized input (new incidents of a pass,
-        # one centroid per category). The collect itself is bounded: at most
-        # max_broadcast_queries + 1 rows ever reach the driver.
-        qp = q.limit(params.max_broadcast_queries + 1).toPandas()
-        n = len(qp)
-        if n <= params.max_broadcast_queries:
-            shipped = spark.sparkContext.broadcast(qp)
-
-            def scan(batches):
-                qp = shipped.value
-                got = [fn(b, qp) for b in batches]
-                got = [g for g in got if len(g)]
-                if got:
-                    out = pd.concat(got, ignore_index=True).sort_values(["query_id", "mode", "distance", "id"])
-                    yield out.groupby(["query_id", "mode"], sort=False).head(params.top_k)
-
-            return corpus.select(*cols_c).mapInPandas(scan, SEARCH_SCHEMA)
-        if strategy == "broadcast":
-            raise ValueError(f"query batch exceeds max_broadcast_queries={params.max_broadcast_queries}")
-    # Large query batches: co-group corpus blocks with the replicated batch.
-    c = corpus.select(*cols_c)
-    nb = corpus_blocks or max(1, c.rdd.getNumPartitions())
-    cb = c.withColumn("__cb", F.pmod(F.xxhash64("id"), F.lit(nb)))
-    qb = q.withColumn("__cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))))
-    return cb.groupBy("__cb").cogroup(qb.groupBy("__cb")).applyInPandas(
-        lambda cc, qq: fn(cc.drop(columns="__cb"), qq.drop(columns="__cb")), SEARCH_SCHEMA
-    )
-
+    def run(corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame(columns=names)]
+        for q0 in range(0, len(queries) if len(corpus) else 0, QUERY_TILE):
+            tile = queries.iloc[q0:q0 + QUERY_TILE]
+            Q = np.vstack([np.asarray(v, dtype=np.float64) for v in tile["embedding"]])
+            got = []
+            for c0 in range(0, len(corpus), MEMORY_TILE):
+                got += _tile(Q, tile, corpus.iloc[c0:c0 + MEMORY_TILE], top_k, max_distance, relaxed)
+            if got:
+                best = pd.concat(got, ignore_index=True).sort_values(["query_id", "mode", "distance", "id"])
+                found.append(best.groupby(["query_id", "mode"], sort=False).head(top_k))
+        return pd.concat([f for f in found if len(f)] or found[:1], ignore_index=True)[names]
 
-def search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool = False,
-           corpus_blocks: int | None = None, strategy: str = "auto") -> DataFrame:
-    """Exact faceted nearest-neighbour search for a batch of queries.
+    return run
 
-    Filters (as in the service): kind equal; workload / category either NULL
-    on the memory or equal; the query's own incident excluded; distance at
-    most ``max_distance``; top ``top_k`` by distance (ties by id). With
-    ``relaxed=True`` a query that gave a facet but found nothing is answered
-    without the facets (kind and self-exclusion still apply); both result
-    sets come from the same pass.
 
-    ``strategy``: "broadcast" ships the (size-checked) query batch to every
-    task and scans the corpus where it lies (no corpus shuffle);
-    "cogroup" hashes the corpus into blocks and replicates the batch per
-    block (for batches above ``max_broadcast_queries``); "auto" picks.
-    """
-    partial = _partial_search(corpus, queries, params, relaxed, corpus_blocks, strategy)
+def _best(partial: DataFrame, params: Params, relaxed: bool) -> DataFrame:
+    """Top-K per query and mode; the relaxed rows only where a facetted query has no strict one."""
     w = Window.partitionBy("query_id", "mode").orderBy("distance", "id")
     ranked = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= params.top_k)
     if not relaxed:
@@ -185,6 +129,29 @@ def search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool
     return ranked.filter(keep).drop("has_facet", "__has_strict")
 
 
+CORPUS_COLUMNS = ["id", "kind", "incident_id", "source_ref", "workload", "category", "embedding"]
+QUERY_COLUMNS = ["query_id", "embedding", "kind", "workload", "category", "exclude_incident_id"]
+
+
+def search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool = False, blocks: int | None = None) -> DataFrame:
+    """Exact faceted nearest-neighbour search for a batch of queries.
+
+    Filters (as in the service): kind equal; workload / category either NULL
+    on the memory or equal; the query's own incident excluded; distance at
+    most ``max_distance``; top ``top_k`` by distance (ties by id). With
+    ``relaxed=True`` a query that gave a facet but found nothing is answered
+    without the facets (kind and self-exclusion still apply); both result
+    sets come from the same pass. ``blocks``: of the corpus (default: the
+    session's shuffle partitions).
+    """
+    n = blocks or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = corpus.select(*CORPUS_COLUMNS, F.pmod(F.xxhash64("id"), F.lit(n)).alias("__c"))
+    q = queries.select(*QUERY_COLUMNS, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("__q"))
+    fn = _block_search(params.top_k, params.max_distance, relaxed)
+    partial = c.groupBy("__c").cogroup(q.groupBy("__q")).applyInPandas(fn, SEARCH_SCHEMA)
+    return _best(partial, params, relaxed)
+
+
 def to_evidence(matches: DataFrame, kind: str) -> DataFrame:
     """SM6: matches as HistoricalIncident / Runbook evidence rows: id from the
     source ref, observed at the remembered time, a summary that says plainly
@@ -217,34 +184,33 @@ def split_sections(docs: DataFrame, file_col: str = "file_name", text_col: str =
     """Markdown -> one row per ``## `` section.
 
     Document title = first ``# `` line (else the file name); lines before the
-    first heading are dropped; a heading followed by at least one line (even
-    a blank one) yields a section whose body is the trimmed text.
+    first heading are dropped; a heading with a title followed by at least one
+    line (even a blank one) yields a section whose body is the trimmed text; a
+    heading without a title ends a section and opens none. All within the
+    document's row, by array functions.
     source_ref = ``file#heading-lower-with-dashes``.
     """
     from vigil.functions.text import trim_ws
 
-    lines = docs.select(file_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    title_of = docs.select(
-        file_col,
+    lines = F.split(F.col(text_col), "\n")
+    own = docs.select(
+        file_col, lines.alias("__l"),
         F.coalesce(
-            trim_ws(F.substring(F.get(F.filter(F.split(F.col(text_col), "\n"), lambda l: l.startswith("# ")), 0), 3, 1 << 30)),
+            trim_ws(F.substring(F.get(F.filter(lines, lambda l: l.startswith("# ")), 0), 3, 1 << 30)),
             F.col(file_col),
         ).alias("doc_title"),
+        F.filter(F.transform(lines, lambda l, i: F.when(l.startswith("## "), i)), lambda i: i.isNotNull()).alias("__h"),
     )
-    is_h = F.col("line").startswith("## ")
-    w = Window.partitionBy(file_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    tagged = lines.withColumn("__h", F.sum(is_h.cast("int")).over(w)).filter(F.col("__h") > 0)
-    sec = tagged.groupBy(file_col, "__h").agg(
-        F.max(F.when(is_h, trim_ws(F.substring("line", 4, 1 << 30)))).alias("heading"),
-        F.sort_array(F.collect_list(F.when(~is_h, F.struct("pos", "line")))).alias("__body"),
-    ).filter(F.size("__body") > 0)
-    body = trim_ws(F.array_join(F.transform("__body", lambda x: x["line"]), "\n"))
-    out = sec.join(title_of, file_col).select(
-        file_col,
-        F.col("__h").alias("section_no"),
-        "doc_title",
-        "heading",
-        body.alias("body"),
+    sec = own.select(file_col, "doc_title", "__l", F.size("__l").alias("__n"), "__h", F.posexplode("__h").alias("__k", "__at"))
+    end = F.coalesce(F.get("__h", F.col("__k") + 1), F.col("__n"))
+    sec = sec.select(
+        file_col, "doc_title", (F.col("__k") + 1).cast("long").alias("section_no"),
+        trim_ws(F.substring(F.get("__l", F.col("__at")), 4, 1 << 30)).alias("heading"),
+        F.slice("__l", F.col("__at") + 2, end - F.col("__at") - 1).alias("__body"),
+    ).filter((F.col("heading") != "") & (F.size("__body") > 0))
+    out = sec.select(
+        file_col, "section_no", "doc_title", "heading",
+        trim_ws(F.array_join("__body", "\n")).alias("body"),
         F.concat(F.col(file_col), F.lit("#"), F.regexp_replace(F.lower("heading"), " ", "-")).alias("source_ref"),
         F.concat_ws(" - ", "doc_title", "heading").alias("title"),
     )
@@ -287,24 +253,48 @@ def dim_check(vectors: DataFrame, dim: int, col: str = "embedding") -> DataFrame
     return vectors.withColumn("dim_ok", F.size(col) == dim)
 
 
-def ann_search(corpus: DataFrame, queries: DataFrame, params: Params, bucket_length: float = 1.0,
-               num_tables: int = 4, seed: int = 7) -> DataFrame:
-    """Approximate search: LSH candidates on L2-normalised vectors
-    (cosine d = L2^2 / 2), then exact re-rank of the candidates only."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df, idc):
-        n = F.sqrt(dot("embedding", "embedding"))
-        return df.select(idc, F.transform("embedding", lambda x: x / n).alias("u")).withColumn("features", array_to_vector("u"))
-
-    c = unit(corpus, "id")
-    q = unit(queries.withColumnRenamed("query_id", "qid"), "qid")
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(c)
-    thr = float(np.sqrt(2 * params.max_distance))
-    pairs = lsh.approxSimilarityJoin(q, c, thr, distCol="l2")
-    cand = pairs.select(F.col("datasetA.qid").alias("query_id"), F.col("datasetB.id").alias("id"),
-                        (F.col("l2") * F.col("l2") / 2).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= params.top_k)
+def pivots(corpus: DataFrame, params: Params) -> DataFrame:
+    """One row: ``ann_cells`` memories (those with the smallest MD5 of their id) as unit vectors.
+
+    The number of pivots is a parameter, so the row is bounded.
+    """
+    some = corpus.select("id", "embedding").filter(dot("embedding", "embedding") > 0).orderBy(F.md5("id"), "id").limit(params.ann_cells)
+    norm = F.sqrt(dot("embedding", "embedding"))
+    unit = F.transform(F.col("embedding").cast("array<double>"), lambda x: x / norm)
+    return some.agg(F.sort_array(F.collect_list(F.struct(F.md5("id").alias("k"), "id", unit.alias("unit")))).alias("pivots"))
+
+
+def cells(vectors: DataFrame, pivot_row: DataFrame, n: int, out: str) -> DataFrame:
+    """Each vector with the numbers of its ``n`` nearest pivots, one row per pivot."""
+    near = F.transform("pivots", lambda p, i: F.struct((-dot("embedding", p["unit"])).alias("d"), i.alias("i")))
+    joined = vectors.crossJoin(F.broadcast(pivot_row))  # one row
+    return joined.withColumn(out, F.explode(F.transform(F.slice(F.array_sort(near), 1, n), lambda x: x["i"]))).drop("pivots")
+
+
+def ann_search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool = True) -> DataFrame:
+    """Approximate search: the corpus falls into cells around pivots, a query
+    looks into its ``ann_probes`` nearest cells, and what it finds there goes
+    through the same facets, self-exclusion, distances and ranks as ``search``.
+    """
+    row = pivots(corpus, params)
+    c = cells(corpus.select(*CORPUS_COLUMNS).filter(dot("embedding", "embedding") > 0), row, 1, "__c")
+    q = cells(queries.select(*(F.col(x).alias(x if x in ("query_id", "embedding") else f"q_{x}") for x in QUERY_COLUMNS)), row,
+              params.ann_probes, "__q").withColumnRenamed("embedding", "q")
+    pairs = c.join(q, F.col("__c") == F.col("__q"))
+
+    def blank(name):
+        return F.col(name).isNull() | (F.trim(name) == "")
+
+    def equal(name):
+        return blank(f"q_{name}") | F.col(name).isNull() | (F.col(name) == F.col(f"q_{name}"))
+
+    base = (blank("q_kind") | F.coalesce(F.col("kind") == F.col("q_kind"), F.lit(False))) & (
+        F.col("q_exclude_incident_id").isNull() | F.col("incident_id").isNull() | (F.col("incident_id") != F.col("q_exclude_incident_id")))
+    found = pairs.filter(base).withColumn("distance", cosine_distance("q", "embedding")).filter(
+        F.col("distance") <= params.max_distance)
+    modes = F.array_compact(F.array(F.when(equal("workload") & equal("category"), F.lit("strict")),
+                                    F.lit("relaxed") if relaxed else F.lit(None).cast("string")))
+    partial = found.select(
+        "query_id", "id", "kind", "source_ref", "workload", "category", "incident_id", "distance", F.explode(modes).alias("mode"),
+        (~(blank("q_workload") & blank("q_category"))).alias("has_facet"))
+    return _best(partial, params, relaxed)

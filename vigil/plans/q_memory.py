@@ -55,7 +55,7 @@ SELECT m.id, round({_dist_sql('q.embedding', 'm.embedding')}, {R6}) AS distance
 def q_cosine_distance(spark, sf):
     m = T.memory(spark, sf)
     q = T.memory_queries(spark, sf).select("category", F.col("embedding").alias("q"))
-    j = m.join(F.broadcast(q), "category")  # one centroid per category: bounded by the category count
+    j = m.join(q, "category")
     return j.select("id", F.round(SM.cosine_distance("embedding", "q"), R6).alias("distance"))
 
 
@@ -106,7 +106,7 @@ tg AS (SELECT *, starts_with(line, '## ') AS is_h,
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS h FROM ln),
 sec AS (SELECT file_name, h, max(CASE WHEN is_h THEN {sql_trim_ws('substr(line, 4)')} END) AS heading,
   list(line ORDER BY pos) FILTER (WHERE NOT is_h) AS body_lines FROM tg WHERE h > 0 GROUP BY ALL
-  HAVING count(*) FILTER (WHERE NOT is_h) > 0),
+  HAVING count(*) FILTER (WHERE NOT is_h) > 0 AND max(CASE WHEN is_h THEN {sql_trim_ws('substr(line, 4)')} END) <> ''),
 tt AS (SELECT file_name, coalesce({sql_trim_ws("substr(list_filter(string_split(markdown, chr(10)), lambda l: starts_with(l, '# '))[1], 3)")},
   file_name) AS doc_title FROM md),
 sections AS (SELECT sec.file_name, h AS section_no, doc_title, heading,
@@ -227,8 +227,49 @@ def q_retrieval_query_text(spark, sf):
     return o.select("o_orderkey", txt.alias("query_text"))
 
 
-@register("ann_search")
+def _unit_dot(a: str, b: str) -> str:
+    return f"(list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[]))))"
+
+
+SQL_ANN = _search_sql(
+    T.SQL_INCIDENT_QUERIES + f""",
+pv AS (SELECT embedding AS p, row_number() OVER (ORDER BY md5(id), id) - 1 AS cell FROM mem ORDER BY md5(id), id LIMIT {P.ann_cells}),
+mc AS (SELECT id, cell FROM (SELECT id, cell, row_number() OVER (PARTITION BY id ORDER BY {_unit_dot('embedding', 'p')} DESC, cell) AS n FROM mem, pv) WHERE n = 1),
+qc AS (SELECT query_id, cell FROM (SELECT query_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY {_unit_dot('embedding', 'p')} DESC, cell) AS n
+  FROM queries, pv) WHERE n <= {P.ann_probes})""", True,
+    f"SELECT query_id, id, round(distance, {R6}) AS distance, mode, rank FROM res").replace(
+    "<> q.exclude_incident_id)),", "<> q.exclude_incident_id)\n   AND EXISTS (SELECT 1 FROM mc JOIN qc USING (cell) WHERE mc.id = m.id AND qc.query_id = q.query_id)),")
+
+
+@register("ann_search", sql=SQL_ANN)
 def q_ann_search(spark, sf):
-    """LSH candidates + exact re-rank; approximate, so no SQL twin (recall is
-    checked against the exact search in the tests)."""
-    return SM.ann_search(T.memory(spark, sf), T.memory_queries(spark, sf), P)
+    """Cells around pivots, same facets and self-exclusion as the exact search."""
+    r = SM.ann_search(T.memory(spark, sf), T.incident_queries(spark, sf), P)
+    return r.select("query_id", "id", F.round("distance", R6).alias("distance"), "mode", "rank")
+
+
+@register(
+    "ann_recall",
+    sql=SQL_ANN.rsplit("\n", 1)[0] + f""",
+xp AS (SELECT q.query_id, m.id, {_dist_sql('q.embedding', 'm.embedding')} AS distance,
+  NOT (q.workload IS NULL AND q.category IS NULL) AS has_facet,
+  (q.workload IS NULL OR m.workload IS NULL OR m.workload = q.workload)
+  AND (q.category IS NULL OR m.category IS NULL OR m.category = q.category) AS facet_ok
+  FROM queries q JOIN mem m ON (q.kind IS NULL OR m.kind = q.kind)
+   AND (q.exclude_incident_id IS NULL OR m.incident_id IS NULL OR m.incident_id <> q.exclude_incident_id)),
+xs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM xp
+  WHERE distance <= {P.max_distance} AND facet_ok) WHERE rank <= {P.top_k}),
+xr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM xp
+  WHERE distance <= {P.max_distance}) WHERE rank <= {P.top_k}),
+exact AS (SELECT query_id, id FROM xs UNION ALL SELECT query_id, id FROM xr WHERE has_facet AND query_id NOT IN (SELECT query_id FROM xs))
+SELECT exact.query_id, count(*) AS exact, count(res.id) AS found, round(count(res.id) / count(*), {R6}) AS recall
+FROM exact LEFT JOIN res ON res.query_id = exact.query_id AND res.id = exact.id GROUP BY exact.query_id""",
+)
+def q_ann_recall(spark, sf):
+    """Share of the exact matches of each query that the approximate search returns."""
+    m, q = T.memory(spark, sf), T.incident_queries(spark, sf)
+    exact = SM.search(m, q, P, relaxed=True).select("query_id", "id")
+    found = SM.ann_search(m, q, P).select("query_id", "id", F.lit(1).alias("hit"))
+    g = exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("exact"), F.count("hit").alias("found"))
+    return g.withColumn("recall", F.round(F.col("found") / F.col("exact"), R6))
