@@ -98,24 +98,37 @@ def unhealthy(pods: DataFrame) -> DataFrame:
     return p.filter((F.col("phase") != "Running") | ~F.col("ready")).select("namespace", "pod", "phase", "ready", "restarts")
 
 
-def workload_names(pods: DataFrame) -> DataFrame:
-    """K5: distinct workload names in binary order."""
-    p = restart_counts(pods)
-    return p.select("namespace", "workload").distinct().orderBy("namespace", "workload")
+def workload_names(deployments: DataFrame) -> DataFrame:
+    """K5: the names of the Deployments of each namespace, in binary order."""
+    d = deployments.select(F.col("metadata.namespace").alias("namespace"), F.col("metadata.name").alias("workload"))
+    return d.distinct().orderBy("namespace", "workload")
+
+
+MAX_NAME = 63  # characters of a workload name
+
+
+def prefix_workloads(names: DataFrame, workloads: DataFrame) -> DataFrame:
+    """(namespace, involved, workload): the workloads whose name begins each object name.
+
+    Every prefix a workload can have is a row, so it is an equi-join.
+    """
+    d = names.select("namespace", "involved").distinct()
+    lengths = F.sequence(F.lit(1), F.least(F.length("involved"), F.lit(MAX_NAME)))
+    p = d.filter(F.col("involved") != "").select("namespace", "involved", F.explode(lengths).alias("n")).select(
+        "namespace", "involved", F.col("involved").substr(F.lit(1), F.col("n")).alias("workload"))
+    return p.join(workloads.select("namespace", "workload").distinct(), ["namespace", "workload"])
 
 
 def k8s_events(events: DataFrame, workloads: DataFrame | None, since, limit: int | None = 200) -> DataFrame:
     """K3 for every workload at once: occurred = last ?? event ?? first time;
     drop NULL or older than ``since``; the involved object name must start
-    with the workload name (a prefix join against the small, distinct
-    workload list, broadcast); newest first, ``limit`` per workload."""
+    with the workload name; newest first, ``limit`` per workload."""
     occurred = F.coalesce("lastTimestamp", "eventTime", "firstTimestamp")
     e = events.select("*", occurred.alias("occurred_at"), F.coalesce(F.col("involvedObject.name"), F.lit("")).alias("involved"),
                       F.col("metadata.namespace").alias("namespace"))
     e = e.filter(F.col("occurred_at").isNotNull() & (F.col("occurred_at") >= F.lit(since)))
     if workloads is not None:
-        wl = workloads.select(F.col("namespace").alias("w_ns"), F.col("workload")).distinct()
-        e = e.join(F.broadcast(wl), (e["namespace"] == wl["w_ns"]) & e["involved"].startswith(wl["workload"])).drop("w_ns")
+        e = e.join(prefix_workloads(e, workloads), ["namespace", "involved"])
     else:
         e = e.withColumn("workload", F.lit(None).cast("string"))
     e = with_redaction(e, "message", "redacted_message", "redacted_value_count")
@@ -156,6 +169,16 @@ def deployment_status(deps: DataFrame) -> DataFrame:
     )
 
 
+def k8s_bundle(pods: DataFrame, deployments: DataFrame, events: DataFrame, workloads: DataFrame, since, limit: int = 200) -> DataFrame:
+    """Pods, deployments and the newest events of every workload, by
+    section: (section, namespace, workload, evidence_id, summary)."""
+    def part(df: DataFrame, section: str, workload: str = "workload") -> DataFrame:
+        return df.select(F.lit(section).alias("section"), "namespace", F.col(workload).alias("workload"), "evidence_id", "summary")
+
+    return (part(pod_status(pods), "pods").unionByName(part(deployment_status(deployments), "deployments", "deployment"))
+            .unionByName(part(k8s_events(events, workloads, since, limit), "events")))
+
+
 def node_status(nodes: DataFrame, by: list[str] | None = None, min_nodes: int = 3) -> DataFrame:
     """K8: role from label presence, Ready condition; the cluster is ready
     when every node is ready and there are at least ``min_nodes``."""

@@ -79,28 +79,34 @@ def scenario_signal(observed: DataFrame, scenarios: DataFrame, lines: DataFrame,
     fixed) candidate substrings it contains, so no group ever holds the lines."""
     low = F.lower(F.col("line"))
     hits = lines.select("scenario", F.explode(F.filter(F.array(*[F.lit(c) for c in candidates]),
-                                                       lambda c: low.contains(c))).alias("hit")).distinct()
-    seen_sub = hits.groupBy("scenario").agg(F.collect_set("hit").alias("found"))
+                                                       lambda c: low.contains(F.lower(c)))).alias("hit")).distinct()
+    seen_sub = hits.groupBy("scenario").agg(F.collect_set(F.lower("hit")).alias("found"))
     seen_cond = observed.groupBy("scenario").agg(F.collect_set("condition").alias("conditions"))
     j = scenarios.join(seen_sub, "scenario", "left").join(seen_cond, "scenario", "left")
     cond = F.coalesce("conditions", F.array().cast("array<string>"))
     found = F.coalesce("found", F.array().cast("array<string>"))
     cond_ok = F.when(F.size("expected_conditions") == 0, True).otherwise(F.arrays_overlap("expected_conditions", cond))
     logs_ok = F.forall("expected_log_substrings", lambda s: F.array_contains(found, F.lower(s)))
-    calm_ok = F.col("expect_disruption") | (F.size(cond) == 0)
+    disrupted = F.filter(cond, lambda c: c != "NotReady")  # not ready alone is no disruption
+    calm_ok = F.col("expect_disruption") | (F.size(disrupted) == 0)
     return j.select("scenario", F.coalesce(cond_ok, F.lit(False)).alias("condition_seen"), logs_ok.alias("log_substrings_seen"),
                     calm_ok.alias("no_unexpected_disruption"), (F.coalesce(cond_ok, F.lit(False)) & logs_ok & calm_ok).alias("passed"))
 
 
-def pod_reasons(pods: DataFrame, baseline: DataFrame) -> DataFrame:
+def pod_reasons(pods: DataFrame, baseline: DataFrame | None) -> DataFrame:
     """Per pod snapshot: NotReady / Restarted / waiting / last-termination
-    reasons; a termination counts only if the pod restarted since baseline."""
-    j = pods.join(baseline.select("namespace", "pod", F.col("restart_count").alias("base_restarts")), ["namespace", "pod"], "left")
-    restarted = F.col("restart_count") > F.coalesce("base_restarts", F.col("restart_count"))
+    reasons. A pod that the baseline does not know had no restarts then; a
+    termination counts if the pod restarted since, or without a baseline."""
+    if baseline is None:
+        j = pods.withColumn("base_restarts", F.lit(0))
+    else:
+        j = pods.join(baseline.select("namespace", "pod", F.col("restart_count").alias("base_restarts")), ["namespace", "pod"], "left")
+    restarted = F.col("restart_count") > F.coalesce("base_restarts", F.lit(0))
+    ended = restarted if baseline is not None else F.lit(True)
     reasons = F.array_compact(F.array(
         F.when(~F.col("ready"), F.lit("NotReady")),
         F.when(restarted, F.lit("Restarted")),
         F.col("waiting_reason"),
-        F.when(restarted, F.col("last_termination_reason")),
+        F.when(ended, F.col("last_termination_reason")),
     ))
     return j.select("namespace", "pod", "snapshot_ts", reasons.alias("reasons"))

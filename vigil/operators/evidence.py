@@ -11,8 +11,6 @@ from pyspark.sql import Window
 from vigil.functions.ids import SOURCE_LOGS, SOURCE_METRICS, KIND_PRIORITY
 
 EVIDENCE_COLUMNS = ["incident_id", "evidence_id", "kind", "source", "observed_at", "workload", "summary"]
-# Kinds a bundle is expected to contain when every source answered.
-EXPECTED_KINDS = ["KubernetesState", "Metric", "LogSignature"]
 
 
 def kind_priority(kind) -> Column:
@@ -64,18 +62,21 @@ def by_kind(evidence: DataFrame) -> DataFrame:
     )
 
 
-def completeness(evidence: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Unavailable sources = expected kinds with no evidence; complete when none."""
+def completeness(evidence: DataFrame, incidents: DataFrame, failures: DataFrame) -> DataFrame:
+    """Unavailable sources = those that failed (``failures``: incident_id,
+    source); a source that answered with nothing is available. Complete when
+    none failed. ``api_check``: complete, with cluster state and metrics."""
     kinds = evidence.groupBy("incident_id").agg(F.collect_set("kind").alias("kinds"))
-    j = incidents.select("incident_id").join(kinds, "incident_id", "left")
-    missing = F.array_except(F.array(*[F.lit(k) for k in EXPECTED_KINDS]), F.coalesce("kinds", F.array().cast("array<string>")))
-    kinds_or_empty = F.coalesce("kinds", F.array().cast("array<string>"))
-    complete = F.size(missing) == 0
+    failed = failures.groupBy("incident_id").agg(F.array_sort(F.collect_set("source")).alias("failed"))
+    j = incidents.select("incident_id").join(kinds, "incident_id", "left").join(failed, "incident_id", "left")
+    none = F.array().cast("array<string>")
+    have, failed = F.coalesce("kinds", none), F.coalesce("failed", none)
+    complete = F.size(failed) == 0
     return j.select(
         "incident_id",
-        F.array_sort(missing).alias("unavailable_sources"),
+        failed.alias("unavailable_sources"),
         complete.alias("is_complete"),
-        (complete & F.array_contains(kinds_or_empty, "KubernetesState") & F.array_contains(kinds_or_empty, "Metric")).alias("api_check"),
+        (complete & F.array_contains(have, "KubernetesState") & F.array_contains(have, "Metric")).alias("api_check"),
     )
 
 

@@ -21,38 +21,37 @@ def _shorten(col: Column, n: int = 60) -> Column:
     return F.when(F.length(col) <= n, col).otherwise(F.concat(F.substring(col, 1, n), F.lit("...")))
 
 
-def check_citations(claims: DataFrame, evidence: DataFrame, key: str, scope: str = "incident_id",
+def check_citations(claims: DataFrame, evidence: DataFrame, key: str, scope: str | None = "incident_id",
                     ids: str = "evidence_ids") -> DataFrame:
-    """Per claim (``key``): real ids, invented ids, counts.
+    """Claims with real_ids, invented_ids (distinct) and cited_count, in citation order.
 
-    The citation list is exploded with positions and left-joined to the
-    evidence ids of the same scope (an equi-join on (scope, id), so it is a
-    partitioned hash/sort-merge join at any size), then re-assembled in
-    citation order.
+    The ids that exist in a claim's scope meet its citations in one join. An
+    incident's evidence is trimmed before it is shown, so its set of ids is
+    small. Without a scope (cluster reports, which may cite whatever they were
+    given) the evidence is unbounded: each cited id is looked up on its own.
     """
-    ex = claims.select(key, scope, F.posexplode_outer(ids).alias("pos", "cited"))
-    known = evidence.select(F.col(scope).alias("__s"), F.col("evidence_id").alias("__id")).distinct().withColumn("__ok", F.lit(True))
-    j = ex.join(known, (ex[scope] == known["__s"]) & (ex["cited"] == known["__id"]), "left")
-    ok = F.coalesce(F.col("__ok"), F.lit(False))
-    agg = j.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.when(ok, F.struct("pos", "cited")))).alias("__real"),
-        F.sort_array(F.collect_list(F.when(~ok & F.col("cited").isNotNull(), F.struct("pos", "cited")))).alias("__inv"),
-        F.count("cited").alias("cited_count"),
-    )
-    return agg.select(
-        key,
-        F.transform("__real", lambda x: x["cited"]).alias("real_ids"),
-        F.array_distinct(F.transform("__inv", lambda x: x["cited"])).alias("invented_ids"),
-        "cited_count",
-    )
+    cited = F.filter(F.coalesce(F.col(ids), F.array().cast("array<string>")), lambda x: x.isNotNull())
+    if scope is None:
+        known = evidence.select(F.col("evidence_id").alias("__id")).distinct()
+        hit = claims.select(F.col(key).alias("__key"), F.explode(F.array_distinct(cited)).alias("__id")).join(known, "__id")
+        have = hit.groupBy("__key").agg(F.collect_set("__id").alias("__known"))
+        j = claims.join(have, F.col(key) == F.col("__key"), "left")
+    else:
+        have = evidence.groupBy(F.col(scope).alias("__key")).agg(F.collect_set("evidence_id").alias("__known"))
+        j = claims.join(have, F.col(scope) == F.col("__key"), "left")
+    known = F.coalesce("__known", F.array().cast("array<string>"))
+    return j.withColumns({
+        "real_ids": F.filter(cited, lambda x: F.array_contains(known, x)),
+        "invented_ids": F.array_distinct(F.filter(cited, lambda x: ~F.array_contains(known, x))),
+        "cited_count": F.size(cited).cast("bigint"),
+    }).drop("__key", "__known")
 
 
 def ground_hypotheses(hyps: DataFrame, evidence: DataFrame) -> DataFrame:
     """hyps: (hypothesis_id, investigation_id, incident_id, position, statement,
     confidence, evidence_ids, ...). Adds real/invented ids, ``rejected`` and the
     problem messages."""
-    chk = check_citations(hyps, evidence, "hypothesis_id")
-    h = hyps.join(chk, "hypothesis_id")
+    h = check_citations(hyps, evidence, "hypothesis_id")
     short = _shorten(F.col("statement"))
     invented_msg = F.when(
         F.size("invented_ids") > 0,
@@ -92,8 +91,9 @@ def conclusive(grounded: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def ground_report(reports: DataFrame, evidence: DataFrame, cluster: bool = False) -> DataFrame:
-    chk = check_citations(reports, evidence, "report_id")
-    r = reports.join(chk, "report_id")
+    """Reports with their real citations and problems. A cluster report belongs
+    to no incident: ``evidence`` is what cluster reports were given."""
+    r = check_citations(reports, evidence, "report_id", None if cluster else "incident_id")
     if cluster:
         dropped = F.col("cited_count") - F.size("real_ids")
         problems = F.array_compact(F.array(F.when(

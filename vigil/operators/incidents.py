@@ -3,7 +3,7 @@ state-transition audit, and the read-side views (list, get, in-flight, status)."
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -37,27 +37,54 @@ ALLOWED_TRANSITIONS = [
 ]
 
 
-def sessions(candidates: DataFrame, params: Params) -> DataFrame:
-    """Assign each candidate to an incident (gap sessionisation per fingerprint).
+def recovery_pass(detected_at, params: Params) -> Column:
+    """First pass more than ``recovery`` after a detection: where an incident without a newer one recovers."""
+    step = params.slide_seconds
+    return F.timestamp_seconds((F.floor((epoch_seconds(detected_at) + params.recovery_seconds) / step) + 1) * step)
 
-    A candidate joins the fingerprint's latest incident when the gap since
-    that incident's last detection is at most the cooldown, else it opens a
-    new one. With passes every ``slide`` this equals the service's open-state
-    rule as long as cooldown >= recovery + slide (checked here).
-    """
-    if params.cooldown_seconds < params.recovery_seconds + params.slide_seconds:
-        raise ValueError("gap sessionisation needs cooldown >= recovery + slide")
-    w = Window.partitionBy("fingerprint").orderBy("detected_at", "queue_rank")
-    gap = epoch_seconds("detected_at") - epoch_seconds(F.lag("detected_at").over(w))
-    new = F.when(gap.isNull() | (gap > params.cooldown_seconds), 1).otherwise(0)
-    c = candidates.withColumn("__new", new).withColumn(
-        "session_no", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    return c.drop("__new")
 
+def sessions(candidates: DataFrame, params: Params, closed: DataFrame | None = None) -> DataFrame:
+    """Assign each candidate to an incident of its fingerprint.
 
-def incidents(candidates: DataFrame, params: Params, replay_end: str = "replay_end") -> DataFrame:
-    """Candidates -> incidents with recovery.
+    A candidate joins the newest incident if that one is open or its last
+    detection is at most the cooldown ago; else it opens a new one. An
+    incident stays closed once it is.
+
+    Without a state log (``gap`` mode) passes run every ``slide``, so an
+    incident is closed from the first pass after ``recovery`` without a
+    detection. With one (``closed``: fingerprint, closed_at, the moves into a
+    final state) only the log closes incidents, so one that no pass could
+    close stays open however long the gap.
+    """
+    w = Window.partitionBy("fingerprint").orderBy("detected_at", "queue_rank")
+    before = F.lag("detected_at").over(w)
+    late = before.isNull() | (epoch_seconds("detected_at") - epoch_seconds(before) > params.cooldown_seconds)
+    if closed is None:
+        recovered = before.isNull() | (recovery_pass(before, params) < F.col("detected_at"))
+        c = candidates.withColumn("__new", (late & recovered).cast("int"))
+    else:
+        # Between two candidates farther apart than the cooldown lies the only
+        # place where an incident can end: it does if it was closed since the
+        # run of candidates before that gap began (an earlier closing would
+        # have ended it at an earlier gap).
+        log = closed.select("fingerprint", F.col("closed_at").alias("detected_at"), F.lit(-1).alias("queue_rank"),
+                            F.col("closed_at").alias("__closed"))
+        both = candidates.unionByName(log, allowMissingColumns=True)
+        real = F.col("__closed").isNull()
+        up_to = w.rowsBetween(Window.unboundedPreceding, -1)
+        prev = F.max(F.when(real, F.col("detected_at"))).over(up_to)
+        both = both.withColumn("__prev", prev).withColumn("__last_closed", F.max("__closed").over(up_to))
+        c = both.filter(real).withColumn("__late", F.col("__prev").isNull() | (
+            epoch_seconds("detected_at") - epoch_seconds("__prev") > params.cooldown_seconds))
+        run = F.last(F.when(F.col("__late"), F.col("detected_at")), ignorenulls=True).over(up_to)  # where the run before began
+        c = c.withColumn("__new", (F.col("__late") & (run.isNull() | F.coalesce(F.col("__last_closed") >= run, F.lit(False)))).cast("int"))
+        c = c.drop("__closed", "__prev", "__last_closed", "__late")
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    return c.withColumn("session_no", F.sum("__new").over(running)).drop("__new")
+
+
+def incidents(candidates: DataFrame, params: Params, replay_end: str = "replay_end", closed: DataFrame | None = None) -> DataFrame:
+    """Candidates -> incidents with recovery (``closed``: see ``sessions``).
 
     ``replay_end`` names a column holding the last pass instant of the replay
     (attach it with ``with_replay_end``: a one-row broadcast, not a global
@@ -69,12 +96,10 @@ def incidents(candidates: DataFrame, params: Params, replay_end: str = "replay_e
     detection in between (later detections within the cooldown still count
     against the same, now recovered, incident).
     """
-    s = sessions(candidates, params)
+    s = sessions(candidates, params, closed)
     ws = Window.partitionBy("fingerprint", "session_no").orderBy("detected_at", "queue_rank")
     s = s.withColumn("__next", F.lead("detected_at").over(ws))
-    step = params.slide_seconds
-    rp_sec = (F.floor((epoch_seconds("detected_at") + params.recovery_seconds) / step) + 1) * step
-    s = s.withColumn("__rp", F.timestamp_seconds(rp_sec))
+    s = s.withColumn("__rp", recovery_pass("detected_at", params))
     s = s.withColumn("__end", F.col(replay_end))
     recovers = (F.col("__next").isNotNull() & (F.col("__rp") < F.col("__next"))) | (
         F.col("__next").isNull() & (F.col("__rp") <= F.col("__end"))
@@ -144,17 +169,19 @@ def in_flight(inc: DataFrame) -> DataFrame:
     return inc.filter(F.col("state").isin(*IN_FLIGHT)).orderBy("first_detected_at", "incident_id")
 
 
-def cluster_status(inc: DataFrame) -> DataFrame:
-    by_state = inc.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
-    return by_state.agg(
-        F.sum(F.when(F.col("state").isin(*IN_FLIGHT), F.col("n")).otherwise(0)).alias("open_incidents"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("state", "n")))).alias("by_state"),
-    )
+def cluster_status(inc: DataFrame, queue: DataFrame) -> DataFrame:
+    """One row: number of open incidents, the open ones by state, and the work
+    queue's depth by state (``queue``: state, n), both as ``state=n`` text."""
+    def text(rows: DataFrame, name: str) -> DataFrame:
+        pairs = F.array_sort(F.collect_list(F.concat("state", F.lit("="), F.col("n").cast("string"))))  # one per state
+        return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total"), F.array_join(pairs, ";").alias(name))
+
+    by_state = text(inc.filter(F.col("state").isin(*IN_FLIGHT)).groupBy("state").agg(F.count(F.lit(1)).alias("n")), "incidents_by_state")
+    depth = text(queue, "work_queue").drop("total")
+    return by_state.withColumnRenamed("total", "open_incidents").crossJoin(depth)  # one row each
 
 
 def open_digest(inc: DataFrame, top: int = 10) -> DataFrame:
-    open_ = inc.filter(F.col("state").isin(*IN_FLIGHT))
+    """The first ``top`` of the open incidents, oldest first."""
     line = F.format_string("[%s] %s: %s", F.col("severity"), F.col("category"), F.col("title"))
-    return open_.orderBy(F.col("severity_rank").desc(), F.col("last_detected_at").desc(), "incident_id").limit(top).select(
-        "incident_id", line.alias("line")
-    )
+    return in_flight(inc).limit(top).select("incident_id", line.alias("line"))

@@ -233,3 +233,9 @@ def minute_bucket(ts) -> Column:
 def schedule_bucket(ts, seconds: int = 300) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(F.unix_seconds(c.cast("timestamp")) / F.lit(seconds)).cast("bigint")
+
+
+def targets_up(up: DataFrame, at_least: int = 5) -> DataFrame:
+    """Targets whose ``up`` sample is 1 at each pass (pass_ts, target, value), and whether they are enough."""
+    n = F.count(F.when(F.col("value") == 1, 1))
+    return up.groupBy("pass_ts").agg(n.alias("targets_up"), (n >= at_least).alias("ok"))

@@ -73,11 +73,8 @@ SELECT namespace, workload || '@' || strftime(snapshot_ts, '%Y%m%d') AS deployme
   2 AS conditions FROM pods GROUP BY namespace, workload, snapshot_ts""",
 )
 def q_src_deployments(spark, sf):
-    """Deployment objects (nested conditions) read through their schema;
-    read-back path is the same JSON reader as pods and events."""
-    path = KD._dir(spark, "deployments", sf)
-    KD._write_json(KD.deployments(spark, sf), path)
-    d = J.read_objects(spark, path, J.DEPLOYMENT)
+    """Deployment objects (nested conditions) parsed by their schema."""
+    d = KD.through_json(KD.deployments(spark, sf), J.DEPLOYMENT)
     return d.select(F.col("metadata.namespace").alias("namespace"), F.col("metadata.name").alias("deployment"),
                     F.col("spec.replicas").alias("replicas"), F.col("status.readyReplicas").alias("ready_replicas"),
                     F.size("status.conditions").alias("conditions"))
@@ -103,10 +100,10 @@ def q_restart_history(spark, sf):
 
 @register(
     "workload_names",
-    sql=SQL_POD_FACTS + "\nSELECT DISTINCT namespace, coalesce(workload, pod) AS workload FROM pf",
+    sql="WITH " + T.sql_pod_snapshots() + "\nSELECT DISTINCT namespace, workload || '@' || strftime(snapshot_ts, '%Y%m%d') AS workload FROM pods",
 )
 def q_workload_names(spark, sf):
-    return K.workload_names(KD.pods(spark, sf))
+    return K.workload_names(KD.deployments(spark, sf))
 
 
 @register(
@@ -137,7 +134,7 @@ ko AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'Warning' ELSE 'Norm
     || CASE WHEN event_id % 10 = 0 THEN ' password=hunter' || CAST(event_id AS VARCHAR) ELSE '' END AS message,
   k AS count, CASE WHEN event_id % 7 <> 0 THEN ts END AS lastTimestamp,
   CASE WHEN event_id % 7 = 0 AND event_id % 14 <> 0 THEN ts END AS eventTime, ts - INTERVAL 1 MINUTE AS firstTimestamp,
-  service || '-' || CAST(user_id AS VARCHAR) AS involved, namespace FROM ev WHERE event_type IN ('error', 'signup'))"""
+  service || '-' || CAST(user_id AS VARCHAR) AS involved, namespace FROM ev)"""
 SQL_EVENTS = SQL_EVENT_OBJECTS + """,
 """ + X.sql_redaction_ctes("ko", "event_id, type, reason, count, lastTimestamp, eventTime, firstTimestamp, involved, namespace", "message") + """,
 """ + T.SQL_PODS_ONLY + """,
@@ -158,7 +155,7 @@ kx AS (SELECT namespace, workload, involved, occurred_at,
 SELECT namespace, involved, type, reason, count, lastTimestamp AS last_ts, eventTime AS event_ts, firstTimestamp AS first_ts FROM ko""",
 )
 def q_src_events(spark, sf):
-    """Event objects written as JSON lines and read back with the schema."""
+    """Event objects parsed by their schema."""
     e = KD.events(spark, sf)
     return e.select(F.col("metadata.namespace").alias("namespace"), F.col("involvedObject.name").alias("involved"), "type", "reason",
                     "count", F.col("lastTimestamp").alias("last_ts"), F.col("eventTime").alias("event_ts"), F.col("firstTimestamp").alias("first_ts"))
@@ -314,7 +311,8 @@ def q_ingest_container_logs(spark, sf):
     path = _src_dir(spark, "cri", sf)
     lines = lg.select("container", F.explode(chunks).alias("value"))
     own = spark.createDataFrame([("collector", "2024-01-01T00:00:00.000000Z stdout F own line")], "container string, value string")
-    lines.unionByName(own).repartition("container").write.mode("overwrite").partitionBy("container").text(path)
+    # a line's chunks are neighbours in their task, and so in the file it writes for the container
+    lines.unionByName(own).write.mode("overwrite").partitionBy("container").text(path)
     got = J.read_cri(spark, path, exclude_prefix=None)
     got = got.withColumn("container", F.regexp_extract("file", r"container=([^/]+)/", 1)).filter(F.col("container") != "collector")
     return got.select("container", "log")
@@ -351,17 +349,13 @@ def q_ingest_lift_rename(spark, sf):
 @register(
     "sink_log_labels",
     sql="WITH " + T.sql_logs() + """
-SELECT CAST(date_trunc('day', ts) AS DATE) AS date, namespace, level, count(*) AS lines FROM logs
-WHERE namespace = 'prod' AND level = 'error' GROUP BY ALL""",
+SELECT CAST(date_trunc('day', ts) AS DATE) AS date, namespace, level, count(*) AS lines FROM logs GROUP BY ALL""",
 )
 def q_sink_log_labels(spark, sf):
-    """Logs written partitioned by (date, namespace, level) - the only index
-    labels - then read back with a filter that prunes partitions."""
+    """Logs written by label, read back and counted: every line of every label."""
     path = _src_dir(spark, "logs-by-label", sf)
-    lg = T.logs(spark, sf).withColumn("date", F.to_date("ts"))
-    lg.repartition("date", "namespace", "level").write.mode("overwrite").partitionBy("date", "namespace", "level").parquet(path)
-    back = spark.read.parquet(path).filter((F.col("namespace") == "prod") & (F.col("level") == "error"))
-    return back.groupBy("date", "namespace", "level").agg(F.count(F.lit(1)).alias("lines"))
+    J.write_logs_by_label(T.logs(spark, sf), path)
+    return spark.read.parquet(path).groupBy("date", "namespace", "level").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @register(
@@ -369,8 +363,11 @@ def q_sink_log_labels(spark, sf):
     sql="WITH " + T.sql_counter_samples() + """,
 lab AS (SELECT 'service' AS label, service AS v FROM counters UNION ALL SELECT 'status_class', status_class FROM counters
   UNION ALL SELECT 'namespace', namespace FROM counters)
-SELECT label, count(DISTINCT v) AS distinct_values, label IN ('service', 'namespace') AS required,
-  label IN ('pod_ip', 'correlation_id', 'user_id', 'order_id') AS forbidden FROM lab GROUP BY label""",
+SELECT label, count(DISTINCT v) AS distinct_values, label IN ('service', 'namespace', 'level') AS required,
+  label IN ('pod_ip', 'correlation_id', 'user_id', 'order_id', 'status_class') AS forbidden,
+  CASE label WHEN 'service' THEN array_to_string(list_filter(['billing', 'svc-0', 'svc-1'], lambda x: NOT list_contains(list(DISTINCT v), x)), ',') ELSE '' END AS missing_values,
+  CASE WHEN label = 'status_class' THEN 'forbidden' WHEN label = 'service' THEN 'incomplete' ELSE 'ok' END AS verdict FROM lab GROUP BY label
+UNION ALL SELECT 'level', 0, true, false, '', 'missing'""",
 )
 def q_label_cardinality_audit(spark, sf):
     c = T.counter_samples(spark, sf)
@@ -378,13 +375,16 @@ def q_label_cardinality_audit(spark, sf):
                               F.lit("namespace"), F.col("namespace")).alias("labels"))
     from vigil.operators.relabel import cardinality_audit
 
-    return cardinality_audit(m, required=["service", "namespace"], forbidden=["pod_ip", "correlation_id", "user_id", "order_id"])
+    return cardinality_audit(m, required=["service", "namespace", "level"],
+                             forbidden=["pod_ip", "correlation_id", "user_id", "order_id", "Status_Class"],
+                             expected={"service": ["svc-0", "svc-1", "billing"]})
 
 
 @register(
     "relabel",
     sql="WITH " + T.sql_counter_samples() + """
-SELECT service AS app, 'class_' || status_class AS klass, namespace FROM counters WHERE regexp_full_match(service, 'svc-[0-3]')""",
+SELECT service AS app, 'class_' || status_class AS klass, namespace, '10.0.0.1' AS pod_ip, '10.0.0.1' AS kept_meta
+FROM counters WHERE regexp_full_match(service, 'svc-[0-3]') AND NOT regexp_full_match(status_class, '4xx')""",
 )
 def q_relabel(spark, sf):
     from vigil.operators import relabel as RL
@@ -394,12 +394,16 @@ def q_relabel(spark, sf):
                               F.lit("namespace"), F.col("namespace"), F.lit("__meta_pod_ip"), F.lit("10.0.0.1")).alias("labels"))
     rules = [
         RL.Rule("keep", source=["service"], regex="svc-[0-3]"),
+        RL.Rule("drop", source=["status_class"], regex="4xx"),
+        RL.Rule("labelmap", regex="__meta_(.*)", replacement="$1"),
         RL.Rule("replace", source=["status_class"], regex="(.*)", target="klass", replacement="class_$1"),
         RL.Rule("replace", source=["service"], regex="(.*)", target="app", replacement="$1"),
-        RL.Rule("labeldrop", regex="__meta_.*|service|status_class"),
+        RL.Rule("labeldrop", regex="service|status_class"),
     ]
     out = RL.apply(m, "labels", rules)
-    return out.select(F.col("labels")["app"].alias("app"), F.col("labels")["klass"].alias("klass"), F.col("labels")["namespace"].alias("namespace"))
+    label = F.col("labels")
+    return out.select(label["app"].alias("app"), label["klass"].alias("klass"), label["namespace"].alias("namespace"),
+                      label["pod_ip"].alias("pod_ip"), label["__meta_pod_ip"].alias("kept_meta"))
 
 
 @register(

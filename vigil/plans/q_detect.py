@@ -9,10 +9,12 @@ from vigil.config import Params, replay_params
 from vigil.functions import text as X
 from vigil.operators import detect as D
 from vigil.operators import incidents as I
+from vigil.operators import reports as RP
 from vigil.operators.metrics import BUCKET_BOUNDS
 from vigil.operators.windows import sql_passes, sql_window_join
 from vigil.plans import replay as R
 from vigil.plans.registry import register
+from vigil.sources import orderdata as O
 from vigil.sources import testdata as T
 
 P = replay_params()
@@ -296,6 +298,40 @@ def q_incident_sessions(spark, sf):
     return inc_view(R.incidents(spark, sf, P))
 
 
+# A detector outage: no pass ran in these days, so nothing recovered in them either.
+OUTAGE = ("2024-01-08 00:00:00", "2024-01-13 00:00:00")
+SQL_OUTAGE = f"""pass_ts >= TIMESTAMP '{OUTAGE[0]}' AND pass_ts < TIMESTAMP '{OUTAGE[1]}'"""
+
+
+@register(
+    "incident_sessions_open",
+    sql=SQL_INCIDENTS + f""",
+live AS (SELECT * FROM sup WHERE NOT ({SQL_OUTAGE})),
+cl AS (SELECT fingerprint, recovered_at AS closed_at FROM incidents WHERE recovered_at IS NOT NULL AND NOT ({SQL_OUTAGE.replace('pass_ts', 'recovered_at')})),
+og AS (SELECT *, lag(pass_ts) OVER (PARTITION BY fingerprint ORDER BY pass_ts, queue_rank) AS prev FROM live),
+ol AS (SELECT *, prev IS NULL OR epoch(pass_ts) - epoch(prev) > {P.cooldown_seconds} AS late FROM og),
+orun AS (SELECT *, max(CASE WHEN late THEN pass_ts END) OVER (PARTITION BY fingerprint ORDER BY pass_ts, queue_rank
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM ol),
+onew AS (SELECT *, late AND (run IS NULL OR EXISTS (SELECT 1 FROM cl WHERE cl.fingerprint = orun.fingerprint
+  AND cl.closed_at >= orun.run AND cl.closed_at <= orun.pass_ts)) AS is_new FROM orun),
+oses AS (SELECT *, sum(CASE WHEN is_new THEN 1 ELSE 0 END) OVER (PARTITION BY fingerprint ORDER BY pass_ts, queue_rank
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no FROM onew)
+SELECT fingerprint, min(pass_ts) AS first_detected_at, max(pass_ts) AS last_detected_at, count(*) AS detection_count,
+  max(severity_rank) AS severity_rank FROM oses GROUP BY fingerprint, session_no""",
+)
+def q_incident_sessions_open(spark, sf):
+    """Passes stop for longer than the cooldown; incidents that nothing closed go on after it."""
+    def out_of_outage(col):
+        return ~((F.col(col) >= F.lit(OUTAGE[0]).cast("timestamp")) & (F.col(col) < F.lit(OUTAGE[1]).cast("timestamp")))
+
+    closed = R.incidents(spark, sf, P).filter(F.col("recovered_at").isNotNull() & out_of_outage("recovered_at")).select(
+        "fingerprint", F.col("recovered_at").alias("closed_at"))
+    live = R.suppressed(spark, sf, P).filter(out_of_outage("pass_ts")).select("fingerprint", "detected_at", "queue_rank", "severity_rank")
+    return I.sessions(live, P, closed).groupBy("fingerprint", "session_no").agg(
+        F.min("detected_at").alias("first_detected_at"), F.max("detected_at").alias("last_detected_at"),
+        F.count(F.lit(1)).alias("detection_count"), F.max("severity_rank").alias("severity_rank")).drop("session_no")
+
+
 @register(
     "recovered",
     sql=SQL_INCIDENTS + "\nSELECT incident_id, recovered_at FROM incidents WHERE state = 'Recovered'",
@@ -381,23 +417,23 @@ def q_in_flight(spark, sf):
 
 @register(
     "cluster_status",
-    sql=SQL_INCIDENTS + f"""
-SELECT state, count(*) AS n, CAST(coalesce(sum(count(*)) FILTER (WHERE state IN {tuple(I.IN_FLIGHT)}) OVER (), 0) AS BIGINT) AS open_incidents
-FROM incidents GROUP BY state""",
+    sql=SQL_INCIDENTS + f""",
+{O.SQL_WORK_ITEMS},
+os AS (SELECT state, count(*) AS n FROM incidents WHERE state IN {tuple(I.IN_FLIGHT)} GROUP BY state),
+qd AS (SELECT state, count(*) AS n FROM wi GROUP BY state)
+SELECT (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM os) AS open_incidents,
+  (SELECT coalesce(string_agg(state || '=' || CAST(n AS VARCHAR), ';' ORDER BY state), '') FROM os) AS incidents_by_state,
+  (SELECT coalesce(string_agg(state || '=' || CAST(n AS VARCHAR), ';' ORDER BY state), '') FROM qd) AS work_queue""",
 )
 def q_cluster_status(spark, sf):
-    inc = R.incidents(spark, sf, P)
-    by = inc.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
-    tot = by.agg(F.coalesce(F.sum(F.when(F.col("state").isin(*I.IN_FLIGHT), F.col("n"))), F.lit(0)).alias("open_incidents"))
-    # a one-row broadcast; the incident plan under both sides is shared (exchange reuse)
-    return by.crossJoin(F.broadcast(tot))
+    return I.cluster_status(R.incidents(spark, sf, P), RP.queue_depth(O.work_items(spark, sf)))
 
 
 @register(
     "open_digest",
     sql=SQL_INCIDENTS + f"""
 SELECT incident_id, '[' || severity || '] ' || category || ': ' || title AS line FROM incidents
-WHERE state IN {tuple(I.IN_FLIGHT)} ORDER BY severity_rank DESC, last_detected_at DESC, incident_id LIMIT 10""",
+WHERE state IN {tuple(I.IN_FLIGHT)} ORDER BY first_detected_at, incident_id LIMIT 10""",
 )
 def q_open_digest(spark, sf):
     return I.open_digest(R.incidents(spark, sf, P))

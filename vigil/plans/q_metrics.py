@@ -217,16 +217,13 @@ def q_worker_progress(spark, sf):
 @register(
     "traffic_total",
     sql="WITH " + SQL_INCREASE_CTE
-    + "\nSELECT window_start, pass_ts, sum(increase) AS traffic, sum(increase) >= 10 AS traffic_ok,"
-    " count(DISTINCT service) AS targets_up, count(DISTINCT service) >= 5 AS targets_ok FROM inc GROUP BY ALL",
+    + "\nSELECT window_start, pass_ts, sum(increase) AS traffic, sum(increase) >= 10 AS traffic_ok FROM inc GROUP BY ALL",
 )
 def q_traffic_total(spark, sf):
     inc = counter_increase(spark, sf)
     return inc.groupBy("window_start", "pass_ts").agg(
         F.sum("increase").alias("traffic"),
         (F.sum("increase") >= 10).alias("traffic_ok"),
-        F.count_distinct("service").alias("targets_up"),
-        (F.count_distinct("service") >= 5).alias("targets_ok"),
     )
 
 
@@ -269,11 +266,10 @@ def q_dep_latency_range(spark, sf):
 
 @register(
     "targets_up",
-    sql="WITH " + SQL_INCREASE_CTE + "\nSELECT pass_ts, count(DISTINCT service) AS targets_up, count(DISTINCT service) >= 5 AS ok FROM inc GROUP BY ALL",
+    sql="WITH " + T.sql_pod_snapshots() + """
+SELECT snapshot_ts AS pass_ts, CAST(sum(CAST(ready AS INTEGER)) AS BIGINT) AS targets_up, sum(CAST(ready AS INTEGER)) >= 5 AS ok FROM pods GROUP BY ALL""",
 )
 def q_targets_up(spark, sf):
-    """Scrape targets seen in each window (a service counts as up when any of
-    its series has a sample there); the probe wants at least 5."""
-    inc = counter_increase(spark, sf)
-    return inc.groupBy("pass_ts").agg(F.count_distinct("service").alias("targets_up"),
-                                      (F.count_distinct("service") >= 5).alias("ok"))
+    """Scrape targets that are up (``up == 1``) at each pass; the probe wants at least 5."""
+    up = T.pod_snapshots(spark, sf).select(F.col("snapshot_ts").alias("pass_ts"), F.col("pod").alias("target"), F.col("ready").cast("int").alias("value"))
+    return M.targets_up(up)

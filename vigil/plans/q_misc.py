@@ -5,7 +5,6 @@ incident memory text (SM6, SM10), memory vs limit (M13), partial snapshots
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -25,7 +24,6 @@ from vigil.sources import orderdata as O
 from vigil.sources import testdata as T
 
 P = replay_params()
-NOW = datetime(2024, 1, 30, 12, 0)  # request time of the bundle query
 
 
 def _sql_list(xs) -> str:
@@ -250,60 +248,35 @@ def q_state_upsert(spark, sf):
 
 
 def _sql_k8s_bundle() -> str:
-    from vigil.functions import text as X
     from vigil.functions.ids import sql_evidence_id
-    from vigil.plans.q_cluster import SQL_POD_FACTS, _SUMMARY
-
-    ko = """ko AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'Warning' ELSE 'Normal' END AS type,
-  CASE WHEN event_type = 'error' THEN 'BackOff' ELSE 'Scheduled' END AS reason,
-  CASE WHEN event_type = 'error' THEN 'Back-off restarting failed container app' ELSE 'Successfully assigned pod' END
-    || CASE WHEN event_id % 10 = 0 THEN ' password=hunter' || CAST(event_id AS VARCHAR) ELSE '' END AS message,
-  k AS count, CASE WHEN event_id % 7 <> 0 THEN ts END AS lastTimestamp,
-  CASE WHEN event_id % 7 = 0 AND event_id % 14 <> 0 THEN ts END AS eventTime, ts - INTERVAL 1 MINUTE AS firstTimestamp,
-  service || '-' || CAST(user_id AS VARCHAR) AS involved, namespace FROM ev WHERE event_type IN ('error', 'signup'))"""
-    red = X.sql_redaction_ctes("ko", "event_id, type, reason, count, lastTimestamp, eventTime, firstTimestamp, involved, namespace",
-                               "message", prefix="kr")
-    since = (NOW - timedelta(minutes=30)).strftime("%Y-%m-%d %H:%M:%S")
+    from vigil.plans.q_cluster import SQL_EVENTS, SQL_POD_FACTS, _SUMMARY
+
     dep_id = sql_evidence_id("KubernetesState", "kubernetes", "namespace", "deployment", "'deployment'",
                              "CAST(desired AS VARCHAR) || '/' || CAST(ready AS VARCHAR) || '/' || CAST(available AS VARCHAR)")
     pod_id = sql_evidence_id("KubernetesState", "kubernetes", "namespace", "pod", "phase", "CAST(restarts AS VARCHAR)",
                              "waiting_reason", "last_termination_reason")
-    return SQL_POD_FACTS + f""",
-{ko},
-{red},
-ke AS (SELECT kr7.*, coalesce(lastTimestamp, eventTime, firstTimestamp) AS occurred_at FROM kr7
-  WHERE namespace = 'staging' AND starts_with(involved, 'svc-1')
-    AND coalesce(lastTimestamp, eventTime, firstTimestamp) >= TIMESTAMP '{since}'),
-kx AS (SELECT occurred_at, 'evt_' || left(sha256(concat_ws('|', 'KubernetesEvent', 'kubernetes', namespace, involved, reason,
-    strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00')), 12) AS evidence_id,
-  '[' || type || '] ' || reason || ' on Pod ' || involved || ': ' || {X.sql_strip_control('w')} AS summary FROM ke),
+    return SQL_EVENTS + ",\npf AS" + SQL_POD_FACTS.split("pf AS", 1)[1] + f""",
 dg AS (SELECT namespace, workload || '@' || strftime(snapshot_ts, '%Y%m%d') AS deployment, CAST(count(*) AS INTEGER) AS desired,
   CAST(sum(CAST(ready AS INTEGER)) AS INTEGER) AS ready, CAST(sum(CAST(ready AS INTEGER)) AS INTEGER) AS available,
-  CAST(sum(CAST(restart_count = 0 AS INTEGER)) AS INTEGER) AS updated FROM pods
-  WHERE namespace = 'staging' AND workload = 'svc-1' GROUP BY namespace, workload, snapshot_ts)
-SELECT 'pods' AS section, {pod_id} AS evidence_id, {_SUMMARY} AS summary FROM pf WHERE namespace = 'staging' AND workload = 'svc-1'
+  CAST(sum(CAST(restart_count = 0 AS INTEGER)) AS INTEGER) AS updated FROM pods GROUP BY namespace, workload, snapshot_ts)
+SELECT 'pods' AS section, namespace, workload, {pod_id} AS evidence_id, {_SUMMARY} AS summary FROM pf
 UNION ALL
-SELECT 'deployments', {dep_id}, 'deployment ' || deployment || ': desired=' || CAST(desired AS VARCHAR) || ' ready=' || CAST(ready AS VARCHAR)
-  || ' available=' || CAST(available AS VARCHAR) || ' updated=' || CAST(updated AS VARCHAR)
+SELECT 'deployments', namespace, deployment, {dep_id}, 'deployment ' || deployment || ': desired=' || CAST(desired AS VARCHAR) || ' ready='
+  || CAST(ready AS VARCHAR) || ' available=' || CAST(available AS VARCHAR) || ' updated=' || CAST(updated AS VARCHAR)
   || CASE WHEN ready <> desired THEN ' - MinimumReplicasUnavailable: Deployment does not have minimum availability.' ELSE '' END FROM dg
 UNION ALL
-SELECT 'events', evidence_id, summary FROM (SELECT *, row_number() OVER (ORDER BY occurred_at DESC, evidence_id) AS r FROM kx) WHERE r <= 200"""
+SELECT 'events', namespace, workload, evidence_id, summary FROM (SELECT *, row_number() OVER (PARTITION BY namespace, workload
+  ORDER BY occurred_at DESC, evidence_id) AS r FROM kx) WHERE r <= 200"""
 
 
 @register("k8s_bundle", sql=_sql_k8s_bundle())
 def q_k8s_bundle(spark, sf):
-    """Pods, deployments and events of one namespace/workload, tagged by
-    section (events since the clamped look-back before the last snapshot)."""
+    """E10 for every workload at once."""
+    from vigil.plans.q_cluster import SINCE
+
     pods = KD.pods(spark, sf)
-    ps = K.pod_status(K.select_workload(pods, "svc-1")).filter(F.col("namespace") == "staging")
-    dep = K.deployment_status(KD.deployments(spark, sf)).filter((F.col("namespace") == "staging") & F.col("deployment").startswith("svc-1@"))
-    minutes = max(1, min(240, 30))
-    since = NOW - timedelta(minutes=minutes)
-    wl = spark.createDataFrame([("staging", "svc-1")], "namespace string, workload string")
-    ev = K.k8s_events(KD.events(spark, sf), wl, since)
-    return (ps.select(F.lit("pods").alias("section"), "evidence_id", "summary")
-            .unionByName(dep.select(F.lit("deployments").alias("section"), "evidence_id", "summary"))
-            .unionByName(ev.select(F.lit("events").alias("section"), "evidence_id", "summary")))
+    wl = K.restart_counts(pods).select("namespace", "workload")
+    return K.k8s_bundle(pods, KD.deployments(spark, sf), KD.events(spark, sf), wl, SINCE)
 
 
 @register(

@@ -92,8 +92,8 @@ def q_ground_conclusive(spark, sf):
 
 SQL_REPORT_CHECK = O.SQL_EVIDENCE + ",\n" + O.SQL_REPORTS + """,
 rx AS (SELECT report_id, incident_id, UNNEST(evidence_ids) AS cited, UNNEST(range(len(evidence_ids))) AS pos FROM reports),
-rj AS (SELECT rx.*, e.evidence_id IS NOT NULL AS ok FROM rx LEFT JOIN (SELECT DISTINCT incident_id, evidence_id FROM evidence) e
-  ON e.incident_id = rx.incident_id AND e.evidence_id = rx.cited),
+rj AS (SELECT rx.*, CASE WHEN rx.incident_id IS NULL THEN EXISTS (SELECT 1 FROM evidence e WHERE e.evidence_id = rx.cited)
+  ELSE EXISTS (SELECT 1 FROM evidence e WHERE e.evidence_id = rx.cited AND e.incident_id = rx.incident_id) END AS ok FROM rx),
 rr AS (SELECT report_id, coalesce(list(cited ORDER BY pos) FILTER (WHERE ok), []) AS real_ids, count(*) AS cited_count,
   count(DISTINCT cited) FILTER (WHERE NOT ok) AS n_invented FROM rj GROUP BY ALL),
 gr AS (SELECT r.report_id, r.kind, coalesce(rr.real_ids, []) AS real_ids, coalesce(rr.cited_count, 0) AS cited_count,
@@ -277,8 +277,17 @@ def q_evidence_by_id(spark, sf):
 SQL_COMPLETE = "WITH " + O.SQL_EVIDENCE + """,
 inc AS (SELECT 'inc-' || CAST(o_orderkey AS VARCHAR) AS incident_id FROM orders),
 ks AS (SELECT incident_id, list(DISTINCT kind) AS kinds FROM evidence GROUP BY ALL),
-cm AS (SELECT incident_id, list_sort(list_filter(['KubernetesState', 'Metric', 'LogSignature'],
-  lambda k: NOT list_contains(coalesce(kinds, []), k))) AS missing, coalesce(kinds, []) AS kinds FROM inc LEFT JOIN ks USING (incident_id))"""
+fl AS (SELECT 'inc-' || CAST(o_orderkey AS VARCHAR) AS incident_id, list_filter([
+  CASE WHEN o_orderkey % 5 = 0 THEN 'log signatures (TimeoutException)' END,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'service metrics (HttpRequestException)' END], lambda x: x IS NOT NULL) AS missing FROM orders),
+cm AS (SELECT incident_id, missing, coalesce(kinds, []) AS kinds FROM inc LEFT JOIN ks USING (incident_id) JOIN fl USING (incident_id))"""
+
+
+def _source_failures(o):
+    """(incident_id, source): the telemetry calls that failed while an incident's bundle was collected."""
+    failed = F.array_compact(F.array(F.when(F.col("o_orderkey") % 5 == 0, "log signatures (TimeoutException)"),
+                                     F.when(F.col("o_orderkey") % 3 == 0, "service metrics (HttpRequestException)")))
+    return o.select(F.concat(F.lit("inc-"), F.col("o_orderkey").cast("string")).alias("incident_id"), F.explode(failed).alias("source"))
 
 
 @register(
@@ -286,8 +295,9 @@ cm AS (SELECT incident_id, list_sort(list_filter(['KubernetesState', 'Metric', '
     sql=SQL_COMPLETE + "\nSELECT incident_id, array_to_string(missing, ',') AS unavailable_sources, len(missing) = 0 AS is_complete FROM cm",
 )
 def q_evidence_completeness(spark, sf):
-    inc = read(spark, sf, "orders").select(F.concat(F.lit("inc-"), F.col("o_orderkey").cast("string")).alias("incident_id"))
-    c = E.completeness(O.evidence(spark, sf), inc)
+    o = read(spark, sf, "orders")
+    inc = o.select(F.concat(F.lit("inc-"), F.col("o_orderkey").cast("string")).alias("incident_id"))
+    c = E.completeness(O.evidence(spark, sf), inc, _source_failures(o))
     return c.select("incident_id", F.array_join("unavailable_sources", ",").alias("unavailable_sources"), "is_complete")
 
 
@@ -296,8 +306,9 @@ def q_evidence_completeness(spark, sf):
     sql=SQL_COMPLETE + "\nSELECT incident_id, len(missing) = 0 AND list_contains(kinds, 'KubernetesState') AND list_contains(kinds, 'Metric') AS api_check FROM cm",
 )
 def q_evidence_api_check(spark, sf):
-    inc = read(spark, sf, "orders").select(F.concat(F.lit("inc-"), F.col("o_orderkey").cast("string")).alias("incident_id"))
-    return E.completeness(O.evidence(spark, sf), inc).select("incident_id", "api_check")
+    o = read(spark, sf, "orders")
+    inc = o.select(F.concat(F.lit("inc-"), F.col("o_orderkey").cast("string")).alias("incident_id"))
+    return E.completeness(O.evidence(spark, sf), inc, _source_failures(o)).select("incident_id", "api_check")
 
 
 _SECTIONS = ", ".join(f"('{k}', {i + 1}, '{h}')" for i, (k, h) in enumerate(E.DIGEST_SECTIONS))

@@ -120,6 +120,12 @@ def read_objects(spark: SparkSession, path: str, schema: T.StructType, list_docu
     return spark.read.schema(schema).option("timestampFormat", TS_FORMAT).json(path)
 
 
+def parse_objects(lines: DataFrame, schema: T.StructType, col: str = "value") -> DataFrame:
+    """The same from a column of JSON text; a line that is no object gives no row."""
+    o = F.from_json(F.col(col), schema, {"timestampFormat": TS_FORMAT})
+    return lines.select(o.alias("o")).filter(F.col("o").isNotNull()).select("o.*")
+
+
 # --- metric vectors / log streams ----------------------------------------------------
 
 def parse_vector(doc: Column) -> Column:
@@ -168,45 +174,70 @@ def parse_streams(doc: Column) -> Column:
 CRI_LINE = r"^(\S+) (stdout|stderr) ([PF]) ?(.*)$"
 
 
+def _cri_lines(spark: SparkSession, path: str, exclude_prefix: str | None) -> DataFrame:
+    """Every line with its place: the block of its file and, within the task that reads the block, its number."""
+    raw = spark.read.text(path).select(
+        F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"))
+    if exclude_prefix:
+        raw = raw.filter(~F.regexp_extract("file", r"([^/]+)$", 1).startswith(exclude_prefix))
+    return raw.withColumn("tag", F.regexp_extract("value", CRI_LINE, 3))
+
+
+def cri_rejects(spark: SparkSession, path: str, exclude_prefix: str | None = None) -> DataFrame:
+    """(file, rejected): lines per file that do not have the CRI shape; ``read_cri`` leaves them out."""
+    bad = _cri_lines(spark, path, exclude_prefix).filter((F.col("tag") == "") & (F.trim("value") != ""))
+    return bad.groupBy("file").agg(F.count(F.lit(1)).alias("rejected"))
+
+
 def read_cri(spark: SparkSession, path: str, exclude_prefix: str | None = None) -> DataFrame:
     """CRI log files -> one row per logical line.
 
     Lines are ``<rfc3339 ts> <stream> <P|F> <text>``; P marks a partial chunk
     that continues in the next line of the same file and stream. Chunks are
-    joined in timestamp order within (file, stream): a logical line ends at
-    the F chunk. The file path comes from ``_metadata`` (no row order is
-    assumed), and ``exclude_prefix`` drops the collector's own files.
+    joined in the order of the file: stamps can be equal, cut off or wrong. A
+    logical line ends at the F chunk; its ``stamp`` is its first chunk's, as
+    written, ``ts`` the same as a timestamp (null if it is none). Lines of
+    another shape are counted by ``cri_rejects``; ``exclude_prefix`` drops the
+    collector's own files.
     """
-    raw = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
-    if exclude_prefix:
-        raw = raw.filter(~F.regexp_extract("file", r"([^/]+)$", 1).startswith(exclude_prefix))
-    p = raw.select(
-        "file",
-        F.to_timestamp(F.regexp_extract("value", CRI_LINE, 1)).alias("ts"),
+    p = _cri_lines(spark, path, exclude_prefix).filter(F.col("tag") != "").select(
+        "file", "block", "place", "tag",
+        F.regexp_extract("value", CRI_LINE, 1).alias("stamp"),
         F.regexp_extract("value", CRI_LINE, 2).alias("stream"),
-        F.regexp_extract("value", CRI_LINE, 3).alias("tag"),
         F.regexp_extract("value", CRI_LINE, 4).alias("text"),
-    ).filter(F.col("tag") != "")
+    )
     from pyspark.sql import Window
 
-    w = Window.partitionBy("file", "stream").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("file", "stream").orderBy("block", "place").rowsBetween(Window.unboundedPreceding, -1)
     g = p.withColumn("line_no", F.coalesce(F.sum((F.col("tag") == "F").cast("int")).over(w), F.lit(0)))
+    chunks = F.sort_array(F.collect_list(F.struct("block", "place", "stamp", "text")))
     return g.groupBy("file", "stream", "line_no").agg(
-        F.min("ts").alias("ts"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "text"))), lambda x: x["text"]), "").alias("log"),
+        F.get(chunks, 0)["stamp"].alias("stamp"),
+        F.try_to_timestamp(F.get(chunks, 0)["stamp"]).alias("ts"),
+        F.array_join(F.transform(chunks, lambda x: x["text"]), "").alias("log"),
         F.max((F.col("tag") == "F").cast("int")).alias("complete"),
     )
 
 
 def parse_app_json(df: DataFrame, col: str = "log") -> DataFrame:
-    """Parse the application's JSON out of ``log``; non-JSON lines pass through."""
+    """Parse the application's JSON out of ``log``; non-JSON lines pass through, a ``ts`` that is no timestamp gives null."""
     v = F.try_parse_json(F.col(col))
     obj = F.when(v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT"), v)
     return df.withColumn("app", obj).withColumn(
-        "app_ts", F.to_timestamp(F.try_variant_get(F.col("app"), "$.ts", "string"))
+        "app_ts", F.try_to_timestamp(F.try_variant_get(F.col("app"), "$.ts", "string"))
     )
 
 
+def write_logs_by_label(logs: DataFrame, path: str, max_records: int = 1_000_000) -> None:
+    """Store log lines partitioned by (date, namespace, level), the only index
+    labels. Rebalancing lets Spark split a large label over tasks, and a file
+    holds ``max_records`` lines at most."""
+    labelled = logs.withColumn("date", F.to_date("ts"))
+    labelled.hint("rebalance", "date", "namespace", "level").write.mode("overwrite").option(
+        "maxRecordsPerFile", max_records).partitionBy("date", "namespace", "level").parquet(path)
+
+
 def lift_kubernetes(df: DataFrame, prefix: str = "k8s_", renames: dict | None = None, drop: list | None = None) -> DataFrame:
     """Lift nested ``kubernetes.*`` fields to the top level with a prefix,
     rename and drop some."""

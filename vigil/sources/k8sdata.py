@@ -1,16 +1,16 @@
 """Kubernetes-shaped objects derived from the pod snapshots / events tables.
 
-Objects are written as JSON lines into the shared checkpoint folder by a
-Spark job and read back through the schema'd readers of ``json_api``, so the
-source path (serialise -> read -> nested HOFs) is exercised end to end.
+Objects become JSON text and are parsed back by the schemas of ``json_api``
+within the plan, so the source path (serialise -> parse -> nested HOFs) is
+exercised without a job while the plan is built.
 
   pods         one object per pod snapshot: container 'app' carries the
                snapshot's readiness, restarts and reasons (the last
                termination is present once the pod has restarted, finished
                ``last_k`` minutes before the snapshot); a 'proxy' sidecar is
                always ready; pods whose name ends in 0 have no workload label
-  events       one per 'error' / 'signup' event, with missing timestamps
-               and planted secrets in some messages
+  events       one per event, with missing timestamps and planted secrets in
+               some messages
   deployments  one per (namespace, workload, snapshot)
   nodes        three per snapshot (node-0 is the control plane), ready when
                all pods on them are ready
@@ -39,9 +39,10 @@ def _dir(spark: SparkSession, kind: str, sf: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "sources", f"{kind}-{h}-{uuid.uuid4().hex[:12]}")
 
 
-def _write_json(df: DataFrame, path: str) -> None:
-    opts = {"timestampFormat": J.TS_FORMAT}
-    df.select(F.to_json(F.struct(*df.columns), opts).alias("value")).write.mode("overwrite").text(path)
+def through_json(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows as JSON text and back through a schema, as a JSON-lines source would give them."""
+    text = df.select(F.to_json(F.struct(*df.columns), {"timestampFormat": J.TS_FORMAT}).alias("value"))
+    return J.parse_objects(text, schema)
 
 
 def _node(pod_col) -> F.Column:
@@ -85,14 +86,11 @@ POD_ROW = T.StructType(J.POD.fields + [T.StructField("observed_at", T.TimestampT
 
 
 def pods(spark: SparkSession, sf: str) -> DataFrame:
-    """Write the pod objects as JSON lines, read them back with the schema."""
-    path = _dir(spark, "pods", sf)
-    _write_json(pod_objects(spark, sf), path)
-    return J.read_objects(spark, path, POD_ROW)
+    return through_json(pod_objects(spark, sf), POD_ROW)
 
 
 def event_objects(spark: SparkSession, sf: str) -> DataFrame:
-    e = TD._events(spark, sf, TD.DEFAULT_SERVICES).filter(F.col("event_type").isin("error", "signup"))
+    e = TD._events(spark, sf, TD.DEFAULT_SERVICES)
     err = F.col("event_type") == "error"
     secret = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit(" password="), F.lit("hunter"), F.col("event_id").cast("string"))).otherwise(F.lit(""))
     return e.select(
@@ -109,9 +107,7 @@ def event_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    path = _dir(spark, "events", sf)
-    _write_json(event_objects(spark, sf), path)
-    return J.read_objects(spark, path, J.EVENT)
+    return through_json(event_objects(spark, sf), J.EVENT)
 
 
 def deployments(spark: SparkSession, sf: str) -> DataFrame:
