@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from vigil.config import Thresholds, replay_params
+from vigil.operators.detect import rule_http_error_rate
 from vigil.operators.windows import sql_passes, sql_window_join
 from vigil.plans.registry import register
 from vigil.session import ensure_checkpoint_dir
@@ -32,26 +33,51 @@ def _run() -> str:
     return uuid.uuid4().hex[:12]
 
 
-def _events_stream(spark, sf):
-    schema = T.read(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+# The 30 days arrive in three parts; the rows of one half (odd ids) of days 10 and 20 come a part later.
+PARTS = 3
 
 
-def _requests_stream(spark, sf, services: int = T.DEFAULT_SERVICES):
-    e = _events_stream(spark, sf)
-    status = F.when(F.col("event_type") == "error", 503).when(F.col("event_type") == "signup", 404).otherwise(200)
-    return e.select(
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.concat(F.lit("svc-"), (F.col("user_id") % services).cast("string")).alias("service"),
-        F.when(F.col("user_id") % 2 == 0, F.lit("prod")).otherwise(F.lit("staging")).alias("namespace"),
-        T.status_class(status).alias("status_class"),
-    )
+def _part(ts, half) -> F.Column:
+    """Number of the part in which a row arrives."""
+    return F.floor((2 * (F.dayofmonth(ts) - 1) + F.when(half, 1).otherwise(0) + 1) / 20).cast("int")
+
+
+SQL_PART = "CAST(floor((2 * (day({ts}) - 1) + CASE WHEN {half} THEN 1 ELSE 0 END + 1) / 20) AS INTEGER)"
+
+
+def _feed(spark, df, part, base: str):
+    """Write ``df`` to a folder part by part and read it as a stream, one part per micro-batch."""
+    tagged = df.withColumn("__part", part)
+    for k in range(PARTS + 1):
+        tagged.filter(F.col("__part") == k).drop("__part").coalesce(1).write.parquet(os.path.join(base, f"part{k}"))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(base, "part*"))
+
+
+def _folder(spark, base: str, sf: str, run: str) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), "streams", _name(base, sf, run))
+
+
+def _requests(spark, sf, services: int = T.DEFAULT_SERVICES):
+    return T.requests(spark, sf, services).select("event_id", "ts", "namespace", "service", "status_class")
+
+
+def _requests_stream(spark, sf, run):
+    r = _requests(spark, sf)
+    return _feed(spark, r, _part(F.col("ts"), F.col("event_id") % 2 == 1), _folder(spark, "requests", sf, run))
+
+
+def stream_buckets(spark, sf, params, steps: bool = False) -> str:
+    """Run the bucket stream over all parts; the name to read its output by."""
+    run = _run()
+    name = _name("error-rate", sf, run)
+    buckets = S.error_buckets(_requests_stream(spark, sf, run), params, watermark="2 days")
+    S.run_upserts(buckets, name, mode="update", steps=S.detection_steps(spark, name, params) if steps else None)
+    return name
 
 
-def stream_rates(spark, sf, run=None):
-    name = _name("error-rate", sf, run or _run())
-    S.run_upserts(S.error_rate_windows(_requests_stream(spark, sf), P, watermark="2 days"), name, mode="update")
-    return S.latest_view(spark, name, ["namespace", "service", "pass_ts"])
+def stream_rates(spark, sf):
+    name = stream_buckets(spark, sf, P)
+    return S.error_rates(S.latest_view(spark, name, ["namespace", "service", "bucket"]), P)
 
 
 SQL_RATE = T.sql_requests() + f""",
@@ -82,22 +108,33 @@ SELECT fingerprint, count(*) AS detection_count, min(pass_ts) AS first_detected_
   max(severity_rank) AS severity_rank FROM s GROUP BY fingerprint, sn""",
 )
 def q_stream_incident_state(spark, sf):
-    """T1 candidates written as a table, consumed by a second stream that
-    keeps incident sessions (complete mode: the last batch holds the result)."""
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Each micro-batch updates buckets, then passes, then incidents."""
+    name = stream_buckets(spark, sf, P, steps=True)
+    return S.current_incidents(spark, name)
+
+
+LATE = "ts < TIMESTAMP '2024-01-15 00:00:00' AND event_id % 50 = 0"  # these rows come with the last part
+DELAY = 2 * 86400
+
+
+@register(
+    "stream_late_rows",
+    sql="WITH " + T.sql_requests() + f""",
+fed AS (SELECT event_id, ts, CASE WHEN {LATE} THEN {PARTS} ELSE {SQL_PART.format(ts='ts', half='event_id % 2 = 1')} END AS part FROM requests),
+mx AS (SELECT part, max(ts) AS newest FROM fed GROUP BY part),
+wm AS (SELECT part, max(newest) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM mx)
+SELECT event_id, ts FROM fed JOIN wm USING (part)
+WHERE floor(epoch(ts) / {P.slide_seconds}) * {P.slide_seconds} + {P.slide_seconds} <= floor(epoch(before)) - {DELAY}""",
+)
+def q_stream_late_rows(spark, sf):
+    """Rows that came behind the watermark, as a table."""
     run = _run()
-    rates = stream_rates(spark, sf, run)
-    cands = S.error_rate_candidates(rates, P)
-    base = os.path.join(ensure_checkpoint_dir(spark), "streams", _name("candidates", sf, run))
-    cands.write.mode("overwrite").parquet(base)
-    src = spark.readStream.schema(spark.read.parquet(base).schema).parquet(base)
-    name = _name("incident-sessions", sf, run)
-    S.run_upserts(S.incident_sessions(src, P), name, mode="complete")
-    out = spark.read.parquet(os.path.join(ensure_checkpoint_dir(spark), "streams", name, "data"))
-    last = out.agg(F.max("batch_id").alias("b"))
-    return out.join(F.broadcast(last), out["batch_id"] == last["b"]).select(
-        "fingerprint", "detection_count", "first_detected_at", "last_detected_at", "severity_rank"
-    )
+    r = _requests(spark, sf)
+    late = F.expr(LATE)
+    src = _feed(spark, r, F.when(late, PARTS).otherwise(_part(F.col("ts"), F.col("event_id") % 2 == 1)), _folder(spark, "late", sf, run))
+    name = _name("raw", sf, run)
+    S.run_upserts(src, name, mode="append")
+    return S.late_rows(S.read_step(spark, name), P, DELAY).select("event_id", "ts")
 
 
 @register(
@@ -111,33 +148,43 @@ pdl AS (SELECT *, CASE WHEN lag(pass_seq) OVER w = pass_seq - 1 THEN lag(restart
 SELECT namespace, pod, pass_ts, restart_count, prev_rc AS previous_restart_count, greatest(0, restart_count - prev_rc) AS restart_increase FROM pdl""",
 )
 def q_stream_restart_state(spark, sf):
-    """Pod snapshots written by an upstream batch job, consumed as a stream
-    with per-namespace restart state."""
+    """Pod snapshots in parts that split two passes, with per-pod state."""
     run = _run()
-    base = os.path.join(ensure_checkpoint_dir(spark), "streams", _name("pod-snapshots", sf, run))
-    T.pod_snapshots(spark, sf).write.mode("overwrite").parquet(base)
-    src = spark.readStream.schema(spark.read.parquet(base).schema).parquet(base)
+    pods = T.pod_snapshots(spark, sf).select("snapshot_ts", "namespace", "pod", "restart_count")
+    odd = F.substring("pod", -1, 1).isin("1", "3", "5", "7", "9")
+    src = _feed(spark, pods, _part(F.col("snapshot_ts") - F.expr("INTERVAL 1 DAY"), odd), _folder(spark, "pod-snapshots", sf, run))
     name = _name("restart-state", sf, run)
     S.run_upserts(S.restart_state(src), name, mode="append")
-    return S.latest_view(spark, name, ["namespace", "pod", "pass_ts"]).select(
-        "namespace", "pod", "pass_ts", "restart_count", "previous_restart_count", "restart_increase"
-    )
+    return S.restart_increase(S.read_step(spark, name))
 
 
 @register(
     "stream_evidence_dedup",
-    sql="SELECT DISTINCT 'ev-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS evidence_id FROM lineitem",
+    sql="SELECT DISTINCT 'ev-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || strftime(l_shipdate, '%Y%m%d') AS evidence_id FROM lineitem",
 )
 def q_stream_evidence_dedup(spark, sf):
-    schema = T.read(spark, sf, "lineitem").schema
-    li = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    """Evidence in four parts by time; each part also brings the last 30 days
+    of the part before again. The watermark (60 days) bounds what is remembered."""
+    li = T.read(spark, sf, "lineitem")
     ev = li.select(
-        F.concat(F.lit("ev-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("evidence_id"),
+        F.concat(F.lit("ev-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"),
+                 F.lit("-"), F.date_format("l_shipdate", "yyyyMMdd")).alias("evidence_id"),
         F.col("l_shipdate").cast("timestamp").alias("observed_at"),
     )
-    name = _name("evidence-dedup", sf, _run())
-    S.run_upserts(S.dedup_evidence_stream(ev, watermark="36500 days"), name, mode="append")
-    return spark.read.parquet(os.path.join(ensure_checkpoint_dir(spark), "streams", name, "data")).select("evidence_id")
+    cuts = ["1994-01-01", "1996-01-01", "1998-01-01"]
+    part = sum((F.col("observed_at") >= F.lit(c).cast("timestamp")).cast("int") for c in cuts)
+    first = ev.withColumn("__k", part)
+    again = first.filter(sum(((F.col("observed_at") < F.lit(c).cast("timestamp")) & (F.col("observed_at") >= F.lit(c).cast("timestamp") - F.expr("INTERVAL 30 DAYS"))).cast("int")
+                             for c in cuts) > 0).withColumn("__k", F.col("__k") + 1)
+    run = _run()
+    both = first.unionByName(again)
+    base = _folder(spark, "evidence", sf, run)
+    for k in range(len(cuts) + 1):
+        both.filter(F.col("__k") == k).drop("__k").coalesce(1).write.parquet(os.path.join(base, f"part{k}"))
+    src = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(base, "part*"))
+    name = _name("evidence-dedup", sf, run)
+    S.run_upserts(S.dedup_evidence_stream(src, watermark="60 days"), name, mode="append")
+    return S.read_step(spark, name).select("evidence_id")
 
 
 # Recovery needs gaps between detections: this query alerts at the High level.
@@ -163,15 +210,13 @@ x AS (SELECT fingerprint, sn, min(pass_ts) AS first_detected_at,
 SELECT fingerprint, first_detected_at, recovered_at, detection_count FROM x WHERE recovered_at IS NOT NULL""",
 )
 def q_stream_recovery_timer(spark, sf):
-    """T1 candidates written as a table, then a stateful stream with
-    event-time timers emits each incident's recovery once."""
+    """T1 alerts written as a table, then a stateful stream with event-time
+    timers emits each incident's recovery once."""
     run = _run()
-    rates = stream_rates(spark, sf, run)
-    cands = S.error_rate_candidates(rates, P_HIGH).select("fingerprint", "pass_ts")
-    base = os.path.join(ensure_checkpoint_dir(spark), "streams", _name("recovery-candidates", sf, run))
+    cands = rule_http_error_rate(S.error_rate_windows(_requests(spark, sf), P_HIGH), P_HIGH).select("fingerprint", "pass_ts")
+    base = _folder(spark, "recovery-candidates", sf, run)
     cands.write.mode("overwrite").parquet(base)
-    src = spark.readStream.schema(spark.read.parquet(base).schema).parquet(base)
+    src = spark.readStream.schema("fingerprint string, pass_ts timestamp").parquet(base)
     name = _name("recovery-timer", sf, run)
     S.run_upserts(S.recovery_timers(src, P_HIGH), name, mode="append")
-    return spark.read.parquet(os.path.join(ensure_checkpoint_dir(spark), "streams", name, "data")).select(
-        "fingerprint", "first_detected_at", "recovered_at", "detection_count")
+    return S.read_step(spark, name).select("fingerprint", "first_detected_at", "recovered_at", "detection_count")

@@ -1,34 +1,37 @@
 """Continuous detection with Structured Streaming.
 
-T1 sliding error-rate windows (watermark + ``window(ts, W, S)``),
-T2 restart-count state per namespace (``applyInPandasWithState``; the state
-   is the previous non-empty pass's pod -> restart count map, untouched by
-   passes without pods),
-T3 incidents as session windows over candidates (gap = cooldown),
+T1 error-rate passes: the stream keeps slide-sized buckets (one state row per
+   bucket, not one per window it falls in); passes are sums of buckets,
+T2 restart counts per pod (``applyInPandasWithState`` keyed by namespace and
+   pod, so a namespace is no hot key and a pass may arrive in parts),
+T3 incidents: sessions over candidates, by the same operator as the batch,
+T4 recovery by event-time timers,
 T5 idempotent evidence (``dropDuplicatesWithinWatermark``),
-T6 late rows: a generous watermark; batch replay is the correction path,
-T7 offsets: the checkpoint under ``spark.checkpoint.dir``,
-T8 per micro-batch order: upsert results, then state, in one ``foreachBatch``.
+T6 late rows as an output; batch replay is the correction path,
+T7 offsets and state: the checkpoint under ``spark.checkpoint.dir``,
+T8 per micro-batch: ordered steps in one ``foreachBatch``, each idempotent.
 
 Sinks write every micro-batch to the shared checkpoint folder (parquet, one
-directory per query, batch id as a column); ``latest_view`` reads them back
-keeping the newest version of each key, so nothing passes through the driver.
+directory per query and step, batch id as a column); ``latest_view`` reads
+them back keeping the newest version of each key, so nothing passes through
+the driver.
 """
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigil.config import Params
-from vigil.operators.detect import HTTP_ERROR_RATE, severity_rank
 from vigil.functions import ids
+from vigil.operators.detect import HTTP_ERROR_RATE, rule_http_error_rate
+from vigil.operators.incidents import sessions
+from vigil.operators.windows import epoch_seconds, expand_to_passes, slide_bucket
 from vigil.session import ensure_checkpoint_dir
 
 
@@ -41,82 +44,120 @@ def stream_table(spark: SparkSession, path: str, schema, ts: str = "ts", max_fil
     return r.parquet(path).withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def error_rate_windows(requests: DataFrame, params: Params, watermark: str = "10 minutes") -> DataFrame:
-    """Per (namespace, service, pass): requests and 5xx in the window, ratio.
-
-    Works on a stream or a batch DataFrame (same plan); only windows with
-    traffic exist, as in the batch replay.
-    """
-    w = F.window("ts", f"{params.window_seconds} seconds", f"{params.slide_seconds} seconds")
+def error_buckets(requests: DataFrame, params: Params, watermark: str = "10 minutes") -> DataFrame:
+    """Per (namespace, service, slide bucket): requests and 5xx. Stream or batch."""
+    w = F.window("ts", f"{params.slide_seconds} seconds")
     src = requests.withWatermark("ts", watermark) if requests.isStreaming else requests
     agg = src.groupBy(w.alias("w"), "namespace", "service").agg(
         F.count(F.lit(1)).alias("total"),
         F.sum(F.when(F.col("status_class") == "5xx", 1).otherwise(0)).alias("errors"),
     )
-    return agg.select(
-        "namespace", "service",
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("pass_ts"),
-        F.col("total").cast("double").alias("total"), F.col("errors").cast("double").alias("errors"),
-        (F.col("errors") / F.col("total")).alias("ratio"),
-    )
+    return agg.select("namespace", "service", F.col("w.start").alias("bucket"), "total", "errors")
 
 
-def error_rate_candidates(rates: DataFrame, params: Params) -> DataFrame:
-    t = params.thresholds
-    hit = rates.filter((F.col("total") >= t.min_request_sample) & (F.col("ratio") >= t.http_error_rate))
-    sev = F.when(F.col("ratio") >= 0.5, "Critical").when(F.col("ratio") >= 0.25, "High").otherwise("Medium")
-    return hit.select(
-        "namespace", "pass_ts", "service",
-        ids.fingerprint(F.lit(HTTP_ERROR_RATE), F.col("namespace"), F.array("service")).alias("fingerprint"),
-        F.lit(HTTP_ERROR_RATE).alias("category"),
-        sev.alias("severity"), severity_rank(sev).alias("severity_rank"), "ratio", "total",
-    )
+def error_rates(buckets: DataFrame, params: Params) -> DataFrame:
+    """Per (namespace, service, pass): requests and 5xx in the window, ratio; only windows with traffic exist."""
+    agg = expand_to_passes(buckets.select("namespace", "service", "bucket", "total", "errors"), "bucket", params).groupBy(
+        "namespace", "service", "window_start", "pass_ts").agg(
+        F.sum("total").cast("double").alias("total"), F.sum("errors").cast("double").alias("errors"))
+    return agg.withColumn("ratio", F.col("errors") / F.col("total"))
 
 
-def incident_sessions(candidates: DataFrame, params: Params, watermark: str = "1 hour") -> DataFrame:
-    """One row per (fingerprint, session) with count, first/last, max severity."""
-    src = candidates.withWatermark("pass_ts", watermark) if candidates.isStreaming else candidates
-    s = F.session_window("pass_ts", f"{params.cooldown_seconds} seconds")
-    return src.groupBy("fingerprint", s.alias("s")).agg(
-        F.count(F.lit(1)).alias("detection_count"),
-        F.min("pass_ts").alias("first_detected_at"),
-        F.max("pass_ts").alias("last_detected_at"),
-        F.max("severity_rank").alias("severity_rank"),
-    )
+def error_rate_windows(requests: DataFrame, params: Params) -> DataFrame:
+    """The passes of a batch of requests."""
+    return error_rates(error_buckets(requests, params), params)
+
+
+def detection_steps(spark: SparkSession, name: str, params: Params) -> list:
+    """What a micro-batch of buckets sets off, in order.
+
+    1. its buckets are stored; 2. the passes that hold one of them are judged
+    anew by rule D1 (a pass that no longer alerts says so); 3. the sessions of
+    the fingerprints concerned are formed anew. Each step reads what the
+    earlier ones stored, this batch's included.
+    """
+    def passes(batch: DataFrame, batch_id: int) -> DataFrame:
+        keys = ["namespace", "service", "window_start", "pass_ts"]
+        touched = expand_to_passes(batch.select("namespace", "service", "bucket"), "bucket", params).distinct()
+        stored = latest_view(spark, name, ["namespace", "service", "bucket"], step="buckets")
+        rates = error_rates(stored, params).join(touched, keys, "left_semi")
+        alerts = rule_http_error_rate(rates, params).select(
+            "namespace", "pass_ts", F.get("affected_workloads", 0).alias("service"), "severity_rank")
+        fp = ids.fingerprint(F.lit(HTTP_ERROR_RATE), F.col("namespace"), F.array("service"))
+        return rates.join(alerts, ["namespace", "service", "pass_ts"], "left").select(
+            fp.alias("fingerprint"), "pass_ts", "severity_rank", F.col("severity_rank").isNotNull().alias("alerts"))
+
+    def incidents(batch: DataFrame, batch_id: int) -> DataFrame:
+        every = latest_view(spark, name, ["fingerprint", "pass_ts"], step="passes").filter("alerts")
+        concerned = read_step(spark, name, "passes").filter(F.col("batch_id") == batch_id).select("fingerprint").distinct()
+        live = every.join(concerned, "fingerprint", "left_semi")
+        s = sessions(live.withColumn("detected_at", F.col("pass_ts")).withColumn("queue_rank", F.lit(0)), params)
+        return s.groupBy("fingerprint", "session_no").agg(
+            F.count(F.lit(1)).alias("detection_count"), F.min("pass_ts").alias("first_detected_at"),
+            F.max("pass_ts").alias("last_detected_at"), F.max("severity_rank").alias("severity_rank"))
+
+    return [("buckets", lambda batch, _: batch), ("passes", passes), ("incidents", incidents)]
+
+
+def current_incidents(spark: SparkSession, name: str) -> DataFrame:
+    """Each fingerprint's sessions as of the newest batch that concerned it."""
+    d = read_step(spark, name, "incidents")
+    newest = d.groupBy("fingerprint").agg(F.max("batch_id").alias("batch_id"))
+    return d.join(newest, ["fingerprint", "batch_id"]).drop("batch_id", "session_no")
 
 
 # --- T2: restart state ------------------------------------------------------------------
 
-RESTART_OUT = "namespace string, pod string, pass_ts timestamp, restart_count int, previous_restart_count int, restart_increase int"
-RESTART_STATE = "counts string"
-
-
-def _restart_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (namespace,) = key
-    prev = json.loads(state.get[0]) if state.exists else None
-    frames = [p for p in pdfs]
-    if not frames:
-        return
-    df = pd.concat(frames, ignore_index=True).sort_values(["snapshot_ts", "pod"])
-    out = []
-    for ts, g in df.groupby("snapshot_ts", sort=True):
-        cur = dict(zip(g["pod"], g["restart_count"].astype(int)))
-        for pod, rc in cur.items():
-            before = prev.get(pod, rc) if prev is not None else rc
-            out.append((namespace, pod, ts, rc, before, max(0, rc - before)))
-        prev = cur  # a pass is only seen here when it had pods
-    state.update((json.dumps(prev),))
-    yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in RESTART_OUT.split(", ")])
-
-
-def restart_state(pods: DataFrame) -> DataFrame:
-    """T2 on a stream (or batch) of pod snapshots, keyed by namespace."""
-    src = pods.withWatermark("snapshot_ts", "1 day") if pods.isStreaming else pods
-    return src.groupBy("namespace").applyInPandasWithState(
-        _restart_state_fn, RESTART_OUT, RESTART_STATE, "append", GroupStateTimeout.NoTimeout
+RESTART_OUT = "namespace string, pod string, pass_ts timestamp, restart_count int, last_ts timestamp, last_count int"
+RESTART_STATE = "last_ms long, last_count int"
+
+
+def _restart_state_fn(keep_ms: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # the pod is long gone
+            state.remove()
+            return
+        frames = [p for p in pdfs]
+        rows = pd.concat(frames, ignore_index=True).sort_values("snapshot_ts")
+        last = state.get if state.exists else None
+        out = []
+        for ts, n in zip(rows["snapshot_ts"], rows["restart_count"].astype(int)):
+            known = last is not None and last[0] < int(pd.Timestamp(ts).value // 1_000_000)
+            out.append((*key, ts, n, pd.Timestamp(last[0], unit="ms") if known else None, last[1] if known else None))
+            if last is None or known:
+                last = (int(pd.Timestamp(ts).value // 1_000_000), n)
+        state.update(last)
+        state.setTimeoutTimestamp(max(last[0], state.getCurrentWatermarkMs()) + keep_ms)
+        frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in RESTART_OUT.split(", ")])
+        frame["last_count"] = frame["last_count"].astype("Int32")
+        yield frame
+
+    return fn
+
+
+def restart_state(pods: DataFrame, watermark: str = "1 day", keep_days: int = 7) -> DataFrame:
+    """T2 on a stream of pod snapshots: each with the pod's snapshot before it.
+
+    State is one row per (namespace, pod), dropped after ``keep_days`` without
+    a snapshot. What the increase is also depends on the namespace's passes:
+    see ``restart_increase``.
+    """
+    return pods.withWatermark("snapshot_ts", watermark).groupBy("namespace", "pod").applyInPandasWithState(
+        _restart_state_fn(keep_days * 86_400_000), RESTART_OUT, RESTART_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def restart_increase(states: DataFrame) -> DataFrame:
+    """The increase since the namespace's previous non-empty pass; a pod that was not in it counts from here."""
+    w = Window.partitionBy("namespace").orderBy("pass_ts")
+    passes = states.select("namespace", "pass_ts").distinct().withColumn("before", F.lag("pass_ts").over(w))
+    j = states.join(passes, ["namespace", "pass_ts"])
+    previous = F.when(F.col("last_ts") == F.col("before"), F.col("last_count")).otherwise(F.col("restart_count"))
+    return j.withColumn("previous_restart_count", previous).select(
+        "namespace", "pod", "pass_ts", "restart_count", "previous_restart_count",
+        F.greatest(F.lit(0), F.col("restart_count") - F.col("previous_restart_count")).alias("restart_increase"))
+
+
 # --- sinks -----------------------------------------------------------------------------------
 
 def _out_dir(spark: SparkSession, name: str) -> str:
@@ -124,18 +165,19 @@ def _out_dir(spark: SparkSession, name: str) -> str:
 
 
 def run_upserts(df: DataFrame, name: str, mode: str = "update", trigger_available_now: bool = True,
-                interval: str = "60 seconds"):
-    """Run a streaming query: every micro-batch (T8: results first) is
-    written to ``<checkpoint dir>/streams/<name>/data/batch_id=<n>`` (read
-    back with ``batch_id`` as a partition column); offsets and state live in
-    ``.../checkpoint`` (T7). Writing a batch is idempotent."""
+                interval: str = "60 seconds", steps: list | None = None):
+    """Run a streaming query. Every micro-batch goes through the ``steps`` (T8),
+    pairs of a name and a function of (batch, batch id); each result is written
+    to ``<checkpoint dir>/streams/<name>/<step>/batch_id=<n>`` before the next
+    step starts. Offsets and state live in ``.../checkpoint`` (T7). A retried
+    batch overwrites what it wrote, so it never duplicates output."""
     spark = df.sparkSession
     base = _out_dir(spark, name)
+    steps = steps or [("data", lambda batch, _: batch)]
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # One folder per micro-batch, overwritten on a retry of the same batch,
-        # so a re-run after a failure never duplicates output.
-        batch.write.mode("overwrite").parquet(os.path.join(base, "data", f"batch_id={batch_id}"))
+        for step, fn in steps:
+            fn(batch, batch_id).write.mode("overwrite").parquet(os.path.join(base, step, f"batch_id={batch_id}"))
 
     w = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", os.path.join(base, "checkpoint"))
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime=interval)
@@ -145,10 +187,14 @@ def run_upserts(df: DataFrame, name: str, mode: str = "update", trigger_availabl
     return q
 
 
-def latest_view(spark: SparkSession, name: str, key: list[str], schema=None) -> DataFrame:
-    """Newest version of every key written by ``run_upserts``."""
-    path = os.path.join(_out_dir(spark, name), "data")
-    d = spark.read.parquet(path)
+def read_step(spark: SparkSession, name: str, step: str = "data") -> DataFrame:
+    """Everything a step of a query has written, with its ``batch_id``."""
+    return spark.read.parquet(os.path.join(_out_dir(spark, name), step))
+
+
+def latest_view(spark: SparkSession, name: str, key: list[str], step: str = "data") -> DataFrame:
+    """Newest version of every key written by a step."""
+    d = read_step(spark, name, step)
     cols = [c for c in d.columns if c not in key + ["batch_id"]]
     agg = d.groupBy(*key).agg(F.max_by(F.struct(*cols), "batch_id").alias("__v"))
     return agg.select(*key, "__v.*")
@@ -223,12 +269,17 @@ def recovery_timers(candidates: DataFrame, params: Params, watermark: str = "0 s
     )
 
 
-def late_rows(query) -> int:
-    """Rows the stateful operators dropped as later than the watermark,
-    summed over the query's recent progress reports."""
-    total = 0
-    for p in query.recentProgress or []:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else getattr(p, "stateOperators", []):
-            val = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else getattr(op, "numRowsDroppedByWatermark", 0)
-            total += int(val or 0)
-    return total
+def late_rows(raw: DataFrame, params: Params, delay_seconds: int, ts: str = "ts") -> DataFrame:
+    """The rows that came too late for the buckets of ``error_buckets``.
+
+    ``raw``: the stream's rows with the ``batch_id`` they came in (a query of
+    its own, or ``run_upserts`` of the source). The watermark of a batch is the
+    newest row of all earlier batches less the delay; a row is late if its
+    slide bucket ends at or before it.
+    """
+    per = raw.groupBy("batch_id").agg(F.max(ts).alias("newest"))  # one row per batch
+    w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
+    marks = per.select("batch_id", (epoch_seconds(F.max("newest").over(w)) - delay_seconds).alias("watermark"))
+    end = epoch_seconds(slide_bucket(ts, params.slide_seconds)) + params.slide_seconds
+    return raw.join(marks, "batch_id").filter(end <= F.col("watermark")).withColumn(
+        "watermark", F.timestamp_seconds("watermark"))
