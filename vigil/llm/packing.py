@@ -50,19 +50,25 @@ def default_vocabulary() -> str:
 # --- tokens ---------------------------------------------------------------------
 
 class Words(dict):
-    """Token ids (little-endian uint32 bytes) of white-space separated chunks.
-
-    The tokenizer never joins characters across ASCII white space, so a text's
-    ids are its chunks' ids in order, and frequent chunks are encoded once. It
-    also parts letters from the signs that follow them, so a chunk of Latin-1
-    letters and signs is a lower-case stem and a tail, known apart; stems need
-    none of the tokenizer's normalising and are encoded many at a time, with a
-    chunk between them that is one known id. All other chunks go one by one.
+    """Token ids (little-endian uint32 bytes) of a text's chunks.
+
+    The tokenizer never joins characters across ASCII white space, parts
+    letters from the signs after them, and lowers case. So a text is cut into
+    chunks at white space and before signs that end a word, its ids are the
+    chunks' ids in order, and each chunk is encoded once per task. A chunk of
+    Latin-1 letters needs none of the tokenizer's normalising: such chunks are
+    encoded many at a time, with a chunk between them that is one known id.
+    All others go one by one.
     """
 
-    MARK = "0"
-    MOST = 400_000  # chunks remembered per task
-    PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+    MARK = b"0"
+    MOST = 600_000  # chunks remembered per task
+    # signs that end a word, right after an ASCII letter or digit or a Latin-1 letter
+    SIGNS = re.compile(rb"[S](?:(?<=[a-z0-9][S])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][S]))[S]*(?=[\x20\x09-\x0d]|$)".replace(
+        b"[S]", rb"[!-&(-/:-@\[-`{-~]"))
+    # a special token, or letters in which lowering and composing could meet: such texts keep their case
+    DELICATE = (b"<|", b"\xcc", b"\xcd")
+    LATIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 
     def __init__(self, vocabulary: str):
         super().__init__()
@@ -71,50 +77,50 @@ class Words(dict):
 
         full = Tokenizer.from_file(vocabulary)
         self.encode = full.encode
-        stems = Tokenizer(full.model)
-        stems.pre_tokenizer = pre_tokenizers.Sequence(
+        letters = Tokenizer(full.model)
+        letters.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.encode_stems = stems.encode_batch_fast
-        self.parts: dict[str, bytes] = {"": b""}  # of stems and tails
+        self.encode_letters = letters.encode_batch_fast
         self.mark = self.ids(self.MARK)
         if len(self.mark) != 4:
             raise ValueError(f"the vocabulary has no single id for {self.MARK!r}")
 
-    def ids(self, chunk: str) -> bytes:
-        return np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    def ids(self, chunk: bytes) -> bytes:
+        return np.array(self.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def chunks(self, text: bytes) -> list[bytes]:
+        if any(x in text for x in self.DELICATE):
+            return text.split()
+        return self.SIGNS.sub(rb" \g<0>", text.lower()).split()
 
     def learn(self, texts: list[list[bytes]]) -> None:
         if len(self) > self.MOST:
             self.clear()
-            self.parts = {"": b""}
-        split, stems = [], set()
-        for chunk in set(chain.from_iterable(texts)).difference(self):
-            m = self.PLAIN.fullmatch(text := chunk.decode())
-            if m:
-                stem, tail = m[1].lower(), m[2]
-                split.append((chunk, stem, tail))
-                if stem not in self.parts:
-                    stems.add(stem)
-                if tail not in self.parts:
-                    self.parts[tail] = self.ids(tail)
+        new = set(chain.from_iterable(texts)).difference(self)
+        plain = [x for x in new if x.isalpha() and x.islower()]  # bytes: ASCII letters only
+        self._learn_letters(plain, plain)
+        latin, lower = [], []
+        for chunk in new.difference(plain):
+            text = chunk.decode()
+            if self.LATIN.fullmatch(text):
+                latin.append(chunk)
+                lower.append(text.lower().encode())
             else:
-                self[chunk] = self.ids(text)
-        self._learn_stems(list(stems))
-        for chunk, stem, tail in split:
-            self[chunk] = self.parts[stem] + self.parts[tail]
+                self[chunk] = self.ids(chunk)
+        self._learn_letters(latin, lower)
 
-    def _learn_stems(self, stems: list[str]) -> None:
-        groups = [stems[i:i + 1000] for i in range(0, len(stems), 1000)]
+    def _learn_letters(self, chunks: list[bytes], lower: list[bytes]) -> None:
+        starts = range(0, len(chunks), 1000)
         mark = np.frombuffer(self.mark, "<u4")[0]
-        for group, found in zip(groups, self.encode_stems([f" {self.MARK} ".join(g) for g in groups], add_special_tokens=False)):
+        joined = [(b" " + self.MARK + b" ").join(lower[i:i + 1000]).decode() for i in starts]
+        for i, found in zip(starts, self.encode_letters(joined, add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
             ends = np.flatnonzero(ids == mark)
+            group = chunks[i:i + 1000]
             if len(ends) != len(group) - 1:
-                raise ValueError("a stem holds the mark's id")
-            data, at = ids.tobytes(), 0
-            for stem, end in zip(group, [*(4 * ends).tolist(), 4 * len(ids)]):
-                self.parts[stem] = data[at:end]
-                at = end + 4
+                raise ValueError("a chunk of letters holds the mark's id")
+            data, ends = ids.tobytes(), 4 * ends
+            self.update(zip(group, map(data.__getitem__, map(slice, [0, *(ends + 4).tolist()], [*ends.tolist(), len(data)]))))
 
 
 PIECES = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -130,7 +136,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str =
         for big in batches:
             for at in range(0, big.num_rows, 1000):
                 batch = big.slice(at, 1000)
-                texts = [t.split() for t in text_bytes(batch.column(1))]
+                texts = [words.chunks(t) for t in text_bytes(batch.column(1))]
                 words.learn(texts)
                 source, piece, start, length, crc = [], [], [], [], []
                 for row, text in enumerate(texts):
