@@ -20,6 +20,12 @@ WORKLOAD_LABEL = "app.kubernetes.io/name"
 RECENT_MINUTES = 15
 
 
+def attribute_map(**values: Column) -> Column:
+    """Evidence attributes: the given values that are not NULL."""
+    pairs = [F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()]
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["value"].isNotNull()))
+
+
 def _first_nonempty(arr: Column) -> Column:
     return F.get(F.filter(arr, lambda r: r.isNotNull() & (r != "")), 0)
 
@@ -75,6 +81,14 @@ def pod_status(pods: DataFrame, now: str = "observed_at") -> DataFrame:
         summary.alias("summary"),
         ids.evidence_id("KubernetesState", SOURCE_K8S, F.col("namespace"), F.col("pod"), F.col("phase"),
                         F.col("restarts").cast("string"), F.col("waiting_reason"), F.col("last_termination_reason")).alias("evidence_id"),
+        F.lit("KubernetesState").alias("kind"), F.lit(SOURCE_K8S).alias("source"),
+        attribute_map(
+            phase=F.col("phase"), ready=F.when(F.col("ready"), "true").otherwise("false"), restarts=F.col("restarts").cast("string"),
+            node=F.col("node"), waitingReason=F.col("waiting_reason"), lastTerminationReason=F.col("last_termination_reason"),
+            lastExitCode=F.col("last_exit_code").cast("string"),
+            minutesSinceLastRestart=F.when(F.col("last_terminated_at").isNotNull(), minutes.cast("string")),
+            restartIsRecent=F.when(F.col("last_terminated_at").isNotNull(), F.when(recent, "true").otherwise("false")),
+            memoryLimit=F.col("memory_limit")).alias("attributes"),
     )
 
 
@@ -141,6 +155,10 @@ def k8s_events(events: DataFrame, workloads: DataFrame | None, since, limit: int
                  F.col("redacted_message")).alias("summary"),
         F.coalesce("count", F.lit(1)).alias("count"),
         "redacted_value_count",
+        F.lit("KubernetesEvent").alias("kind"), F.lit(SOURCE_K8S).alias("source"),
+        attribute_map(type=F.coalesce("type", F.lit("Normal")), reason=F.coalesce("reason", F.lit("Unknown")),
+                      object=F.concat(F.coalesce(F.col("involvedObject.kind"), F.lit("")), F.lit("/"), F.col("involved")),
+                      count=F.coalesce("count", F.lit(1)).cast("string"), occurredAtUtc=iso).alias("attributes"),
     )
     if limit is None:
         return out
@@ -148,7 +166,7 @@ def k8s_events(events: DataFrame, workloads: DataFrame | None, since, limit: int
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
-def deployment_status(deps: DataFrame) -> DataFrame:
+def deployment_status(deps: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """K4: replica counts (NULL -> 0) and the first Available!=True condition."""
     desired = F.coalesce(F.col("spec.replicas"), F.lit(0))
     ready = F.coalesce(F.col("status.readyReplicas"), F.lit(0))
@@ -162,10 +180,13 @@ def deployment_status(deps: DataFrame) -> DataFrame:
         F.when(bad.isNotNull(), F.concat(F.lit(" - "), F.coalesce(bad["reason"], F.lit("")), F.lit(": "), F.coalesce(bad["message"], F.lit("")))).otherwise(F.lit("")),
     )
     return deps.select(
-        F.col("metadata.namespace").alias("namespace"), F.col("metadata.name").alias("deployment"),
+        *(keep or []), F.col("metadata.namespace").alias("namespace"), F.col("metadata.name").alias("deployment"),
         desired.alias("desired"), ready.alias("ready"), avail.alias("available"), upd.alias("updated"), summary.alias("summary"),
         ids.evidence_id("KubernetesState", SOURCE_K8S, F.col("metadata.namespace"), F.col("metadata.name"), F.lit("deployment"),
                         F.concat_ws("/", desired.cast("string"), ready.cast("string"), avail.cast("string"))).alias("evidence_id"),
+        F.lit("KubernetesState").alias("kind"), F.lit(SOURCE_K8S).alias("source"),
+        attribute_map(desiredReplicas=desired.cast("string"), readyReplicas=ready.cast("string"),
+                      availableReplicas=avail.cast("string"), updatedReplicas=upd.cast("string")).alias("attributes"),
     )
 
 

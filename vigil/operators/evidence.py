@@ -4,11 +4,22 @@ kind, completeness, and the per-incident text digest."""
 
 from __future__ import annotations
 
+import logging
+from dataclasses import dataclass
+from datetime import datetime
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from vigil.functions.ids import SOURCE_LOGS, SOURCE_METRICS, KIND_PRIORITY
+from vigil.config import Params
+from vigil.functions.ids import KIND_PRIORITY, SOURCE_METRICS
+from vigil.operators import cluster, logs
+from vigil.operators.windows import expand_to_passes, slide_bucket
+
+EPOCH = datetime(1970, 1, 1)
+log = logging.getLogger(__name__)
 
 EVIDENCE_COLUMNS = ["incident_id", "evidence_id", "kind", "source", "observed_at", "workload", "summary"]
 
@@ -104,17 +115,15 @@ def evidence_block(evidence: DataFrame) -> Column:
     )
 
 
-def digest(evidence: DataFrame, max_items: int | None = None) -> DataFrame:
+def digest(evidence: DataFrame, max_items: int) -> DataFrame:
     """The evidence section of an incident's prompt, per incident.
 
+    The evidence is trimmed by kind priority (E3) first, so a group is small.
     Sections follow ``DIGEST_SECTIONS`` (empty ones skipped), each a heading
     and the items newest first, each item an ``<evidence ...>`` block with a
-    note when values were redacted. One grouping per incident: the sorted
-    items are folded into text, inserting a heading where the kind changes.
-    With ``max_items`` the evidence is first trimmed by kind priority (E3).
+    note when values were redacted.
     """
-    if max_items is not None:
-        evidence = select(evidence, max_items)
+    evidence = select(evidence, max_items)
     kinds = [k for k, _ in DIGEST_SECTIONS]
     rank = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind")).cast("int")
     heading = F.element_at(F.array(*[F.lit(h) for _, h in DIGEST_SECTIONS]), F.greatest(rank, F.lit(1)))
@@ -122,70 +131,143 @@ def digest(evidence: DataFrame, max_items: int | None = None) -> DataFrame:
                      F.col("evidence_id").alias("i"), heading.alias("h"), evidence_block(evidence).alias("b"))
     g = evidence.filter(rank > 0).groupBy("incident_id").agg(F.sort_array(F.collect_list(items)).alias("__it"),
                                                            F.count(F.lit(1)).alias("items"))
-    init = F.struct(F.lit("").alias("text"), F.lit(0).alias("last"))
-    folded = F.aggregate(
-        "__it", init,
-        lambda acc, x: F.struct(
-            F.concat(acc["text"],
-                     F.when(x["r"] != acc["last"],
-                            F.concat(F.when(acc["last"] > 0, F.lit("\n")).otherwise(F.lit("")), F.lit("### "), x["h"], F.lit("\n")))
-                     .otherwise(F.lit("")),
-                     x["b"]).alias("text"),
-            x["r"].alias("last"),
-        ),
-        lambda acc: F.concat(acc["text"], F.lit("\n")),
-    )
-    return g.select("incident_id", folded.alias("digest"), "items")
-
+    blocks = F.transform("__it", lambda x, i: F.concat(
+        F.when(i == 0, F.concat(F.lit("### "), x["h"], F.lit("\n")))
+        .when(x["r"] != F.get("__it", i - 1)["r"], F.concat(F.lit("\n### "), x["h"], F.lit("\n"))).otherwise(F.lit("")), x["b"]))
+    return g.select("incident_id", F.concat(F.array_join(blocks, ""), F.lit("\n")).alias("digest"), "items")
 
-# Error log samples per bundle: the newest 50 (the service's search limit).
-SAMPLE_LIMIT = 50
 
+def prompt(incidents: DataFrame, digests: DataFrame) -> DataFrame:
+    """The incident's header, its signals in key order, and its digest: the text an agent reads.
 
-def bundle(moments: DataFrame, families: list[DataFrame], window_seconds: int, caps: dict | None = None) -> DataFrame:
-    """Evidence for many incidents at once.
-
-    ``moments``: (incident_id, namespace, workload, moment_ts). Each family:
-    (namespace, workload, observed_at, evidence_id, kind, source, summary).
-    Interval join on (namespace, workload) with observed_at in
-    [moment - window, moment], bucketed by window width so that each moment
-    meets at most two buckets of each family (no nested loop). ``caps``
-    limits a kind to its newest N items per incident (default: log samples
-    to 50); the limit is applied per window partition before the union.
+    ``incidents``: incident_id, category, severity, title, namespace,
+    affected_workloads, first/last_detected_at, detection_count,
+    detection_rule, signals.
+    """
+    def utc(c):
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss'Z'")
+
+    # The labels of the header, in order.
+    fields = [("category", F.col("category")), ("detected severity", F.col("severity")), ("title", F.col("title")),
+              ("namespace", F.col("namespace")), ("workloads showing symptoms", F.array_join("affected_workloads", ", ")),
+              ("first detected", utc("first_detected_at")), ("most recently observed", utc("last_detected_at")),
+              ("observed", F.concat(F.col("detection_count").cast("string"), F.lit(" time(s)"))), ("raised by rule", F.col("detection_rule"))]
+    lines = [F.lit("## Incident")]
+    for name, value in fields:
+        lines.append(F.concat(F.lit(f"- {name}" + (" " if name == "observed" else ": ")), F.coalesce(value, F.lit(""))))
+    signals = F.array_sort(F.map_entries("signals"))
+    measured = F.concat(F.lit("\n\n### Measured values that triggered the rule\n"), F.array_join(
+        F.transform(signals, lambda x: F.concat(F.lit("- "), x["key"], F.lit(": "), x["value"])), "\n"))
+    head = F.concat(F.concat_ws("\n", *lines), F.when(F.size("signals") > 0, measured).otherwise(F.lit("")))
+    j = incidents.join(digests, "incident_id", "left")
+    return j.select("incident_id", F.concat(head, F.lit("\n\n## Evidence\n\n"), F.coalesce("digest", F.lit(""))).alias("prompt"))
+
+
+# --- bundles ---------------------------------------------------------------------------
+
+BUNDLE_COLUMNS = ["incident_id", "evidence_id", "kind", "source", "observed_at", "workload", "summary", "attributes"]
+FAMILY_COLUMNS = ["evidence_id", "kind", "source", "observed_at", "summary", "attributes"]
+
+
+@dataclass
+class BundleSources:
+    """What a bundle is collected from; None where the source is unavailable."""
+
+    pods: DataFrame | None = None          # pod objects with observed_at
+    deployments: DataFrame | None = None   # Deployment objects with observed_at
+    events: DataFrame | None = None        # event objects
+    metrics: DataFrame | None = None       # ``service_metric_evidence``
+    logs: DataFrame | None = None          # stored lines
+
+
+def _at_pass(moments: DataFrame, family: DataFrame, at: str) -> DataFrame:
+    """Rows of the very pass of a moment."""
+    f = family.select(F.col("namespace").alias("f_ns"), F.col("workload").alias("f_wl"), F.col(at).alias("f_at"), *FAMILY_COLUMNS)
+    return moments.join(f, (F.col("namespace") == F.col("f_ns")) & (F.col("workload") == F.col("f_wl")) & (F.col("moment_ts") == F.col("f_at")))
+
+
+def _as_of(moments: DataFrame, family: DataFrame) -> DataFrame:
+    """Rows of the namespace's newest snapshot that is not after a moment."""
+    snaps = family.select("namespace", F.col("observed_at").alias("t")).distinct().withColumn("snap", F.col("t"))
+    asked = moments.select("namespace", F.col("moment_ts").alias("t")).distinct().withColumn("snap", F.lit(None).cast("timestamp"))
+    # a snapshot sorts before a moment of the same instant; one row per snapshot and moment
+    w = Window.partitionBy("namespace").orderBy("t", F.col("snap").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = snaps.unionByName(asked).withColumn("newest", F.last("snap", ignorenulls=True).over(w))
+    at = both.filter(F.col("snap").isNull()).select("namespace", F.col("t").alias("moment_ts"), "newest")
+    timed = moments.join(at, ["namespace", "moment_ts"])
+    f = family.select(F.col("namespace").alias("f_ns"), F.col("workload").alias("f_wl"), *FAMILY_COLUMNS)
+    return timed.join(f, (F.col("namespace") == F.col("f_ns")) & (F.col("workload") == F.col("f_wl")) & (F.col("newest") == F.col("observed_at")))
+
+
+def newest_in_window(moments: DataFrame, rows: DataFrame, params: Params, limit: int, ts: str, order: list[Column]) -> DataFrame:
+    """The newest ``limit`` rows of a moment's workload in [moment - window, moment).
+
+    Moments are passes, so a window is a whole number of slide buckets, and no
+    bucket needs more than its own newest ``limit`` rows: a hot workload is
+    cut down per bucket before it meets a moment.
     """
-    caps = {"LogSample": SAMPLE_LIMIT} if caps is None else caps
-    span = window_seconds * 1_000_000
-    m = moments.withColumn("__hi", F.unix_micros(F.col("moment_ts").cast("timestamp"))).withColumn(
-        "__lo", F.col("__hi") - span
-    ).withColumn("__b", F.explode(F.sequence(F.floor(F.col("__lo") / span), F.floor(F.col("__hi") / span))))
-    out = None
-    for fam in families:
-        f = fam.withColumn("__t", F.unix_micros(F.col("observed_at").cast("timestamp"))).withColumn(
-            "__b", F.floor(F.col("__t") / span)
-        )
-        j = m.alias("m").join(
-            f.alias("f"),
-            (F.col("m.namespace") == F.col("f.namespace"))
-            & (F.col("m.workload") == F.col("f.workload"))
-            & (F.col("m.__b") == F.col("f.__b"))
-            & F.col("f.__t").between(F.col("m.__lo"), F.col("m.__hi")),
-        ).select(
-            F.col("m.incident_id").alias("incident_id"),
-            F.col("f.evidence_id").alias("evidence_id"),
-            F.col("f.kind").alias("kind"),
-            F.col("f.source").alias("source"),
-            F.col("f.observed_at").alias("observed_at"),
-            F.col("f.workload").alias("workload"),
-            F.col("f.summary").alias("summary"),
-        )
-        kinds = [r for r in caps]
-        if kinds:
-            cap = F.create_map(*[x for k in kinds for x in (F.lit(k), F.lit(caps[k]))])
-            w = Window.partitionBy("incident_id", "kind").orderBy(F.col("observed_at").desc(), F.col("evidence_id"))
-            j = j.withColumn("__r", F.row_number().over(w)).filter(
-                F.col("__r") <= F.coalesce(cap[F.col("kind")], F.lit(2**31 - 1))).drop("__r")
-        out = j if out is None else out.unionByName(j)
-    return out
+    b = rows.withColumn("__b", slide_bucket(ts, params.slide_seconds))
+    per = Window.partitionBy("namespace", "workload", "__b").orderBy(*order)
+    few = b.withColumn("__r", F.row_number().over(per)).filter(F.col("__r") <= limit).drop("__r")
+    met = expand_to_passes(few, "__b", params).drop("window_start").withColumnRenamed("pass_ts", "moment_ts").join(
+        moments, ["namespace", "workload", "moment_ts"])
+    best = Window.partitionBy("incident_id").orderBy(*order)
+    return met.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= limit).drop("__r")
+
+
+def bundle(moments: DataFrame, src: BundleSources, params: Params, max_log_samples: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The evidence of many incidents at once, and what could not be had.
+
+    ``moments``: (incident_id, namespace, workload, moment_ts), moment_ts a
+    pass. Six families: pods, Deployments and events of the cluster, the
+    service's metrics of the pass, its error signatures, and its newest error
+    lines. Text work (redaction, hashing) is done on what is left after the
+    limits. The second result, (incident_id, source), names the families
+    whose source is missing or failed to plan; the others are still collected.
+    """
+    samples = params.max_log_samples if max_log_samples is None else min(max_log_samples, params.max_log_samples)
+    m = moments.select("incident_id", "namespace", "workload", "moment_ts")
+
+    def pods():
+        return _as_of(m, cluster.pod_status(src.pods))
+
+    def deployments():
+        return _as_of(m, cluster.deployment_status(src.deployments, keep=["observed_at"]).withColumnRenamed("deployment", "workload"))
+
+    def events():
+        every = cluster.k8s_events(src.events, m.select("namespace", "workload"), EPOCH, limit=None).withColumn("observed_at", F.col("occurred_at"))
+        return newest_in_window(m, every, params, params.max_items, "occurred_at", [F.col("occurred_at").desc(), F.col("evidence_id")])
+
+    def metrics():
+        return _at_pass(m, src.metrics, "observed_at")
+
+    def signatures():
+        s = logs.error_signatures(src.logs, params, top=params.max_signatures, by_workload=True)
+        keys = s.join(m.select("namespace", "workload", F.col("moment_ts").alias("pass_ts")).distinct(), ["namespace", "workload", "pass_ts"], "left_semi")
+        return _at_pass(m, logs.signature_evidence(keys), "pass_ts")
+
+    def lines():
+        stored = src.logs.filter(F.col("level") == "error").withColumn("workload", F.col("container"))
+        few = newest_in_window(m, stored, params, samples, "ts", logs.newest_first(src.logs))
+        return logs.to_sample_evidence(logs.messages(few.drop("workload")).withColumnRenamed("container", "workload"))
+
+    # Names of the sources in an incomplete bundle.
+    families = [("kubernetes pod state", src.pods, pods), ("kubernetes deployment state", src.deployments, deployments),
+                ("kubernetes events", src.events, events), ("service metrics", src.metrics, metrics),
+                ("log signatures", src.logs, signatures), ("error log samples", src.logs, lines)]
+    parts, missing = [], []
+    for name, given, build in families:
+        try:
+            if given is None:
+                raise ValueError("no such source")
+            parts.append(build().select(*BUNDLE_COLUMNS))
+        except Exception as error:  # noqa: BLE001 - a failing source must not cost the others
+            log.warning("%s left out of the bundles: %s", name, error)
+            missing.append(f"{name} ({type(error).__name__})")
+    if not parts:
+        raise ValueError("no evidence source is available")
+    failed = m.select("incident_id", F.explode(F.array(*map(F.lit, missing)).cast("array<string>")).alias("source"))
+    return reduce(DataFrame.unionByName, parts), failed
 
 
 def service_metric_evidence(error_rate: DataFrame | None, p95: DataFrame | None, failures: DataFrame | None,
@@ -200,56 +282,47 @@ def service_metric_evidence(error_rate: DataFrame | None, p95: DataFrame | None,
     from vigil.operators.detect import fixed_double, fixed_ratio
     from vigil.operators.metrics import minute_bucket
 
-    cols = ["namespace", "workload", "observed_at", "evidence_id", "kind", "source", "summary"]
-    parts = []
-    if error_rate is not None:
-        parts.append(error_rate.select(
+    def rows(df: DataFrame, parts: list[Column], summary: Column, **attributes: Column) -> DataFrame:
+        return df.select(
             "namespace", F.col("service").alias("workload"), F.col("pass_ts").alias("observed_at"),
-            evidence_id("Metric", SOURCE_METRICS, F.col("service"), F.lit("http_error_rate"), minute_bucket("pass_ts")).alias("evidence_id"),
-            F.lit("Metric").alias("kind"), F.lit(SOURCE_METRICS).alias("source"),
+            evidence_id("Metric", SOURCE_METRICS, F.col("service"), *parts, minute_bucket("pass_ts")).alias("evidence_id"),
+            F.lit("Metric").alias("kind"), F.lit(SOURCE_METRICS).alias("source"), summary.alias("summary"),
+            cluster.attribute_map(**attributes).alias("attributes"))
+
+    def whole(c: str) -> Column:
+        return F.col(c).cast("bigint").cast("string")
+
+    out = []
+    if error_rate is not None:
+        out.append(rows(
+            error_rate, [F.lit("http_error_rate")],
             F.concat(F.col("service"), F.lit(": "), fixed_ratio(F.col("errors") * 100, F.col("total"), 1),
-                     F.lit(f" % of requests returned 5xx over the last {window_minutes} minutes ("),
-                     F.col("total").cast("bigint").cast("string"), F.lit(" requests)")).alias("summary"),
-        ))
+                     F.lit(f" % of requests returned 5xx over the last {window_minutes} minutes ("), whole("total"), F.lit(" requests)")),
+            errorRatio=fixed_ratio("errors", "total", 4), totalRequests=whole("total"), windowMinutes=F.lit(str(window_minutes))))
     if p95 is not None:
-        parts.append(p95.select(
-            "namespace", F.col("service").alias("workload"), F.col("pass_ts").alias("observed_at"),
-            evidence_id("Metric", SOURCE_METRICS, F.col("service"), F.lit("latency_p95"), minute_bucket("pass_ts")).alias("evidence_id"),
-            F.lit("Metric").alias("kind"), F.lit(SOURCE_METRICS).alias("source"),
-            F.concat(F.col("service"), F.lit(": 95th percentile request duration "), fixed_double("p95", 3), F.lit("s")).alias("summary"),
-        ))
+        out.append(rows(p95, [F.lit("latency_p95")],
+                        F.concat(F.col("service"), F.lit(": 95th percentile request duration "), fixed_double("p95", 3), F.lit("s")),
+                        p95Seconds=fixed_double("p95", 4)))
     if failures is not None:
-        parts.append(failures.select(
-            "namespace", F.col("service").alias("workload"), F.col("pass_ts").alias("observed_at"),
-            evidence_id("Metric", SOURCE_METRICS, F.col("service"), F.col("dependency"), F.col("kind"), minute_bucket("pass_ts")).alias("evidence_id"),
-            F.lit("Metric").alias("kind"), F.lit(SOURCE_METRICS).alias("source"),
-            F.concat(F.col("service"), F.lit(": "), F.col("failures").cast("bigint").cast("string"), F.lit(" '"), F.col("kind"),
-                     F.lit("' failures calling "), F.col("dependency")).alias("summary"),
-        ))
+        out.append(rows(
+            failures, [F.col("dependency"), F.col("kind")],
+            F.concat(F.col("service"), F.lit(": "), whole("failures"), F.lit(" '"), F.col("kind"), F.lit("' failures calling "), F.col("dependency")),
+            dependency=F.col("dependency"), failureKind=F.col("kind"), count=whole("failures")))
     if dep_p95 is not None:
-        parts.append(dep_p95.select(
-            "namespace", F.col("service").alias("workload"), F.col("pass_ts").alias("observed_at"),
-            evidence_id("Metric", SOURCE_METRICS, F.col("service"), F.col("dependency"), F.lit("latency"), minute_bucket("pass_ts")).alias("evidence_id"),
-            F.lit("Metric").alias("kind"), F.lit(SOURCE_METRICS).alias("source"),
-            F.concat(F.col("service"), F.lit(": calls to "), F.col("dependency"), F.lit(" take "), fixed_double("p95", 3),
-                     F.lit("s at the 95th percentile")).alias("summary"),
-        ))
-    out = parts[0].select(*cols)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*cols))
-    return out
-
-
-def log_sample_family(logs: DataFrame) -> DataFrame:
-    """Error log lines as LogSample evidence rows (namespace, workload, ...)."""
-    from vigil.functions.ids import evidence_id
-    from vigil.functions.text import log_signature, truncate, with_redaction
-
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS'+00:00'")
-    d = with_redaction(logs.filter(F.col("level") == "error"), "line", "__red", "__n")
-    return d.select(
-        "namespace", F.col("container").alias("workload"), F.col("ts").alias("observed_at"),
-        evidence_id("LogSample", SOURCE_LOGS, iso, F.col("container"), F.col("pod"), log_signature(F.col("line"))).alias("evidence_id"),
-        F.lit("LogSample").alias("kind"), F.lit(SOURCE_LOGS).alias("source"),
-        F.concat(F.lit("[error] "), truncate("__red", 500)).alias("summary"),
-    )
+        out.append(rows(
+            dep_p95, [F.col("dependency"), F.lit("latency")],
+            F.concat(F.col("service"), F.lit(": calls to "), F.col("dependency"), F.lit(" take "), fixed_double("p95", 3), F.lit("s at the 95th percentile")),
+            dependency=F.col("dependency"), p95Seconds=fixed_double("p95", 4)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def cluster_health(evidence: DataFrame, open_incidents: DataFrame, max_items: int) -> DataFrame:
+    """What a cluster report rests on, per scope: the trimmed evidence and
+    the impact text. ``evidence``: bundles of every Deployment, with the
+    report's id as ``incident_id``; ``open_incidents``: (incident_id, n)."""
+    kept = select(evidence, max_items)
+    facts = kept.groupBy("incident_id").agg(F.count(F.lit(1)).alias("facts"))
+    j = facts.join(open_incidents, "incident_id", "left")
+    return j.select("incident_id", "facts", F.concat(
+        F.coalesce("n", F.lit(0)).cast("string"), F.lit(" open incident(s), "), F.col("facts").cast("string"),
+        F.lit(" evidence item(s) examined")).alias("impact"))

@@ -243,9 +243,10 @@ def around(moments: DataFrame, logs: DataFrame, before_s: int, after_s: int, lim
 
 # --- signatures -------------------------------------------------------------------
 
-def error_signatures(logs: DataFrame, params: Params, top: int | None = None) -> DataFrame:
-    """Repeated error/warn signatures per (namespace, pass); with ``top``, the
-    most frequent ones only (a listing: rules take them all).
+def error_signatures(logs: DataFrame, params: Params, top: int | None = None, by_workload: bool = False) -> DataFrame:
+    """Repeated error/warn signatures per (namespace, pass), or per (namespace,
+    workload, pass); with ``top``, the most frequent ones only (a listing:
+    rules take them all).
 
     Grouped by the hash of the normalised enriched message across workloads; workload and level come from
     the newest line of the group (ties: larger pod). Distinct pods counts a
@@ -258,8 +259,9 @@ def error_signatures(logs: DataFrame, params: Params, top: int | None = None) ->
     lines = lines.withColumn("__norm", text.normalise(F.col(message)))
     lines = lines.withColumn("signature_hash", text.signature_hash("__norm"))
     sample = F.struct(F.col("level").alias("level"), F.col(workload).alias("workload"), F.col("__norm").alias("normalised"))
+    scope = ["namespace", "container"] if by_workload else ["namespace"]
     parts = lines.groupBy(
-        "namespace", "signature_hash", "pod", slide_bucket("ts", params.slide_seconds).alias("__bucket")
+        *scope, "signature_hash", "pod", slide_bucket("ts", params.slide_seconds).alias("__bucket")
     ).agg(
         F.count(F.lit(1)).alias("__n"),
         F.min("ts").alias("__first"),
@@ -268,7 +270,7 @@ def error_signatures(logs: DataFrame, params: Params, top: int | None = None) ->
         F.max(F.struct("ts", F.col(message))).alias("__key"),
     )
     w = expand_to_passes(parts, "__bucket", params)
-    agg = w.groupBy("namespace", "window_start", "pass_ts", "signature_hash").agg(
+    agg = w.groupBy(*scope, "window_start", "pass_ts", "signature_hash").agg(
         F.sum("__n").alias("occurrences"),
         F.min("__first").alias("first_seen"),
         F.max("__last").alias("last_seen"),
@@ -283,7 +285,7 @@ def error_signatures(logs: DataFrame, params: Params, top: int | None = None) ->
         F.col("s.normalised").alias("normalised"),
     )
     if top is not None:
-        rw = Window.partitionBy("namespace", "pass_ts").orderBy(F.col("occurrences").desc(), F.col("signature_hash"))
+        rw = Window.partitionBy("namespace", *(["workload"] if by_workload else []), "pass_ts").orderBy(F.col("occurrences").desc(), F.col("signature_hash"))
         out = out.withColumn("rank", F.row_number().over(rw)).filter(F.col("rank") <= top).drop("rank")
     return out
 

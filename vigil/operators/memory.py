@@ -159,6 +159,7 @@ def to_evidence(matches: DataFrame, kind: str) -> DataFrame:
     by the title and the content cut at 900 characters."""
     from vigil.functions import ids
     from vigil.functions.text import truncate
+    from vigil.operators.cluster import attribute_map
     from vigil.operators.detect import fixed_double
 
     conf = retrieval_confidence("distance")
@@ -174,6 +175,13 @@ def to_evidence(matches: DataFrame, kind: str) -> DataFrame:
         F.col("source_ref"),
         conf.alias("retrieval_confidence"),
         fixed_double("distance", 3).alias("distance_label"),
+        F.lit(ids.SOURCE_MEMORY).alias("source"),
+        (F.col("occurred_at") if "occurred_at" in cols else F.lit(None).cast("timestamp")).alias("observed_at"),
+        attribute_map(
+            sourceRef=F.col("source_ref"), retrievalDistance=fixed_double("distance", 3), retrievalConfidence=fixed_double(conf, 3),
+            historicalIncidentId=F.col("incident_id"), rootCauseCategory=F.col("category"), workload=F.col("workload"),
+            **({"occurredAtUtc": F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS'+00:00'")} if "occurred_at" in cols else {}),
+        ).alias("attributes"),
         F.concat(F.lit(label), fixed_double(conf * 100, 0), F.lit(" %): "), title, F.lit("\n"), truncate(content, 900)).alias("summary"),
     )
 

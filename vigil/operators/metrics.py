@@ -173,6 +173,39 @@ def histogram_quantile(hist: DataFrame, by: list[str], q: float, out: str = "qua
     return grouped.select(*by, quantile_from_buckets(q, F.col("__b")).alias(out))
 
 
+def labelled(samples: DataFrame, labels: list[str]) -> DataFrame:
+    """Series labels with ``unknown`` in place of NULL."""
+    return samples.withColumns({c: F.coalesce(F.col(c), F.lit("unknown")) for c in labels})
+
+
+def p95_from_buckets(samples: DataFrame, by: list[str], series: list[str], params: Params, tiebreak: str | None = "event_id") -> DataFrame:
+    """p95 per (by..., pass) from cumulative bucket counters: the increase of
+    every bucket series (``series`` and ``le``), summed by ``le``, then the
+    quantile; groups without traffic are dropped."""
+    labels = [*dict.fromkeys([*series, "le"])]
+    inc = increase(labelled(samples, [c for c in by if c != "namespace"]), labels, params, tiebreak=tiebreak)
+    keys = [*by, "window_start", "pass_ts"]
+    hist = sum_by(inc, [*by, "le"], out="count")
+    return histogram_quantile(hist, keys, 0.95, "p95").filter(~F.isnan("p95"))
+
+
+def latency_p95_from_buckets(samples: DataFrame, params: Params, series: list[str] = ["namespace", "service"]) -> DataFrame:  # noqa: B006
+    """M7 from stored bucket counters (namespace, service, le, ts, value; ``series`` names further labels, as a pod)."""
+    return p95_from_buckets(samples, ["namespace", "service"], series, params)
+
+
+def dependency_p95_from_buckets(samples: DataFrame, params: Params, series: list[str] = ["namespace", "service", "dependency"]) -> DataFrame:  # noqa: B006
+    """M9 from stored bucket counters (namespace, service, dependency, le, ts, value)."""
+    return p95_from_buckets(samples, ["namespace", "service", "dependency"], series, params)
+
+
+def dependency_failures_from_counters(samples: DataFrame, params: Params, tiebreak: str | None = "event_id") -> DataFrame:
+    """M8 from stored failure counters (namespace, service, dependency, kind, ts, value): increases above 0."""
+    keys = ["namespace", "service", "dependency", "kind"]
+    inc = increase(labelled(samples, keys[1:]), keys, params, tiebreak=tiebreak)
+    return inc.select(*keys, "window_start", "pass_ts", F.col("increase").alias("failures")).filter(F.col("failures") > 0)
+
+
 def latency_p95(requests: DataFrame, params: Params) -> DataFrame:
     """p95 request seconds per (namespace, service, pass); NaN rows dropped."""
     hist = observations_to_histogram(requests, ["namespace", "service"], params, wide=True)
@@ -188,9 +221,9 @@ def dependency_latency_p95(calls: DataFrame, params: Params) -> DataFrame:
 
 
 def dependency_failures(calls: DataFrame, params: Params) -> DataFrame:
-    """Failures by (service, dependency, kind) per pass; kind NULL -> 'unknown'."""
-    f = calls.filter(F.col("outcome") == "failure").withColumn("kind", F.coalesce("kind", F.lit("unknown")))
+    """Failures by (service, dependency, kind) per pass; a NULL label is ``unknown``."""
     keys = ["namespace", "service", "dependency", "kind"]
+    f = labelled(calls.filter(F.col("outcome") == "failure"), keys[1:])
     parts = f.groupBy(*keys, slide_bucket("ts", params.slide_seconds).alias("__bucket")).agg(
         F.count(F.lit(1)).alias("__n")
     )

@@ -273,3 +273,35 @@ def q_targets_up(spark, sf):
     """Scrape targets that are up (``up == 1``) at each pass; the probe wants at least 5."""
     up = T.pod_snapshots(spark, sf).select(F.col("snapshot_ts").alias("pass_ts"), F.col("pod").alias("target"), F.col("ready").cast("int").alias("value"))
     return M.targets_up(up)
+
+
+def sql_increase(source: str, series: str, alias: str, p=P) -> str:
+    """Increase of every series in every pass, as CTEs ending in ``alias``."""
+    return f"""{alias}_d AS (SELECT *, lag(value) OVER (PARTITION BY {series} ORDER BY ts, event_id) AS prev FROM {source}),
+{alias}_w AS (SELECT {series}, ts, event_id, CASE WHEN prev IS NULL THEN 0.0 WHEN value < prev THEN value ELSE value - prev END AS delta,
+  {sql_passes('ts', p)} FROM {alias}_d, {sql_window_join(p)}),
+{alias} AS (SELECT {series}, window_start, pass_ts, sum(delta) - arg_min(delta, (ts, event_id)) AS increase FROM {alias}_w GROUP BY ALL)"""
+
+
+@register(
+    "latency_p95_from_buckets",
+    sql="WITH " + T.sql_requests() + ",\n" + T.SQL_BUCKETS_ONLY.format(bounds=BOUNDS_SQL) + ",\n"
+    + sql_increase("bks", "namespace, service, le", "binc")
+    + ",\nbh AS (SELECT namespace, service, le, window_start, pass_ts, sum(increase) AS count FROM binc GROUP BY ALL)"
+    + f"\nSELECT namespace, service, window_start, pass_ts, round(p95, {R6}) AS p95 FROM ("
+    + sql_quantile("bh", "namespace, service", 0.95, "p95") + ") WHERE NOT isnan(p95)",
+)
+def q_latency_p95_from_buckets(spark, sf):
+    return M.latency_p95_from_buckets(T.bucket_counters(spark, sf), P).select(
+        "namespace", "service", "window_start", "pass_ts", F.round("p95", R6).alias("p95"))
+
+
+@register(
+    "dependency_failures_from_counters",
+    sql="WITH " + T.sql_dep_calls() + ",\n" + T.SQL_FAILURE_COUNTERS_ONLY
+    + ",\nfck AS (SELECT namespace, service, dependency, coalesce(kind, 'unknown') AS kind, ts, event_id, value FROM fcs),\n"
+    + sql_increase("fck", "namespace, service, dependency, kind", "finc")
+    + "\nSELECT namespace, service, dependency, kind, window_start, pass_ts, increase AS failures FROM finc WHERE increase > 0",
+)
+def q_dependency_failures_from_counters(spark, sf):
+    return M.dependency_failures_from_counters(T.failure_counters(spark, sf), P)

@@ -151,8 +151,13 @@ def _sql_memory_to_evidence() -> str:
     from vigil.plans.q_memory import _search_sql
 
     conf = "round_even(least(greatest(1 - distance, 0.0), 1.0), 3)"
+    label = ("CAST(CAST(floor(distance * 1000 + 0.5) AS BIGINT) // 1000 AS VARCHAR) || '.' "
+             "|| lpad(CAST(CAST(floor(distance * 1000 + 0.5) AS BIGINT) % 1000 AS VARCHAR), 3, '0')")
     sel = f"""SELECT query_id, 'hist_' || left(sha256('HistoricalIncident|memory|' || source_ref), 12) AS evidence_id,
-  'HistoricalIncident' AS kind, source_ref, {conf} AS retrieval_confidence,
+  'HistoricalIncident' AS kind, 'memory' AS source, CAST(NULL AS TIMESTAMP) AS observed_at, source_ref, {conf} AS retrieval_confidence,
+  array_to_string(list_filter(['historicalIncidentId=' || incident_id,
+    'retrievalConfidence=' || printf('%.3f', {conf}), 'retrievalDistance=' || {label}, 'rootCauseCategory=' || category,
+    'sourceRef=' || source_ref, 'workload=' || workload], lambda x: x IS NOT NULL), chr(10)) AS attributes,
   CAST(CAST(floor(distance * 1000 + 0.5) AS BIGINT) // 1000 AS VARCHAR) || '.'
     || lpad(CAST(CAST(floor(distance * 1000 + 0.5) AS BIGINT) % 1000 AS VARCHAR), 3, '0') AS distance_label,
   'PAST INCIDENT (not evidence about the current one, retrieval confidence '
@@ -164,7 +169,8 @@ def _sql_memory_to_evidence() -> str:
 def q_memory_to_evidence(spark, sf):
     """SM6 over the similar-incident search."""
     r = SM.search(T.memory(spark, sf), T.incident_queries(spark, sf), replay_params(embedding_dim=64), relaxed=True)
-    return SM.to_evidence(r, "HistoricalIncident")
+    e = SM.to_evidence(r, "HistoricalIncident")
+    return e.withColumn("attributes", D.signals_text("attributes"))
 
 
 @register(

@@ -311,6 +311,7 @@ def q_evidence_api_check(spark, sf):
     return E.completeness(O.evidence(spark, sf), inc, _source_failures(o)).select("incident_id", "api_check")
 
 
+_KINDS = _sql_list(KIND_PRIORITY)
 _SECTIONS = ", ".join(f"('{k}', {i + 1}, '{h}')" for i, (k, h) in enumerate(E.DIGEST_SECTIONS))
 
 
@@ -318,15 +319,16 @@ _SECTIONS = ", ".join(f"('{k}', {i + 1}, '{h}')" for i, (k, h) in enumerate(E.DI
     "evidence_digest",
     sql="WITH " + O.SQL_EVIDENCE + f""",
 sec AS (SELECT * FROM (VALUES {_SECTIONS}) t(kind, r, heading)),
+tr AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY list_position({_KINDS}, kind) - 1, observed_at DESC, evidence_id) AS rn FROM evidence),
 blk AS (SELECT e.incident_id, sec.r, sec.heading, e.observed_at, e.evidence_id,
   '<evidence id="' || e.evidence_id || '" source="' || e.source || '" at="' || strftime(e.observed_at, '%Y-%m-%d %H:%M:%SZ') || '">' || chr(10)
-  || e.summary || chr(10) || '</evidence>' || chr(10) AS b FROM evidence e JOIN sec USING (kind)),
+  || e.summary || chr(10) || '</evidence>' || chr(10) AS b FROM tr e JOIN sec USING (kind) WHERE rn <= 60),
 ks AS (SELECT incident_id, r, count(*) AS n, '### ' || any_value(heading) || chr(10) || string_agg(b, '' ORDER BY observed_at DESC, evidence_id) AS s
   FROM blk GROUP BY incident_id, r)
 SELECT incident_id, string_agg(s, chr(10) ORDER BY r) || chr(10) AS digest, CAST(sum(n) AS BIGINT) AS items FROM ks GROUP BY incident_id""",
 )
 def q_evidence_digest(spark, sf):
-    return E.digest(O.evidence(spark, sf))
+    return E.digest(O.evidence(spark, sf), 60)
 
 
 # --- reports -----------------------------------------------------------------------------

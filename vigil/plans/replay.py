@@ -42,6 +42,10 @@ class Telemetry:
     counters   namespace, service, status_class, ts, value [, event_id]
     requests   namespace, service, ts, duration_s
     dep_calls  namespace, service, dependency, kind, outcome, ts, duration_s
+    latency_buckets   namespace, service, le, ts, value, event_id: cumulative
+               bucket counters; taken instead of ``requests`` where given
+    failure_counters  namespace, service, dependency, kind, ts, value,
+               event_id: taken instead of ``dep_calls`` where given
     pods       snapshot_ts, namespace, pod, workload, restart_count, ready,
                waiting_reason, last_termination_reason
     logs       ts, namespace, container, level, pod, line
@@ -52,19 +56,31 @@ class Telemetry:
     dep_calls: DataFrame | None = None
     pods: DataFrame | None = None
     logs: DataFrame | None = None
+    latency_buckets: DataFrame | None = None
+    failure_counters: DataFrame | None = None
 
 
 def snapshot_from(t: Telemetry, params: Params) -> D.Snapshot:
     """Per-pass rule inputs for every pass at once (lazy)."""
-    missing = tuple(n for n in ("counters", "requests", "dep_calls", "pods", "logs") if getattr(t, n) is None)
+    either = {"requests": t.latency_buckets, "dep_calls": t.failure_counters}
+    missing = tuple(n for n in ("counters", "requests", "dep_calls", "pods", "logs") if getattr(t, n) is None and either.get(n) is None)
+    p95 = fails = None
+    if t.latency_buckets is not None:
+        p95 = M.latency_p95_from_buckets(t.latency_buckets, params)
+    elif t.requests is not None:
+        p95 = M.latency_p95(t.requests, params)
+    if t.failure_counters is not None:
+        fails = M.dependency_failures_from_counters(t.failure_counters, params)
+    elif t.dep_calls is not None:
+        fails = M.dependency_failures(t.dep_calls, params)
     er = None
     if t.counters is not None:
         tiebreak = "event_id" if "event_id" in t.counters.columns else None
         er = M.http_error_rate(M.increase(t.counters, SERIES, params, tiebreak=tiebreak))
     return D.Snapshot(
         error_rate=er,
-        latency_p95=M.latency_p95(t.requests, params) if t.requests is not None else None,
-        dependency_failures=M.dependency_failures(t.dep_calls, params) if t.dep_calls is not None else None,
+        latency_p95=p95,
+        dependency_failures=fails,
         pods=D.restart_delta(t.pods) if t.pods is not None else None,
         signatures=L.error_signatures(t.logs, params) if t.logs is not None else None,
         unavailable_sources=missing,
@@ -91,7 +107,8 @@ def replay(t: Telemetry, params: Params, replay_end_ts=None) -> tuple[DataFrame,
 
 def newest_pass(t: Telemetry, params: Params) -> DataFrame:
     """One row: the last pass instant whose window still holds a row of any source."""
-    parts = [x.agg(F.max(F.col("ts").cast("timestamp")).alias("ts")) for x in (t.counters, t.requests, t.dep_calls, t.logs) if x is not None]
+    parts = [x.agg(F.max(F.col("ts").cast("timestamp")).alias("ts")) for x in (
+        t.counters, t.requests, t.dep_calls, t.logs, t.latency_buckets, t.failure_counters) if x is not None]
     if t.pods is not None:
         parts.append(t.pods.agg(F.max(F.col("snapshot_ts").cast("timestamp")).alias("ts")))
     newest = parts[0]

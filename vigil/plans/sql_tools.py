@@ -44,15 +44,15 @@ def _minutes(arg: str, default: int) -> str:
 # Parameters carry a p_ prefix: a column of the same name would shadow them.
 FUNCTIONS = {
     "search_logs": f"""(p_ns STRING, p_workload STRING, p_level STRING, p_needle STRING, p_minutes INT, p_at TIMESTAMP)
-RETURNS TABLE (ts TIMESTAMP, container STRING, pod STRING, level STRING, line STRING)
-RETURN SELECT ts, container, pod, level, line FROM vigil_logs
+RETURNS TABLE (ts TIMESTAMP, container STRING, pod STRING, level STRING, message STRING)
+RETURN SELECT ts, container, pod, level, message FROM vigil_logs
 WHERE {NAME_CHECK} AND {LEVEL_CHECK} AND namespace = p_ns AND container = p_workload AND (p_level IS NULL OR level = p_level)
   AND (p_needle IS NULL OR contains(line, p_needle))
   AND ts >= p_at - make_dt_interval(0, 0, {_minutes('p_minutes', 15)}, 0) AND ts <= p_at
 ORDER BY ts DESC, event_id DESC LIMIT 40""",
     "search_logs_around": f"""(p_ns STRING, p_workload STRING, p_at TIMESTAMP, p_before INT, p_after INT)
-RETURNS TABLE (ts TIMESTAMP, container STRING, pod STRING, level STRING, line STRING)
-RETURN SELECT ts, container, pod, level, line FROM vigil_logs
+RETURNS TABLE (ts TIMESTAMP, container STRING, pod STRING, level STRING, message STRING)
+RETURN SELECT ts, container, pod, level, message FROM vigil_logs
 WHERE {NAME_CHECK} AND namespace = p_ns AND container = p_workload
   AND ts >= p_at - make_dt_interval(0, 0, 0, least(greatest(coalesce(p_before, 120), 10), 900))
   AND ts <= p_at + make_dt_interval(0, 0, 0, least(greatest(coalesce(p_after, 60), 10), 900))
@@ -78,29 +78,35 @@ WHERE {NAME_CHECK} AND namespace = p_ns AND deployment = p_workload""",
     "service_metrics": f"""(p_ns STRING, p_workload STRING, p_at TIMESTAMP)
 RETURNS TABLE (observed_at TIMESTAMP, evidence_id STRING, summary STRING)
 RETURN SELECT observed_at, evidence_id, summary FROM (
-  SELECT *, max(observed_at) OVER () AS latest FROM vigil_metric_evidence
+  SELECT *, rank() OVER (PARTITION BY namespace, workload ORDER BY observed_at DESC) AS age FROM vigil_metric_evidence
   WHERE {NAME_CHECK} AND namespace = p_ns AND workload = p_workload AND observed_at <= p_at)
-WHERE observed_at = latest""",
+WHERE age = 1""",
     "similar_incidents": f"""(p_query ARRAY<DOUBLE>, p_workload STRING, p_exclude STRING, p_max_distance DOUBLE)
 RETURNS TABLE (source_ref STRING, distance DOUBLE)
 RETURN SELECT source_ref, distance FROM (
-  SELECT source_ref, id, {COSINE} AS distance FROM vigil_memory
-  WHERE kind = 'incident' AND (p_workload IS NULL OR workload IS NULL OR workload = p_workload)
-    AND (p_exclude IS NULL OR incident_id IS NULL OR incident_id <> p_exclude))
-WHERE distance <= coalesce(p_max_distance, 0.65) ORDER BY distance, id LIMIT 5""",
+  SELECT *, max(facet) OVER (PARTITION BY kind) AS strict FROM (
+    SELECT source_ref, id, kind, {COSINE} AS distance, p_workload IS NULL OR workload IS NULL OR workload = p_workload AS facet FROM vigil_memory
+    WHERE kind = 'incident' AND (p_exclude IS NULL OR incident_id IS NULL OR incident_id <> p_exclude))
+  WHERE distance <= coalesce(p_max_distance, 0.65))
+WHERE facet OR NOT strict ORDER BY distance, id LIMIT 5""",
     "runbooks": f"""(p_query ARRAY<DOUBLE>, p_category STRING, p_max_distance DOUBLE)
 RETURNS TABLE (source_ref STRING, distance DOUBLE)
 RETURN SELECT source_ref, distance FROM (
-  SELECT source_ref, id, {COSINE} AS distance FROM vigil_memory
-  WHERE kind = 'runbook' AND (p_category IS NULL OR category IS NULL OR category = p_category))
-WHERE distance <= coalesce(p_max_distance, 0.65) ORDER BY distance, id LIMIT 5""",
+  SELECT *, max(facet) OVER (PARTITION BY kind) AS strict FROM (
+    SELECT source_ref, id, kind, {COSINE} AS distance, p_category IS NULL OR category IS NULL OR category = p_category AS facet FROM vigil_memory
+    WHERE kind = 'runbook')
+  WHERE distance <= coalesce(p_max_distance, 0.65))
+WHERE facet OR NOT strict ORDER BY distance, id LIMIT 5""",
 }
 
 
 def register_sql_tools(spark: SparkSession, src: Sources, params: Params, since: datetime | None = None) -> list[str]:
     """Create the views and the table functions; returns the function names."""
     if src.logs is not None:
-        src.logs.createOrReplaceTempView("vigil_logs")
+        lines = L.redacted(L.messages(src.logs))
+        if "event_id" not in lines.columns:
+            lines = lines.withColumn("event_id", F.xxhash64("pod", "line"))
+        lines.createOrReplaceTempView("vigil_logs")
     if src.pods is not None:
         K.pod_status(src.pods).createOrReplaceTempView("vigil_pod_status")
     if src.k8s_events is not None:
@@ -112,7 +118,8 @@ def register_sql_tools(spark: SparkSession, src: Sources, params: Params, since:
         inc = M.increase(src.counters, ["namespace", "service", "status_class"], params)
         me = E.service_metric_evidence(M.http_error_rate(inc), M.latency_p95(src.requests, params),
                                        M.dependency_failures(src.dep_calls, params) if src.dep_calls is not None else None,
-                                       None, params.window_seconds // 60)
+                                       M.dependency_latency_p95(src.dep_calls, params) if src.dep_calls is not None else None,
+                                       params.window_minutes)
         me.createOrReplaceTempView("vigil_metric_evidence")
     if src.memory is not None:
         src.memory.withColumn("embedding", F.col("embedding").cast("array<double>")).createOrReplaceTempView("vigil_memory")

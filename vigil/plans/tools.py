@@ -9,7 +9,7 @@ producing embeddings is outside the engine.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ def clamp_minutes(m: int | None, default: int, lo: int = 1, hi: int = 60) -> int
 class Sources:
     """Telemetry tables the tools read (any may be None when unavailable)."""
 
-    logs: DataFrame | None = None            # ts, namespace, container, level, pod, line, event_id
+    logs: DataFrame | None = None            # ts, namespace, container, level, pod, line [, event_id]
     pods: DataFrame | None = None            # pod objects (json_api.POD)
     k8s_events: DataFrame | None = None      # event objects (json_api.EVENT)
     deployments: DataFrame | None = None     # deployment objects (json_api.DEPLOYMENT)
@@ -74,21 +74,28 @@ class Tools:
         return d.filter((F.col("namespace") == self.ns) & (F.col("deployment") == L.require_workload(workload)))
 
     def service_metrics(self, workload: str, minutes: int | None = None):
+        """One window that ends now, whatever the minute."""
         m = clamp_minutes(minutes, 15)
         p = self.p.with_(window_seconds=m * 60, slide_seconds=m * 60, recovery_seconds=max(self.p.recovery_seconds, m * 60),
                          cooldown_seconds=max(self.p.cooldown_seconds, m * 60 + self.p.recovery_seconds))
         w = L.require_workload(workload)
         start = self.now - timedelta(minutes=m)
+        # windows lie on multiples of their length: move the rows so that one ends now
+        end = (self.now.replace(tzinfo=timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)).total_seconds()
+        shift = F.make_dt_interval(secs=F.lit(-end % (m * 60)))
 
         def cut(df):
-            return df.filter((F.col("namespace") == self.ns) & (F.col("service") == w) & (F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(self.now)))
-
-        inc = M.increase(cut(self.src.counters), ["namespace", "service", "status_class"], p)
-        er = M.http_error_rate(inc)
-        p95 = M.latency_p95(cut(self.src.requests), p)
-        fails = M.dependency_failures(cut(self.src.dep_calls), p)
-        dl = M.dependency_latency_p95(cut(self.src.dep_calls), p)
-        return E.service_metric_evidence(er, p95, fails, dl, m)
+            here = (F.col("namespace") == self.ns) & (F.col("service") == w) & (F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(self.now))
+            return df.filter(here).withColumn("ts", F.col("ts").cast("timestamp") + shift)
+
+        def now(df):
+            return df.withColumn("pass_ts", F.lit(self.now))
+
+        tiebreak = "event_id" if "event_id" in self.src.counters.columns else None
+        inc = M.increase(cut(self.src.counters), ["namespace", "service", "status_class"], p, tiebreak=tiebreak)
+        calls = cut(self.src.dep_calls)
+        return E.service_metric_evidence(now(M.http_error_rate(inc)), now(M.latency_p95(cut(self.src.requests), p)),
+                                         now(M.dependency_failures(calls, p)), now(M.dependency_latency_p95(calls, p)), m)
 
     def similar_incidents(self, query_vec: list[float], workload: str | None, exclude_incident_id: str | None = None):
         spark = self.src.memory.sparkSession

@@ -110,6 +110,18 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return through_json(event_objects(spark, sf), J.EVENT)
 
 
+DEPLOYMENT_ROW = T.StructType(J.DEPLOYMENT.fields + [T.StructField("observed_at", T.TimestampType())])
+
+
+def deployment_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """The Deployment of each workload as it was at each snapshot."""
+    d = deployments(spark, sf)
+    name = F.col("metadata.name")
+    plain = d.withColumn("observed_at", F.to_timestamp(F.substring_index(name, "@", -1), "yyyyMMdd")).withColumn(
+        "metadata", F.col("metadata").withField("name", F.substring_index(name, "@", 1)))
+    return through_json(plain, DEPLOYMENT_ROW)
+
+
 def deployments(spark: SparkSession, sf: str) -> DataFrame:
     p = TD.pod_snapshots(spark, sf)
     g = p.groupBy("namespace", "workload", "snapshot_ts").agg(

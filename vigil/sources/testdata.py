@@ -102,6 +102,31 @@ def counter_samples(spark, sf_dir, services: int = DEFAULT_SERVICES) -> DataFram
     )
 
 
+def bucket_counters(spark, sf_dir, services: int = DEFAULT_SERVICES) -> DataFrame:
+    """Cumulative latency bucket counters: per (service, le) the requests of
+    the day so far that took at most ``le`` (so they reset at midnight)."""
+    from vigil.operators.metrics import BUCKET_BOUNDS
+
+    r = requests(spark, sf_dir, services).select("event_id", "ts", "namespace", "service", "duration_s")
+    bounds = F.array(*[F.lit(float(b)) for b in [*BUCKET_BOUNDS, float("inf")]])
+    x = r.withColumn("le", F.explode(bounds))
+    w = Window.partitionBy("namespace", "service", "le", F.date_trunc("day", "ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    hit = F.when(F.col("duration_s") <= F.col("le"), 1.0).otherwise(0.0)
+    return x.select("namespace", "service", "le", "ts", "event_id", F.sum(hit).over(w).alias("value"))
+
+
+def failure_counters(spark, sf_dir, services: int = DEFAULT_SERVICES) -> DataFrame:
+    """Failure counters per (service, dependency, kind), sampled at each
+    failure; they reset
+    every 5 failures, and some kinds are missing."""
+    c = dep_calls(spark, sf_dir, services).filter(F.col("outcome") == "failure")
+    kind = F.when(F.col("event_id") % 9 != 0, F.col("kind"))
+    keys = ["namespace", "service", "dependency", "kind"]
+    w = Window.partitionBy(*keys).orderBy("ts", "event_id")
+    d = c.withColumn("kind", kind)
+    return d.select(*keys, "ts", "event_id", (F.row_number().over(w) % 5).cast("double").alias("value"))
+
+
 def _ms(col="value") -> F.Column:
     return F.round(F.col(col) * 100).cast("bigint").cast("string")
 
@@ -264,6 +289,14 @@ SQL_COUNTERS_ONLY = f"""counters AS (SELECT 'http_requests_total' AS metric, nam
   FROM requests)"""
 
 
+SQL_BUCKETS_ONLY = """bks AS (SELECT namespace, service, le, ts, event_id, sum(CASE WHEN duration_s <= le THEN 1.0::DOUBLE ELSE 0.0 END) OVER (
+    PARTITION BY namespace, service, le, date_trunc('day', ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
+  FROM requests, (SELECT unnest({bounds}) AS le))"""
+SQL_FAILURE_COUNTERS_ONLY = """fcs AS (SELECT namespace, service, dependency, kind, ts, event_id,
+  CAST(row_number() OVER (PARTITION BY namespace, service, dependency, kind ORDER BY ts, event_id) % 5 AS DOUBLE) AS value
+  FROM (SELECT * REPLACE (CASE WHEN event_id % 9 <> 0 THEN kind END AS kind) FROM dep_calls WHERE outcome = 'failure'))"""
+
+
 def sql_logs(services: int = DEFAULT_SERVICES) -> str:
     return sql_events(services) + ",\n" + SQL_LOGS_ONLY
 
