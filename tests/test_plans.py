@@ -16,12 +16,26 @@ def test_no_row_python_udfs(spark, name):
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
 
 
-def test_search_scans_corpus_in_place(spark):
+def test_search_is_one_tiled_plan(spark):
     p = plan(spark, "memory_search_relaxed")
-    assert "MapInPandas" in p and "FlatMapCoGroupsInPandas" not in p
+    assert "FlatMapCoGroupsInPandas" in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
+def test_prefixes_meet_by_an_equi_join(spark):
+    assert "BroadcastNestedLoopJoin" not in plan(spark, "k8s_events")
+
+
+def test_sections_need_no_shuffle(spark):
+    assert "Exchange" not in plan(spark, "split_sections")
+
+
+def test_citations_take_one_join(spark):
+    p = plan(spark, "ground_hypotheses")
+    # the other join makes the hypotheses out of the test tables
+    assert p.count("SortMergeJoin") + p.count("BroadcastHashJoin") + p.count("ShuffledHashJoin") == 2 and "Generate" not in p
+
+
 def test_replay_has_no_pair_joins(spark):
     p = plan(spark, "replay")
     assert "CartesianProduct" not in p
@@ -37,5 +51,6 @@ def test_filters_reach_the_scan(spark):
 
 
 def test_partition_pruning_on_label_partitions(spark):
-    p = plan(spark, "sink_log_labels")
+    q = entry.queries()["sink_log_labels"](spark, SF0001).filter("namespace = 'prod' AND level = 'error'")
+    p = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(namespace" in p and "(namespace#" in p

@@ -50,13 +50,79 @@ def test_cri_partial_lines(spark):
     assert [r.log for r in rows] == ["part one part two end", "whole line"]
 
 
+def test_cri_keeps_file_order_and_counts_rejects(spark):
+    base = os.path.join(ensure_checkpoint_dir(spark), "tests", uuid.uuid4().hex)
+    os.makedirs(base)
+    with open(os.path.join(base, "app.log"), "w") as f:
+        f.write("2024-01-01T00:00:00.000000002Z stdout P zz\n")   # equal to the microsecond: file order decides
+        f.write("2024-01-01T00:00:00.000000001Z stdout F aa\n")
+        f.write("yesterday stdout F bad stamp\n")
+        f.write("no cri line\n\n")
+    rows = J.read_cri(spark, base).orderBy("line_no").collect()
+    assert [(r.log, r.stamp) for r in rows] == [("zzaa", "2024-01-01T00:00:00.000000002Z"), ("bad stamp", "yesterday")]
+    assert rows[0].ts is not None and rows[1].ts is None
+    assert [r.rejected for r in J.cri_rejects(spark, base).collect()] == [1]
+
+
+def test_bad_application_stamp_gives_null(spark):
+    df = spark.createDataFrame([('{"ts":"yesterday","msg":"a"}',), ('{"ts":"2024-01-01T00:00:00"}',)], "log string")
+    assert [r.app_ts is None for r in J.parse_app_json(df).collect()] == [True, False]
+
+
+def test_label_audit_names_what_is_missing(spark):
+    df = spark.createDataFrame([({"namespace": "n", "container": "api", "Pod": "p"},)], "labels map<string,string>")
+    got = {r.label: r for r in RL.cardinality_audit(df, ["namespace", "container", "level"], ["pod"],
+                                                  expected={"container": ["api", "worker"]}).collect()}
+    assert (got["level"].verdict, got["level"].distinct_values) == ("missing", 0)
+    assert got["Pod"].verdict == "forbidden" and got["namespace"].verdict == "ok"
+    assert (got["container"].verdict, got["container"].missing_values) == ("incomplete", "worker")
+
+
+def test_workload_names_come_from_deployments(spark):
+    rows = [({"name": n, "namespace": "n"}, {"replicas": 1}, None) for n in ("web", "api", "api")]
+    got = K.workload_names(spark.createDataFrame(rows, J.DEPLOYMENT)).collect()
+    assert [r.workload for r in got] == ["api", "web"]
+
+
+def test_events_meet_every_workload_that_begins_their_name(spark):
+    names = spark.createDataFrame([("n", "api-gateway-7f"), ("n", "api"), ("m", "api-1"), ("n", "")], "namespace string, involved string")
+    wl = spark.createDataFrame([("n", "api"), ("n", "api-gateway"), ("n", "gateway"), ("m", "x")], "namespace string, workload string")
+    got = sorted((r.involved, r.workload) for r in K.prefix_workloads(names, wl).collect())
+    assert got == [("api", "api"), ("api-gateway-7f", "api"), ("api-gateway-7f", "api-gateway")]
+
+
+def test_pod_unknown_to_the_baseline_counts_from_zero(spark):
+    t = datetime(2024, 1, 1)
+    pods = spark.createDataFrame([(t, "n", "new", 3, True, None, "Error"), (t, "n", "old", 3, True, None, "Error"), (t, "n", "idle", 0, False, None, "Old")],
+                                 "snapshot_ts timestamp, namespace string, pod string, restart_count int, ready boolean, waiting_reason string, last_termination_reason string")
+    base = spark.createDataFrame([("n", "old", 3), ("n", "idle", 0)], "namespace string, pod string, restart_count int")
+    got = {r.pod: r.reasons for r in X.pod_reasons(pods, base).collect()}
+    assert got == {"new": ["Restarted", "Error"], "old": [], "idle": ["NotReady"]}
+    assert {r.pod: r.reasons for r in X.pod_reasons(pods, None).collect()}["idle"] == ["NotReady", "Old"]
+
+
+def test_not_ready_is_no_disruption_and_case_does_not_matter(spark):
+    sc = spark.createDataFrame([("a", ["x"], ["Timed OUT"], False), ("b", ["x"], [], False)],
+                               "scenario string, expected_conditions array<string>, expected_log_substrings array<string>, expect_disruption boolean")
+    seen = spark.createDataFrame([("a", "NotReady"), ("a", "x"), ("b", "NotReady")], "scenario string, condition string")
+    lines = spark.createDataFrame([("a", "call TIMED out")], "scenario string, line string")
+    got = {r.scenario: r for r in X.scenario_signal(seen, sc, lines, ["Timed Out"]).collect()}
+    assert got["a"].log_substrings_seen and got["b"].no_unexpected_disruption and not got["a"].no_unexpected_disruption
+
+
 def test_relabel(spark):
     df = spark.createDataFrame([({"job": "api", "__meta_pod": "p1", "__meta_ns": "n"},), ({"job": "db", "__meta_pod": "p2"},)],
                                "labels map<string,string>")
     rules = [RL.Rule("keep", source=["job"], regex="api|web"), RL.Rule("labelmap", regex="__meta_(.*)", replacement="$1"),
              RL.Rule("replace", source=["job", "pod"], regex="(.*);(.*)", target="instance", replacement="$1/$2")]
     (r,) = RL.apply(df, "labels", rules).collect()
-    assert r.labels == {"job": "api", "pod": "p1", "ns": "n", "instance": "api/p1"}
+    assert r.labels == {"job": "api", "pod": "p1", "ns": "n", "instance": "api/p1", "__meta_pod": "p1", "__meta_ns": "n"}
+
+
+def test_labelmap_collisions_take_the_last_label(spark):
+    df = spark.createDataFrame([({"a_x": "1", "b_x": "2", "x": "old"},)], "labels map<string,string>")
+    (r,) = RL.apply(df, "labels", [RL.Rule("labelmap", regex="[ab]_(.*)", replacement="$1")]).collect()
+    assert r.labels == {"a_x": "1", "b_x": "2", "x": "2"}
 
 
 def test_pod_status_edge_cases(spark):

@@ -23,10 +23,11 @@ def test_tools_run(spark):
                   deployments=KD.deployments(spark, SF0001), counters=T.counter_samples(spark, SF0001),
                   requests=T.requests(spark, SF0001), dep_calls=T.dep_calls(spark, SF0001), memory=T.memory(spark, SF0001))
     t = Tools(src, p, "prod", datetime(2024, 1, 20))
-    assert t.search_logs("svc-0", minutes=60).count() <= 40
-    assert t.pod_status("svc-0").count() >= 0
-    assert t.kubernetes_events("svc-0").count() >= 0
-    assert t.service_metrics("svc-0", minutes=60).count() >= 0
+    lines = Tools(src, p, "prod", datetime(2024, 1, 20, 12)).search_logs("svc-0", minutes=60).collect()
+    assert 0 < len(lines) <= 40 and not any("hunter" in r.message for r in lines)
+    assert t.pod_status("svc-0").count() > 0
+    assert {r.involved[:5] for r in t.kubernetes_events("svc-0", minutes=60).collect()} <= {"svc-0"}
+    assert {r.kind for r in t.service_metrics("svc-0", minutes=60).collect()} <= {"Metric"}
     assert t.similar_incidents([0.1] * 64, "svc-1").count() <= 5
     with pytest.raises(L.QueryRejected):
         t.search_logs("../etc")
@@ -86,10 +87,12 @@ def test_sql_tools(spark):
     at = "TIMESTAMP '2024-01-20 12:00:00'"
     logs = spark.sql(f"SELECT * FROM search_logs('prod', 'svc-0', NULL, NULL, 600, {at})").collect()
     direct = L.search(src.logs, p, "prod", datetime(2024, 1, 20, 11, 0), datetime(2024, 1, 20, 12, 0), container="svc-0", limit=40)
-    assert [r.line for r in logs] == [r.line for r in direct.collect()]
-    assert spark.sql("SELECT * FROM pod_status('prod', 'svc-0')").count() >= 0
-    assert spark.sql(f"SELECT * FROM kubernetes_events('prod', 'svc-0', 30, {at})").count() >= 0
-    assert spark.sql(f"SELECT * FROM service_metrics('prod', 'svc-0', {at})").count() >= 0
+    assert logs and [r.message for r in logs] == [r.message for r in direct.collect()]
+    assert spark.sql("SELECT * FROM pod_status('prod', 'svc-0')").count() > 0
+    assert spark.sql(f"SELECT * FROM kubernetes_events('prod', 'svc-0', 60, {at})").count() > 0
+    assert len({r.observed_at for r in spark.sql(f"SELECT * FROM service_metrics('prod', 'svc-0', {at})").collect()}) == 1
+    q = ", ".join(["0.1"] * 64)
+    assert spark.sql(f"SELECT * FROM runbooks(array({q}), 'no such category', 2.0)").count() == 5  # relaxed
     q = ", ".join(["0.1"] * 64)
     assert spark.sql(f"SELECT * FROM runbooks(array({q}), NULL, 2.0)").count() == 5
     assert spark.sql(f"SELECT * FROM search_logs('prod', '../etc', NULL, NULL, 15, {at})").count() == 0

@@ -43,7 +43,7 @@ def _c(x) -> Column:
 
 
 def dot(a, b) -> Column:
-    return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0).cast("double"), lambda acc, v: acc + v)
+    return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
 
 def cosine_distance(a, b) -> Column:
