@@ -5,6 +5,13 @@ DataFrame. Nothing inside an operator triggers an action; the caller decides
 when and where results are materialised.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from vigil.config import Params
 
 __all__ = ["Params"]
+
+# Functions sent to Python workers travel by value: executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
