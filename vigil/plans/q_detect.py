@@ -379,6 +379,23 @@ def q_replay(spark, sf):
     )
 
 
+# The service's own defaults: five-minute windows every 60 seconds.
+P_DEFAULT = replay_params(window_seconds=300, slide_seconds=60, cooldown_seconds=900, recovery_seconds=600, max_range_minutes=120)
+
+
+@register(
+    "replay_defaults",
+    sql="WITH " + sql_pipeline(P_DEFAULT) + sql_incidents(P_DEFAULT)
+    + "\nSELECT state, category, severity, count(*) AS incidents, CAST(sum(detection_count) AS BIGINT) AS detections FROM incidents GROUP BY ALL",
+    headline=True,
+)
+def q_replay_defaults(spark, sf):
+    """Every pass of the whole history at the service's defaults."""
+    inc = R.incidents(spark, sf, P_DEFAULT)
+    return inc.groupBy("state", "category", "severity").agg(
+        F.count(F.lit(1)).alias("incidents"), F.sum("detection_count").alias("detections"))
+
+
 @register(
     "schedule_bucket",
     sql="WITH " + sql_pipeline(P) + "\nSELECT DISTINCT pass_ts, CAST(floor(epoch(pass_ts) / 300) AS BIGINT) AS dedup_bucket FROM cand",
