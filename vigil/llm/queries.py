@@ -61,7 +61,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measure(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality.measure(docs, references=quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
