@@ -58,3 +58,30 @@ def test_very_long_texts(odd):
 
 def test_no_documents(none):
     assert lm.score(none).count() == 0
+
+
+def test_packed_hashes_come_back():
+    import numpy as np
+
+    for n in (1, 2, 5000):
+        hashes = np.unique(np.random.default_rng(n).integers(0, 2**64, n, np.uint64))
+        hashes[-1] = 2**64 - 1
+        assert (lm._unpack_hashes(*lm._pack_hashes(hashes)) == hashes).all()
+    assert len(lm._unpack_hashes(*lm._pack_hashes(hashes[:0]))) == 0
+
+
+def test_query_scores_by_trigrams_as_brute_force_and_its_sql(spark):
+    import duckdb
+
+    from tests.conftest import SF0001
+    from vigil.llm.queries import ORACLE_SQL, op8_backoff_scores
+
+    collected = spark.read.parquet(f"{SF0001}/documents.parquet").collect()
+    expected = sorted(zip((r.doc_id for r in collected), brute([r.text for r in collected], 3, 0.4, 2)))
+    got = sorted((r.doc_id, (r.n_words, r.n_backoff, r.log_score)) for r in op8_backoff_scores(spark, SF0001).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF0001}/documents.parquet')")
+    twin = sorted((r[0], r[1:]) for r in con.execute(ORACLE_SQL["op8_backoff_scores"]).fetchall())
+    for found in (got, twin):
+        assert [(i, x[:2]) for i, x in found] == [(i, x[:2]) for i, x in expected]
+        assert [x[2] for _, x in found] == pytest.approx([x[2] for _, x in expected], abs=2e-6)

@@ -50,8 +50,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+LM_ORDER = 3  # trigrams
+
+
 def op8_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lm.score(table(spark, sf_dir, "documents"), order=2)
+    found = lm.score(table(spark, sf_dir, "documents"), order=LM_ORDER)
     return found.withColumn("log_score", F.round("log_score", 6))
 
 
@@ -73,7 +76,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_source_mixing": mixing.oracle_sql(MIX_ENTROPY),
     "op4_line_dedup": lines.oracle_sql(),
     "op6_license_scan": licenses.oracle_sql(),
-    "op8_backoff_scores": lm.oracle_sql(),
+    "op8_backoff_scores": lm.oracle_sql(LM_ORDER),
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
