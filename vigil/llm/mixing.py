@@ -39,8 +39,9 @@ SLICES = 256
 
 @dataclass(frozen=True)
 class Target:
-    """``entropy``: wanted share (0 to 1) of the entropy of equal weights; ``repetition``: most epochs of any source.
+    """``entropy``: least share (0 to 1) of the entropy of equal weights; ``repetition``: most epochs of any source.
 
+    The entropy is a lower bound: sources that have as much or more are left as found (exponent 1), not sharpened.
     Of two exponents that meet it, the one nearer to 1 is taken. ``budget``:
     tokens to realise, as a multiple of all tokens; None: as many as it takes
     for every source to have at least one whole epoch.
