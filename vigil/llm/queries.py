@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vigil.llm import ann, licenses, lines, lm, mixing, packing, quality, secrets, simhash, warc
+from vigil.llm import ann, fim, licenses, lines, lm, mixing, packing, quality, secrets, sharding, simhash, warc, whitening
 from vigil.llm.common import table
 
 
@@ -68,8 +68,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(docs, references=quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.per_component(table(spark, sf_dir, "embeddings"))
+
+
+SHARDS = 40
+
+
+def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(sharding.text_sizes(table(spark, sf_dir, "documents")), SHARDS)
+    return placed.select("row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_graph_ann, op2_source_mixing, op3_warc, op4_line_dedup, op5_best_fit_packing, op6_license_scan, op7_secret_scan, op8_backoff_scores, op9_simhash, op10_quality_rules)}
+    f.__name__: f for f in (op1_graph_ann, op2_source_mixing, op3_warc, op4_line_dedup, op5_best_fit_packing, op6_license_scan, op7_secret_scan, op8_backoff_scores, op9_simhash, op10_quality_rules,
+                           op11_whitening, op12_feistel_shards, op13_fill_in_middle)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE_SQL: dict[str, str] = {
@@ -77,6 +94,8 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": lines.oracle_sql(),
     "op6_license_scan": licenses.oracle_sql(),
     "op8_backoff_scores": lm.oracle_sql(LM_ORDER),
+    "op12_feistel_shards": sharding.oracle_sql(SHARDS),
+    "op13_fill_in_middle": fim.oracle_sql(),
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
