@@ -3,8 +3,11 @@ objects derived from the pod snapshots and events, read back through JSON."""
 
 from __future__ import annotations
 
+import os
+import uuid
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vigil.config import replay_params
@@ -12,9 +15,12 @@ from vigil.functions import text as X
 from vigil.functions.ids import sql_evidence_id
 from vigil.operators import cluster as K
 from vigil.plans.registry import register
+from vigil.session import ensure_checkpoint_dir
 from vigil.sources import json_api as J
 from vigil.sources import k8sdata as KD
 from vigil.sources import testdata as T
+from vigil.sources.cri import tail_cri
+from vigil.streaming import detection as S
 
 P = replay_params()
 SINCE = datetime(2024, 1, 5)
@@ -318,6 +324,61 @@ def q_ingest_container_logs(spark, sf):
     return got.select("container", "log")
 
 
+def _grow_files(lines, path: str, upto: int, files: int = 8) -> None:
+    """Write the lines of the parts up to ``upto`` to ``files`` log files, in place, and of the part after them one
+    line without its end. What a file held before stays at its place, so a repeated task changes nothing."""
+    def write(batches):
+        open_files, begun = {}, set()
+        for batch in batches:
+            rows = batch.to_pydict()
+            for n, part, value in zip(rows["file_no"], rows["part"], rows["value"]):
+                name = f"{path}/{n}.log"
+                f = open_files.get(name)
+                if f is None:
+                    f = open_files[name] = open(name, "r+b" if os.path.exists(name) else "w+b")
+                if part <= upto:
+                    f.write(value.encode() + b"\n")
+                elif name not in begun:
+                    begun.add(name)
+                    f.write(value.encode()[:30])
+        for f in open_files.values():
+            f.close()
+        yield pa.record_batch({"files": pa.array([len(open_files)], pa.int32())})
+
+    os.makedirs(path, exist_ok=True)
+    spread = lines.filter(F.col("part") <= upto + 1).repartition(files, "file_no").sortWithinPartitions("file_no", "part", "event_id", "place")
+    spread.select("file_no", "part", "value").mapInArrow(write, "files int").agg(F.sum("files")).collect()  # one number
+
+
+@register(
+    "ingest_tail_logs",
+    sql="WITH " + T.sql_logs() + """
+SELECT pod, CAST(event_id AS VARCHAR) || ' ' || line AS log FROM logs""",
+)
+def q_ingest_tail_logs(spark, sf):
+    """Log files that grow between three triggers, the second and third of which resume from the checkpoint; a part ends
+    within a line."""
+    lg = T.logs(spark, sf).withColumn("msg", F.concat(F.col("event_id").cast("string"), F.lit(" "), F.col("pod"), F.lit(" "), F.col("line")))
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    stream = F.when(F.col("event_id") % 3 == 0, "stderr").otherwise("stdout")
+
+    def chunk(tag, text):
+        return F.concat(stamp, F.lit(" "), stream, F.lit(f" {tag} "), text)
+
+    chunks = F.when(F.length("msg") > 40, F.array(chunk("P", F.substring("msg", 1, 40)), chunk("F", F.substring("msg", 41, 1 << 30)))).otherwise(
+        F.array(chunk("F", F.col("msg"))))
+    lines = lg.select("event_id", (F.col("event_id") % 8).alias("file_no"), F.floor((F.dayofmonth("ts") - 1) / 11).cast("int").alias("part"),
+                      F.posexplode(chunks).alias("place", "value"))
+    name = f"tail-logs-{uuid.uuid4().hex[:12]}"
+    path = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-files")
+    for part in range(3):
+        _grow_files(lines, path, part)
+        S.run_upserts(tail_cri(spark, path, block_bytes=1 << 20), name, mode="append")
+    got = S.read_step(spark, name)
+    return got.select(F.regexp_extract("log", r"^\d+ (\S+) ", 1).alias("pod"), F.regexp_replace("log", r"^(\d+ )\S+ ", "$1").alias("log"))
+
+
+
 @register(
     "ingest_parse_json",
     sql="WITH " + T.sql_logs() + """

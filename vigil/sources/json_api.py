@@ -9,10 +9,12 @@ export form) or list documents (``{"items": [...]}``, one API page each).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.sources.cri import cri_lines, logical_lines
+
 # --- schemas -----------------------------------------------------------------------
 
 CONTAINER_STATUS = T.StructType([
@@ -171,53 +173,25 @@ def parse_streams(doc: Column) -> Column:
 
 # --- container runtime log files ----------------------------------------------------------
 
-CRI_LINE = r"^(\S+) (stdout|stderr) ([PF]) ?(.*)$"
-
-
-def _cri_lines(spark: SparkSession, path: str, exclude_prefix: str | None) -> DataFrame:
-    """Every line with its place: the block of its file and, within the task that reads the block, its number."""
-    raw = spark.read.text(path).select(
-        F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("place"))
-    if exclude_prefix:
-        raw = raw.filter(~F.regexp_extract("file", r"([^/]+)$", 1).startswith(exclude_prefix))
-    return raw.withColumn("tag", F.regexp_extract("value", CRI_LINE, 3))
-
-
 def cri_rejects(spark: SparkSession, path: str, exclude_prefix: str | None = None) -> DataFrame:
     """(file, rejected): lines per file that do not have the CRI shape; ``read_cri`` leaves them out."""
-    bad = _cri_lines(spark, path, exclude_prefix).filter((F.col("tag") == "") & (F.trim("value") != ""))
+    bad = cri_lines(spark, path, exclude_prefix).filter("rejected")
     return bad.groupBy("file").agg(F.count(F.lit(1)).alias("rejected"))
 
 
-def read_cri(spark: SparkSession, path: str, exclude_prefix: str | None = None) -> DataFrame:
-    """CRI log files -> one row per logical line.
+def read_cri(spark: SparkSession, path: str, exclude_prefix: str | None = None, rejects: Observation | None = None) -> DataFrame:
+    """CRI log files -> one row per logical line (see ``vigil.sources.cri``).
 
-    Lines are ``<rfc3339 ts> <stream> <P|F> <text>``; P marks a partial chunk
-    that continues in the next line of the same file and stream. Chunks are
-    joined in the order of the file: stamps can be equal, cut off or wrong. A
-    logical line ends at the F chunk; its ``stamp`` is its first chunk's, as
-    written, ``ts`` the same as a timestamp (null if it is none). Lines of
-    another shape are counted by ``cri_rejects``; ``exclude_prefix`` drops the
-    collector's own files.
+    Chunks are joined in the order of the file: stamps can be equal, cut off
+    or wrong. ``stamp`` is the first chunk's, as written, ``ts`` the same as a
+    timestamp (null if it is none). Lines of another shape are counted by
+    ``cri_rejects``, or in the same pass by ``rejects``, an observation of
+    ``lines`` and ``rejected``; ``exclude_prefix`` drops the collector's own files.
     """
-    p = _cri_lines(spark, path, exclude_prefix).filter(F.col("tag") != "").select(
-        "file", "block", "place", "tag",
-        F.regexp_extract("value", CRI_LINE, 1).alias("stamp"),
-        F.regexp_extract("value", CRI_LINE, 2).alias("stream"),
-        F.regexp_extract("value", CRI_LINE, 4).alias("text"),
-    )
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("file", "stream").orderBy("block", "place").rowsBetween(Window.unboundedPreceding, -1)
-    g = p.withColumn("line_no", F.coalesce(F.sum((F.col("tag") == "F").cast("int")).over(w), F.lit(0)))
-    chunks = F.sort_array(F.collect_list(F.struct("block", "place", "stamp", "text")))
-    return g.groupBy("file", "stream", "line_no").agg(
-        F.get(chunks, 0)["stamp"].alias("stamp"),
-        F.try_to_timestamp(F.get(chunks, 0)["stamp"]).alias("ts"),
-        F.array_join(F.transform(chunks, lambda x: x["text"]), "").alias("log"),
-        F.max((F.col("tag") == "F").cast("int")).alias("complete"),
-    )
+    rows = cri_lines(spark, path, exclude_prefix)
+    if rejects is not None:
+        rows = rows.observe(rejects, F.count(F.lit(1)).alias("lines"), F.count_if("rejected").alias("rejected"))
+    return logical_lines(rows)
 
 
 def parse_app_json(df: DataFrame, col: str = "log") -> DataFrame:
