@@ -303,9 +303,7 @@ OUTAGE = ("2024-01-08 00:00:00", "2024-01-13 00:00:00")
 SQL_OUTAGE = f"""pass_ts >= TIMESTAMP '{OUTAGE[0]}' AND pass_ts < TIMESTAMP '{OUTAGE[1]}'"""
 
 
-@register(
-    "incident_sessions_open",
-    sql=SQL_INCIDENTS + f""",
+SQL_SESSIONS_OPEN = SQL_INCIDENTS + f""",
 live AS (SELECT * FROM sup WHERE NOT ({SQL_OUTAGE})),
 cl AS (SELECT fingerprint, recovered_at AS closed_at FROM incidents WHERE recovered_at IS NOT NULL AND NOT ({SQL_OUTAGE.replace('pass_ts', 'recovered_at')})),
 og AS (SELECT *, lag(pass_ts) OVER (PARTITION BY fingerprint ORDER BY pass_ts, queue_rank) AS prev FROM live),
@@ -317,16 +315,23 @@ onew AS (SELECT *, late AND (run IS NULL OR EXISTS (SELECT 1 FROM cl WHERE cl.fi
 oses AS (SELECT *, sum(CASE WHEN is_new THEN 1 ELSE 0 END) OVER (PARTITION BY fingerprint ORDER BY pass_ts, queue_rank
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no FROM onew)
 SELECT fingerprint, min(pass_ts) AS first_detected_at, max(pass_ts) AS last_detected_at, count(*) AS detection_count,
-  max(severity_rank) AS severity_rank FROM oses GROUP BY fingerprint, session_no""",
-)
-def q_incident_sessions_open(spark, sf):
-    """Passes stop for longer than the cooldown; incidents that nothing closed go on after it."""
+  max(severity_rank) AS severity_rank FROM oses GROUP BY fingerprint, session_no"""
+
+
+def live_and_closed(spark, sf):
+    """Candidates of the passes that ran, and the log of the recoveries they confirmed."""
     def out_of_outage(col):
         return ~((F.col(col) >= F.lit(OUTAGE[0]).cast("timestamp")) & (F.col(col) < F.lit(OUTAGE[1]).cast("timestamp")))
 
     closed = R.incidents(spark, sf, P).filter(F.col("recovered_at").isNotNull() & out_of_outage("recovered_at")).select(
         "fingerprint", F.col("recovered_at").alias("closed_at"))
-    live = R.suppressed(spark, sf, P).filter(out_of_outage("pass_ts")).select("fingerprint", "detected_at", "queue_rank", "severity_rank")
+    return R.suppressed(spark, sf, P).filter(out_of_outage("pass_ts")).select("fingerprint", "detected_at", "queue_rank", "severity_rank"), closed
+
+
+@register("incident_sessions_open", sql=SQL_SESSIONS_OPEN)
+def q_incident_sessions_open(spark, sf):
+    """Passes stop for longer than the cooldown; incidents that nothing closed go on after it."""
+    live, closed = live_and_closed(spark, sf)
     return I.sessions(live, P, closed).groupBy("fingerprint", "session_no").agg(
         F.min("detected_at").alias("first_detected_at"), F.max("detected_at").alias("last_detected_at"),
         F.count(F.lit(1)).alias("detection_count"), F.max("severity_rank").alias("severity_rank")).drop("session_no")

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from vigil.config import Thresholds, replay_params
 from vigil.operators.detect import rule_http_error_rate
-from vigil.operators.windows import sql_passes, sql_window_join
+from vigil.operators.windows import epoch_seconds, sql_passes, sql_window_join
+from vigil.plans.q_detect import SQL_SESSIONS_OPEN, live_and_closed
 from vigil.plans.registry import register
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import ensure_checkpoint_dir, stored
 from vigil.sources import testdata as T
 from vigil.streaming import detection as S
+from vigil.streaming import incidents as SI
 
 P = replay_params()
 R6 = 6
@@ -45,12 +47,18 @@ def _part(ts, half) -> F.Column:
 SQL_PART = "CAST(floor((2 * (day({ts}) - 1) + CASE WHEN {half} THEN 1 ELSE 0 END + 1) / 20) AS INTEGER)"
 
 
-def _feed(spark, df, part, base: str):
-    """Write ``df`` to a folder part by part and read it as a stream, one part per micro-batch."""
-    tagged = df.withColumn("__part", part)
-    for k in range(PARTS + 1):
-        tagged.filter(F.col("__part") == k).drop("__part").coalesce(1).write.parquet(os.path.join(base, f"part{k}"))
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(base, "part*"))
+FILES = 8  # of a part
+
+
+def _arrivals(df, part, base: str, parts: int = PARTS + 1):
+    """Write ``df`` to a folder part by part, in several files each, and give the folder as a stream after each part.
+
+    A query run on each of them with one checkpoint resumes where it stopped and takes the new part as a micro-batch.
+    """
+    tagged = stored(df.withColumn("__part", part), "arrivals")
+    for k in range(parts):
+        tagged.filter(F.col("__part") == k).drop("__part").repartition(FILES).write.parquet(os.path.join(base, f"part{k}"))
+        yield df.sparkSession.readStream.schema(df.schema).parquet(os.path.join(base, "part*"))
 
 
 def _folder(spark, base: str, sf: str, run: str) -> str:
@@ -58,26 +66,21 @@ def _folder(spark, base: str, sf: str, run: str) -> str:
 
 
 def _requests(spark, sf, services: int = T.DEFAULT_SERVICES):
-    return T.requests(spark, sf, services).select("event_id", "ts", "namespace", "service", "status_class")
+    r = T.requests(spark, sf, services).select("event_id", "ts", "namespace", "service", "status_class")
+    return r.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _requests_stream(spark, sf, run):
-    r = _requests(spark, sf)
-    return _feed(spark, r, _part(F.col("ts"), F.col("event_id") % 2 == 1), _folder(spark, "requests", sf, run))
+def _request_arrivals(spark, sf, run):
+    return _arrivals(_requests(spark, sf), _part(F.col("ts"), F.col("event_id") % 2 == 1), _folder(spark, "requests", sf, run))
 
 
-def stream_buckets(spark, sf, params, steps: bool = False) -> str:
-    """Run the bucket stream over all parts; the name to read its output by."""
+def stream_rates(spark, sf):
+    """All parts through the bucket stream, whose table is updated part by part; the passes from that table."""
     run = _run()
     name = _name("error-rate", sf, run)
-    buckets = S.error_buckets(_requests_stream(spark, sf, run), params, watermark="2 days")
-    S.run_upserts(buckets, name, mode="update", steps=S.detection_steps(spark, name, params) if steps else None)
-    return name
-
-
-def stream_rates(spark, sf):
-    name = stream_buckets(spark, sf, P)
-    return S.error_rates(S.latest_view(spark, name, ["namespace", "service", "bucket"]), P)
+    for src in _request_arrivals(spark, sf, run):
+        S.run_table(S.error_buckets(src, P, watermark="2 days"), name, ["namespace", "service", "bucket"], at="bucket")
+    return S.error_rates(S.read_table(spark, name), P)
 
 
 SQL_RATE = T.sql_requests() + f""",
@@ -108,9 +111,33 @@ SELECT fingerprint, count(*) AS detection_count, min(pass_ts) AS first_detected_
   max(severity_rank) AS severity_rank FROM s GROUP BY fingerprint, sn""",
 )
 def q_stream_incident_state(spark, sf):
-    """Each micro-batch updates buckets, then passes, then incidents."""
-    name = stream_buckets(spark, sf, P, steps=True)
-    return S.current_incidents(spark, name)
+    """Requests make final passes (one stream), passes make events, events change the state of incidents (another stream)."""
+    run = _run()
+    rates, name = _name("final-rates", sf, run), _name("incidents", sf, run)
+    r = _requests(spark, sf)
+    # a detector that finds nothing goes on, so the last passes become final too
+    end = r.agg(F.timestamp_seconds(epoch_seconds(F.max("ts")) + 2 * 86400 + P.window_seconds + 2 * P.slide_seconds).alias("ts"))
+    r = r.unionByName(end, allowMissingColumns=True)
+    part = F.when(F.col("service").isNull(), PARTS + 1).otherwise(_part(F.col("ts"), F.col("event_id") % 2 == 1))
+    for src in _arrivals(r, part, _folder(spark, "requests", sf, run), PARTS + 2):
+        path = S.run_rates(src, rates, P, watermark="2 days")
+        SI.run_incidents(S.rate_events(spark, path, P), name, P)
+    return SI.incident_table(spark, name).drop("closed_at")
+
+
+@register("stream_incident_open", sql=SQL_SESSIONS_OPEN)
+def q_stream_incident_open(spark, sf):
+    """The state log closes incidents, and passes stop for longer than the cooldown: as the batch replay of the same candidates."""
+    run = _run()
+    name = _name("incidents-open", sf, run)
+    live, closed = live_and_closed(spark, sf)
+    events = live.select("fingerprint", F.col("detected_at").cast("timestamp").alias("at"), "severity_rank", F.lit(False).alias("closes")).unionByName(
+        closed.select("fingerprint", F.col("closed_at").cast("timestamp").alias("at"), F.lit(None).cast("int").alias("severity_rank"),
+                      F.lit(True).alias("closes")))
+    part = F.least(F.lit(PARTS - 1), F.floor((F.dayofyear("at") - 1) / 11).cast("int"))
+    for src in _arrivals(events, part, _folder(spark, "incident-events", sf, run), PARTS):
+        SI.run_incidents(src, name, P, by_log=True)
+    return SI.incident_table(spark, name).drop("closed_at")
 
 
 LATE = "ts < TIMESTAMP '2024-01-15 00:00:00' AND event_id % 50 = 0"  # these rows come with the last part
@@ -129,14 +156,42 @@ WHERE floor(epoch(ts) / {P.slide_seconds}) * {P.slide_seconds} + {P.slide_second
 def q_stream_late_rows(spark, sf):
     """Rows that came behind the watermark, as a table."""
     run = _run()
-    r = _requests(spark, sf)
-    late = F.expr(LATE)
-    src = _feed(spark, r, F.when(late, PARTS).otherwise(_part(F.col("ts"), F.col("event_id") % 2 == 1)), _folder(spark, "late", sf, run))
     name = _name("raw", sf, run)
-    S.run_upserts(src, name, mode="append")
+    for src in _late_arrivals(spark, sf, run):
+        S.run_upserts(src, name, mode="append")
     return S.late_rows(S.read_step(spark, name), P, DELAY).select("event_id", "ts")
 
 
+def _late_arrivals(spark, sf, run):
+    part = F.when(F.expr(LATE), PARTS).otherwise(_part(F.col("ts"), F.col("event_id") % 2 == 1))
+    return _arrivals(_requests(spark, sf), part, _folder(spark, "late", sf, run))
+
+
+@register(
+    "stream_late_correction",
+    sql="WITH " + SQL_RATE + f""",
+fed AS (SELECT namespace, ts, CASE WHEN {LATE} THEN {PARTS} ELSE {SQL_PART.format(ts='ts', half='event_id % 2 = 1')} END AS part FROM requests),
+mx AS (SELECT part, max(ts) AS newest FROM fed GROUP BY part),
+wm AS (SELECT part, max(newest) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM mx),
+lt AS (SELECT namespace, ts FROM fed JOIN wm USING (part)
+  WHERE floor(epoch(ts) / {P.slide_seconds}) * {P.slide_seconds} + {P.slide_seconds} <= floor(epoch(before)) - {DELAY}),
+tp AS (SELECT DISTINCT namespace, pass_ts FROM (SELECT namespace, {sql_passes('ts', P)} FROM lt, {sql_window_join(P)}))
+SELECT namespace, service, window_start, pass_ts, total, errors, round(errors / total, {R6}) AS ratio,
+  (namespace, pass_ts) IN (SELECT (namespace, pass_ts) FROM tp) AS corrected FROM rates""",
+)
+def q_stream_late_correction(spark, sf):
+    """The stream drops rows behind its watermark; the passes they touch are replayed, and all passes are as if no row had been late."""
+    run = _run()
+    buckets, raw = _name("late-buckets", sf, run), _name("late-raw", sf, run)
+    for src in _late_arrivals(spark, sf, run):
+        S.run_table(S.error_buckets(src, P, watermark=f"{DELAY} seconds"), buckets, ["namespace", "service", "bucket"], at="bucket")
+        S.run_upserts(src, raw, mode="append")
+    rows = S.read_step(spark, raw)
+    late = S.late_rows(rows, P, DELAY)
+    fixed = S.corrected_rates(S.error_rates(S.read_table(spark, buckets), P), rows, late, P)
+    return fixed.withColumn("ratio", F.round("ratio", R6))
+
+
 @register(
     "stream_restart_state",
     sql="WITH " + T.sql_pod_snapshots() + """,
@@ -152,9 +207,10 @@ def q_stream_restart_state(spark, sf):
     run = _run()
     pods = T.pod_snapshots(spark, sf).select("snapshot_ts", "namespace", "pod", "restart_count")
     odd = F.substring("pod", -1, 1).isin("1", "3", "5", "7", "9")
-    src = _feed(spark, pods, _part(F.col("snapshot_ts") - F.expr("INTERVAL 1 DAY"), odd), _folder(spark, "pod-snapshots", sf, run))
     name = _name("restart-state", sf, run)
-    S.run_upserts(S.restart_state(src), name, mode="append")
+    for src in _arrivals(pods.withColumn("snapshot_ts", F.col("snapshot_ts").cast("timestamp")),
+                         _part(F.col("snapshot_ts") - F.expr("INTERVAL 1 DAY"), odd), _folder(spark, "pod-snapshots", sf, run)):
+        S.run_upserts(S.restart_state(src), name, mode="append")
     return S.restart_increase(S.read_step(spark, name))
 
 
@@ -177,13 +233,9 @@ def q_stream_evidence_dedup(spark, sf):
     again = first.filter(sum(((F.col("observed_at") < F.lit(c).cast("timestamp")) & (F.col("observed_at") >= F.lit(c).cast("timestamp") - F.expr("INTERVAL 30 DAYS"))).cast("int")
                              for c in cuts) > 0).withColumn("__k", F.col("__k") + 1)
     run = _run()
-    both = first.unionByName(again)
-    base = _folder(spark, "evidence", sf, run)
-    for k in range(len(cuts) + 1):
-        both.filter(F.col("__k") == k).drop("__k").coalesce(1).write.parquet(os.path.join(base, f"part{k}"))
-    src = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(base, "part*"))
     name = _name("evidence-dedup", sf, run)
-    S.run_upserts(S.dedup_evidence_stream(src, watermark="60 days"), name, mode="append")
+    for src in _arrivals(first.unionByName(again), F.col("__k"), _folder(spark, "evidence", sf, run), len(cuts) + 1):
+        S.run_upserts(S.dedup_evidence_stream(src, watermark="60 days"), name, mode="append")
     return S.read_step(spark, name).select("evidence_id")
 
 

@@ -4,17 +4,16 @@ T1 error-rate passes: the stream keeps slide-sized buckets (one state row per
    bucket, not one per window it falls in); passes are sums of buckets,
 T2 restart counts per pod (``applyInPandasWithState`` keyed by namespace and
    pod, so a namespace is no hot key and a pass may arrive in parts),
-T3 incidents: sessions over candidates, by the same operator as the batch,
+T3 incidents: one state row per fingerprint (``vigil.streaming.incidents``),
 T4 recovery by event-time timers,
 T5 idempotent evidence (``dropDuplicatesWithinWatermark``),
-T6 late rows as an output; batch replay is the correction path,
+T6 late rows as an output, and as a correction of the passes they touch,
 T7 offsets and state: the checkpoint under ``spark.checkpoint.dir``,
-T8 per micro-batch: ordered steps in one ``foreachBatch``, each idempotent.
+T8 order in a pass: detections are recorded, then recoveries confirmed.
 
-Sinks write every micro-batch to the shared checkpoint folder (parquet, one
-directory per query and step, batch id as a column); ``latest_view`` reads
-them back keeping the newest version of each key, so nothing passes through
-the driver.
+Sinks write under the shared checkpoint folder: every micro-batch in a
+directory of its own (batch id as a column), or into a stored table of which
+only the dates concerned are rewritten (``run_table``). Nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -23,16 +22,16 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigil.config import Params
 from vigil.functions import ids
 from vigil.operators.detect import HTTP_ERROR_RATE, rule_http_error_rate
-from vigil.operators.incidents import sessions
 from vigil.operators.windows import epoch_seconds, expand_to_passes, slide_bucket
 from vigil.session import ensure_checkpoint_dir
+from vigil.sources import store
 
 
 def stream_table(spark: SparkSession, path: str, schema, ts: str = "ts", max_files: int | None = None) -> DataFrame:
@@ -68,42 +67,42 @@ def error_rate_windows(requests: DataFrame, params: Params) -> DataFrame:
     return error_rates(error_buckets(requests, params), params)
 
 
-def detection_steps(spark: SparkSession, name: str, params: Params) -> list:
-    """What a micro-batch of buckets sets off, in order.
+def final_rates(requests: DataFrame, params: Params, watermark: str = "10 minutes") -> DataFrame:
+    """The passes of a stream, each once: when the watermark has passed its end, so no row of it can come any more.
 
-    1. its buckets are stored; 2. the passes that hold one of them are judged
-    anew by rule D1 (a pass that no longer alerts says so); 3. the sessions of
-    the fingerprints concerned are formed anew. Each step reads what the
-    earlier ones stored, this batch's included.
+    Rows go into slide buckets first, and only final buckets into the windows that hold them.
     """
-    def passes(batch: DataFrame, batch_id: int) -> DataFrame:
-        keys = ["namespace", "service", "window_start", "pass_ts"]
-        touched = expand_to_passes(batch.select("namespace", "service", "bucket"), "bucket", params).distinct()
-        stored = latest_view(spark, name, ["namespace", "service", "bucket"], step="buckets")
-        rates = error_rates(stored, params).join(touched, keys, "left_semi")
-        alerts = rule_http_error_rate(rates, params).select(
-            "namespace", "pass_ts", F.get("affected_workloads", 0).alias("service"), "severity_rank")
-        fp = ids.fingerprint(F.lit(HTTP_ERROR_RATE), F.col("namespace"), F.array("service"))
-        return rates.join(alerts, ["namespace", "service", "pass_ts"], "left").select(
-            fp.alias("fingerprint"), "pass_ts", "severity_rank", F.col("severity_rank").isNotNull().alias("alerts"))
-
-    def incidents(batch: DataFrame, batch_id: int) -> DataFrame:
-        every = latest_view(spark, name, ["fingerprint", "pass_ts"], step="passes").filter("alerts")
-        concerned = read_step(spark, name, "passes").filter(F.col("batch_id") == batch_id).select("fingerprint").distinct()
-        live = every.join(concerned, "fingerprint", "left_semi")
-        s = sessions(live.withColumn("detected_at", F.col("pass_ts")).withColumn("queue_rank", F.lit(0)), params)
-        return s.groupBy("fingerprint", "session_no").agg(
-            F.count(F.lit(1)).alias("detection_count"), F.min("pass_ts").alias("first_detected_at"),
-            F.max("pass_ts").alias("last_detected_at"), F.max("severity_rank").alias("severity_rank"))
-
-    return [("buckets", lambda batch, _: batch), ("passes", passes), ("incidents", incidents)]
-
-
-def current_incidents(spark: SparkSession, name: str) -> DataFrame:
-    """Each fingerprint's sessions as of the newest batch that concerned it."""
-    d = read_step(spark, name, "incidents")
-    newest = d.groupBy("fingerprint").agg(F.max("batch_id").alias("batch_id"))
-    return d.join(newest, ["fingerprint", "batch_id"]).drop("batch_id", "session_no")
+    src = requests.withWatermark("ts", watermark)
+    buckets = src.groupBy(F.window("ts", f"{params.slide_seconds} seconds").alias("b"), "namespace", "service").agg(
+        F.count(F.lit(1)).alias("total"), F.sum(F.when(F.col("status_class") == "5xx", 1).otherwise(0)).alias("errors"))
+    pass_window = F.window(F.window_time("b"), f"{params.window_seconds} seconds", f"{params.slide_seconds} seconds")
+    passes = buckets.groupBy(pass_window.alias("w"), "namespace", "service").agg(
+        F.sum("total").cast("double").alias("total"), F.sum("errors").cast("double").alias("errors"))
+    # a row without a service only moves the watermark on; the filter names the window, so that it is not applied before that
+    return passes.filter(F.when(F.col("w.end").isNotNull(), F.col("service").isNotNull())).select(
+        "namespace", "service", F.col("w.start").alias("window_start"), F.col("w.end").alias("pass_ts"), "total", "errors",
+        (F.col("errors") / F.col("total")).alias("ratio"))
+
+
+RATES = "namespace string, service string, window_start timestamp, pass_ts timestamp, total double, errors double, ratio double"
+
+
+def run_rates(requests: DataFrame, name: str, params: Params, watermark: str = "10 minutes") -> str:
+    """Write the final passes of a stream to its output folder (exactly once), which is returned for others to stream from."""
+    base = _out_dir(requests.sparkSession, name)
+    w = final_rates(requests, params, watermark).writeStream.format("parquet").outputMode("append").option(
+        "checkpointLocation", os.path.join(base, "checkpoint"))
+    w.trigger(availableNow=True).start(os.path.join(base, "rates")).awaitTermination()
+    return os.path.join(base, "rates")
+
+
+def rate_events(spark: SparkSession, rates_path: str, params: Params) -> DataFrame:
+    """Rule D1 over a stream of final passes as events for ``incidents.run_incidents``; passes that do not alert are there too."""
+    rates = spark.readStream.schema(RATES).parquet(rates_path)
+    alerts = rule_http_error_rate(rates, params).select("fingerprint", F.col("pass_ts").alias("at"), "severity_rank", F.lit(False).alias("closes"))
+    fp = ids.fingerprint(F.lit(HTTP_ERROR_RATE), F.col("namespace"), F.array("service"))
+    return alerts.unionByName(rates.select(fp.alias("fingerprint"), F.col("pass_ts").alias("at"), F.lit(None).cast("int").alias("severity_rank"),
+                                           F.lit(False).alias("closes")))
 
 
 # --- T2: restart state ------------------------------------------------------------------
@@ -200,6 +199,28 @@ def latest_view(spark: SparkSession, name: str, key: list[str], step: str = "dat
     return agg.select(*key, "__v.*")
 
 
+def run_table(df: DataFrame, name: str, key: list[str], at: str):
+    """Keep a table with the newest row of each key up to date with a stream in update mode; a micro-batch rewrites the
+    dates (of ``at``, a part of the key) that its rows fall on."""
+    spark = df.sparkSession
+    path = os.path.join(_out_dir(spark, name), "table")
+
+    def merge(rows: DataFrame) -> DataFrame:
+        return store.newest(rows, key, ["batch_id"]).select(rows.columns)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        store.upsert(path, batch.withColumn("batch_id", F.lit(batch_id).cast("long")), store.date_bucket(at), merge, name=f"batch-{batch_id}")
+
+    q = df.writeStream.outputMode("update").foreachBatch(sink).option(
+        "checkpointLocation", os.path.join(_out_dir(spark, name), "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def read_table(spark: SparkSession, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(_out_dir(spark, name), "table")).drop("batch_id", store.BUCKET)
+
+
 def dedup_evidence_stream(evidence: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """T5: an evidence id is emitted once (within the watermark)."""
     return evidence.withWatermark("observed_at", watermark).dropDuplicatesWithinWatermark(["evidence_id"])
@@ -283,3 +304,23 @@ def late_rows(raw: DataFrame, params: Params, delay_seconds: int, ts: str = "ts"
     end = epoch_seconds(slide_bucket(ts, params.slide_seconds)) + params.slide_seconds
     return raw.join(marks, "batch_id").filter(end <= F.col("watermark")).withColumn(
         "watermark", F.timestamp_seconds("watermark"))
+
+
+def corrected_rates(streamed: DataFrame, raw: DataFrame, late: DataFrame, params: Params, read: Observation | None = None,
+                    ts: str = "ts") -> DataFrame:
+    """The passes of a stream after its late rows (``corrected``: the pass was replayed).
+
+    Late rows touch the (namespace, pass) whose windows hold them. These are evaluated anew from ``raw``, of which only
+    the slide buckets of touched passes are taken (``read`` counts those ``rows``); all others stay as streamed.
+    """
+    bucket = slide_bucket(ts, params.slide_seconds)
+    touched = expand_to_passes(late.select("namespace", bucket.alias("bucket")).distinct(), "bucket", params).select("namespace", "pass_ts").distinct()
+    back = F.explode(F.sequence(F.lit(1), F.lit(params.slides_per_window)))
+    needed = touched.select("namespace", "pass_ts", back.alias("k")).select(
+        "namespace", F.timestamp_seconds(epoch_seconds("pass_ts") - F.col("k") * params.slide_seconds).alias("bucket")).distinct()
+    rows = raw.withColumn("bucket", bucket).join(needed, ["namespace", "bucket"], "left_semi").drop("bucket")
+    if read is not None:
+        rows = rows.observe(read, F.count(F.lit(1)).alias("rows"))
+    anew = error_rate_windows(rows, params).join(touched, ["namespace", "pass_ts"], "left_semi")
+    kept = streamed.join(touched, ["namespace", "pass_ts"], "left_anti")
+    return kept.withColumn("corrected", F.lit(False)).unionByName(anew.select(streamed.columns).withColumn("corrected", F.lit(True)))
