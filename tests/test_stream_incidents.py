@@ -153,8 +153,7 @@ def test_correction_replays_only_touched_passes(spark):
     streamed = S.error_rate_windows(raw.join(late, "event_id", "left_anti"), P)
     seen = Observation("read")
     got = S.corrected_rates(streamed, raw, late, P, seen).collect()
-    want = {tuple(r) for r in S.error_rate_windows(raw, P).collect()}
-    assert {tuple(r)[:-1] for r in got} == {tuple(r) for r in S.error_rate_windows(raw, P).select(streamed.columns).collect()} and want
+    assert {tuple(r)[:-1] for r in got} == {tuple(r) for r in S.error_rate_windows(raw, P).collect()}
     assert {r.namespace for r in got if r.corrected} == {"a"}
     assert 0 < seen.get["rows"] < 300  # of 3000: nine slide buckets around each late row, in its namespace
     again = S.corrected_rates(streamed, raw, late.limit(0), P, none := Observation("none")).collect()

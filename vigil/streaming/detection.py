@@ -323,4 +323,5 @@ def corrected_rates(streamed: DataFrame, raw: DataFrame, late: DataFrame, params
         rows = rows.observe(read, F.count(F.lit(1)).alias("rows"))
     anew = error_rate_windows(rows, params).join(touched, ["namespace", "pass_ts"], "left_semi")
     kept = streamed.join(touched, ["namespace", "pass_ts"], "left_anti")
-    return kept.withColumn("corrected", F.lit(False)).unionByName(anew.select(streamed.columns).withColumn("corrected", F.lit(True)))
+    both = kept.withColumn("corrected", F.lit(False)).unionByName(anew.withColumn("corrected", F.lit(True)))
+    return both.select(*streamed.columns, "corrected")
