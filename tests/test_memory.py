@@ -125,6 +125,74 @@ def test_ann_recall_against_exact(spark):
             assert abs(r.distance - exact[(r.query_id, r.id)]) < 1e-9
     recall = len({(r.query_id, r.id) for r in approx} & set(exact)) / len(exact)
     assert recall >= 0.9, recall
-    row = SM.pivots(c, p)
-    pairs = SM.cells(c, row, 1, "c").join(SM.cells(q, row, p.ann_probes, "k").select("query_id", "k"), F.col("c") == F.col("k")).count()
-    assert pairs < 0.5 * 400 * 12
+    index, cells = SM.ann_index(c, p)
+    assert (len(cells.centres), cells.probes, cells.survivors) == (24, 6, 20)
+    left = SM.survivors(index, cells, q)
+    assert left.count() < 0.1 * 400 * 12
+    # cells and probes by themselves
+    trained = SM.ann_index(c, P(max_distance=0.5, top_k=5))[1]
+    assert len(trained.centres) == 12 and trained.probes <= 4
+    assert SM.ann_index(c.limit(0), p) is None and SM.ann_search(c.limit(0), q, p).count() == 0
+
+
+def clustered(spark, n=3000, dims=16, groups=30, seed=4):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dims))
+    x = centres[rng.integers(0, groups, n)] + rng.normal(scale=0.05, size=(n, dims))
+    rows = [(f"m{i:05d}", "incident", f"i{i}", f"s{i}", None, None, v.tolist()) for i, v in enumerate(x)]
+    rows += [("zero", "incident", None, "z", None, None, [0.0] * dims), ("none", "incident", None, "n", None, None, None),
+             ("nan", "incident", None, "n", None, None, [float("nan")] * dims)]
+    queries = [(f"q{i}", x[i * 7].tolist(), "incident", None, None, f"i{i * 7}") for i in range(20)]
+    queries += [("qzero", [0.0] * dims, "incident", None, None, None)]
+    return spark.createDataFrame(rows, C_SCHEMA), spark.createDataFrame(queries, Q_SCHEMA), x
+
+
+def test_blocks_that_cannot_hold_a_match_are_skipped(spark, monkeypatch):
+    """The same rows as with one block; most (query, block) pairs are left out; a block is cut at a number of rows."""
+    import numpy as np
+
+    from vigil.operators import vectors as V
+
+    monkeypatch.setattr(V, "CELL_ROWS", 64)
+    monkeypatch.setattr(V, "QUERY_ROWS", 8)
+    c, q, x = clustered(spark)
+    p = P(max_distance=2.0)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = []
+    for i in range(20):
+        d = 1 - unit @ unit[i * 7]
+        d[i * 7] = np.inf
+        want += [(f"q{i}", f"m{j:05d}") for j in sorted(range(len(x)), key=lambda j: (round(d[j], 12), j))[:p.top_k]]
+    for blocks in (1, 40):
+        assert sorted((r.query_id, r.id) for r in SM.search(c, q, p, blocks=blocks).collect()) == sorted(want)
+    cells = V.train(c.select("id", "embedding"), 5, cells=40, probes=1)
+    rows = V.in_cells(V.nonzero(c), cells, codes=False)
+    radius = {r.cell: r.r for r in rows.groupBy("cell").agg(F.max("angle").alias("r")).collect()}
+    some = V.sample(rows, 3000, [k for k in SM.CORPUS_COLUMNS if k != "source_ref"], 2048)
+    needed = SM.needed_cells(V.nonzero(q), cells, radius, some, p).count()
+    assert needed < 0.2 * 20 * len(radius)
+    parts = V.in_parts(rows)[0].groupBy("cell", "part").count()
+    assert parts.agg(F.max("count")).first()[0] < 150
+
+
+def test_estimates_come_from_codes(spark):
+    """A code takes a quarter of a byte a dimension, and estimated cosines are close to the true ones."""
+    import numpy as np
+
+    from vigil.operators import vectors as V
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2000, 30))
+    df = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], "id string, embedding array<double>")
+    cells = V.train(df, 5)
+    unit = V.unit_rows(x)
+    cell = V.nearest(unit, cells.centres)[0]
+    codes = cells.encode(unit, cell)
+    assert codes.shape == (2000, 8) and codes.dtype == np.uint8
+    for k in range(3):
+        rows = np.flatnonzero(cell == k)
+        got = cells.scores(unit[:50], k, codes[rows])
+        assert np.abs(got - unit[:50] @ unit[rows].T).std() < 0.06
+    assert 0 < cells.probes <= len(cells.centres)

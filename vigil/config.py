@@ -46,8 +46,8 @@ class Params:
     allowed_namespaces: tuple[str, ...] = ("default",)
     max_signatures: int = 25        # listed per pass as evidence; rules see all
     max_log_samples: int = 50       # newest error lines per incident
-    ann_cells: int = 16             # pivots of the approximate search
-    ann_probes: int = 6             # cells a query looks into
+    ann_cells: int = 0              # of the approximate search; 0: from the table's size
+    ann_probes: int = 0             # cells a query looks into; 0: as the sample's neighbours need
 
     def __post_init__(self) -> None:
         self.validate()

@@ -1,15 +1,20 @@
 """Semantic memory: cosine distance, exact faceted top-K search (with the
 relaxed fallback), runbook section splitting, content hashing and the
-re-index delta, plus an approximate search over cells with exact re-rank.
+re-index delta, plus an approximate search over coded cells with exact re-rank.
 
 Exact search layout
 -------------------
-One plan for any number of queries and memories: the corpus is hashed into
-blocks, the queries meet every block, and a block is scanned by tiles of
-queries and memories with numpy (matrix product, facet masks, top-K by
-(distance, id)). No (query, memory) pair becomes a row. Every block's top-K
-contains the global top-K restricted to it, so a final ``row_number`` over the
-small per-block results is exact.
+One plan for any number of queries and memories. Memories fall into cells
+around centres trained on a bounded sample, and a cell is cut into blocks of
+a bounded number of rows. The angle between vectors is a metric, so a cell of
+radius r around c holds nothing nearer to a query q than angle(q, c) - r: cells
+beyond the query's limit are skipped. The limit is the distance
+of its K-th match within the sample, or ``max_distance`` if the sample has fewer. A block
+meets the queries that need it in groups of a bounded number, and is scanned
+by tiles with numpy (matrix product, facet masks, top-K by (distance, id)), so
+a task's memory depends on neither the corpus nor the batch. No (query, memory) pair
+becomes a row. Every block's top-K contains the global top-K restricted to it,
+so a final ``row_number`` over the small per-block results is exact.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from vigil.config import Params
+from vigil.operators import vectors as V
+from vigil.session import stored
 
 SEARCH_SCHEMA = (
     "query_id string, id string, kind string, source_ref string, workload string, category string, "
@@ -61,25 +68,38 @@ def _blank(s: pd.Series) -> np.ndarray:
     return s.isna().to_numpy() | (s.fillna("").str.strip() == "").to_numpy()
 
 
-def _tile(Q, queries: pd.DataFrame, part: pd.DataFrame, top_k: int, max_distance: float, relaxed: bool) -> list[pd.DataFrame]:
-    """Matches of one tile of queries against one tile of memories."""
-    A = np.vstack([np.asarray(v, dtype=np.float64) for v in part["embedding"]])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        dist = 1.0 - (Q @ A.T) / np.outer(np.linalg.norm(Q, axis=1), np.linalg.norm(A, axis=1))
-
-    def equal(column, name):  # a blank facet of the query matches all, a NULL one of the memory too
-        q = queries[name]
+def _allowed(queries: pd.DataFrame, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Which memories each query may have: by kind and self-exclusion, and by the facets too."""
+    def equal(name):  # a blank facet of the query matches all, a NULL one of the memory too
+        column, q = part[name].to_numpy(dtype=object), queries[name]
         return _blank(q)[:, None] | pd.isna(column)[None, :] | (column[None, :] == q.to_numpy(dtype=object)[:, None])
 
-    kind, wl, cat, inc = (part[c].to_numpy(dtype=object) for c in ("kind", "workload", "category", "incident_id"))
+    kind, inc = part["kind"].to_numpy(dtype=object), part["incident_id"].to_numpy(dtype=object)
     kind_ok = _blank(queries["kind"])[:, None] | (kind[None, :] == queries["kind"].to_numpy(dtype=object)[:, None])
     excluded = queries["exclude_incident_id"]
     other = excluded.isna().to_numpy()[:, None] | pd.isna(inc)[None, :] | (inc[None, :] != excluded.to_numpy(dtype=object)[:, None])
-    base = kind_ok & other & (dist <= max_distance)
-    has_facet = ~(_blank(queries["workload"]) & _blank(queries["category"]))
-    modes = [("strict", base & equal(wl, "workload") & equal(cat, "category"))]
+    base = kind_ok & other
+    return base, base & equal("workload") & equal("category")
+
+
+def _facetted(queries: pd.DataFrame) -> np.ndarray:
+    return ~(_blank(queries["workload"]) & _blank(queries["category"]))
+
+
+def _cosine_distances(Q: np.ndarray, part: pd.DataFrame) -> np.ndarray:
+    A = np.vstack([np.asarray(v, dtype=np.float64) for v in part["embedding"]])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 1.0 - (Q @ A.T) / np.outer(np.linalg.norm(Q, axis=1), np.linalg.norm(A, axis=1))
+
+
+def _tile(Q, queries: pd.DataFrame, part: pd.DataFrame, top_k: int, max_distance: float, relaxed: bool) -> list[pd.DataFrame]:
+    """Matches of one tile of queries against one tile of memories."""
+    dist = _cosine_distances(Q, part)
+    base, strict = _allowed(queries, part)
+    near, has_facet = dist <= max_distance, _facetted(queries)
+    modes = [("strict", strict & near)]
     if relaxed:
-        modes.append(("relaxed", base))
+        modes.append(("relaxed", base & near))
     out = []
     for mode, mask in modes:
         masked = np.where(mask, dist, np.inf)
@@ -88,8 +108,8 @@ def _tile(Q, queries: pd.DataFrame, part: pd.DataFrame, top_k: int, max_distance
         qi, ci = np.nonzero((masked <= kth[:, None]) & mask)
         if len(qi):
             out.append(pd.DataFrame({
-                "query_id": queries["query_id"].to_numpy()[qi], "id": part["id"].to_numpy()[ci], "kind": kind[ci],
-                "source_ref": part["source_ref"].to_numpy()[ci], "workload": wl[ci], "category": cat[ci], "incident_id": inc[ci],
+                "query_id": queries["query_id"].to_numpy()[qi], **{c: part[c].to_numpy(dtype=object)[ci] for c in (
+                    "id", "kind", "source_ref", "workload", "category", "incident_id")},
                 "distance": dist[qi, ci], "mode": mode, "has_facet": has_facet[qi],
             }))
     return out
@@ -133,6 +153,39 @@ CORPUS_COLUMNS = ["id", "kind", "incident_id", "source_ref", "workload", "catego
 QUERY_COLUMNS = ["query_id", "embedding", "kind", "workload", "category", "exclude_incident_id"]
 
 
+def _grouped(queries: DataFrame) -> tuple[DataFrame, int]:
+    """The usable queries in groups of a bounded number, and the number of groups."""
+    q = stored(V.nonzero(queries.select(*QUERY_COLUMNS)), "queries")
+    groups = max(1, -(-q.count() // V.QUERY_ROWS))
+    return q.withColumn("query_group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")), groups
+
+
+def needed_cells(queries: DataFrame, cells: V.Cells, radius: dict[int, float], some: pd.DataFrame, params: Params) -> DataFrame:
+    """``queries`` once for each cell that may hold one of its top K (``cell``), by the triangle inequality on angles.
+
+    ``some``: rows of the corpus whose K-th match bounds each query's distance.
+    """
+    held = np.array(sorted(radius))
+    around = np.array([radius[c] for c in held])
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, len(batch), QUERY_TILE):
+                tile = batch.iloc[a:a + QUERY_TILE]
+                unit = V.unit_rows(tile["embedding"])
+                limit = np.full(len(tile), params.max_distance)
+                if len(some) >= params.top_k:
+                    # rows outside the facets do not count, so fewer than K of them leave max_distance as the limit
+                    dist = np.where(_allowed(tile, some)[1], _cosine_distances(unit, some), np.inf)
+                    limit = np.minimum(limit, np.partition(dist, params.top_k - 1, axis=1)[:, params.top_k - 1])
+                angle = np.arccos(np.clip(unit @ cells.centres[held].T, -1, 1))
+                widest = np.arccos(np.clip(1 - limit, -1, 1))
+                qi, ci = np.nonzero(angle - around[None, :] <= widest[:, None] + 1e-9)
+                yield tile.iloc[qi].assign(cell=held[ci].astype(np.int32))
+
+    return queries.mapInPandas(run, f"{queries.schema.simpleString()[7:-1]},cell:int")
+
+
 def search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool = False, blocks: int | None = None) -> DataFrame:
     """Exact faceted nearest-neighbour search for a batch of queries.
 
@@ -141,14 +194,24 @@ def search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool
     most ``max_distance``; top ``top_k`` by distance (ties by id). With
     ``relaxed=True`` a query that gave a facet but found nothing is answered
     without the facets (kind and self-exclusion still apply); both result
-    sets come from the same pass. ``blocks``: of the corpus (default: the
-    session's shuffle partitions).
+    sets come from the same pass. ``blocks``: cells of the corpus (default: one for each ``CELL_ROWS`` rows, 1,024 at most).
     """
-    n = blocks or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    c = corpus.select(*CORPUS_COLUMNS, F.pmod(F.xxhash64("id"), F.lit(n)).alias("__c"))
-    q = queries.select(*QUERY_COLUMNS, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("__q"))
-    fn = _block_search(params.top_k, params.max_distance, relaxed)
-    partial = c.groupBy("__c").cogroup(q.groupBy("__q")).applyInPandas(fn, SEARCH_SCHEMA)
+    c = V.nonzero(corpus.select(*CORPUS_COLUMNS))
+    count = c.count()
+    n = blocks or min(1024, -(-count // V.CELL_ROWS))
+    cells = V.train(c.select("id", "embedding"), params.top_k, cells=max(1, n), probes=1)
+    if cells is None:
+        return _best(c.sparkSession.createDataFrame([], SEARCH_SCHEMA), params, relaxed)
+    c = stored(V.in_cells(c, cells, codes=False), "cells")
+    radius = {r["cell"]: r["r"] for r in c.groupBy("cell").agg(F.max("angle").alias("r")).collect()}  # 1,024 at most
+    c, parts = V.in_parts(c.drop("angle"))
+    q, groups = _grouped(queries)
+    some = V.sample(c, count, [x for x in CORPUS_COLUMNS if x != "source_ref"], size=2048)
+    q = needed_cells(q, cells, radius, some, params).join(parts, "cell")
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    c = c.withColumn("query_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    key = ["cell", "part", "query_group"]
+    partial = c.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(_block_search(params.top_k, params.max_distance, relaxed), SEARCH_SCHEMA)
     return _best(partial, params, relaxed)
 
 
@@ -261,48 +324,74 @@ def dim_check(vectors: DataFrame, dim: int, col: str = "embedding") -> DataFrame
     return vectors.withColumn("dim_ok", F.size(col) == dim)
 
 
-def pivots(corpus: DataFrame, params: Params) -> DataFrame:
-    """One row: ``ann_cells`` memories (those with the smallest MD5 of their id) as unit vectors.
+def ann_index(corpus: DataFrame, params: Params) -> tuple[DataFrame, V.Cells] | None:
+    """The corpus by cells, each memory with its code, in the shared folder; None if no memory has a direction."""
+    rows = V.nonzero(corpus.select(*CORPUS_COLUMNS))
+    cells = V.train(rows.select("id", "embedding"), params.top_k, params.ann_cells, params.ann_probes)
+    return None if cells is None else (stored(V.in_cells(rows, cells, codes=True), "ann-index"), cells)
 
-    The number of pivots is a parameter, so the row is bounded.
-    """
-    some = corpus.select("id", "embedding").filter(dot("embedding", "embedding") > 0).orderBy(F.md5("id"), "id").limit(params.ann_cells)
-    norm = F.sqrt(dot("embedding", "embedding"))
-    unit = F.transform(F.col("embedding").cast("array<double>"), lambda x: x / norm)
-    return some.agg(F.sort_array(F.collect_list(F.struct(F.md5("id").alias("k"), "id", unit.alias("unit")))).alias("pivots"))
 
+def survivors(index: DataFrame, cells: V.Cells, queries: DataFrame, relaxed: bool = True) -> DataFrame:
+    """(query_id, id, mode, has_facet, query): what is left of a query's nearest cells by the codes' estimate.
 
-def cells(vectors: DataFrame, pivot_row: DataFrame, n: int, out: str) -> DataFrame:
-    """Each vector with the numbers of its ``n`` nearest pivots, one row per pivot."""
-    near = F.transform("pivots", lambda p, i: F.struct((-dot("embedding", p["unit"])).alias("d"), i.alias("i")))
-    joined = vectors.crossJoin(F.broadcast(pivot_row))  # one row
-    return joined.withColumn(out, F.explode(F.transform(F.slice(F.array_sort(near), 1, n), lambda x: x["i"]))).drop("pivots")
+    Per query and mode the ``cells.survivors`` memories with the largest estimated cosine that facets and
+    self-exclusion allow.
+    """
+    q, groups = _grouped(queries)
+    schema = "query_id string, id string, mode string, has_facet boolean, estimate double"
+
+    def probed(batches):
+        for batch in batches:
+            if len(batch):
+                order = cells.order(V.unit_rows(batch["embedding"]))[:, :cells.probes]
+                yield batch.iloc[np.repeat(np.arange(len(batch)), order.shape[1])].assign(cell=order.ravel().astype(np.int32))
+
+    def scan(key, memories: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame(columns=["query_id", "id", "mode", "has_facet", "estimate"])]
+        if len(memories) and len(asked):
+            codes = np.vstack([np.frombuffer(c, np.uint8) for c in memories["code"]])
+            for a in range(0, len(asked), QUERY_TILE):
+                tile = asked.iloc[a:a + QUERY_TILE]
+                unit, facet = V.unit_rows(tile["embedding"]), _facetted(tile)
+                for b in range(0, len(memories), MEMORY_TILE):
+                    part = memories.iloc[b:b + MEMORY_TILE]
+                    close = cells.scores(unit, key[0], codes[b:b + MEMORY_TILE])
+                    base, strict = _allowed(tile, part)
+                    for mode, mask in [("strict", strict)] + [("relaxed", base & facet[:, None])] * relaxed:
+                        masked = np.where(mask, close, -np.inf)
+                        n = min(cells.survivors, masked.shape[1])
+                        kth = -np.partition(-masked, n - 1, axis=1)[:, n - 1]
+                        qi, ci = np.nonzero((masked >= kth[:, None]) & mask)
+                        out.append(pd.DataFrame({"query_id": tile["query_id"].to_numpy()[qi], "id": part["id"].to_numpy()[ci], "mode": mode,
+                                                 "has_facet": facet[qi], "estimate": masked[qi, ci]}))
+        return pd.concat([o for o in out if len(o)] or out[:1], ignore_index=True)
+
+    held, parts = V.in_parts(index.drop("embedding"))
+    asked = q.mapInPandas(probed, f"{q.schema.simpleString()[7:-1]},cell:int").join(parts, "cell")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    held = held.withColumn("query_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    key = ["cell", "part", "query_group"]
+    found = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(scan, schema)
+    w = Window.partitionBy("query_id", "mode").orderBy(F.desc("estimate"), "id")
+    found = found.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= cells.survivors).drop("__n", "estimate")
+    # a facetted query's memories may survive in both modes; they are compared once
+    return found.groupBy("query_id", "id", "has_facet").agg(F.sort_array(F.collect_set("mode")).alias("modes"))
+
+
+def rerank(left: DataFrame, index: DataFrame, queries: DataFrame, params: Params, relaxed: bool = True) -> DataFrame:
+    """Exact distances of the survivors, and the ranks of ``search`` among them."""
+    pairs = left.join(queries.select("query_id", F.col("embedding").alias("query")), "query_id").join(index.select(*CORPUS_COLUMNS), "id")
+    near = pairs.withColumn("distance", cosine_distance("query", "embedding")).filter(F.col("distance") <= params.max_distance)
+    partial = near.select("query_id", "id", "kind", "source_ref", "workload", "category", "incident_id", "distance",
+                          F.explode("modes").alias("mode"), "has_facet")
+    return _best(partial, params, relaxed)
 
 
 def ann_search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool = True) -> DataFrame:
-    """Approximate search: the corpus falls into cells around pivots, a query
-    looks into its ``ann_probes`` nearest cells, and what it finds there goes
-    through the same facets, self-exclusion, distances and ranks as ``search``.
+    """Approximate search: a query looks into its nearest cells, where codes of a quarter of a byte a dimension estimate
+    the cosines; only the best of these estimates are compared exactly. Facets, self-exclusion, distances and ranks are those of ``search``.
     """
-    row = pivots(corpus, params)
-    c = cells(corpus.select(*CORPUS_COLUMNS).filter(dot("embedding", "embedding") > 0), row, 1, "__c")
-    q = cells(queries.select(*(F.col(x).alias(x if x in ("query_id", "embedding") else f"q_{x}") for x in QUERY_COLUMNS)), row,
-              params.ann_probes, "__q").withColumnRenamed("embedding", "q")
-    pairs = c.join(q, F.col("__c") == F.col("__q"))
-
-    def blank(name):
-        return F.col(name).isNull() | (F.trim(name) == "")
-
-    def equal(name):
-        return blank(f"q_{name}") | F.col(name).isNull() | (F.col(name) == F.col(f"q_{name}"))
-
-    base = (blank("q_kind") | F.coalesce(F.col("kind") == F.col("q_kind"), F.lit(False))) & (
-        F.col("q_exclude_incident_id").isNull() | F.col("incident_id").isNull() | (F.col("incident_id") != F.col("q_exclude_incident_id")))
-    found = pairs.filter(base).withColumn("distance", cosine_distance("q", "embedding")).filter(
-        F.col("distance") <= params.max_distance)
-    modes = F.array_compact(F.array(F.when(equal("workload") & equal("category"), F.lit("strict")),
-                                    F.lit("relaxed") if relaxed else F.lit(None).cast("string")))
-    partial = found.select(
-        "query_id", "id", "kind", "source_ref", "workload", "category", "incident_id", "distance", F.explode(modes).alias("mode"),
-        (~(blank("q_workload") & blank("q_category"))).alias("has_facet"))
-    return _best(partial, params, relaxed)
+    found = ann_index(corpus, params)
+    if found is None:
+        return _best(corpus.sparkSession.createDataFrame([], SEARCH_SCHEMA), params, relaxed)
+    return rerank(survivors(*found, queries, relaxed), found[0], queries, params, relaxed)

@@ -8,6 +8,7 @@ from vigil.config import replay_params
 from vigil.functions.text import sql_trim_ws
 from vigil.operators import memory as SM
 from vigil.plans.registry import register
+from vigil.session import stored
 from vigil.sources import testdata as T
 
 P = replay_params(embedding_dim=64)
@@ -227,49 +228,42 @@ def q_retrieval_query_text(spark, sf):
     return o.select("o_orderkey", txt.alias("query_text"))
 
 
-def _unit_dot(a: str, b: str) -> str:
-    return f"(list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[]))))"
+@register("ann_search")
+def q_ann_search(spark, sf):
+    """Coded cells, same facets and self-exclusion as the exact search. Cells are trained, so no SQL repeats it: see ``ann_recall``."""
+    r = SM.ann_search(T.memory(spark, sf), T.incident_queries(spark, sf), P)
+    return r.select("query_id", "id", F.round("distance", R6).alias("distance"), "mode", "rank")
 
 
-SQL_ANN = _search_sql(
-    T.SQL_INCIDENT_QUERIES + f""",
-pv AS (SELECT embedding AS p, row_number() OVER (ORDER BY md5(id), id) - 1 AS cell FROM mem ORDER BY md5(id), id LIMIT {P.ann_cells}),
-mc AS (SELECT id, cell FROM (SELECT id, cell, row_number() OVER (PARTITION BY id ORDER BY {_unit_dot('embedding', 'p')} DESC, cell) AS n FROM mem, pv) WHERE n = 1),
-qc AS (SELECT query_id, cell FROM (SELECT query_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY {_unit_dot('embedding', 'p')} DESC, cell) AS n
-  FROM queries, pv) WHERE n <= {P.ann_probes})""", True,
-    f"SELECT query_id, id, round(distance, {R6}) AS distance, mode, rank FROM res").replace(
-    "<> q.exclude_incident_id)),", "<> q.exclude_incident_id)\n   AND EXISTS (SELECT 1 FROM mc JOIN qc USING (cell) WHERE mc.id = m.id AND qc.query_id = q.query_id)),")
+def _recall_queries(spark, sf):
+    """Every fourth memory looks for its like: half of them within their workload, never their own incident."""
+    m = T.memory(spark, sf).withColumn("n", F.substring("id", 5, 20).cast("long")).filter(F.col("n") % 4 == 0)
+    return m.select(F.concat(F.lit("q-"), "id").alias("query_id"), "embedding", "kind", F.when(F.col("n") % 8 == 0, F.col("workload")).alias("workload"),
+                    F.lit(None).cast("string").alias("category"), F.col("incident_id").alias("exclude_incident_id"))
 
 
-@register("ann_search", sql=SQL_ANN)
-def q_ann_search(spark, sf):
-    """Cells around pivots, same facets and self-exclusion as the exact search."""
-    r = SM.ann_search(T.memory(spark, sf), T.incident_queries(spark, sf), P)
-    return r.select("query_id", "id", F.round("distance", R6).alias("distance"), "mode", "rank")
+RECALL, COMPARED = 0.9, 0.1  # at least, at most
 
 
 @register(
     "ann_recall",
-    sql=SQL_ANN.rsplit("\n", 1)[0] + f""",
-xp AS (SELECT q.query_id, m.id, {_dist_sql('q.embedding', 'm.embedding')} AS distance,
-  NOT (q.workload IS NULL AND q.category IS NULL) AS has_facet,
-  (q.workload IS NULL OR m.workload IS NULL OR m.workload = q.workload)
-  AND (q.category IS NULL OR m.category IS NULL OR m.category = q.category) AS facet_ok
-  FROM queries q JOIN mem m ON (q.kind IS NULL OR m.kind = q.kind)
-   AND (q.exclude_incident_id IS NULL OR m.incident_id IS NULL OR m.incident_id <> q.exclude_incident_id)),
-xs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM xp
-  WHERE distance <= {P.max_distance} AND facet_ok) WHERE rank <= {P.top_k}),
-xr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM xp
-  WHERE distance <= {P.max_distance}) WHERE rank <= {P.top_k}),
-exact AS (SELECT query_id, id FROM xs UNION ALL SELECT query_id, id FROM xr WHERE has_facet AND query_id NOT IN (SELECT query_id FROM xs))
-SELECT exact.query_id, count(*) AS exact, count(res.id) AS found, round(count(res.id) / count(*), {R6}) AS recall
-FROM exact LEFT JOIN res ON res.query_id = exact.query_id AND res.id = exact.id GROUP BY exact.query_id""",
+    sql=_search_sql("""queries AS (SELECT 'q-' || id AS query_id, embedding, kind,
+  CASE WHEN CAST(substr(id, 5) AS BIGINT) % 8 = 0 THEN workload END AS workload, CAST(NULL AS VARCHAR) AS category,
+  incident_id AS exclude_incident_id FROM mem WHERE CAST(substr(id, 5) AS BIGINT) % 4 = 0)""", True,
+                    "SELECT (SELECT count(*) FROM queries) AS queries, count(*) AS matches, true AS recall_reached, true AS few_compared FROM res"),
 )
 def q_ann_recall(spark, sf):
-    """Share of the exact matches of each query that the approximate search returns."""
-    m, q = T.memory(spark, sf), T.incident_queries(spark, sf)
-    exact = SM.search(m, q, P, relaxed=True).select("query_id", "id")
-    found = SM.ann_search(m, q, P).select("query_id", "id", F.lit(1).alias("hit"))
-    g = exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("exact"), F.count("hit").alias("found"))
-    return g.withColumn("recall", F.round(F.col("found") / F.col("exact"), R6))
+    """The approximate search of many queries against the exact one: matches that exist, whether ``RECALL`` of them are
+    found, and whether at most ``COMPARED`` of all (query, memory) pairs were compared exactly."""
+    m, q = T.memory(spark, sf), _recall_queries(spark, sf)
+    exact = SM.search(m, q, P, relaxed=True).select("query_id", "id", "mode")
+    index, cells = SM.ann_index(m, P)
+    left = stored(SM.survivors(index, cells, q), "survivors")
+    found = SM.rerank(left, index, q, P).select("query_id", "id", "mode", F.lit(1).alias("hit"))
+    hits = exact.join(found, ["query_id", "id", "mode"], "left").agg(F.count(F.lit(1)).alias("matches"), F.count("hit").alias("found"))
+    sizes = [d.agg(F.count(F.lit(1)).alias(n)) for d, n in ((q, "queries"), (left, "compared"), (m, "memories"))]
+    row = hits
+    for one in sizes:
+        row = row.crossJoin(one)  # one row each
+    return row.select("queries", "matches", (F.col("found") >= RECALL * F.col("matches")).alias("recall_reached"),
+                      (F.col("compared") <= COMPARED * F.col("queries") * F.col("memories")).alias("few_compared"))
