@@ -63,3 +63,23 @@ def test_error_rate_drops_zero_total(spark):
     )
     r = {x.service: x.ratio for x in M.http_error_rate(df).collect()}
     assert r == {"a": 0.3}
+
+
+def extrapolated(spark, rows):
+    inc = M.increase(samples(spark, rows), ["namespace", "service", "status_class"], P, extrapolate=True)
+    got = inc.filter(F.col("pass_ts") == T0 + timedelta(minutes=5)).collect()
+    return got[0].increase if got else None
+
+
+def test_extrapolation_to_the_edges(spark):
+    # samples every 60 s from 30 s to 270 s: 30 s before and after are nearer than 1.1 gaps, so 240 s become 300 s
+    assert abs(extrapolated(spark, [(30 + 60 * i, 100 + 12 * i) for i in range(5)]) - 48 * 300 / 240) < 1e-9
+    # samples end at 150 s: 150 s to the edge are beyond 1.1 gaps of 60 s, so half a gap
+    assert abs(extrapolated(spark, [(30, 100), (90, 112), (150, 124)]) - 24 * (120 + 30 + 30) / 120) < 1e-9
+    # the counter would have been 0 at 25 s (5 s before the first sample, at 1 a second)
+    assert abs(extrapolated(spark, [(30 + 60 * i, 5 + 60 * i) for i in range(5)]) - 240 * (240 + 5 + 30) / 240) < 1e-9
+    # a reset counts its new value; the clamp uses the first sample of the window
+    assert abs(extrapolated(spark, [(30, 100), (90, 110), (150, 4), (210, 10), (270, 20)]) - 30 * 300 / 240) < 1e-9
+    assert extrapolated(spark, [(30, 100)]) is None
+    assert extrapolated(spark, [(30, 100), (30, 107)]) == 7.0
+    assert extrapolated(spark, [(30, 7), (90, 7)]) == 0.0

@@ -4,8 +4,9 @@ Counter semantics (``increase``): per series, ``delta = v`` when the counter
 went down (a reset) else ``v - prev``; the first sample of a series has delta
 0. The increase over a window is the sum of the deltas of the samples inside
 it *minus the delta of the window's first sample*, because that delta crossed
-the left edge. A window with one sample therefore has increase 0. No
-extrapolation to the window edges is done (so plain SQL can repeat it).
+the left edge. A window with one sample therefore has increase 0. By default
+nothing is extrapolated to the window edges; with ``extrapolate`` it is, by
+the public rule (``_extrapolated``).
 """
 
 from __future__ import annotations
@@ -25,8 +26,25 @@ def _reset_delta(prev: Column, cur: Column) -> Column:
     return F.when(cur < prev, cur).otherwise(cur - prev)
 
 
+def _extrapolated(increase: Column, first: Column, first_s: Column, last_s: Column, start_s: Column, n: Column, window: float) -> Column:
+    """The increase scaled to the whole window: as if samples went on at their
+    average gap up to an edge that is nearer than 1.1 gaps, else for half a
+    gap; at the start not beyond the instant where the counter would have been 0.
+    Null for fewer than two samples; unscaled where all are of one instant.
+    """
+    sampled = last_s - first_s
+    gap = sampled / (n - 1)
+    before = first_s - start_s
+    before = F.when(before >= gap * 1.1, gap / 2).otherwise(before)
+    to_zero = sampled * (first / increase)
+    before = F.when((increase > 0) & (first >= 0) & (to_zero < before), to_zero).otherwise(before)
+    after = start_s + window - last_s
+    after = F.when(after >= gap * 1.1, gap / 2).otherwise(after)
+    return F.when(n > 1, F.when(sampled > 0, increase * ((sampled + before + after) / sampled)).otherwise(increase))
+
+
 def increase(
-    samples: DataFrame, series: list[str], params: Params, ts: str = "ts", tiebreak: str = "event_id"
+    samples: DataFrame, series: list[str], params: Params, ts: str = "ts", tiebreak: str = "event_id", extrapolate: bool = False
 ) -> DataFrame:
     """``increase(counter[window])`` for every series and every pass at once.
 
@@ -44,7 +62,8 @@ def increase(
        adjacent non-empty buckets, from a sorted array of at most
        ``slides_per_window`` (first, last) pairs.
 
-    Output: series..., window_start, pass_ts, increase, samples.
+    Output: series..., window_start, pass_ts, increase, samples. With
+    ``extrapolate`` windows of one sample have no row.
     """
     order = [F.col(ts), F.col(tiebreak)] if tiebreak else [F.col(ts)]
     key = F.struct(*order)
@@ -57,12 +76,14 @@ def increase(
         F.min_by("value", key).alias("__first"),
         F.max_by("value", key).alias("__last"),
         F.count(F.lit(1)).alias("__n"),
+        *([F.min(_seconds(ts)).alias("__from"), F.max(_seconds(ts)).alias("__to")] if extrapolate else []),
     ).withColumn("__bk", F.col("__b"))
     x = expand_to_passes(parts, "__b", params)
     agg = x.groupBy(*series, "window_start", "pass_ts").agg(
         F.sum("__in").alias("__in"),
         F.sort_array(F.collect_list(F.struct("__bk", "__first", "__last"))).alias("__bs"),
         F.sum("__n").alias("samples"),
+        *([F.min("__from").alias("__from"), F.max("__to").alias("__to")] if extrapolate else []),
     )
     n = F.size("__bs")
     cross = F.aggregate(
@@ -70,8 +91,17 @@ def increase(
                    lambda a, b: _reset_delta(a["__last"], b["__first"])),
         F.lit(0.0), lambda acc, v: acc + v,
     )
-    return agg.select(*series, "window_start", "pass_ts",
-                      (F.col("__in") + F.when(n > 1, cross).otherwise(F.lit(0.0))).alias("increase"), "samples")
+    total = F.col("__in") + F.when(n > 1, cross).otherwise(F.lit(0.0))
+    if not extrapolate:
+        return agg.select(*series, "window_start", "pass_ts", total.alias("increase"), "samples")
+    agg = agg.filter(F.col("samples") > 1).withColumn("__total", total)
+    scaled = _extrapolated(F.col("__total"), F.get("__bs", 0)["__first"].cast("double"), F.col("__from"), F.col("__to"), _seconds("window_start"),
+                           F.col("samples"), float(params.window_seconds))
+    return agg.select(*series, "window_start", "pass_ts", scaled.alias("increase"), "samples")
+
+
+def _seconds(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
 
 
 def rate(inc: DataFrame, params: Params) -> DataFrame:

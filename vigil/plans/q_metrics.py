@@ -43,6 +43,26 @@ def q_ts_increase(spark, sf):
     return counter_increase(spark, sf)
 
 
+def _sql_extrapolated() -> str:
+    """The public rule in plain SQL over each window's first and last sample."""
+    return f""",
+ew AS (SELECT namespace, service, status_class, window_start, pass_ts, sum(delta) - arg_min(delta, (ts, event_id)) AS inc, count(*) AS samples,
+  CAST(arg_min(value, (ts, event_id)) AS DOUBLE) AS fv, epoch_us(min(ts)) / 1e6 AS t0, epoch_us(max(ts)) / 1e6 AS t1, epoch_us(window_start) / 1e6 AS s0
+  FROM (SELECT *, {sql_passes('ts', P)} FROM cdd, {sql_window_join(P)}) GROUP BY ALL HAVING count(*) > 1),
+eg AS (SELECT *, t1 - t0 AS sampled, (t1 - t0) / (samples - 1) AS gap FROM ew),
+ee AS (SELECT *, CASE WHEN t0 - s0 >= gap * 1.1 THEN gap / 2 ELSE t0 - s0 END AS b0,
+  CASE WHEN s0 + {P.window_seconds} - t1 >= gap * 1.1 THEN gap / 2 ELSE s0 + {P.window_seconds} - t1 END AS a FROM eg),
+ez AS (SELECT *, CASE WHEN inc > 0 AND fv >= 0 AND sampled * (fv / inc) < b0 THEN sampled * (fv / inc) ELSE b0 END AS b FROM ee)
+SELECT namespace, service, status_class, window_start, pass_ts,
+  round(CASE WHEN sampled > 0 THEN inc * ((sampled + b + a) / sampled) ELSE inc END, {R6}) AS increase, samples FROM ez"""
+
+
+@register("ts_increase_extrapolated", sql="WITH " + SQL_INCREASE_CTE + _sql_extrapolated())
+def q_ts_increase_extrapolated(spark, sf):
+    inc = M.increase(T.counter_samples(spark, sf), SERIES, P, extrapolate=True)
+    return inc.withColumn("increase", F.round("increase", R6))
+
+
 @register(
     "ts_rate",
     sql="WITH " + SQL_INCREASE_CTE
