@@ -306,18 +306,22 @@ def reindex_delta(sections: DataFrame, stored: DataFrame) -> DataFrame:
     return s.join(stored.select("kind", "source_ref", "content_hash"), ["kind", "source_ref", "content_hash"], "left_anti")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, version: str = "version") -> DataFrame:
-    """Upsert by (kind, source_ref): the newest row wins, but ``id``,
-    ``incident_id`` and ``created_at`` stay those of the first row."""
-    u = existing.unionByName(incoming, allowMissingColumns=True)
+def newest_memories(rows: DataFrame, version: str = "version") -> DataFrame:
+    """One row per (kind, source_ref): the newest version wins, but ``id``, ``incident_id`` and ``created_at`` stay those
+    of the row created first."""
     key = ["kind", "source_ref"]
     kept = ["id", "incident_id", "created_at"]
-    rest = [c for c in u.columns if c not in key + kept + [version]]
-    return u.groupBy(*key).agg(
-        *[F.min_by(c, version).alias(c) for c in kept],
-        *[F.max_by(c, version).alias(c) for c in rest],
+    rest = [c for c in rows.columns if c not in key + kept + [version]]
+    first = F.struct("created_at", version)
+    return rows.groupBy(*key).agg(
+        F.min_by(F.struct(*kept), first).alias("__first"), F.max_by(F.struct(F.lit(1).alias("__"), *rest), version).alias("__last"),
         F.max(version).alias(version),
-    )
+    ).select(*key, "__first.*", *(F.col(f"__last.{c}").alias(c) for c in rest), version)
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, version: str = "version") -> DataFrame:
+    """Upsert by (kind, source_ref), see ``newest_memories``; ``vigil.sources.state.upsert_memory`` does it to a stored table."""
+    return newest_memories(existing.unionByName(incoming, allowMissingColumns=True), version)
 
 
 def dim_check(vectors: DataFrame, dim: int, col: str = "embedding") -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vigil.config import replay_params
 from vigil.functions.text import sql_trim_ws
 from vigil.operators import memory as SM
 from vigil.plans.registry import register
-from vigil.session import stored
+from vigil.session import ensure_checkpoint_dir, stored
+from vigil.sources import state as ST
+from vigil.sources import store
 from vigil.sources import testdata as T
 
 P = replay_params(embedding_dim=64)
@@ -196,22 +200,28 @@ def q_embedding_dim_check(spark, sf):
 @register(
     "memory_upsert",
     sql=f"""WITH {T.SQL_MEMORY},
-u AS (SELECT id, kind, 'r-' || CAST(vec_id % 100 AS VARCHAR) AS source_ref, incident_id, category, vec_id AS version
+u AS (SELECT id, kind, 'r-' || CAST(vec_id % 100 AS VARCHAR) AS source_ref, incident_id, category, vec_id AS version,
+  TIMESTAMP '2024-01-01 00:00:00' + to_seconds(vec_id) AS written_at
   FROM mem JOIN embeddings ON mem.id = 'mem-' || CAST(embeddings.vec_id AS VARCHAR))
 SELECT kind, source_ref, arg_min(id, version) AS id, arg_min(incident_id, version) AS incident_id,
-  arg_max(category, version) AS category, max(version) AS version FROM u GROUP BY kind, source_ref""",
+  arg_max(category, version) AS category, max(version) AS version, min(written_at) AS created_at, max(written_at) AS updated_at
+FROM u GROUP BY kind, source_ref""",
 )
 def q_memory_upsert(spark, sf):
-    """Every memory row is a write to (kind, 'r-' || vec_id % 100): later
-    versions overwrite, id / incident_id stay those of the first write."""
+    """Every memory row is a write to (kind, 'r-' || vec_id % 100). The first half of them (by version) is stored; the rest
+    is upserted into that table: later versions overwrite, id, incident_id and creation time stay those of the first write."""
     e = T.read(spark, sf, "embeddings").select(F.concat(F.lit("mem-"), F.col("vec_id").cast("string")).alias("id"), "vec_id")
+    at = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("vec_id"))
     u = T.memory(spark, sf).join(e, "id").select(
         "id", "kind", F.concat(F.lit("r-"), (F.col("vec_id") % 100).cast("string")).alias("source_ref"),
-        "incident_id", "category", F.col("vec_id").alias("version"),
+        "incident_id", "category", F.col("vec_id").alias("version"), at.alias("created_at"), at.alias("updated_at"),
     )
-    empty = u.limit(0).withColumn("created_at", F.lit(None).cast("timestamp"))
-    out = SM.upsert(empty, u.withColumn("created_at", F.lit(None).cast("timestamp")))
-    return out.select("kind", "source_ref", "id", "incident_id", "category", "version")
+    half = e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY vec_id)").alias("half"))  # one row
+    path = f"{ensure_checkpoint_dir(spark)}/vigil/semantic-memory-{uuid.uuid4().hex}"
+    for stored_before in (True, False):
+        of_half = F.col("version") <= F.col("half")
+        ST.upsert_memory(path, u.crossJoin(half).filter(of_half if stored_before else ~of_half).drop("half"))
+    return store.read(spark, path, u.schema).drop(store.BUCKET)
 
 
 @register(

@@ -5,6 +5,7 @@ incident memory text (SM6, SM10), memory vs limit (M13), partial snapshots
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -19,8 +20,10 @@ from vigil.plans import replay as R
 from vigil.plans.q_detect import CAND_SQL_OUT, cand_view, sql_pipeline
 from vigil.plans.q_reports import SQL_CHECK
 from vigil.plans.registry import register
+from vigil.session import ensure_checkpoint_dir
 from vigil.sources import k8sdata as KD
 from vigil.sources import orderdata as O
+from vigil.sources import state as ST
 from vigil.sources import testdata as T
 
 P = replay_params()
@@ -240,17 +243,27 @@ def q_detect_partial(spark, sf):
     return cand_view(cands, title=False)
 
 
+UNREACHABLE = "namespace = 'staging' AND snapshot_ts >= TIMESTAMP '2024-01-21 00:00:00'"
+
+
 @register(
     "state_upsert",
-    sql="WITH " + T.sql_pod_snapshots() + """
-SELECT namespace, pod, restart_count FROM pods WHERE (namespace, snapshot_ts) IN (SELECT namespace, max(snapshot_ts) FROM pods GROUP BY namespace)""",
+    sql="WITH " + T.sql_pod_snapshots() + f""",
+seen AS (SELECT * FROM pods WHERE NOT ({UNREACHABLE}))
+SELECT namespace, pod, restart_count, snapshot_ts AS pass_ts FROM seen
+WHERE (namespace, snapshot_ts) IN (SELECT namespace, max(snapshot_ts) FROM seen GROUP BY namespace)""",
 )
 def q_state_upsert(spark, sf):
-    """The stored restart map per namespace after the replay = the
-    counts of its last non-empty pass."""
-    p = T.pod_snapshots(spark, sf)
-    last = p.groupBy("namespace").agg(F.max("snapshot_ts").alias("snapshot_ts"))
-    return p.join(last, ["namespace", "snapshot_ts"]).select("namespace", "pod", "restart_count")
+    """The stored restart counts after three runs of passes and one that saw no pod at all; one namespace is not seen in
+    the last run, so its counts stay those of the run before."""
+    p = T.pod_snapshots(spark, sf).filter(~F.expr(UNREACHABLE)).select(
+        "namespace", "pod", "restart_count", F.col("snapshot_ts").cast("timestamp").alias("pass_ts"))
+    path = f"{ensure_checkpoint_dir(spark)}/vigil/restart-counts-{uuid.uuid4().hex}"
+    run = F.floor((F.dayofmonth("pass_ts") - 1) / 10)
+    for k in range(3):
+        ST.save_restart_counts(path, p.filter(run == k if k < 2 else run >= k))
+    ST.save_restart_counts(path, p.filter("false"))
+    return ST.restart_counts(spark, path)
 
 
 def _sql_k8s_bundle() -> str:
