@@ -242,9 +242,9 @@ def bundle(moments: DataFrame, src: BundleSources, params: Params, max_log_sampl
         return _at_pass(m, src.metrics, "observed_at")
 
     def signatures():
-        s = logs.error_signatures(src.logs, params, top=params.max_signatures, by_workload=True)
-        keys = s.join(m.select("namespace", "workload", F.col("moment_ts").alias("pass_ts")).distinct(), ["namespace", "workload", "pass_ts"], "left_semi")
-        return _at_pass(m, logs.signature_evidence(keys), "pass_ts")
+        asked = m.select("namespace", F.col("workload").alias("container"), F.col("moment_ts").alias("pass_ts"))
+        s = logs.error_signatures(src.logs, params, top=params.max_signatures, by_workload=True, passes=asked)
+        return _at_pass(m, logs.signature_evidence(s), "pass_ts")
 
     def lines():
         stored = src.logs.filter(F.col("level") == "error").withColumn("workload", F.col("container"))

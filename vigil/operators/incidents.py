@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from vigil.config import Params
 from vigil.functions import ids
 from vigil.operators.detect import severity_name
-from vigil.operators.windows import epoch_seconds
+from vigil.operators.windows import epoch_seconds, running_sum
 
 # Incident states and the allowed transitions between them.
 STATES = ["Candidate", "Triaging", "Investigating", "Reported", "Ignored", "Inconclusive", "Failed", "Recovered"]
@@ -181,6 +181,23 @@ def cluster_status(inc: DataFrame, queue: DataFrame) -> DataFrame:
     return by_state.withColumnRenamed("total", "open_incidents").crossJoin(depth)  # one row each
 
 
+def open_at(inc: DataFrame, moments: DataFrame, at: str = "moment_ts") -> DataFrame:
+    """``moments`` (namespace, ``at``, ...) with ``open_incidents``: those of the namespace detected by then and not recovered.
+
+    A sweep over time: +1 at a detection, -1 at a recovery, summed up to each
+    moment in two levels (hours, then within the hour), so incidents and
+    moments never meet as pairs and no task holds a whole namespace.
+    """
+    def steps(ts: str, delta: int) -> DataFrame:
+        return inc.filter(F.col(ts).isNotNull()).select("namespace", F.col(ts).cast("timestamp").alias("__at"), F.lit(delta).alias("__delta"))
+
+    asked = moments.select("namespace", F.col(at).cast("timestamp").alias("__at"), F.lit(0).alias("__delta"), F.struct(*moments.columns).alias("__moment"))
+    both = steps("first_detected_at", 1).unionByName(steps("recovered_at", -1)).unionByName(asked, allowMissingColumns=True)
+    both = both.withColumn("__asked", F.col("__moment").isNotNull())  # a moment comes after the steps of its instant
+    swept = running_sum(both, ["namespace"], ["__at", "__asked"], "__delta", "open_incidents", ts="__at")
+    return swept.filter("__asked").select("__moment.*", F.col("open_incidents").cast("bigint").alias("open_incidents"))
+
+
 def open_digest(inc: DataFrame, top: int = 10) -> DataFrame:
     """The first ``top`` of the open incidents, oldest first."""
     line = F.format_string("[%s] %s: %s", F.col("severity"), F.col("category"), F.col("title"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from vigil.config import Params
 from vigil.functions import ids, text
 from vigil.functions.ids import SOURCE_LOGS
 from vigil.operators.windows import expand_to_passes, slide_bucket
+from vigil.session import stored
 
 # The closed set of log levels.
 LEVELS = ["trace", "debug", "info", "warn", "error", "fatal"]
@@ -88,7 +90,7 @@ def level_name(framework_level) -> Column:
 def _json_string(v: Column, field: str) -> Column:
     """A JSON field only when it is a string (numbers etc. are ignored)."""
     item = F.try_variant_get(v, f"$.{field}", "variant")
-    return F.when(F.schema_of_variant(item) == F.lit("STRING"), F.try_variant_get(v, f"$.{field}", "string"))
+    return F.when(F.schema_of_variant(item) == F.lit("STRING"), item.cast("string"))
 
 
 def enrich(raw: DataFrame, line: str = "line", labels: str = "labels") -> DataFrame:
@@ -103,12 +105,9 @@ def enrich(raw: DataFrame, line: str = "line", labels: str = "labels") -> DataFr
     is_obj = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT")
     d = raw.withColumn("__v", F.when(is_obj, v))
     jv = F.col("__v")
-    suffix_parts = [
-        F.when(_json_string(jv, "operation").isNotNull(), F.concat(F.lit("operation="), _json_string(jv, "operation"))),
-        F.when(_json_string(jv, "dependency").isNotNull(), F.concat(F.lit("dependency="), _json_string(jv, "dependency"))),
-        F.when(_json_string(jv, "correlationId").isNotNull(), F.concat(F.lit("correlationId="), _json_string(jv, "correlationId"))),
-        F.when(_json_string(jv, "errorMessage").isNotNull(), F.concat(F.lit("error="), _json_string(jv, "errorMessage"))),
-    ]
+    # a field that is missing makes its part null, and concat_ws leaves nulls out
+    suffix_parts = [F.concat(F.lit(f"{name}="), _json_string(jv, field)) for name, field in (
+        ("operation", "operation"), ("dependency", "dependency"), ("correlationId", "correlationId"), ("error", "errorMessage"))]
     suffix = F.concat_ws(", ", *suffix_parts)
     base_msg = F.coalesce(_json_string(jv, "msg"), F.col(line))
     message = F.when(jv.isNull(), F.col(line)).when(suffix == "", base_msg).otherwise(
@@ -243,51 +242,50 @@ def around(moments: DataFrame, logs: DataFrame, before_s: int, after_s: int, lim
 
 # --- signatures -------------------------------------------------------------------
 
-def error_signatures(logs: DataFrame, params: Params, top: int | None = None, by_workload: bool = False) -> DataFrame:
+def error_signatures(logs: DataFrame, params: Params, top: int | None = None, by_workload: bool = False,
+                     passes: DataFrame | None = None) -> DataFrame:
     """Repeated error/warn signatures per (namespace, pass), or per (namespace,
     workload, pass); with ``top``, the most frequent ones only (a listing:
-    rules take them all).
-
-    Grouped by the hash of the normalised enriched message across workloads; workload and level come from
-    the newest line of the group (ties: larger pod). Distinct pods counts a
-    NULL pod as one value. Rows are pre-aggregated per (slide bucket, hash,
-    pod) before the sliding expansion, so the expansion never touches raw
-    lines and a hot signature is already reduced map-side.
+    rules take them all); with ``passes`` (namespace, [container,] pass_ts) those passes only.
+
+    Grouped by the hash of the normalised enriched message across workloads; workload, level and text come from
+    the newest line of the group (ties: larger pod, larger message). Distinct pods counts a
+    NULL pod as one value. Only numbers are aggregated: rows are counted per
+    (slide bucket, hash, pod), which is written to the shared folder, expanded and
+    summed per pass. The newest lines' texts are fetched for the signatures that are left,
+    from the lines that have their namespace and instant.
     """
-    workload, message = "container", "message"
-    lines = messages(logs).filter(F.col("level").isin("error", "warn"))
-    lines = lines.withColumn("__norm", text.normalise(F.col(message)))
-    lines = lines.withColumn("signature_hash", text.signature_hash("__norm"))
-    sample = F.struct(F.col("level").alias("level"), F.col(workload).alias("workload"), F.col("__norm").alias("normalised"))
     scope = ["namespace", "container"] if by_workload else ["namespace"]
-    parts = lines.groupBy(
-        *scope, "signature_hash", "pod", slide_bucket("ts", params.slide_seconds).alias("__bucket")
-    ).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.min("ts").alias("__first"),
-        F.max("ts").alias("__last"),
-        F.max_by(sample, F.struct("ts", F.col(message))).alias("__sample"),
-        F.max(F.struct("ts", F.col(message))).alias("__key"),
-    )
-    w = expand_to_passes(parts, "__bucket", params)
-    agg = w.groupBy(*scope, "window_start", "pass_ts", "signature_hash").agg(
+    # a stored level decides, so lines that have another one need no parsing
+    logs = logs.filter(F.col("level").isNull() | F.col("level").isin("error", "warn"))
+
+    def signed(raw: DataFrame) -> DataFrame:
+        lines = messages(raw).filter(F.col("level").isin("error", "warn")).withColumn("normalised", text.normalise(F.col("message")))
+        return lines.withColumn("signature_hash", text.signature_hash("normalised"))
+
+    parts = signed(logs).groupBy(*scope, "signature_hash", "pod", slide_bucket("ts", params.slide_seconds).alias("__bucket")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("ts").alias("__first"), F.max("ts").alias("__last"))
+    w = expand_to_passes(stored(parts, "signature-counts"), "__bucket", params)
+    if passes is not None:
+        w = w.join(passes.select(*scope, "pass_ts").distinct(), [*scope, "pass_ts"], "left_semi")
+    out = w.groupBy(*scope, "window_start", "pass_ts", "signature_hash").agg(
         F.sum("__n").alias("occurrences"),
         F.min("__first").alias("first_seen"),
         F.max("__last").alias("last_seen"),
         (F.count_distinct("pod") + F.max(F.col("pod").isNull().cast("int"))).alias("distinct_pods"),
-        F.max_by("__sample", F.struct(F.col("__key.ts"), F.col("pod"), F.col("__key").getField(message))).alias("s"),
-    )
-    out = agg.select(
-        "namespace", "window_start", "pass_ts", "signature_hash", "occurrences", "first_seen", "last_seen",
-        "distinct_pods",
-        F.col("s.level").alias("level"),
-        F.col("s.workload").alias("workload"),
-        F.col("s.normalised").alias("normalised"),
     )
     if top is not None:
-        rw = Window.partitionBy("namespace", *(["workload"] if by_workload else []), "pass_ts").orderBy(F.col("occurrences").desc(), F.col("signature_hash"))
+        rw = Window.partitionBy(*scope, "pass_ts").orderBy(F.col("occurrences").desc(), F.col("signature_hash"))
         out = out.withColumn("rank", F.row_number().over(rw)).filter(F.col("rank") <= top).drop("rank")
-    return out
+
+    newest = out.select("namespace", F.col("last_seen").alias("ts")).distinct()
+    sample = F.struct("level", F.col("container").alias("workload"), "normalised")
+    samples = signed(logs.join(newest, ["namespace", "ts"], "left_semi")).groupBy(*scope, "signature_hash", F.col("ts").alias("last_seen")).agg(
+        F.max_by(sample, F.struct("pod", "message", "level", "container")).alias("s"))
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in (*scope, "signature_hash", "last_seen")]  # a container may be missing
+    return out.alias("o").join(samples.alias("n"), reduce(Column.__and__, same)).select(
+        *(f"o.{c}" for c in ("namespace", "window_start", "pass_ts", "signature_hash", "occurrences", "first_seen", "last_seen", "distinct_pods")),
+        F.col("n.s.level").alias("level"), F.col("n.s.workload").alias("workload"), F.col("n.s.normalised").alias("normalised"))
 
 
 def signature_evidence(sigs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from vigil.functions import text as X
 from vigil.functions.ids import KIND_PRIORITY, sql_evidence_id
 from vigil.operators import detect as D
 from vigil.operators import evidence as E
+from vigil.operators import incidents as I
 from vigil.operators import metrics as M
 from vigil.plans import q_cluster as QC
 from vigil.plans import replay as R
@@ -210,11 +211,9 @@ def q_cluster_health_facts(spark, sf):
     scope = F.concat(F.col("namespace"), F.lit("@"), F.date_format("moment_ts", "yyyy-MM-dd"))
     got, _ = E.bundle(d.withColumn("incident_id", F.concat(scope, F.lit("/"), F.col("workload"))), sources(spark, sf), P, HEALTH_LINES)
     got = got.withColumn("incident_id", F.substring_index("incident_id", "/", 1))
-    inc = R.incidents(spark, sf, P).select(F.col("namespace").alias("i_ns"), "first_detected_at", "recovered_at")
     scopes = d.select("namespace", "moment_ts", scope.alias("incident_id")).distinct()
-    live = scopes.join(inc, (F.col("namespace") == F.col("i_ns")) & (F.col("first_detected_at") <= F.col("moment_ts"))
-                       & (F.col("recovered_at").isNull() | (F.col("recovered_at") > F.col("moment_ts"))))
-    return E.cluster_health(got, live.groupBy("incident_id").agg(F.count(F.lit(1)).alias("n")), P.max_evidence_items)
+    live = I.open_at(R.incidents(spark, sf, P), scopes)
+    return E.cluster_health(got, live.select("incident_id", F.col("open_incidents").alias("n")), P.max_evidence_items)
 
 
 _SEC = ", ".join(f"('{k}', {i + 1}, '{h}')" for i, (k, h) in enumerate(E.DIGEST_SECTIONS))

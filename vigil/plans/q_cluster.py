@@ -18,12 +18,14 @@ from vigil.plans.registry import register
 from vigil.session import ensure_checkpoint_dir
 from vigil.sources import json_api as J
 from vigil.sources import k8sdata as KD
+from vigil.sources import retention as RT
 from vigil.sources import testdata as T
 from vigil.sources.cri import tail_cri
 from vigil.streaming import detection as S
 
 P = replay_params()
 SINCE = datetime(2024, 1, 5)
+DOCUMENT_LINES = 1000  # of a range-query document, on average
 
 SQL_POD_FACTS = "WITH " + T.sql_pod_snapshots() + """,
 pf AS (SELECT namespace, pod, snapshot_ts AS observed_at,
@@ -283,15 +285,19 @@ def q_src_metric_vector(spark, sf):
 SELECT namespace, container, level, make_timestamp(epoch_us(ts) // 1000 * 1000) AS ts, line FROM logs""",
 )
 def q_src_log_streams(spark, sf):
-    """Range-query documents per (namespace, container, day): streams by level
-    with [ns-epoch, line] pairs (plus a short pair that must be skipped)."""
-    lg = T.logs(spark, sf)
+    """Range-query documents of a (namespace, container, day): streams by level
+    with [ns-epoch, line] pairs (plus a short pair that must be skipped). Like a
+    query's limit, a document holds a bounded number of lines: a day of many
+    lines is dealt over as many documents as it takes."""
+    lg = T.logs(spark, sf).withColumn("day", F.date_trunc("day", "ts"))
+    sizes = lg.groupBy("namespace", "container", "day").agg(F.ceil(F.count(F.lit(1)) / F.lit(DOCUMENT_LINES)).alias("documents"))
+    lg = lg.join(sizes, ["namespace", "container", "day"]).withColumn("document", F.pmod(F.xxhash64("event_id"), F.col("documents")))
     pair = F.array((F.unix_micros("ts") * F.lit(1000)).cast("string"), F.col("line"))
-    streams = lg.groupBy("namespace", "container", F.date_trunc("day", "ts").alias("day"), "level").agg(
+    streams = lg.groupBy("namespace", "container", "day", "document", "level").agg(
         F.concat(F.collect_list(pair), F.array(F.array(F.lit("1")))).alias("values"))
     st = F.struct(F.create_map(F.lit("namespace"), F.col("namespace"), F.lit("container"), F.col("container"),
                                F.lit("level"), F.col("level")).alias("stream"), "values")
-    docs = streams.groupBy("namespace", "container", "day").agg(F.collect_list(st).alias("result")).select(
+    docs = streams.groupBy("namespace", "container", "day", "document").agg(F.collect_list(st).alias("result")).select(
         F.to_json(F.struct(F.lit("success").alias("status"), F.struct(F.col("result").alias("result")).alias("data"))).alias("doc"))
     e = docs.select(F.inline(J.parse_streams(F.col("doc"))))
     return e.select(F.col("labels")["namespace"].alias("namespace"), F.col("labels")["container"].alias("container"),
@@ -469,10 +475,25 @@ def q_relabel(spark, sf):
 
 @register(
     "retention",
-    sql="WITH " + T.sql_logs() + """
-SELECT event_id FROM logs WHERE ts >= (SELECT max(ts) FROM logs) - INTERVAL 168 HOUR""",
+    sql="WITH " + T.sql_logs() + f"""
+SELECT event_id FROM logs WHERE ts >= (SELECT max(ts) FROM logs) - INTERVAL {RT.LOG_HOURS} HOUR""",
 )
 def q_retention(spark, sf):
-    lg = T.logs(spark, sf)
-    last = lg.agg(F.max("ts")).scalar()
-    return lg.filter(F.col("ts") >= last - F.expr("INTERVAL 168 HOURS")).select("event_id")
+    """Logs stored by label; old days are expired, and what is read are the last 168 hours."""
+    path = _src_dir(spark, "retained-logs", sf)
+    J.write_logs_by_label(T.logs(spark, sf), path)
+    RT.expire(spark, path, RT.LOGS)
+    return RT.retained(spark.read.parquet(path), RT.LOGS).select("event_id")
+
+
+@register(
+    "retention_metrics",
+    sql="WITH " + T.sql_counter_samples() + f"""
+SELECT namespace, service, status_class, ts, value FROM counters WHERE ts >= (SELECT max(ts) FROM counters) - INTERVAL {RT.METRIC_HOURS} HOUR""",
+)
+def q_retention_metrics(spark, sf):
+    """Metric samples stored by hour, of which the last 6 are kept."""
+    path = _src_dir(spark, "retained-metrics", sf)
+    RT.write_partitioned(T.counter_samples(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), path, RT.METRICS)
+    RT.expire(spark, path, RT.METRICS)
+    return RT.retained(spark.read.parquet(path), RT.METRICS).select("namespace", "service", "status_class", "ts", "value")
