@@ -249,3 +249,37 @@ def test_service_metrics_of_a_window_that_ends_now(spark):
     rows = Tools(Sources(counters=cnt, requests=req, dep_calls=dep), replay_params(), "prod", t).service_metrics("api", 15).collect()
     assert len(rows) == 2 and {r.observed_at for r in rows} == {t}
     assert any("(27 requests)" in r.summary for r in rows)
+
+
+def test_source_that_fails_while_running_costs_only_itself(spark):
+    from dataclasses import replace
+
+    from pyspark.sql import Observation
+
+    from tests.conftest import SF0001
+    from vigil.config import replay_params
+    from vigil.operators import evidence as E
+    from vigil.plans import q_bundle as QB
+    from vigil.plans import replay as R
+
+    p = replay_params()
+    t = R.test_data_telemetry(spark, SF0001)
+    t.logs = t.logs.withColumn("pod", F.when(F.length("line") > 0, F.raise_error(F.lit("down")).cast("string")).otherwise(F.col("pod")))
+    snap = D.gathered(R.snapshot_from(t, p))
+    assert snap.unavailable_sources == ("loki",) and snap.signatures is None and snap.error_rate is not None
+    rules = {r.detection_rule for r in D.detect_all(snap, p)[0].select("detection_rule").distinct().collect()}
+    assert "pod-restarts" in rules and "repeated-error-signature" not in rules
+    seen = Observation("sources")
+    passes = snap.error_rate.select("namespace", "pass_ts").distinct()
+    rows = D.unavailable_by_pass(snap, passes, seen).collect()
+    assert all("loki" in r.unavailable_sources and "prometheus" not in r.unavailable_sources for r in rows)
+    assert seen.get["passes"] == len(rows) == seen.get["loki"] and seen.get["prometheus"] == 0 < seen.get["kubernetes"] < len(rows)
+    whole = D.gathered(R.build_snapshot(spark, SF0001, p))
+    assert whole.unavailable_sources == ()
+
+    src = QB.sources(spark, SF0001)
+    broken = replace(src, logs=t.logs)
+    moments = spark.createDataFrame([("i1", "prod", "svc-0", datetime(2024, 1, 20))], "incident_id string, namespace string, workload string, moment_ts timestamp")
+    got, failed = E.bundle(moments, broken, p)
+    assert {r.source.split(" (")[0] for r in failed.collect()} == {"log signatures", "error log samples"}
+    assert "LogSample" not in {r.kind for r in got.collect()}

@@ -105,3 +105,28 @@ def test_sql_tools_reject_bad_level(spark):
     q = "SELECT * FROM search_logs('prod', 'svc-0', {lvl}, NULL, 60, TIMESTAMP '2024-01-20 12:00:00')"
     assert spark.sql(q.format(lvl="'loud'")).count() == 0
     assert spark.sql(q.format(lvl="NULL")).count() > 0
+
+
+def test_tools_without_sources(spark):
+    """An absent source gives an empty result, from Python and from SQL; the sources that are there still answer."""
+    from vigil.plans.sql_tools import register_sql_tools
+
+    p = replay_params(embedding_dim=64)
+    none = Tools(Sources(), p, "prod", datetime(2024, 1, 20))
+    at, q = "TIMESTAMP '2024-01-20 00:00:00'", ", ".join(["0.1"] * 64)
+    calls = [none.search_logs("svc-0"), none.search_logs_around(datetime(2024, 1, 20), "svc-0"), none.pod_status("svc-0"), none.restart_history(),
+             none.kubernetes_events("svc-0"), none.deployment_status("svc-0"), none.service_metrics("svc-0"),
+             none.similar_incidents([0.1] * 64, None), none.runbooks([0.1] * 64, None)]
+    assert [c.count() for c in calls] == [0] * 9
+    with pytest.raises(L.QueryRejected):
+        none.search_logs("../etc")
+    register_sql_tools(spark, Sources(), p)
+    for call in (f"search_logs('prod', 'svc-0', NULL, NULL, 15, {at})", f"search_logs_around('prod', 'svc-0', {at}, 60, 60)", "pod_status('prod', NULL)",
+                 "restart_history('prod')", f"kubernetes_events('prod', 'svc-0', 30, {at})", "deployment_status('prod', 'svc-0')",
+                 f"service_metrics('prod', 'svc-0', {at})", f"similar_incidents(array({q}), NULL, NULL, 2.0)", f"runbooks(array({q}), NULL, 2.0)"):
+        assert spark.sql(f"SELECT * FROM {call}").count() == 0, call
+    src = Sources(counters=T.counter_samples(spark, SF0001), requests=T.requests(spark, SF0001))  # no dependency calls
+    rows = Tools(src, p, "prod", datetime(2024, 1, 20)).service_metrics("svc-0", minutes=60).collect()
+    assert {r.kind for r in rows} <= {"Metric"}
+    register_sql_tools(spark, src, p)
+    assert spark.sql(f"SELECT * FROM service_metrics('prod', 'svc-0', {at})").count() > 0

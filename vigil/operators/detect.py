@@ -7,15 +7,20 @@ throughout, so batch replay and streaming use the same plan.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from vigil.config import Params
 from vigil.functions import ids
+from vigil.session import stored
+
+log = logging.getLogger(__name__)
 
 # Incident categories, severities and precedence.
 HTTP_ERROR_RATE = "http_error_rate"
@@ -308,6 +313,49 @@ class Snapshot:
     unavailable_sources: tuple[str, ...] = ()
 
 
+# Names of the sources, and the inputs that come from each.
+SOURCE_INPUTS = {"prometheus": ("error_rate", "latency_p95", "dependency_failures"), "kubernetes": ("pods",), "loki": ("signatures",)}
+
+
+def gathered(snap: Snapshot) -> Snapshot:
+    """``snap`` with its inputs evaluated one after another into the shared folder.
+
+    A source that fails while it is read costs its own inputs only: they are
+    left out, so their rules do not fire, and its name joins ``unavailable_sources``.
+    """
+    out, failed = {}, list(snap.unavailable_sources)
+    for source, inputs in SOURCE_INPUTS.items():
+        for name in inputs:
+            df = getattr(snap, name)
+            try:
+                out[name] = None if df is None else stored(df, f"input-{name}")
+            except Exception as error:  # noqa: BLE001 - a failing source must not cost the others
+                log.warning("%s was unavailable: %s", source, error)
+                out[name] = None
+                failed.append(source)
+    return replace(snap, **out, unavailable_sources=tuple(dict.fromkeys(failed)))
+
+
+def unavailable_by_pass(snap: Snapshot, passes: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """``passes`` (namespace, pass_ts, ...) with ``unavailable_sources``: those that failed, and those of which no input has
+    a row in the pass. ``seen`` counts ``passes``, and per source those without it, as the rows go by."""
+    out = passes
+    flags = []
+    for source, inputs in SOURCE_INPUTS.items():
+        given = [getattr(snap, n).select("namespace", "pass_ts") for n in inputs if getattr(snap, n) is not None]
+        missing = F.lit(True)
+        if given and source not in snap.unavailable_sources:
+            here = reduce(DataFrame.unionByName, given).distinct().withColumn(f"__{source}", F.lit(True))
+            out = out.join(here, ["namespace", "pass_ts"], "left")
+            missing = F.col(f"__{source}").isNull()
+        flags.append((source, missing))
+    out = out.select(*passes.columns, F.array_compact(F.array(*(F.when(m, F.lit(s)) for s, m in flags))).alias("unavailable_sources"))
+    if seen is not None:
+        out = out.observe(seen, F.count(F.lit(1)).alias("passes"), *(
+            F.count_if(F.array_contains("unavailable_sources", s)).alias(s) for s in SOURCE_INPUTS))
+    return out
+
+
 RULES: dict[str, Callable[[Snapshot, Params], DataFrame | None]] = {
     "http-error-rate": lambda s, p: rule_http_error_rate(s.error_rate, p) if s.error_rate is not None else None,
     "request-latency": lambda s, p: rule_latency(s.latency_p95, s.error_rate, p)

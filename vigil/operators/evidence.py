@@ -17,6 +17,7 @@ from vigil.config import Params
 from vigil.functions.ids import KIND_PRIORITY, SOURCE_METRICS
 from vigil.operators import cluster, logs
 from vigil.operators.windows import expand_to_passes, slide_bucket
+from vigil.session import stored
 
 EPOCH = datetime(1970, 1, 1)
 log = logging.getLogger(__name__)
@@ -223,7 +224,7 @@ def bundle(moments: DataFrame, src: BundleSources, params: Params, max_log_sampl
     service's metrics of the pass, its error signatures, and its newest error
     lines. Text work (redaction, hashing) is done on what is left after the
     limits. The second result, (incident_id, source), names the families
-    whose source is missing or failed to plan; the others are still collected.
+    whose source is missing or failed, in planning or while it was read; the others are still collected.
     """
     samples = params.max_log_samples if max_log_samples is None else min(max_log_samples, params.max_log_samples)
     m = moments.select("incident_id", "namespace", "workload", "moment_ts")
@@ -260,7 +261,7 @@ def bundle(moments: DataFrame, src: BundleSources, params: Params, max_log_sampl
         try:
             if given is None:
                 raise ValueError("no such source")
-            parts.append(build().select(*BUNDLE_COLUMNS))
+            parts.append(stored(build().select(*BUNDLE_COLUMNS), "evidence"))  # read now: a source may fail while it is read
         except Exception as error:  # noqa: BLE001 - a failing source must not cost the others
             log.warning("%s left out of the bundles: %s", name, error)
             missing.append(f"{name} ({type(error).__name__})")

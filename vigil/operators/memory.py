@@ -294,6 +294,35 @@ def runbook_category(sections: DataFrame, file_col: str = "file_name") -> DataFr
     return sections.join(F.broadcast(m), file_col, "left")
 
 
+def incident_memories(incidents: DataFrame, reports: DataFrame) -> DataFrame:
+    """SM10: what is remembered of reported incidents: (kind, source_ref, incident_id, title, content, workload, category,
+    root_cause_category, severity, occurred_at).
+
+    ``incidents``: incident_id, title, category, affected_workloads, severity,
+    first_detected_at; ``reports``: incident_id, title, summary,
+    root_cause_category, likely_root_cause, impact, recommended_actions. An
+    incident without a report leaves no memory. The text names symptoms first, then the cause
+    found; a missing field is an empty text there.
+    """
+    r = reports.select("incident_id", *(F.col(c).alias(f"r_{c}") for c in (
+        "title", "summary", "root_cause_category", "likely_root_cause", "impact", "recommended_actions")))
+    j = incidents.join(r, "incident_id")
+
+    def text(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit(""))
+
+    # The labels of the remembered text.
+    content = F.concat(
+        F.lit("Incident: "), text("r_title"), F.lit("\nCategory: "), text("category"),
+        F.lit("\nAffected workloads: "), F.array_join("affected_workloads", ", "), F.lit("\nSeverity: "), text("severity"),
+        F.lit("\n\nSymptoms: "), text("title"), F.lit("\n"), text("r_summary"),
+        F.lit("\n\nRoot cause ("), text("r_root_cause_category"), F.lit("): "), text("r_likely_root_cause"),
+        F.lit("\n\nImpact: "), text("r_impact"), F.lit("\n\nResolution guidance: "), F.array_join("r_recommended_actions", " "))
+    return j.select(F.lit("incident").alias("kind"), F.col("incident_id").alias("source_ref"), "incident_id", F.col("r_title").alias("title"),
+                    content.alias("content"), F.get("affected_workloads", 0).alias("workload"), "category",
+                    F.col("r_root_cause_category").alias("root_cause_category"), "severity", F.col("first_detected_at").alias("occurred_at"))
+
+
 def content_hash(content) -> Column:
     from vigil.functions.text import trim_ws
 

@@ -302,3 +302,26 @@ def targets_up(up: DataFrame, at_least: int = 5) -> DataFrame:
     """Targets whose ``up`` sample is 1 at each pass (pass_ts, target, value), and whether they are enough."""
     n = F.count(F.when(F.col("value") == 1, 1))
     return up.groupBy("pass_ts").agg(n.alias("targets_up"), (n >= at_least).alias("ok"))
+
+
+CONTAINER = ["namespace", "pod", "container"]
+
+
+def memory_vs_limit(working_set: DataFrame, limits: DataFrame, params: Params) -> DataFrame:
+    """Working-set samples of containers against their memory limit.
+
+    Both are metric samples (namespace, pod, container, ts, value in bytes).
+    A sample is compared with the container's last limit at or before it,
+    within one window; limits that are not above 0 mean none, and samples without a limit are left out.
+    """
+    limit = limits.filter(F.col("value") > 0).select(*CONTAINER, "ts", F.lit(None).cast("double").alias("used"), F.col("value").cast("double").alias("limit"))
+    used = working_set.select(*CONTAINER, "ts", F.col("value").cast("double").alias("used"), F.lit(None).cast("double").alias("limit"))
+    # a limit counts in its own window and the one after it, so no task holds a container's whole history
+    window = F.floor(_seconds("ts") / F.lit(params.window_seconds))
+    both = used.withColumn("__w", window).unionByName(limit.select("*", F.explode(F.array(window, window + 1)).alias("__w")))
+    order = Window.partitionBy(*CONTAINER, "__w").orderBy("ts", F.col("limit").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("limit").isNotNull(), F.struct("ts", "limit")), ignorenulls=True).over(order)
+    j = both.withColumn("__last", last).filter(F.col("used").isNotNull() & F.col("__last").isNotNull())
+    recent = j.filter(_seconds("ts") - F.unix_micros(F.col("__last.ts").cast("timestamp")) / F.lit(1e6) <= params.window_seconds)
+    return recent.select(*CONTAINER, "ts", F.col("used").alias("working_set_bytes"), F.col("__last.limit").alias("limit_bytes"),
+                         (F.col("used") / F.col("__last.limit")).alias("ratio"))

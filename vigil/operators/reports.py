@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACTIVE = ["Pending", "Claimed"]
@@ -56,6 +56,58 @@ def agent_stats(execs: DataFrame) -> DataFrame:
     )
 
 
+def report_rows(reports: DataFrame, incidents: DataFrame, triage: DataFrame) -> DataFrame:
+    """Reports as they are stored, with their severity and workloads.
+
+    An incident's report (``reports``: report_id, kind, incident_id,
+    investigation_id, overall_status, workloads_reviewed, ...) takes both from
+    ``triage`` (incident_id, severity, affected_workloads) where there was one,
+    each by itself, else from ``incidents`` (the same columns). A cluster's report
+    links neither and has its own status and reviewed workloads.
+    """
+    def of(df: DataFrame, tag: str) -> DataFrame:
+        return df.select("incident_id", F.col("severity").alias(f"__{tag}_severity"), F.col("affected_workloads").alias(f"__{tag}_workloads"))
+
+    cluster = F.col("kind") == "cluster"
+    own = [c for c in reports.columns if c not in ("overall_status", "workloads_reviewed")]
+    linked = reports.withColumns({c: F.when(~cluster, F.col(c)) for c in ("incident_id", "investigation_id")})
+    j = linked.join(of(incidents, "i"), "incident_id", "left").join(of(triage, "t"), "incident_id", "left")
+    return j.select(*own, F.when(cluster, F.col("overall_status")).otherwise(F.coalesce("__t_severity", "__i_severity")).alias("severity"),
+                    F.when(cluster, F.col("workloads_reviewed")).otherwise(F.coalesce("__t_workloads", "__i_workloads")).alias("affected_workloads"))
+
+
+# Outcomes that are stored with the reason.
+WITH_REASON = ("Failed", "Inconclusive")
+
+
+def investigation_rows(investigations: DataFrame, executions: DataFrame, unavailable: DataFrame) -> DataFrame:
+    """One record per investigation.
+
+    ``investigations``: investigation_id, incident_id, final_state,
+    terminal_outcome (see ``grounding.final_state``); ``executions``:
+    investigation_id, agent, started_at, finished_at, tools, succeeded;
+    ``unavailable``: incident_id, source. The record says whether the evidence
+    was complete and what it lacked, gives a failure reason only for failed and
+    inconclusive ones, and lists the agents' executions in their order.
+    """
+    def millis(c: str) -> Column:
+        return F.unix_millis(F.col(c).cast("timestamp"))
+
+    run = F.struct("started_at", "agent", (millis("finished_at") - millis("started_at")).alias("duration_ms"),
+                   F.size("tools").alias("tool_calls"), "tools", "succeeded")
+    ex = executions.groupBy("investigation_id").agg(
+        F.sort_array(F.collect_list(run)).alias("executions"), F.min("started_at").alias("started_at"), F.max("finished_at").alias("completed_at"))
+    lacking = unavailable.groupBy("incident_id").agg(F.array_sort(F.collect_set("source")).alias("__lacking"))
+    j = investigations.join(ex, "investigation_id", "left").join(lacking, "incident_id", "left")
+    sources = F.coalesce("__lacking", F.array().cast("array<string>"))
+    return j.select(
+        "investigation_id", "incident_id", F.col("final_state").alias("state"), "started_at", "completed_at",
+        F.coalesce(millis("completed_at") - millis("started_at"), F.lit(0)).alias("duration_ms"),
+        F.when(F.col("final_state").isin(*WITH_REASON), F.col("terminal_outcome")).alias("failure_reason"),
+        (F.size(sources) == 0).alias("evidence_complete"), sources.alias("unavailable_sources"),
+        F.coalesce("executions", F.array().cast(ex.schema["executions"].dataType)).alias("executions"))
+
+
 # --- queue -----------------------------------------------------------------------
 
 def queue_depth(items: DataFrame) -> DataFrame:

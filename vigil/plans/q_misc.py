@@ -16,6 +16,8 @@ from vigil.operators import detect as D
 from vigil.operators import grounding as V
 from vigil.operators import incidents as I
 from vigil.operators import memory as SM
+from vigil.operators import metrics as M
+from vigil.operators import reports as RP
 from vigil.plans import replay as R
 from vigil.plans.q_detect import CAND_SQL_OUT, cand_view, sql_pipeline
 from vigil.plans.q_reports import SQL_CHECK
@@ -83,32 +85,38 @@ _PROPOSED = "CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH'
 _DETECTED = "CASE o_orderstatus WHEN 'F' THEN 'High' WHEN 'O' THEN 'Medium' ELSE 'Low' END"
 
 
+_RANKS = "['Low', 'Medium', 'High', 'Critical']"
+
+
 @register(
     "report_rows",
     sql="WITH " + O.SQL_REPORTS + f""",
 t AS (SELECT o_orderkey, {_PROPOSED} AS proposed, {_DETECTED} AS detected, 'svc-' || CAST(o_custkey % 8 AS VARCHAR) AS triage_wl,
-  'svc-' || CAST(o_orderkey % 8 AS VARCHAR) AS incident_wl FROM orders),
+  'svc-' || CAST(o_orderkey % 8 AS VARCHAR) AS incident_wl, o_totalprice > 150000 AS bad FROM orders),
 r AS (SELECT *, CASE WHEN regexp_full_match(lower(trim(coalesce(proposed, ''))), '[0-3]') THEN CAST(lower(trim(proposed)) AS INTEGER)
   ELSE coalesce(list_position(['low', 'medium', 'high', 'critical'], lower(trim(coalesce(proposed, '')))), 0) - 1 END AS p_rank,
-  list_position(['Low', 'Medium', 'High', 'Critical'], detected) - 1 AS d_rank FROM t)
+  list_position({_RANKS}, detected) - 1 AS d_rank FROM t)
 SELECT reports.report_id, reports.kind, reports.incident_id, reports.investigation_id,
-  CASE WHEN proposed IS NULL THEN detected ELSE ['Low', 'Medium', 'High', 'Critical'][(CASE WHEN p_rank >= 0 THEN greatest(p_rank, d_rank) ELSE d_rank END) + 1] END AS severity,
-  CASE WHEN proposed IS NULL THEN incident_wl ELSE triage_wl END AS workloads
+  CASE WHEN reports.kind = 'cluster' THEN CASE WHEN bad THEN 'Degraded' ELSE 'Healthy' END
+    WHEN proposed IS NULL THEN detected ELSE {_RANKS}[(CASE WHEN p_rank >= 0 THEN greatest(p_rank, d_rank) ELSE d_rank END) + 1] END AS severity,
+  CASE WHEN reports.kind = 'cluster' THEN incident_wl || ',' || triage_wl WHEN proposed IS NULL THEN incident_wl ELSE triage_wl END AS workloads
 FROM reports JOIN r ON reports.report_id = 'rep-' || CAST(r.o_orderkey AS VARCHAR)""",
 )
 def q_report_rows(spark, sf):
-    """Stored report rows; severity and workloads from triage when there
-    was one (priority '4-NOT SPECIFIED' = no triage), else from the incident;
-    cluster reports carry no links."""
-    o = T.read(spark, sf, "orders").select("o_orderkey", F.expr(_PROPOSED).alias("proposed"), F.expr(_DETECTED).alias("detected"),
-                                           F.concat(F.lit("svc-"), (F.col("o_custkey") % 8).cast("string")).alias("triage_wl"),
-                                           F.concat(F.lit("svc-"), (F.col("o_orderkey") % 8).cast("string")).alias("incident_wl"))
-    eff, _ = V.triage_floor("proposed", "detected")
-    t = o.select(F.concat(F.lit("rep-"), F.col("o_orderkey").cast("string")).alias("report_id"),
-                 F.when(F.col("proposed").isNull(), F.col("detected")).otherwise(eff).alias("severity"),
-                 F.when(F.col("proposed").isNull(), F.col("incident_wl")).otherwise(F.col("triage_wl")).alias("workloads"))
-    r = O.reports(spark, sf).select("report_id", "kind", "incident_id", "investigation_id")
-    return r.join(t, "report_id")
+    """Every order's report; an order of priority '4-NOT SPECIFIED' had no triage, one of status P is a cluster report."""
+    o = T.read(spark, sf, "orders")
+    own, seen = (F.concat(F.lit("svc-"), (F.col(c) % 8).cast("string")) for c in ("o_orderkey", "o_custkey"))
+    flat = o.select(F.concat(F.lit("inc-"), F.col("o_orderkey").cast("string")).alias("incident_id"), F.expr(_PROPOSED).alias("proposed"),
+                    F.expr(_DETECTED).alias("detected"), own.alias("own"), seen.alias("seen"))
+    incidents = flat.select("incident_id", F.col("detected").alias("severity"), F.array("own").alias("affected_workloads"))
+    floor, _ = V.triage_floor("proposed", "detected")
+    triage = flat.filter(F.col("proposed").isNotNull()).select("incident_id", floor.alias("severity"), F.array("seen").alias("affected_workloads"))
+    status = o.select(F.concat(F.lit("rep-"), F.col("o_orderkey").cast("string")).alias("report_id"),
+                      F.when(F.col("o_totalprice") > 150000, "Degraded").otherwise("Healthy").alias("overall_status"),
+                      F.array(own, seen).alias("workloads_reviewed"))
+    reports = O.reports(spark, sf).select("report_id", "kind", "incident_id", "investigation_id").join(status, "report_id")
+    r = RP.report_rows(reports, incidents, triage)
+    return r.select("report_id", "kind", "incident_id", "investigation_id", "severity", F.array_join("affected_workloads", ",").alias("workloads"))
 
 
 _FLAGS = """o_orderstatus = 'F' AND o_orderpriority = '5-LOW' AS recovered, o_orderkey % 11 <> 0 AS triage_ok,
@@ -127,27 +135,34 @@ st AS (SELECT fl.o_orderkey, CASE WHEN recovered THEN 'Recovered' WHEN NOT triag
   ELSE 'Reported' END AS final_state, coalesce(acc.n, 0) AS accepted FROM fl LEFT JOIN acc USING (o_orderkey))
 SELECT 'inv-' || CAST(st.o_orderkey AS VARCHAR) AS investigation_id, final_state,
   CASE WHEN final_state IN ('Failed', 'Inconclusive') THEN 1 ELSE 0 END AS has_failure_reason,
-  coalesce(epoch_ms(finished_at) - epoch_ms(started_at), 0) AS duration_ms FROM st LEFT JOIN ex USING (o_orderkey)""",
+  coalesce(epoch_ms(finished_at) - epoch_ms(started_at), 0) AS duration_ms,
+  st.o_orderkey % 5 <> 0 AND st.o_orderkey % 7 <> 0 AS evidence_complete,
+  concat_ws(',', CASE WHEN st.o_orderkey % 7 = 0 THEN 'kubernetes' END, CASE WHEN st.o_orderkey % 5 = 0 THEN 'loki' END) AS unavailable_sources,
+  coalesce(xs.executions, '') AS executions
+FROM st LEFT JOIN ex USING (o_orderkey) LEFT JOIN xs USING (o_orderkey)""".replace("st AS (SELECT fl.o_orderkey", """xs AS (SELECT l_orderkey AS o_orderkey,
+  string_agg(ag || ':' || CAST(ms AS VARCHAR) || ':' || CAST(calls AS VARCHAR), ',' ORDER BY l_shipdate, ag, ms, calls) AS executions
+  FROM (SELECT *, ['triage', 'investigation', 'report'][l_linenumber % 3 + 1] AS ag, CAST(l_quantity * 1000 AS BIGINT) AS ms,
+    CAST(l_quantity AS INTEGER) % 4 AS calls FROM lineitem) GROUP BY l_orderkey),
+st AS (SELECT fl.o_orderkey"""),
 )
 def q_investigation_rows(spark, sf):
-    """One record per investigation (here: per order): final state, a
-    failure reason only for Failed / Inconclusive, duration from the agent
-    executions."""
+    """One record per investigation (here: per order), with what the evidence lacked and the agents' executions."""
     o = T.read(spark, sf, "orders")
     h = V.ground_hypotheses(O.hypotheses(spark, sf), O.evidence(spark, sf))
     acc = h.select(F.col("position").alias("o_orderkey"), F.size("real_ids").alias("accepted"))
     flags = o.select("o_orderkey", *[F.expr(x.strip()) for x in _FLAGS.split(",")],
                      (F.col("o_totalprice") > 150000).alias("conclusive0"))
     j = flags.join(acc, "o_orderkey", "left").withColumn("accepted", F.coalesce("accepted", F.lit(0)))
-    j = j.withColumn("conclusive", F.col("conclusive0") & (F.col("accepted") > 0))
-    fs = V.final_state(j)
-    ex = O.executions(spark, sf).groupBy("investigation_id").agg(F.min("started_at").alias("s"), F.max("finished_at").alias("f"))
-    fs = fs.withColumn("investigation_id", F.concat(F.lit("inv-"), F.col("o_orderkey").cast("string"))).join(ex, "investigation_id", "left")
-    return fs.select(
-        "investigation_id", "final_state",
-        F.when(F.col("final_state").isin("Failed", "Inconclusive") & F.col("terminal_outcome").isNotNull(), 1).otherwise(0).alias("has_failure_reason"),
-        F.coalesce(F.unix_millis(F.col("f").cast("timestamp")) - F.unix_millis(F.col("s").cast("timestamp")), F.lit(0)).alias("duration_ms"),
-    )
+    key = F.col("o_orderkey").cast("string")
+    named = V.final_state(j.withColumn("conclusive", F.col("conclusive0") & (F.col("accepted") > 0))).withColumn(
+        "investigation_id", F.concat(F.lit("inv-"), key)).withColumn("incident_id", F.concat(F.lit("inc-"), key))
+    lacking = F.array_compact(F.array(*(F.when(F.col("o_orderkey") % n == 0, F.lit(s)) for s, n in (("loki", 5), ("kubernetes", 7)))))
+    unavailable = o.select(F.concat(F.lit("inc-"), key).alias("incident_id"), F.explode(lacking).alias("source"))
+    r = RP.investigation_rows(named, O.executions(spark, sf), unavailable)
+    one = F.transform("executions", lambda x: F.concat(x["agent"], F.lit(":"), x["duration_ms"].cast("string"), F.lit(":"), x["tool_calls"].cast("string")))
+    return r.select("investigation_id", F.col("state").alias("final_state"), F.col("failure_reason").isNotNull().cast("int").alias("has_failure_reason"),
+                    "duration_ms", "evidence_complete", F.array_join("unavailable_sources", ",").alias("unavailable_sources"),
+                    F.array_join(one, ",").alias("executions"))
 
 
 def _sql_memory_to_evidence() -> str:
@@ -178,69 +193,103 @@ def q_memory_to_evidence(spark, sf):
 
 @register(
     "incident_memory_text",
-    sql="""SELECT 'inc-' || CAST(o_orderkey AS VARCHAR) AS incident_id, concat_ws(chr(10),
-  'Incident: ' || o_orderpriority, 'Category: http_error_rate', 'Affected workloads: svc-' || CAST(o_custkey % 8 AS VARCHAR),
-  'Severity: High', '', 'Symptoms: order ' || CAST(o_orderkey AS VARCHAR), 'total (cents) ' || CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR),
-  '', 'Root cause (dependency_latency): ' || o_orderstatus, '', 'Impact: orders delayed', '',
-  'Resolution guidance: restart the dependency') AS content FROM orders WHERE o_orderstatus = 'F'""",
+    sql="WITH " + O.SQL_REPORTS + """
+SELECT r.incident_id, concat('Incident: ', r.title, chr(10), 'Category: ', ['http_error_rate', 'out_of_memory', 'dependency_latency'][o_custkey % 3 + 1],
+  chr(10), 'Affected workloads: svc-', o_custkey % 8, ', svc-', o_custkey % 5, chr(10), 'Severity: ', CASE o_orderstatus WHEN 'F' THEN 'High' ELSE 'Medium' END,
+  chr(10), chr(10), 'Symptoms: order ', o_orderkey, ' of customer ', o_custkey, chr(10), len(r.evidence_ids), ' item(s)', chr(10), chr(10),
+  'Root cause (', o_orderstatus, '): ', o_orderpriority, chr(10), chr(10), 'Impact: ', chr(10), chr(10),
+  'Resolution guidance: check ', r.evidence_ids[1], ' then close') AS content, 'svc-' || CAST(o_custkey % 8 AS VARCHAR) AS workload
+FROM reports r JOIN orders ON r.incident_id = 'inc-' || CAST(o_orderkey AS VARCHAR) WHERE len(r.evidence_ids) > 0""",
 )
 def q_incident_memory_text(spark, sf):
-    """SM10: the text embedded for a reported incident (orders with status F
-    stand for reported incidents; their report fields come from the order)."""
-    o = T.read(spark, sf, "orders").filter(F.col("o_orderstatus") == "F")
-    wl = F.array(F.concat(F.lit("svc-"), (F.col("o_custkey") % 8).cast("string")))
-    txt = F.concat_ws("\n",
-                      F.concat(F.lit("Incident: "), F.col("o_orderpriority")),
-                      F.concat(F.lit("Category: "), F.lit("http_error_rate")),
-                      F.concat(F.lit("Affected workloads: "), F.array_join(wl, ", ")),
-                      F.concat(F.lit("Severity: "), F.lit("High")),
-                      F.lit(""),
-                      F.concat(F.lit("Symptoms: order "), F.col("o_orderkey").cast("string")),
-                      F.concat(F.lit("total (cents) "), F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string")),
-                      F.lit(""),
-                      F.concat(F.lit("Root cause (dependency_latency): "), F.col("o_orderstatus")),
-                      F.lit(""),
-                      F.lit("Impact: orders delayed"),
-                      F.lit(""),
-                      F.lit("Resolution guidance: restart the dependency"))
-    return o.select(F.concat(F.lit("inc-"), F.col("o_orderkey").cast("string")).alias("incident_id"), txt.alias("content"))
+    """SM10 from the incidents (orders) and their reports; cluster reports and incidents without evidence leave no memory."""
+    o = T.read(spark, sf, "orders")
+    service = [F.concat(F.lit("svc-"), (F.col("o_custkey") % n).cast("string")) for n in (8, 5)]
+    incidents = o.select(
+        F.concat(F.lit("inc-"), F.col("o_orderkey").cast("string")).alias("incident_id"),
+        F.format_string("order %d of customer %d", "o_orderkey", "o_custkey").alias("title"),
+        F.get(F.array(*map(F.lit, ("http_error_rate", "out_of_memory", "dependency_latency"))), F.col("o_custkey") % 3).alias("category"),
+        F.array(*service).alias("affected_workloads"), F.when(F.col("o_orderstatus") == "F", "High").otherwise("Medium").alias("severity"),
+        F.col("o_orderdate").alias("first_detected_at"))
+    detail = o.select(F.concat(F.lit("rep-"), F.col("o_orderkey").cast("string")).alias("report_id"), F.col("o_orderstatus").alias("root_cause_category"),
+                      F.col("o_orderpriority").alias("likely_root_cause"), F.lit(None).cast("string").alias("impact"))
+    reports = O.reports(spark, sf).filter(F.col("incident_id").isNotNull() & (F.size("evidence_ids") > 0)).join(detail, "report_id")
+    reports = reports.withColumn("summary", F.format_string("%d item(s)", F.size("evidence_ids"))).withColumn(
+        "recommended_actions", F.array(F.concat(F.lit("check "), F.get("evidence_ids", 0)), F.lit("then close")))
+    return SM.incident_memories(incidents, reports).select("incident_id", "content", "workload")
 
 
 @register(
     "memory_vs_limit",
-    sql="WITH " + T.sql_events() + """
-SELECT namespace, 'pod-' || CAST(user_id AS VARCHAR) AS pod, ts, value * 1048576.0 AS working_set_bytes, CAST(268435456.0 AS DOUBLE) AS limit_bytes,
-  round(value * 1048576.0 / 268435456.0, 12) AS ratio FROM ev""",
+    sql="WITH " + T.sql_events() + f""",
+used AS (SELECT namespace, 'pod-' || CAST(user_id AS VARCHAR) AS pod, CASE WHEN event_id % 2 = 0 THEN 'app' ELSE 'proxy' END AS container, ts,
+  value * 1048576.0 AS value FROM ev),
+lim AS (SELECT namespace, 'pod-' || CAST(user_id AS VARCHAR) AS pod, CASE WHEN event_id % 3 = 0 THEN 'app' ELSE 'proxy' END AS container, ts,
+  CAST((event_id % 4) * 134217728 AS DOUBLE) AS value FROM ev WHERE event_id % 6 IN (0, 1)),
+one AS (SELECT namespace, pod, container, ts, max(value) AS value FROM lim GROUP BY ALL),
+j AS (SELECT u.*, l.ts AS limit_ts, l.value AS limit_bytes FROM used u ASOF JOIN (SELECT * FROM one WHERE value > 0) l
+  ON u.namespace = l.namespace AND u.pod = l.pod AND u.container = l.container AND u.ts >= l.ts)
+SELECT namespace, pod, container, ts, value AS working_set_bytes, limit_bytes, round(value / limit_bytes, 12) AS ratio FROM j
+WHERE epoch(ts) - epoch(limit_ts) <= {P.window_seconds}""",
 )
 def q_memory_vs_limit(spark, sf):
-    """Working-set samples (from events, MiB) joined with the pod's
-    memory limit from the pod objects (limit > 0), as a ratio."""
-    e = T._events(spark, sf, T.DEFAULT_SERVICES).select(
-        "namespace", F.concat(F.lit("pod-"), F.col("user_id").cast("string")).alias("pod"), "ts",
-        (F.col("value") * 1048576.0).alias("working_set_bytes"))
-    pods = K.pod_fields(KD.pods(spark, sf)).select("namespace", "pod", "memory_limit").distinct()
-    units = F.create_map(F.lit("Ki"), F.lit(1024.0), F.lit("Mi"), F.lit(1048576.0), F.lit("Gi"), F.lit(1073741824.0))
-    num = F.regexp_extract("memory_limit", r"^([0-9.]+)", 1).cast("double")
-    unit = F.regexp_extract("memory_limit", r"([A-Za-z]+)$", 1)
-    lim = pods.select("namespace", "pod", (num * F.coalesce(units[unit], F.lit(1.0))).alias("limit_bytes")).filter(F.col("limit_bytes") > 0)
-    j = e.join(lim, ["namespace", "pod"])
-    return j.select("namespace", "pod", "ts", "working_set_bytes", "limit_bytes",
-                    F.round(F.col("working_set_bytes") / F.col("limit_bytes"), 12).alias("ratio"))
+    """Working sets (from events, MiB) against the limit metric of the same container, as last reported within a window."""
+    e = T._events(spark, sf, T.DEFAULT_SERVICES).withColumn("pod", F.concat(F.lit("pod-"), F.col("user_id").cast("string")))
+
+    def by(n: int):
+        return F.when(F.col("event_id") % n == 0, "app").otherwise("proxy").alias("container")
+
+    used = e.select("namespace", "pod", by(2), "ts", (F.col("value") * 1048576.0).alias("value"))
+    limits = e.filter((F.col("event_id") % 6).isin(0, 1)).select(
+        "namespace", "pod", by(3), "ts", ((F.col("event_id") % 4) * 134217728).cast("double").alias("value"))
+    limits = limits.groupBy("namespace", "pod", "container", "ts").agg(F.max("value").alias("value"))
+    return M.memory_vs_limit(used, limits, P).withColumn("ratio", F.round("ratio", 12))
+
+
+_SQL_UNAVAILABLE = """,
+fam AS (SELECT 'prometheus' AS source, namespace, pass_ts FROM er UNION SELECT 'prometheus', namespace, pass_ts FROM p95
+  UNION SELECT 'prometheus', namespace, pass_ts FROM dfail UNION SELECT 'loki', namespace, pass_ts FROM sg),
+un AS (SELECT namespace, pass_ts, array_to_string(list_filter(['prometheus', 'kubernetes', 'loki'],
+  lambda s: s = 'kubernetes' OR NOT list_contains(list(source), s)), ',') AS unavailable_sources FROM fam GROUP BY namespace, pass_ts)"""
+
+
+def _without_pods(spark, sf):
+    """The inputs of every pass where reading the pods breaks off with an error in a task."""
+    t = R.test_data_telemetry(spark, sf)
+    broken = F.when(F.col("pod").isNotNull(), F.raise_error(F.lit("connection reset")).cast("int")).otherwise(F.col("restart_count"))
+    t.pods = t.pods.withColumn("restart_count", broken)
+    return D.gathered(R.snapshot_from(t, P))
 
 
 @register(
     "detect_partial",
-    sql="WITH " + sql_pipeline(P) + f"\nSELECT {CAND_SQL_OUT} FROM cand WHERE detection_rule NOT IN ('pod-restarts', 'readiness-failure')",
+    sql="WITH " + sql_pipeline(P) + _SQL_UNAVAILABLE + f"""
+SELECT {CAND_SQL_OUT}, unavailable_sources FROM cand JOIN un USING (namespace, pass_ts)
+WHERE detection_rule NOT IN ('pod-restarts', 'readiness-failure')""",
 )
 def q_detect_partial(spark, sf):
-    """The pod source is unavailable for this replay: its two rules are
-    skipped, the others still run, and the gap is reported."""
-    snap = R.build_snapshot(spark, sf, P)
-    snap = D.Snapshot(error_rate=snap.error_rate, latency_p95=snap.latency_p95, dependency_failures=snap.dependency_failures,
-                      pods=None, signatures=snap.signatures, unavailable_sources=("kubernetes",))
+    """The pod source fails while it is read: its two rules do not fire, the others do, and each pass says what it lacked."""
+    snap = _without_pods(spark, sf)
     cands, failed = D.detect_all(snap, P)
-    assert not failed
-    return cand_view(cands, title=False)
+    assert not failed and snap.unavailable_sources == ("kubernetes",)
+    lacking = D.unavailable_by_pass(snap, cands.select("namespace", "pass_ts").distinct())
+    view = cand_view(cands, title=False).join(lacking, ["namespace", "pass_ts"])
+    return view.withColumn("unavailable_sources", F.array_join("unavailable_sources", ","))
+
+
+@register(
+    "pass_sources",
+    sql="WITH " + sql_pipeline(P) + _SQL_UNAVAILABLE.replace("s = 'kubernetes' OR ", "").replace("UNION SELECT 'loki'", """UNION SELECT 'kubernetes', namespace, pass_ts FROM pp
+  UNION SELECT 'loki'""") + "\nSELECT namespace, pass_ts, unavailable_sources FROM un",
+)
+def q_pass_sources(spark, sf):
+    """What each pass lacked: a pod list comes once a day only, and at the edges of the history a window may hold no log."""
+    snap = R.build_snapshot(spark, sf, P)
+    every = [getattr(snap, n).select("namespace", "pass_ts") for inputs in D.SOURCE_INPUTS.values() for n in inputs]
+    passes = every[0]
+    for more in every[1:]:
+        passes = passes.unionByName(more)
+    return D.unavailable_by_pass(snap, passes.distinct()).withColumn("unavailable_sources", F.array_join("unavailable_sources", ","))
 
 
 UNREACHABLE = "namespace = 'staging' AND snapshot_ts >= TIMESTAMP '2024-01-21 00:00:00'"

@@ -61,7 +61,7 @@ class Telemetry:
 
 
 def snapshot_from(t: Telemetry, params: Params) -> D.Snapshot:
-    """Per-pass rule inputs for every pass at once (lazy)."""
+    """Per-pass rule inputs for every pass at once (lazy, but for the counts of signatures)."""
     either = {"requests": t.latency_buckets, "dep_calls": t.failure_counters}
     missing = tuple(n for n in ("counters", "requests", "dep_calls", "pods", "logs") if getattr(t, n) is None and either.get(n) is None)
     p95 = fails = None
@@ -77,12 +77,19 @@ def snapshot_from(t: Telemetry, params: Params) -> D.Snapshot:
     if t.counters is not None:
         tiebreak = "event_id" if "event_id" in t.counters.columns else None
         er = M.http_error_rate(M.increase(t.counters, SERIES, params, tiebreak=tiebreak))
+    signatures = None
+    if t.logs is not None:
+        try:
+            signatures = L.error_signatures(t.logs, params)  # counts them now, so the lines may turn out to be unreadable
+        except Exception as error:  # noqa: BLE001 - a failing source must not cost the others
+            log.warning("loki was unavailable: %s", error)
+            missing += ("loki",)
     return D.Snapshot(
         error_rate=er,
         latency_p95=p95,
         dependency_failures=fails,
         pods=D.restart_delta(t.pods) if t.pods is not None else None,
-        signatures=L.error_signatures(t.logs, params) if t.logs is not None else None,
+        signatures=signatures,
         unavailable_sources=missing,
     )
 

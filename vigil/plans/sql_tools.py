@@ -100,8 +100,22 @@ WHERE facet OR NOT strict ORDER BY distance, id LIMIT 5""",
 }
 
 
+# The columns of each view that the functions use; an absent source is an empty view.
+VIEWS = {
+    "vigil_logs": "ts timestamp, namespace string, container string, pod string, level string, line string, message string, event_id long",
+    "vigil_pod_status": "namespace string, workload string, pod string, phase string, ready boolean, restarts int, waiting_reason string, "
+                        "last_termination_reason string, last_terminated_at timestamp, summary string, evidence_id string",
+    "vigil_k8s_events": "namespace string, involved string, occurred_at timestamp, summary string, evidence_id string",
+    "vigil_deployments": "namespace string, deployment string, desired int, ready int, available int, updated int, summary string",
+    "vigil_metric_evidence": "namespace string, workload string, observed_at timestamp, evidence_id string, summary string",
+    "vigil_memory": "id string, kind string, incident_id string, source_ref string, workload string, category string, embedding array<double>",
+}
+
+
 def register_sql_tools(spark: SparkSession, src: Sources, params: Params, since: datetime | None = None) -> list[str]:
     """Create the views and the table functions; returns the function names."""
+    for name, schema in VIEWS.items():
+        spark.createDataFrame([], schema).createOrReplaceTempView(name)
     if src.logs is not None:
         lines = L.redacted(L.messages(src.logs))
         if "event_id" not in lines.columns:
@@ -114,12 +128,12 @@ def register_sql_tools(spark: SparkSession, src: Sources, params: Params, since:
         ev.createOrReplaceTempView("vigil_k8s_events")
     if src.deployments is not None:
         K.deployment_status(src.deployments).createOrReplaceTempView("vigil_deployments")
-    if src.counters is not None and src.requests is not None:
-        inc = M.increase(src.counters, ["namespace", "service", "status_class"], params)
-        me = E.service_metric_evidence(M.http_error_rate(inc), M.latency_p95(src.requests, params),
-                                       M.dependency_failures(src.dep_calls, params) if src.dep_calls is not None else None,
-                                       M.dependency_latency_p95(src.dep_calls, params) if src.dep_calls is not None else None,
-                                       params.window_minutes)
+    if src.counters is not None or src.requests is not None or src.dep_calls is not None:
+        calls, requests = src.dep_calls, src.requests
+        errors = None if src.counters is None else M.http_error_rate(M.increase(src.counters, ["namespace", "service", "status_class"], params))
+        me = E.service_metric_evidence(errors, None if requests is None else M.latency_p95(requests, params),
+                                       None if calls is None else M.dependency_failures(calls, params),
+                                       None if calls is None else M.dependency_latency_p95(calls, params), params.window_minutes)
         me.createOrReplaceTempView("vigil_metric_evidence")
     if src.memory is not None:
         src.memory.withColumn("embedding", F.col("embedding").cast("array<double>")).createOrReplaceTempView("vigil_memory")
