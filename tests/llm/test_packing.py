@@ -89,3 +89,49 @@ def test_crossover_injects_whole_bins_and_keeps_every_piece():
 
 def test_no_documents(none):
     assert packing.pack(none, packing.default_vocabulary()).count() == 0
+
+
+def islands_of(spark, run):
+    """What the islands of the packings that ``run`` makes did."""
+    import os
+
+    from vigil.llm.common import shared_dir
+
+    base = os.path.join(shared_dir(spark), "vigil")
+    before = set(os.listdir(base)) if os.path.exists(base) else set()
+    result = run()
+    new = [d for d in os.listdir(base) if d not in before and d.startswith("islands-")]
+    return result, [spark.read.parquet(os.path.join(base, d)) for d in new]
+
+
+def test_the_query_evolves_over_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    _, epochs = islands_of(spark, lambda: op5_best_fit_packing(spark, SF0001).collect())
+    assert len(epochs) >= 2
+    done = [e.agg(F.sum("crossovers"), F.sum("migrants"), F.count("*")).first() for e in epochs]
+    assert all(crossed == 4 * islands for crossed, _, islands in done)
+    assert sum(migrants for _, migrants, _ in done) > 0
+    items = spark.range(30_000).select(F.col("id").alias("item"), (F.col("id") * 7919 % 900 + 100).alias("length"))
+    rows, epochs = islands_of(spark, lambda: packing.group(items, 2048).collect())
+    assert len(rows) == 30_000
+    most = max(epochs, key=lambda e: e.count())
+    assert most.count() == 2 * 8 and most.select(F.input_file_name()).distinct().count() >= 4  # islands spread over tasks
+
+
+def test_crossover_decides_where_best_fit_misses_the_bound(monkeypatch):
+    """Triples that fill bins exactly: best fit needs more bins than evolution, and evolution without crossover too."""
+    rng = random.Random(11)
+    lengths = []
+    for _ in range(60):
+        a, b = rng.randint(25, 40), rng.randint(25, 40)
+        lengths += [a, b, 100 - a - b]
+    rng.shuffle(lengths)
+    fit = packing.Fit(100, [], lengths)
+    fit.place(sorted(range(len(lengths)), key=lambda x: -lengths[x]))
+    seen = {}
+    with_it = packing.evolve(lengths, [], 1, 100, 8, 1500, seen)
+    assert seen["crossovers"] == 1500 and seen["better"] > 0
+    monkeypatch.setattr(packing, "crossover", lambda rng, into, giver, lengths, capacity: [list(b) for b in into])
+    without = packing.evolve(lengths, [], 1, 100, 8, 1500)
+    assert len(with_it) < len(without) <= len(fit.bins) and len(fit.bins) > 60

@@ -10,8 +10,10 @@ island of its block by a join; each epoch is written to the shared folder.
 An individual is a grouping of a block's pieces into bins. Crossover injects
 whole well-filled bins of one parent into the other, removes the bins that
 held the same pieces, and places the displaced pieces by best fit. Fitness:
-fewer bins, then fuller ones (sum of squared fills). An island rests once its
-best is down to the lower bound. Bins that stay below ``settled`` of the
+fewer bins, then fuller ones (sum of squared fills). An island starts from
+groupings by differently shuffled orders and runs all its generations, also
+when it is down to the lower bound of bins: from there on its fuller bins
+leave fewer pieces for the next turn. Bins that stay below ``settled`` of the
 capacity are opened once more and their pieces meet in new blocks, so that a
 block's last bins cost little.
 
@@ -202,7 +204,7 @@ def fitness(bins: list[list[int]], lengths: list[int]) -> tuple[int, int]:
 def crossover(rng: random.Random, into: list[list[int]], giver: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     by_fill = sorted(giver, key=lambda b: -fill(b, lengths))
     well = by_fill[:max(1, len(by_fill) // 2)]
-    injected = rng.sample(well, rng.randint(1, len(well)))
+    injected = rng.sample(well, rng.randint(1, max(1, len(well) // 4)))
     inside = {x for b in injected for x in b}
     kept, displaced = [], []
     for b in into:
@@ -227,29 +229,30 @@ def mutate(rng: random.Random, bins: list[list[int]], lengths: list[int], capaci
     return fit.bins
 
 
-def evolve(lengths: list[int], immigrants: list[list[list[int]]], seed: int, capacity: int, population: int, generations: int) -> list[list[int]]:
-    """The best grouping that one island finds in an epoch."""
+def evolve(lengths: list[int], immigrants: list[list[list[int]]], seed: int, capacity: int, population: int, generations: int,
+           seen: dict | None = None) -> list[list[int]]:
+    """The best grouping that one island finds in an epoch. ``seen`` counts its crossovers, and the children that were
+    better than the best before them."""
     rng = random.Random(seed)
-    bound = -(-sum(lengths) // capacity)
     people = [[list(b) for b in x] for x in immigrants]
-    spread = 0.0 if not people else 0.1
+    spread = 0.0 if not people else 0.2
     while len(people) < population:
         order = sorted(range(len(lengths)), key=lambda x: -lengths[x] * rng.uniform(1 - spread, 1 + spread))
         fit = Fit(capacity, [], lengths)
         fit.place(order)
         people.append(fit.bins)
-        spread += 0.05
-        if len(fit.bins) <= bound:
-            return fit.bins
-    people.sort(key=lambda b: fitness(b, lengths), reverse=True)
+        spread += 0.2
+    ranked = sorted(((fitness(p, lengths), p) for p in people), key=lambda x: x[0], reverse=True)
+    seen = {} if seen is None else seen
     for _ in range(generations):
-        if len(people[0]) <= bound:
-            break
-        a, b = rng.sample(people[:max(2, population // 2)], 2)
+        (_, a), (_, b) = rng.sample(ranked[:max(2, population // 2)], 2)
         child = mutate(rng, crossover(rng, a, b, lengths, capacity), lengths, capacity)
-        people[-1] = child
-        people.sort(key=lambda b: fitness(b, lengths), reverse=True)
-    return people[0]
+        seen["crossovers"] = seen.get("crossovers", 0) + 1
+        scored = (fitness(child, lengths), child)
+        seen["better"] = seen.get("better", 0) + (scored[0] > ranked[0][0])
+        ranked[-1] = scored  # the worst makes room
+        ranked.sort(key=lambda x: x[0], reverse=True)
+    return ranked[0][1]
 
 
 def _as_numbers(bins: list[list[int]], n: int) -> np.ndarray:
@@ -265,30 +268,35 @@ def _as_bins(numbers: np.ndarray) -> list[list[int]]:
     return [x.tolist() for x in np.split(order, cuts)] if len(numbers) else []
 
 
-_ISLAND = "block long, island int, lengths array<int>, best array<int>, bins int, squares double"
+# crossovers, better, migrants: what an epoch did on an island
+_ISLAND = "block long, island int, lengths array<int>, best array<int>, bins int, squares double, crossovers int, better int, migrants int"
 
 
-def _epoch(islands: DataFrame, epoch: int, capacity: int, population: int, generations: int) -> DataFrame:
-    """Evolve every island: (block, island, lengths, best and the immigrants' groupings) to its new best."""
+def _epoch(islands: DataFrame, count: int, epoch: int, capacity: int, population: int, generations: int) -> DataFrame:
+    """Evolve every one of ``count`` islands: (block, island, lengths, best and the immigrants' groupings) to its new best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 lengths = row["lengths"]
                 start = [_as_bins(np.array(x, np.int32)) for x in row["immigrants"] or []]
-                best = evolve(lengths, start, hash((row["block"], row["island"], epoch)), capacity, population, generations)
+                seen = {"crossovers": 0, "better": 0}
+                best = evolve(lengths, start, hash((row["block"], row["island"], epoch)), capacity, population, generations, seen)
                 n, squares = fitness(best, lengths)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["block"]], pa.int64()), pa.array([row["island"]], pa.int32()),
                      pa.array([lengths], pa.list_(pa.int32())), pa.array([_as_numbers(best, len(lengths))], pa.list_(pa.int32())),
-                     pa.array([-n], pa.int32()), pa.array([float(squares)], pa.float64())],
-                    names=["block", "island", "lengths", "best", "bins", "squares"])
+                     pa.array([-n], pa.int32()), pa.array([float(squares)], pa.float64()), pa.array([seen["crossovers"]], pa.int32()),
+                     pa.array([seen["better"]], pa.int32()), pa.array([max(0, len(start) - 1)], pa.int32())],
+                    names=["block", "island", "lengths", "best", "bins", "squares", "crossovers", "better", "migrants"])
 
-    return stored(islands.repartition("block", "island").mapInArrow(run, _ISLAND), "islands")
+    # a number of its own: by bytes Spark would put all islands into one task
+    tasks = max(1, min(count, 8 * islands.sparkSession.sparkContext.defaultParallelism))
+    return stored(islands.repartition(tasks, "block", "island").mapInArrow(run, _ISLAND), "islands")
 
 
-def group(items: DataFrame, capacity: int, block_items: int = 4096, islands: int = 3, epochs: int = 2, population: int = 4,
-          generations: int = 6, settled: float = 0.97, seed: int = 1, passes: int = 2) -> DataFrame:
+def group(items: DataFrame, capacity: int, block_items: int = 4096, islands: int = 2, epochs: int = 2, population: int = 3,
+          generations: int = 4, settled: float = 0.97, seed: int = 1, passes: int = 2) -> DataFrame:
     """(item, sequence_id, offset) for (item long, length): ``item`` distinct, lengths from 1 to the capacity."""
     out = None
     for turn in range(passes):
@@ -301,12 +309,12 @@ def group(items: DataFrame, capacity: int, block_items: int = 4096, islands: int
             F.struct(F.col("length").cast("int").alias("length"), "item")), asc=False).alias("members")), "blocks")
         islet = members.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
                                F.col("members.length").alias("lengths"))
-        state = _epoch(islet.withColumn("immigrants", F.lit(None).cast("array<array<int>>")), 0, capacity, population, generations)
+        state = _epoch(islet.withColumn("immigrants", F.lit(None).cast("array<array<int>>")), blocks * islands, 0, capacity, population, generations)
         for epoch in range(1, epochs):
             guests = state.select("block", ((F.col("island") + 1) % islands).cast("int").alias("island"), F.col("best").alias("guest"))
             met = state.join(guests, ["block", "island"]).select(
                 "block", "island", "lengths", F.array("best", "guest").alias("immigrants"))
-            state = _epoch(met, epoch, capacity, population, generations)
+            state = _epoch(met, blocks * islands, epoch, capacity, population, generations)
         best = state.groupBy("block").agg(F.min(F.struct("bins", -F.col("squares"), "island", "best")).alias("one"))
         placed = stored(_places(best.select("block", "one.best").join(members, "block"), turn, passes), "places")
         last = turn == passes - 1
