@@ -92,3 +92,50 @@ def test_every_vector_is_indexed_once(planted):
 def test_no_vectors(planted):
     assert ann.search(ann.index(planted.limit(0)), planted.limit(0)).count() == 0
     assert ann.search(ann.index(planted.limit(0)), planted).count() == 0
+
+
+def shards_of(kind, n=16_384, dims=64, seed=3):
+    rng = np.random.default_rng(seed)
+    if kind == "gauss":
+        return rng.normal(size=(n, dims))
+    centres = rng.normal(size=(kind, dims))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = centres[rng.integers(0, kind, n)] + 0.02 * rng.normal(size=(n, dims))
+    x[rng.random(n) < 0.1] = x[0]  # a hot vector
+    return x
+
+
+@pytest.mark.parametrize("kind", [30, 60, 200, "gauss"])
+def test_recall_of_full_shards(spark, kind):
+    """Two shards or more of the production size; every 50th row is a query."""
+    x = shards_of(kind).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    index = ann.index(df)
+    assert index.select("shard").distinct().count() >= 2
+    found = by_query(ann.search(index, df.filter("vec_id % 50 = 0")))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits, none = 0, 0
+    asked = range(0, len(x), 50)
+    for q in asked:
+        s = np.round(unit @ unit[q], 12)
+        s[q] = -2
+        best = np.lexsort((np.arange(len(x)), -s))[:5]
+        hit = len({i for i, _ in found[q]} & set(best.tolist()))
+        hits, none = hits + hit, none + (hit == 0)
+    assert none == 0 and hits / (5 * len(asked)) >= 0.95
+
+
+def test_more_neighbours_than_the_index_keeps(planted):
+    index = ann.index(planted, graph=SMALL)
+    with pytest.raises(ValueError):
+        ann.search(index, planted, k=6)
+    found = by_query(ann.search(ann.index(planted, graph=SMALL, keep_ids=21), planted.filter("vec_id = 2000"), k=20))
+    assert [i for i, _ in found[2000]] == [0, *range(2001, 2020)]
+
+
+def test_squares_beyond_double_range(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e-200, 1e-201]), (3, [0.0, 5e-324]), (4, [-1e300, 1e299]), (5, [3.0, 0.3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = by_query(ann.search(ann.index(df), df))
+    assert [i for i, _ in found[2]] == [5, 1, 3, 4] and all(math.isfinite(s) for f in found.values() for _, s in f)
+    assert found[2][0][1] == pytest.approx(1.0, abs=1e-12)

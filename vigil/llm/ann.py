@@ -38,7 +38,7 @@ class Graph:
     build_beam: int = 64
     alpha: float = 1.2
     batch: int = 512
-    entries: int = 8          # start nodes of a search besides the central one
+    entries: int = 256        # start nodes of a search, each as far as can be from those before it
     shard_vectors: int = 8192
 
 
@@ -47,20 +47,23 @@ class Graph:
 def _search(unit: np.ndarray, near: np.ndarray, starts: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Beam search of all queries at once: (nodes, similarities), best first, padded with -1 and -inf.
 
-    Every round expands each query's best node that is not expanded yet, until
-    no node in its beam is left.
+    The beam begins with the start nodes nearest to the query. Every round
+    expands each query's best node that is not expanded yet, until no node in
+    its beam is left.
     """
     n = len(queries)
     rows = np.arange(n)
     seen = np.zeros((n, len(unit)), bool)
     starts = np.unique(starts)
-    width = max(beam, len(starts))
-    nodes = np.full((n, width), -1, np.int64)
-    sims = np.full((n, width), -np.inf, np.float32)
-    done = np.ones((n, width), bool)
-    nodes[:, :len(starts)] = starts
-    sims[:, :len(starts)] = queries @ unit[starts].T
-    done[:, :len(starts)] = False
+    nodes = np.full((n, beam), -1, np.int64)
+    sims = np.full((n, beam), -np.inf, np.float32)
+    done = np.ones((n, beam), bool)
+    first = queries @ unit[starts].T
+    kept = min(beam, len(starts))
+    best = np.argpartition(-first, kept - 1, axis=1)[:, :kept]
+    nodes[:, :kept] = starts[best]
+    sims[:, :kept] = np.take_along_axis(first, best, 1)
+    done[:, :kept] = False
     seen[:, starts] = True
     while True:
         best = np.where(done, -np.inf, sims).argmax(1)
@@ -78,7 +81,7 @@ def _search(unit: np.ndarray, near: np.ndarray, starts: np.ndarray, queries: np.
         all_nodes = np.concatenate([nodes[live], np.where(fresh, around, -1)], 1)
         all_sims = np.concatenate([sims[live], sim], 1)
         all_done = np.concatenate([done[live], ~fresh], 1)
-        order = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
+        order = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
         nodes[live] = np.take_along_axis(all_nodes, order, 1)
         sims[live] = np.take_along_axis(all_sims, order, 1)
         done[live] = np.take_along_axis(all_done, order, 1)
@@ -110,24 +113,37 @@ def _prune(unit: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree:
 
 
 def build(unit: np.ndarray, graph: Graph, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(neighbours of each node, padded with -1; start nodes)."""
+    """(neighbours of each node, padded with -1; start nodes).
+
+    The start nodes are inserted first. They lie in every part of the shard, so a search is not caught in a tight
+    cluster that its query does not belong to.
+    """
     n = len(unit)
     near = np.full((n, graph.degree), -1, np.int64)
-    order = np.random.default_rng(seed).permutation(n)
-    centre = int((unit @ unit.mean(0)).argmax())
-    order = np.concatenate([[centre], order[order != centre]])
-    start = np.array([centre])
+    starts = _spread(unit, graph.entries)
+    rest = np.random.default_rng(seed).permutation(n)
+    order = np.concatenate([starts, rest[~np.isin(rest, starts)]])
     at = 1
     while at < n:
         points = order[at:at + min(graph.batch, at)]
+        found, _ = _search(unit, near, order[:min(at, len(starts))], unit[points], graph.build_beam)
         at += len(points)
-        found, _ = _search(unit, near, start, unit[points], graph.build_beam)
         # points of one batch may be each other's neighbours too
         own = np.argpartition(-(unit[points] @ unit[points].T), min(8, len(points)) - 1, axis=1)[:, :8]
         near[points] = _prune(unit, points, _distinct(np.concatenate([found, points[own]], 1)), graph.degree, graph.alpha)
         _link_back(unit, near, points, graph)
-    spread = order[np.linspace(0, n - 1, min(n, graph.entries)).astype(int)]
-    return near, np.unique(np.concatenate([start, spread]))
+    return near, np.unique(starts)
+
+
+def _spread(unit: np.ndarray, count: int) -> np.ndarray:
+    """The most central vector, and then the one farthest from all chosen before it, ``count`` in all."""
+    chosen = [int((unit @ unit.mean(0)).argmax())]
+    closest = unit @ unit[chosen[0]]
+    while len(chosen) < min(count, len(unit)):
+        chosen.append(int(closest.argmin()))
+        closest = np.maximum(closest, unit @ unit[chosen[-1]])
+        closest[chosen] = np.inf
+    return np.array(chosen)
 
 
 def _distinct(candidates: np.ndarray) -> np.ndarray:
@@ -140,13 +156,14 @@ def _link_back(unit: np.ndarray, near: np.ndarray, points: np.ndarray, graph: Gr
     """Add the reverse of the points' edges; nodes with too many are pruned."""
     target, source = near[points].ravel(), np.repeat(points, graph.degree)
     source, target = source[target >= 0], target[target >= 0]
-    order = np.argsort(target, kind="stable")
+    sims = np.einsum("ed,ed->e", unit[source], unit[target])
+    order = np.lexsort((-sims, target))  # of a node's new edges the nearest first
     source, target = source[order], target[order]
     nodes, first, count = np.unique(target, return_index=True, return_counts=True)
     most = 4 * graph.degree
     for low in range(0, len(nodes), graph.batch):
         some, begin, size = nodes[low:low + graph.batch], first[low:low + graph.batch], count[low:low + graph.batch]
-        # of a hub's new edges, those beyond ``most`` stay one-way
+        # of a hub's new edges, those beyond the ``most`` nearest stay one-way
         column = np.arange(min(most, int(size.max())))
         index = begin[:, None] + column
         new = np.where(column < size[:, None], source[np.minimum(index, len(source) - 1)], -1)
@@ -174,15 +191,21 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
+def _vectors(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    """Scaled by a power of two each, which changes no cosine but keeps squares from overflowing or vanishing."""
+    x = _matrix(column, n)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None]) if n else x
+
+
 def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     norms = np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
     return (vectors / norms[:, None]).astype(np.float32), norms
 
 
 def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", keep_ids: int = 6, graph: Graph = Graph()) -> DataFrame:
-    """The graphs, written to the shared folder: (shard, dims, node, vector, ids, near, start).
+    """The graphs, written to the shared folder: (shard, dims, node, vector, ids, near, start, keep_ids).
 
-    ``ids``: the ``keep_ids`` smallest ids of the rows that hold the vector.
+    ``ids``: the ``keep_ids`` smallest ids of the rows that hold the vector; a search can return one less.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("hash", F.xxhash64("vector"))
@@ -196,7 +219,7 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     vector_type = vectors.schema[vector_col].dataType.simpleString()
 
     def run(shard: pa.Table) -> pa.Table:
-        unit, _ = _unit(_matrix(shard["vector"], shard.num_rows))
+        unit, _ = _unit(_vectors(shard["vector"], shard.num_rows))
         near, starts = build(unit, graph)
         is_start = np.zeros(len(unit), bool)
         is_start[starts] = True
@@ -206,12 +229,18 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     dealt = nodes.withColumn("shard", F.pmod(F.col("hash"), F.lit(shards)).cast("int")).select("shard", "dims", "vector", "ids")
     return stored(dealt.groupBy("shard", "dims").applyInArrow(
-        run, f"shard int, dims int, node int, vector {vector_type}, ids array<{id_type}>, near array<int>, start boolean"), "graph")
+        run, f"shard int, dims int, node int, vector {vector_type}, ids array<{id_type}>, near array<int>, start boolean").withColumn("keep_ids", F.lit(keep_ids)), "graph")
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
            beam: int = 128, block: int = 20_000) -> DataFrame:
-    """(query_id, rank, <id>, score): the ``k`` nearest found of each query, itself left out."""
+    """(query_id, rank, <id>, score): the ``k`` nearest found of each query, itself left out.
+
+    The index must have been made for that many: equal vectors carry ``keep_ids`` ids.
+    """
+    kept = graphs.agg(F.min("keep_ids")).first()[0]
+    if kept is not None and k >= kept:
+        raise ValueError(f"the index keeps {kept} ids of equal vectors, so it can return {kept - 1} of them, not {k}")
     asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("query"))
     asked = asked.filter(F.col("query_id").isNotNull() & usable(F.col("query"))).distinct()
     asked = asked.withColumn("dims", F.size("query")).withColumn("hash", F.xxhash64("query_id", "query"))
@@ -231,12 +260,12 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
                  "id": shard.schema.field("ids").type.value_type, "score": pa.float64()}
         if shard.num_rows and ask.num_rows:
             shard = shard.sort_by("node")
-            vectors = _matrix(shard["vector"], shard.num_rows)
+            vectors = _vectors(shard["vector"], shard.num_rows)
             unit, norms = _unit(vectors)
             near = _matrix(shard["near"], shard.num_rows).astype(np.int64)
             starts = np.flatnonzero(shard["start"].to_numpy())
             ids = shard["ids"].to_pylist()
-            wanted = _matrix(ask["query"], ask.num_rows)
+            wanted = _vectors(ask["query"], ask.num_rows)
             unit_wanted, norms_wanted = _unit(wanted)
             names, hashes = ask["query_id"].to_pylist(), ask["hash"].to_pylist()
             for low in range(0, len(wanted), 256):
