@@ -18,3 +18,11 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def none(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def clashing(spark):
+    """Odd texts under names that operators use themselves, and names with dots and backticks."""
+    rows = [(*r, 1, 2, 3, 4, 5, 6, "x", "y", 9) for r in ODD]
+    return spark.createDataFrame(rows, SCHEMA + ", _lines int, _removed int, _tokens int, _epoch int, _block int, _block_rank int, `a.b` string, "
+                                                "`c``d` string, doc int")

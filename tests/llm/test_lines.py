@@ -60,3 +60,14 @@ def test_near_threshold_lines_are_decided_exactly(spread, sites):
 
 def test_no_documents(none):
     assert lines.dedup(none).count() == 0
+
+
+def test_clashing_names_and_many_lines_gone(spark, clashing):
+    found = lines.dedup(clashing, min_sites=2)
+    assert found.columns == [*clashing.columns, "_lines_", "_removed_"]
+    plain = clashing.select("doc_id", "text", "source").collect()
+    assert sorted(((str(r.doc_id), r.text, r._lines_, r._removed_) for r in found.collect()), key=repr) == brute(plain, 2)
+    # a long text of which every other line goes
+    rows = [(i, "\n".join(f"shared {k % 7}" if k % 2 else f"own {i} {k}" for k in range(20_000)), f"s{i}", i) for i in range(4)]
+    long = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int")
+    assert got(lines.dedup(long, min_sites=3)) == brute(long.collect(), 3)

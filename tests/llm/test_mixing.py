@@ -40,7 +40,9 @@ def entropy(w):
 
 def bisect(ok, wants_small):
     low, high = 0.0, 1.0
-    for _ in range(40):
+    while wants_small and ok(high):
+        low, high = high, 2 * high
+    for _ in range(50):
         mid = (low + high) / 2
         if ok(mid) == wants_small:
             low = mid
@@ -55,7 +57,11 @@ def test_exponent_for_an_entropy(docs):
     a = bisect(lambda a: entropy(weights(size, a)) >= goal * math.log(len(size)), True)
     table = docs.sparkSession.createDataFrame(list(size.items()), "source string, tokens long")
     assert mixing.find_exponent(table, Target(entropy=goal)) == pytest.approx(a, abs=1e-6)
-    assert mixing.find_exponent(table, Target(entropy=0.01)) == 1.0
+    for goal in (0.01, 0.2, 0.3):  # less than the sources have: the exponent is above 1
+        a = bisect(lambda a: entropy(weights(size, a)) >= goal * math.log(len(size)), True)
+        assert a > 1 and mixing.find_exponent(table, Target(entropy=goal)) == pytest.approx(a, abs=1e-6)
+    alike = docs.sparkSession.createDataFrame([("a", 5), ("b", 5)], "source string, tokens long")
+    assert mixing.find_exponent(alike, Target(entropy=0.5)) == 1.0
 
 
 def test_exponent_for_a_repetition_limit(docs):
@@ -117,6 +123,21 @@ def test_equals_the_sql_form(docs):
     assert got == expected and len(got) > 500
 
 
+def test_a_target_below_what_the_sources_have(docs):
+    """The SQL form too; and rows without an id are spread over blocks by their texts."""
+    plain = docs.filter("doc_id IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL AND source <> 'empty'").dropDuplicates(["doc_id"]).cache()
+    con = duckdb.connect()
+    con.register("documents", plain.toPandas())
+    got = mixing.mix(plain, Target(entropy=0.2), block_docs=16).collect()
+    assert Counter(con.execute(mixing.oracle_sql(0.2, block_docs=16)).fetchall()) == Counter(
+        (r.doc_id, r.source, r._tokens, r._epoch, r._block, r._block_rank) for r in got)
+    assert {r.source for r in got if r._epoch > 0} == {"hot"}
+    spark = docs.sparkSession
+    rows = spark.createDataFrame([(None, f"text {i}", "s") for i in range(600)], "doc_id long, text string, source string")
+    blocks = Counter(r._block for r in mixing.mix(rows, Target(repetition=1.5, budget=None), block_docs=32).collect())
+    assert len(blocks) >= 15 and max(blocks.values()) < 100
+
+
 def test_odd_and_no_documents(odd, none):
     for target in (Target(entropy=0.9), Target(repetition=2.0, budget=None)):
         assert mixing.mix(none, target).count() == 0
@@ -128,3 +149,10 @@ def test_odd_and_no_documents(odd, none):
 def test_targets_are_checked(odd):
     with pytest.raises(ValueError):
         mixing.mix(odd, Target())
+
+
+def test_clashing_names(clashing):
+    mixed = mixing.mix(clashing, Target(repetition=2.0, budget=None))
+    assert mixed.columns == [*clashing.columns, "_tokens_", "_epoch_", "_block_", "_block_rank_"]
+    at = clashing.columns.index("a.b")
+    assert {(r.doc_id, r.text, r[at], r._tokens) for r in mixed.collect()} == {(r.doc_id, r.text, r[at], 3) for r in clashing.collect()}

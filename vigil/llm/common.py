@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import vigil
+from vigil.session import ensure_checkpoint_dir, stored  # noqa: F401  stored: for the operators
 
 # Functions sent to Python workers travel by value, so the executors need no
 # installed copy of this package.
@@ -21,27 +19,25 @@ BLANK = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share.
-
-    Where the setting is missing, a local session (tests) gets a folder of its
-    own; on a cluster that would lose rows, so there it is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="vigil-shared-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost
-    executor costs nothing. Each call has a folder of its own under ``<dir>/vigil/``."""
-    path = f"{shared_dir(df.sparkSession)}/vigil/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share (see ``vigil.session``)."""
+    return ensure_checkpoint_dir(spark)
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression: dots and backticks are part of it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def every_column(df: DataFrame) -> list[str]:
+    return [quoted(c) for c in df.columns]
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """``name`` for a column to add, with underscores behind it while the table has one of that name (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import stored
+from vigil.llm.common import quoted, stored, unused
 
 LOG_K = 10  # sketch size
 ERROR = 3 * 1.04 / 2 ** (LOG_K / 2)  # three standard errors of an estimate
@@ -42,8 +42,8 @@ def _line_hashes(text: Column) -> Column:
 
 def places(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """One row per line that holds something: id, site, text hash, line number and line hashes."""
-    found = docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.xxhash64(F.col(text_col)).alias("text_hash"),
-                        F.explode(_line_hashes(F.col(text_col))).alias("x"))
+    id_c, site, text = (F.col(quoted(c)) for c in (id_col, site_col, text_col))
+    found = docs.select(id_c.alias("id"), site.alias("site"), F.xxhash64(text).alias("text_hash"), F.explode(_line_hashes(text)).alias("x"))
     return found.select("id", "site", "text_hash", "x.line", "x.h1", "x.h2")
 
 
@@ -62,24 +62,28 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10) -> DataFrame:
-    """The documents with all their columns, the text without boilerplate lines; adds _lines and _removed (line counts)."""
+    """The documents with all their columns, the text without boilerplate lines; adds _lines and _removed (line counts;
+    the names get underscores behind them while the documents have such columns)."""
     lines = places(docs, id_col, text_col, site_col)
     known = stored(boilerplate(lines, min_sites), "boilerplate")
     gone = lines.join(known, ["h1", "h2"]).filter(
         ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line"))))
-    gone = gone.groupBy("id", "text_hash").agg(F.collect_set("line").alias("gone")).select(
+    gone = gone.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("gone")).select(
         F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "gone")
     # a document's own columns travel as one struct, so their names meet no others
-    whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                        F.xxhash64(F.col(text_col)).alias("text_hash"))
+    id_c, text_c = F.col(quoted(id_col)), F.col(quoted(text_col))
+    whole = docs.select(F.struct("*").alias("doc"), id_c.alias("id"), text_c.alias("text"), F.xxhash64(text_c).alias("text_hash"))
     met = whole.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     split = F.split("text", "\n", -1)
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    # the lines between one that goes and the next, in turn: one pass over the text, however many go
+    ends = F.concat("gone", F.array(F.size(split)))
+    between = F.transform(ends, lambda end, k: F.slice(split, F.coalesce(F.get("gone", k - 1), F.lit(-1)) + 2,
+                                                       end - F.coalesce(F.get("gone", k - 1), F.lit(-1)) - 1))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(between), "\n"))
     return met.select(
         *(text.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_removed"))
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias(unused("_lines", docs)),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(unused("_removed", docs)))
 
 
 def oracle_sql(min_sites: int = 10) -> str:

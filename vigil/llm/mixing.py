@@ -1,8 +1,9 @@
 """Mixing sources to target weights by temperature.
 
 A source's weight is its token share to the power of an exponent, normalised.
-The exponent (1: as found, 0: all sources alike) is bisected until the weights
-meet a target entropy, or until no source is repeated more than a limit. Each
+The exponent (1: as found, 0: all sources alike, above 1: large sources favoured) is
+bisected until the weights have a target entropy, or until no source is
+repeated more than a limit. Each
 job evaluates all midpoints of several bisection steps at once, as sums over
 the table of sources, so that table may be of any length.
 
@@ -30,19 +31,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import BLANK, stored
+from vigil.llm.common import BLANK, quoted, stored, unused
 
 STEPS = 6    # bisection steps evaluated per job
 ROUNDS = 5   # jobs: the exponent is found to 2 ** -30
 SLICES = 256
+STEEPEST = 1024  # the largest exponent tried
 
 
 @dataclass(frozen=True)
 class Target:
-    """``entropy``: least share (0 to 1) of the entropy of equal weights; ``repetition``: most epochs of any source.
+    """``entropy``: share (0 to 1) of the entropy of equal weights; ``repetition``: most epochs of any source.
 
-    The entropy is a lower bound: sources that have as much or more are left as found (exponent 1), not sharpened.
-    Of two exponents that meet it, the one nearer to 1 is taken. ``budget``:
+    The entropy is met from above: the exponent is the largest (to 2 ** -30 of its bracket) whose weights have that much or
+    more, up to ``STEEPEST``; sources that are all alike are left as found. ``budget``:
     tokens to realise, as a multiple of all tokens; None: as many as it takes
     for every source to have at least one whole epoch.
     """
@@ -66,12 +68,12 @@ def find_exponent(sources: DataFrame, target: Target) -> float:
     """Bisect the exponent over (source, tokens > 0)."""
     if (target.entropy is None) == (target.repetition is None):
         raise ValueError("give either a target entropy or a repetition limit")
-    total, n = sources.agg(F.sum("tokens"), F.count("*")).first()
+    total, n, largest = sources.agg(F.sum("tokens"), F.count("*"), F.max("tokens")).first()
     if not n or n == 1:
         return 1.0
 
     def met(points: list[float]) -> list[bool]:
-        share = F.col("tokens") / F.lit(float(total))
+        share = F.col("tokens") / F.lit(float(largest))  # of the largest source, so that no power of all of them vanishes
         weight = F.pow(share, F.col("a"))
         epochs = weight / share  # up to a factor common to all sources
         sums = sources.withColumn("a", F.explode(F.array(*map(F.lit, points)))).groupBy("a").agg(
@@ -81,17 +83,22 @@ def find_exponent(sources: DataFrame, target: Target) -> float:
         elif target.budget is None:
             ok = F.col("high") / F.col("low") <= target.repetition
         else:
-            ok = F.col("high") / F.col("z") * target.budget <= target.repetition
+            ok = F.col("high") / F.col("z") * F.lit(float(total) / float(largest)) * target.budget <= target.repetition
         found = {r["a"]: r["ok"] for r in sums.select("a", ok.alias("ok")).collect()}  # one row per midpoint
         return [found[p] for p in points]
 
     # more entropy wants a smaller exponent, less repetition a larger one
-    wants_small = target.entropy is not None
-    low, high = 0.0, 1.0
-    ends = met([low, high])
+    if target.entropy is not None:
+        points = [0.0, *(float(1 << k) for k in range(STEEPEST.bit_length()))]
+        ok = met(points)
+        last = max((k for k, good in enumerate(ok) if good), default=0)
+        if last == len(points) - 1:
+            return 1.0  # alike at every exponent
+        return _narrow(met, points[last], points[last + 1], True)
+    ends = met([0.0, 1.0])
     if ends[1]:
-        return 1.0 if wants_small else (0.0 if ends[0] else _narrow(met, low, high, wants_small))
-    return _narrow(met, low, high, wants_small) if ends[0] else (0.0 if wants_small else 1.0)
+        return 0.0 if ends[0] else _narrow(met, 0.0, 1.0, False)
+    return 1.0
 
 
 def _narrow(met, low: float, high: float, wants_small: bool) -> float:
@@ -134,20 +141,21 @@ def weights(sources: DataFrame, target: Target) -> DataFrame:
 def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         block_docs: int = 256, seed: int = 1) -> DataFrame:
     """A row per document and epoch it is taken in: all columns, and _tokens, _epoch, _block, _block_rank (place of the
-    block in the epoch's permutation of its source, from 0)."""
-    # the id may repeat, so the text takes part in where a document goes
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), document_tokens(F.col(text_col)).alias("tokens"),
-                        F.xxhash64(F.col(text_col)).alias("text_hash"))
-    sized = stored(sized, "sizes")
+    block in the epoch's permutation of its source, from 0; the names get underscores behind them while the documents have
+    such columns)."""
+    id_c, source_c, text_c = (F.col(quoted(c)) for c in (id_col, source_col, text_col))
+    # the id may repeat or be missing, so the text takes part in where a document goes
+    facts = [id_c.alias("id"), source_c.alias("source"), document_tokens(text_c).alias("tokens"), F.xxhash64(text_c).alias("text_hash"),
+             _unit(F.lit(seed), F.lit("block"), id_c, F.md5(text_c)).alias("deal")]
+    sized = stored(docs.select(*facts), "sizes")
     sources = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     plan = stored(weights(sources, target).withColumn("blocks", F.ceil(F.col("docs") / block_docs).cast("long")), "weights")
     plan = plan.select(F.col("source").alias("_source"), "epochs", "rest", "blocks")
 
-    def dealt(rows: DataFrame, key: str, source: str) -> DataFrame:
-        return rows.join(plan, F.col(source).eqNullSafe(F.col("_source"))).withColumn(
-            "_block", _unit(F.lit(seed), F.lit("block"), F.col(key)) % F.col("blocks"))
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_block", F.col("deal") % F.col("blocks"))
 
-    per_block = dealt(sized, "id", "source").groupBy("_source", "_block").agg(
+    per_block = dealt(sized).groupBy("_source", "_block").agg(
         F.sum("tokens").alias("tokens"), F.max("epochs").alias("epochs"), F.max("rest").alias("rest"))
     # every block in every epoch it can be in, in the order of that epoch
     orders = per_block.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
@@ -170,7 +178,7 @@ def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str =
         "_source", "_epoch", "_block", "_block_rank", "left"), "permutations")
 
     # the block in which a budget ends is spent document by document
-    ending = dealt(sized, "id", "source").select("id", "source", "tokens", "text_hash", "_block").join(
+    ending = dealt(sized).select("id", "source", "tokens", "text_hash", "_block").join(
         ranked.filter("left IS NOT NULL").withColumnRenamed("_block", "_b"),
         F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_b")))
     spending = Window.partitionBy("_source", "_b").orderBy("place", "id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
@@ -180,9 +188,7 @@ def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str =
     ending = ending.groupBy("_source", "_epoch", "_b", "_block_rank", "id", "text_hash").agg(F.count("*").alias("taken"))
 
     # a document's own columns travel as one struct, so their names meet no others
-    rows = dealt(docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                             document_tokens(F.col(text_col)).alias("tokens"), F.xxhash64(F.col(text_col)).alias("text_hash")),
-                 "id", "source").select("doc", "id", "source", "tokens", "text_hash", "_block")
+    rows = dealt(docs.select(F.struct("*").alias("doc"), *facts)).select("doc", "id", "source", "tokens", "text_hash", "_block")
     whole = ranked.filter("left IS NULL").groupBy("_source", "_block").agg(
         F.sort_array(F.collect_list(F.struct("_epoch", "_block_rank"))).alias("taken")).withColumnRenamed("_block", "_b")
     in_whole = rows.join(whole, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_b")))
@@ -194,30 +200,35 @@ def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str =
     in_last = in_last.withColumn("copy", F.row_number().over(
         Window.partitionBy("_source", "_b", "_id", "_hash").orderBy("_hash"))).filter("copy <= taken")
     taken = in_whole.unionByName(in_last.select("doc", "tokens", "_epoch", "_block", "_block_rank"))
-    return taken.select("doc.*", F.col("tokens").alias("_tokens"), "_epoch", "_block", "_block_rank")
+    added = {"_tokens": "tokens", "_epoch": "_epoch", "_block": "_block", "_block_rank": "_block_rank"}
+    return taken.select(*(F.col("doc")[c].alias(c) for c in docs.columns), *(F.col(c).alias(unused(name, docs)) for name, c in added.items()))
 
 
 def oracle_sql(entropy: float, budget: float = 1.0, block_docs: int = 256, seed: int = 1) -> str:
     """The same rows for a target entropy, bisecting step by step and with plain running sums (DuckDB)."""
     unit = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
-    block = unit.format(f"'{seed}|block|' || doc_id")
+    block = unit.format(f"'{seed}|block|' || t.doc_id || '|' || t.digest")
     place = unit.format(f"'{seed}|epoch|' || source || '|' || epoch || '|' || block")
     doc_place = unit.format(f"'{seed}|document|' || doc_id")
     z = "list_sum(list_transform(ps, lambda p: pow(p, {a})))"
     h = f"(ln({z}) - {{a}} * list_sum(list_transform(ps, lambda p: pow(p, {{a}}) * ln(p))) / {z}) >= {entropy} * ln(len(ps))"
-    at_one, at_mid = h.format(a="1.0"), h.format(a="((low + high) / 2)")
+    at_mid = h.format(a="((low + high) / 2)")
+    at_points = " UNION ALL ".join(f"SELECT {a}::DOUBLE AS a, {h.format(a=f'{a}::DOUBLE')} AS ok FROM ps"
+                                   for a in [0.0, *(float(1 << k) for k in range(STEEPEST.bit_length()))])
     return f"""
 WITH RECURSIVE t AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^{BLANK}]+')), 0)::BIGINT AS tokens FROM documents),
+  SELECT doc_id, source, coalesce(md5(text), '~') AS digest, coalesce(len(regexp_extract_all(text, '[^{BLANK}]+')), 0)::BIGINT AS tokens FROM documents),
 s AS (SELECT source, sum(tokens)::BIGINT AS tokens, count(*) AS docs FROM t GROUP BY source),
 al AS (SELECT sum(tokens)::DOUBLE AS total FROM s),
-ps AS (SELECT list(tokens / total) AS ps FROM s, al WHERE tokens > 0),
+ps AS (SELECT list(tokens / largest) AS ps FROM s, (SELECT max(tokens)::DOUBLE AS largest FROM s) WHERE tokens > 0),
+pt AS ({at_points}),
+br AS (SELECT coalesce(max(a) FILTER (WHERE ok), 0.0) AS low FROM pt),
 e(step, low, high, ps) AS (
-  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE, ps FROM ps
+  SELECT 0, low, CASE WHEN low = 0 THEN 1.0::DOUBLE ELSE 2 * low END, ps FROM ps, br
   UNION ALL
   SELECT step + 1, CASE WHEN {at_mid} THEN (low + high) / 2 ELSE low END,
          CASE WHEN {at_mid} THEN high ELSE (low + high) / 2 END, ps FROM e WHERE step < {STEPS * ROUNDS}),
-a AS (SELECT CASE WHEN len(ps) < 2 OR {at_one} THEN 1.0 ELSE low END AS a FROM e WHERE step = {STEPS * ROUNDS}),
+a AS (SELECT CASE WHEN len(ps) < 2 OR low >= {STEEPEST} THEN 1.0 ELSE low END AS a FROM e WHERE step = {STEPS * ROUNDS}),
 w AS (SELECT source, tokens, docs, pow(tokens / total, a) AS w FROM s, al, a WHERE tokens > 0),
 b AS (SELECT source, tokens, ceil(docs / {block_docs}.0)::BIGINT AS blocks,
              floor(w / (SELECT sum(w) FROM w) * (SELECT total FROM al) * {budget})::BIGINT AS budget FROM w),

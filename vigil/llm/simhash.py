@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import stored, text_bytes
+from vigil.llm.common import quoted, stored, text_bytes
 from vigil.llm.components import components
 
 SEED = 42
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()),
                            T.StructField("fp", T.LongType())])
-    return docs.select(id_col, text_col, F.xxhash64(F.col(text_col)).alias("text_hash")).mapInArrow(run, schema)
+    return docs.select(quoted(id_col), quoted(text_col), F.xxhash64(F.col(quoted(text_col))).alias("text_hash")).mapInArrow(run, schema)
 
 
 # --- the ring ------------------------------------------------------------------
@@ -256,7 +256,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "text_hash")).alias("one"))
     chosen = chosen.select(F.col("one.id").alias("_id"), F.col("one.text_hash").alias("_hash"))
     # a document's own columns travel as one struct, so their names meet no others
-    whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    whole = docs.select(F.struct("*").alias("doc"), F.col(quoted(id_col)).alias("id"), F.xxhash64(F.col(quoted(text_col))).alias("text_hash"))
     met = whole.join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     # equal rows all meet the chosen id: the first of them stays
     first = Window.partitionBy("_id", "_hash").orderBy("_hash")
