@@ -91,6 +91,7 @@ QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mixing": mixing.oracle_sql(MIX_ENTROPY),
+    "op3_warc": warc.oracle_sql(),
     "op4_line_dedup": lines.oracle_sql(),
     "op6_license_scan": licenses.oracle_sql(),
     "op8_backoff_scores": lm.oracle_sql(LM_ORDER),

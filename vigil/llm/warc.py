@@ -261,3 +261,12 @@ def read_files(spark: SparkSession, path: str, with_payload: bool = False) -> Da
     """Records of the ``*.warc.gz`` files under a path, from any store that Spark reads."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").load(path)
     return read_archives(files, "path", "content", with_payload)
+
+
+def oracle_sql(least_bytes: int = 100) -> str:
+    """What must come back of every page, without archives (DuckDB)."""
+    return f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, CASE WHEN n >= {least_bytes} THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to, NULL::VARCHAR AS problem FROM f"""
