@@ -17,6 +17,8 @@ whole-stage codegen.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,6 +86,8 @@ REDACT_RULES = [
     (r"(-----BEGIN[^-]{0,40}PRIVATE KEY-----)([\s\S]*?)(-----END[^-]{0,40}PRIVATE KEY-----)", 2),
     (r"{WBL}(AKIA[0-9A-Z]{16}){WBR}", 0),
 ]
+# What a text must hold, one of each tuple, for the pattern of the same place to match at all (empty: no plain sign tells).
+REDACT_SIGNS = [("=",), (), ("eyJ",), (":", "="), (":", "="), ("-----BEGIN",), ("AKIA",)]
 # Control characters (Unicode category Cc) except tab, line feed, carriage return.
 CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 # ---------------------------------------------------------------------------
@@ -154,11 +158,14 @@ def with_redaction(df, text_col: str, out_text: str = "redacted_text", out_count
     cnt = "__redact_n"
     df = df.withColumn(work, F.coalesce(src, F.lit(""))).withColumn(cnt, F.lit(0))
     step = "__redact_k"
-    for pattern, kind in REDACT_RULES:
+    for (pattern, kind), signs in zip(REDACT_RULES, REDACT_SIGNS, strict=True):
         p = _java(pattern)
-        # count first; the replace pass only runs on texts that matched
-        # (secrets are rare, so most texts skip it)
-        df = df.withColumn(step, F.regexp_count(F.col(work), F.lit(p)))
+        # count first, and only where a sign is there; the replace pass only runs
+        # on texts that matched (secrets are rare, so most texts skip both)
+        count = F.regexp_count(F.col(work), F.lit(p))
+        if signs:
+            count = F.when(reduce(Column.__or__, (F.contains(F.col(work), F.lit(x)) for x in signs)), count).otherwise(0)
+        df = df.withColumn(step, count)
         df = df.withColumns(
             {
                 cnt: F.col(cnt) + F.col(step),
