@@ -60,5 +60,45 @@ def test_notices_need_their_key_words(docs):
     assert labels[105] == "gpl,lgpl"
 
 
+def whole(label):
+    return next(t for t in licenses.TEXTS if t[0] == label)[1]
+
+
+def test_whole_texts_are_found_with_words_put_in_and_left_out(spark):
+    mit, zlib = whole("mit"), whole("zlib")
+    texts = [
+        "Copyright 2020 Some One\n" + mit.upper(), mit.replace("authors or copyright holders", "some one and another one of these persons"),
+        mit.replace("hereby granted free of charge", "hereby granted"), "before it " + zlib + " " + zlib,
+        " ".join(zlib.split()[25:]), mit.split("without limitation")[0], zlib.replace("like", "li\u212ae").replace("must not be misrepresented", "x"),
+        "this product works like " * 20 + mit]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    number = {id(t): n for n, t in enumerate(licenses.TEMPLATES)}
+    of = {t.label: number[id(t)] for t in licenses.TEMPLATES[-len(licenses.TEXTS):]}
+    found = {r.doc_id: {(p.template, p.start): p.share for p in r.places} for r in licenses.scan(docs).collect()}
+    assert found[0][of["mit"], 4] == 1 and 0.9 < found[1][of["mit"], 0] < 1
+    assert not any(t == of["mit"] for t, _ in (*found[2], *found[5])) and found[6] == {}
+    length = len(zlib.split())
+    assert {k: v for k, v in found[3].items() if k[0] == of["zlib"]} == {(of["zlib"], 2): 1, (of["zlib"], 2 + length): 1}
+    assert 0.6 < found[4][of["zlib"], -25] < 1  # its opening is cut off
+    assert found[7][of["mit"], 80] == 1
+
+
+def test_templates_of_any_letters(spark):
+    template = licenses.Template.of("kept", "keep kindly this work like a key", ("keep kindly", "work like a key"))
+    docs = spark.createDataFrame([(1, "so KEEP kindly this other work, like a key"), (2, "\u212aeep kindly this work like a key"), (3, "keep kindly")],
+                                 "doc_id long, text string")
+    found = {r.doc_id: r.places for r in licenses.scan(docs, templates=(template,)).collect()}
+    assert [(p.label, p.start) for p in found[1]] == [("kept", 1)] and found[1][0].share >= 2 / 3
+    assert found[2] == [] and found[3] == []
+    with pytest.raises(ValueError):
+        licenses.Template.of("x", "some words", ("other words",))
+
+
+def test_texts_are_read_once(docs):
+    found = licenses.summary(licenses.scan(docs))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "Join" not in plan and "Aggregate" not in plan
+
+
 def test_no_documents(none):
     assert licenses.summary(licenses.scan(none)).count() == 0
