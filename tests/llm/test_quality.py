@@ -135,3 +135,29 @@ def test_query_learns_from_its_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF0001}/{t}.parquet") for t in ("documents", "labels"))
     expected = quality.measure(docs, references=quality.learn(docs, labels))
     assert sorted(op10_quality_rules(spark, SF0001).collect(), key=repr) == sorted(expected.collect(), key=repr)
+
+
+def test_references_count_every_labelled_document(spark):
+    """More good documents than a sample would take: each counts, in shares and in bounds."""
+    def text(i):
+        return " ".join("abcdefghij"[j % 10] * (1 + j // 10) for j in range(60)) + (" bim" if i < 1000 else " bom") * (i % 7) + "#" * (i % 100)
+
+    docs = spark.createDataFrame([(i, "xx", text(i)) for i in range(3000)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(3000)], "doc_id long, quality int")
+    rules = quality.Rules(min_words_for_common=1, max_repeat_percent=100)
+    learned = quality.learn(docs, labels, common=100, rules=rules)
+    counts = Counter(w.strip(b".,;:!?'\"()-") for i in range(3000) for w in text(i).encode().split())
+    n = sum(counts.values())
+    assert learned.words["xx"] == pytest.approx({w: k / n for w, k in counts.items() if k * 500 >= n}, rel=1e-12)
+    found = quality.measure(docs, quality.References(learned.words, learned.classes), rules=rules).filter("NOT base_failed").collect()
+    assert learned.max_class_distance == pytest.approx(1.5 * np.quantile([r.class_distance for r in found], 0.999), rel=1e-12)
+    assert learned.max_common_distance == pytest.approx(1.5 * np.quantile([r.common_distance for r in found], 0.999), rel=1e-12)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.001, 0.5, 0.77, 0.999, 1.0])
+def test_quantile_is_exact_however_few_cells(spark, share):
+    rng = np.random.default_rng(3)
+    values = [*map(float, rng.normal(size=150) ** 3), *[0.25] * 60, -1e9, 1e9]
+    df = spark.createDataFrame([(x,) for x in [*values, None]], "v double")
+    assert quality.quantile(df, "v", share, cells=8) == pytest.approx(np.quantile(values, share), rel=1e-12)
+    assert quality.quantile(df.filter("v IS NULL"), "v", share) is None

@@ -9,9 +9,9 @@ Common words are compared only with languages the text may be in: those of
 whose usual share of common words it has half. A text that matches none (a
 language without a reference) is not judged by its common words.
 
-The references and the bounds are learned from a sample of labelled documents
+The references and the bounds are learned from all labelled documents
 (``learn``), none are built in: a bound is ``margin`` times the distance that a
-share ``inside`` of the good documents of the sample keeps to. Given them, everything about a document follows from its own text, so the rules
+share ``inside`` of the good documents keeps to. Given them, everything about a document follows from its own text, so the rules
 run where the rows lie: no shuffle, one Arrow batch in memory.
 
 Defined results: a null text has no words and is rejected (fewer than
@@ -164,36 +164,70 @@ class Judge:
 COUNTS = "lang string, word binary, class int, n long"
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text",
+def quantile(values: DataFrame, column: str, share: float, cells: int = 4096) -> float | None:
+    """The exact quantile of a column's values that are not null, between two neighbours in proportion; None without values.
+
+    Cells are counted and the one that holds the wanted rank is cut again, so neither a task nor the driver ever
+    gets more than ``cells`` cells or values.
+    """
+    x = values.select(F.col(column).alias("x")).filter("x IS NOT NULL")
+    n, low, high = x.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    below, part = math.modf((n - 1) * share)[::-1]
+    rank, last = int(below), high  # ``last``: the least value known to follow the interval
+    while low < high and n > cells:
+        cell = F.least(F.floor((F.col("x") - low) / F.lit((high - low) / cells)), F.lit(cells - 1))
+        found = sorted(x.filter(F.col("x").between(low, high)).groupBy(cell.alias("cell")).agg(
+            F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect())
+        i = 0
+        while rank >= found[i]["n"]:
+            rank -= found[i]["n"]
+            i += 1
+        if i + 1 < len(found):
+            last = found[i + 1]["low"]
+        _, n, low, high = found[i]
+    inside = [low] * n if low == high else sorted(r["x"] for r in x.filter(F.col("x").between(low, high)).collect())
+    at, after = inside[rank], inside[rank + 1] if rank + 1 < n else last
+    return at if part == 0 else at * (1 - part) + after * part
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_docs: int | None = None, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang", common: int = 20, min_words: int = 1000, rules: Rules = Rules(), inside: float = 0.999, margin: float = 1.5) -> References:
-    """References of the languages, and bounds, of about ``sample_docs`` documents labelled quality = 1, taken by a hash of their ids.
+    """References of the languages, and bounds, of all documents labelled quality = 1.
 
+    ``sample_docs``: only about so many of them, taken by a hash of their ids.
     ``common``: most frequent words of a language that make its histogram, of those with two
-    thousandths of its words or more. A language with less than ``min_words`` words in the
-    sample gets no reference. The bounds are ``margin`` times the quantile ``inside`` of the distances
-    of those documents of the sample that pass the plain rules; without such, nothing is out of bounds.
+    thousandths of its words or more. A language with less than ``min_words`` words in them
+    gets no reference. The bounds are ``margin`` times the quantile ``inside`` of the distances
+    of those documents that pass the plain rules; without such, nothing is out of bounds.
     """
     good = labels.filter("quality = 1").select(F.col(id_col).alias("_good")).filter("_good IS NOT NULL").distinct()
-    per_million = -(-sample_docs * 1_000_000 // max(1, good.count()))
-    good = good.filter(F.pmod(F.xxhash64("_good"), F.lit(1_000_000)) < per_million)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sample = sample.filter("lang IS NOT NULL").join(F.broadcast(good), F.col("id") == F.col("_good"), "left_semi").select("lang", "text")
-    sample = stored(sample, "reference-documents")
+    if sample_docs is not None:
+        per_million = -(-sample_docs * 1_000_000 // max(1, good.count()))
+        good = good.filter(F.pmod(F.xxhash64("_good"), F.lit(1_000_000)) < per_million)
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    chosen = chosen.filter("lang IS NOT NULL").join(good, F.col("id") == F.col("_good"), "left_semi").select("lang", "text")
+    chosen = stored(chosen, "reference-documents")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = _classes()
         for batch in batches:
+            words: dict[str, Counter] = {}
             found: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                found.update((lang, w.strip(STOPS), None) for w in map(bytes.lower, text.split()))
+                words.setdefault(lang, Counter()).update(text.lower().split())
                 classes = np.bincount(kind[np.frombuffer(text, np.uint8)], minlength=8)
                 found.update({(lang, None, k): int(n) for k, n in enumerate(classes[:CONTINUATION]) if n})
+            for lang, counted in words.items():
+                for w, n in counted.items():
+                    found[lang, w.strip(STOPS), None] += n
             langs, words, kinds = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(kinds, pa.int32()), pa.array(found.values(), pa.int64())],
                 names=["lang", "word", "class", "n"])
 
-    counts = stored(sample.mapInArrow(run, COUNTS).groupBy("lang", "word", "class").agg(F.sum("n").alias("n")), "reference-counts")
+    counts = stored(chosen.mapInArrow(run, COUNTS).groupBy("lang", "word", "class").agg(F.sum("n").alias("n")), "reference-counts")
     # what is collected is bounded by the number of languages: their class sums, and words over a share
     totals = counts.filter("word IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("words")).filter(F.col("words") >= min_words)
     usual = counts.join(F.broadcast(totals), "lang").filter("word IS NULL OR word <> X'' AND n * 500 >= words").collect()
@@ -206,9 +240,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000, id_col: s
         if r["word"] is None:
             classes.setdefault(r["lang"], [0.0] * CONTINUATION)[r["class"]] = float(r["n"])
     found = References({k: words[k] for k in sorted(words)}, {k: tuple(x / sum(v) for x in v) for k, v in classes.items()})
-    measured = measure(sample, found, "lang", "text", rules).filter("NOT base_failed")
-    usual = measured.agg(*(F.percentile(c, F.lit(inside)).alias(c) for c in ("class_distance", "common_distance"))).first()
-    return replace(found, **{f"max_{c}": margin * usual[c] for c in ("class_distance", "common_distance") if usual[c] is not None})
+    distances = ("class_distance", "common_distance")
+    measured = stored(measure(chosen, found, "lang", "text", rules).filter("NOT base_failed").select(*distances), "reference-distances")
+    usual = {c: quantile(measured, c, inside) for c in distances}
+    return replace(found, **{f"max_{c}": margin * x for c, x in usual.items() if x is not None})
 
 
 MEASURES = T.StructType([
