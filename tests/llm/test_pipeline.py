@@ -104,3 +104,11 @@ def test_odd_texts_under_clashing_names(spark, clashing):
         before = stored(after, name) if name != "quality_rules" else before  # the rules reject most odd texts; the others get them all
     packed = corpus_pipeline.STAGES[-1][1](spark, before, SF0001)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in before.collect()}
+
+
+def test_mixing_evens_sources_of_unlike_size(spark):
+    sources = spark.createDataFrame([("a", 100_000, 10), ("b", 190_000, 10)], "source string, tokens long, docs long")
+    from vigil.llm import mixing
+
+    weights = mixing.weights(sources, mixing.Target(repetition=corpus_pipeline.MAX_REPETITION, budget=None))
+    assert {r.source: r.budget for r in weights.collect()} == {"a": 190_000, "b": 190_000}
