@@ -196,3 +196,21 @@ def test_estimates_come_from_codes(spark):
         got = cells.scores(unit[:50], k, codes[rows])
         assert np.abs(got - unit[:50] @ unit[rows].T).std() < 0.06
     assert 0 < cells.probes <= len(cells.centres)
+
+
+def test_queries_are_copied_to_their_cells_by_spark(spark):
+    """A Python task gives one row a query, however many cells it needs."""
+    import numpy as np
+    import pandas as pd
+
+    from vigil.operators import vectors as V
+
+    angles = np.linspace(0, 2 * np.pi, 8, endpoint=False)
+    centres = np.zeros((8, DIM))
+    centres[:, 0], centres[:, 1] = np.cos(angles), np.sin(angles)
+    q = spark.createDataFrame([("q0", vec(1.0), "incident", None, None, None)], Q_SCHEMA)
+    p = P(max_distance=2.0, top_k=5)
+    found = SM.needed_cells(q, V.Cells(centres, np.zeros((0, 0, 0)), 1, 1), dict.fromkeys(range(8), 0.1), pd.DataFrame(), p)
+    assert sorted(r.cell for r in found.collect()) == list(range(8))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(cells") < plan.index("MapInPandas")

@@ -180,10 +180,15 @@ def needed_cells(queries: DataFrame, cells: V.Cells, radius: dict[int, float], s
                     limit = np.minimum(limit, np.partition(dist, params.top_k - 1, axis=1)[:, params.top_k - 1])
                 angle = np.arccos(np.clip(unit @ cells.centres[held].T, -1, 1))
                 widest = np.arccos(np.clip(1 - limit, -1, 1))
-                qi, ci = np.nonzero(angle - around[None, :] <= widest[:, None] + 1e-9)
-                yield tile.iloc[qi].assign(cell=held[ci].astype(np.int32))
+                need = angle - around[None, :] <= widest[:, None] + 1e-9
+                yield tile.assign(cells=[held[row].astype(np.int32) for row in need])
 
-    return queries.mapInPandas(run, f"{queries.schema.simpleString()[7:-1]},cell:int")
+    return _one_row_a_cell(queries.mapInPandas(run, f"{queries.schema.simpleString()[7:-1]},cells:array<int>"))
+
+
+def _one_row_a_cell(queries: DataFrame) -> DataFrame:
+    """``queries`` once for each of their ``cells``: copied by Spark, so that a Python task holds each vector once."""
+    return queries.select("*", F.explode("cells").alias("cell")).drop("cells")
 
 
 def search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool = False, blocks: int | None = None) -> DataFrame:
@@ -376,8 +381,8 @@ def survivors(index: DataFrame, cells: V.Cells, queries: DataFrame, relaxed: boo
     def probed(batches):
         for batch in batches:
             if len(batch):
-                order = cells.order(V.unit_rows(batch["embedding"]))[:, :cells.probes]
-                yield batch.iloc[np.repeat(np.arange(len(batch)), order.shape[1])].assign(cell=order.ravel().astype(np.int32))
+                order = [cells.order(V.unit_rows(batch["embedding"].iloc[a:a + QUERY_TILE]))[:, :cells.probes] for a in range(0, len(batch), QUERY_TILE)]
+                yield batch.assign(cells=list(np.vstack(order).astype(np.int32)))
 
     def scan(key, memories: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame(columns=["query_id", "id", "mode", "has_facet", "estimate"])]
@@ -386,6 +391,7 @@ def survivors(index: DataFrame, cells: V.Cells, queries: DataFrame, relaxed: boo
             for a in range(0, len(asked), QUERY_TILE):
                 tile = asked.iloc[a:a + QUERY_TILE]
                 unit, facet = V.unit_rows(tile["embedding"]), _facetted(tile)
+                got = []
                 for b in range(0, len(memories), MEMORY_TILE):
                     part = memories.iloc[b:b + MEMORY_TILE]
                     close = cells.scores(unit, key[0], codes[b:b + MEMORY_TILE])
@@ -395,12 +401,17 @@ def survivors(index: DataFrame, cells: V.Cells, queries: DataFrame, relaxed: boo
                         n = min(cells.survivors, masked.shape[1])
                         kth = -np.partition(-masked, n - 1, axis=1)[:, n - 1]
                         qi, ci = np.nonzero((masked >= kth[:, None]) & mask)
-                        out.append(pd.DataFrame({"query_id": tile["query_id"].to_numpy()[qi], "id": part["id"].to_numpy()[ci], "mode": mode,
+                        got.append(pd.DataFrame({"query_id": tile["query_id"].to_numpy()[qi], "id": part["id"].to_numpy()[ci], "mode": mode,
                                                  "has_facet": facet[qi], "estimate": masked[qi, ci]}))
+                best = pd.concat([g for g in got if len(g)] or got[:1], ignore_index=True)
+                if len(got) > 1:  # of all tiles only what may survive
+                    best = best.sort_values(["query_id", "mode", "estimate", "id"], ascending=[True, True, False, True])
+                    best = best.groupby(["query_id", "mode"], sort=False).head(cells.survivors)
+                out.append(best)
         return pd.concat([o for o in out if len(o)] or out[:1], ignore_index=True)
 
     held, parts = V.in_parts(index.drop("embedding"))
-    asked = q.mapInPandas(probed, f"{q.schema.simpleString()[7:-1]},cell:int").join(parts, "cell")
+    asked = _one_row_a_cell(q.mapInPandas(probed, f"{q.schema.simpleString()[7:-1]},cells:array<int>")).join(parts, "cell")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     held = held.withColumn("query_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     key = ["cell", "part", "query_group"]
