@@ -14,6 +14,7 @@ from vigil.operators.metrics import BUCKET_BOUNDS
 from vigil.operators.windows import sql_passes, sql_window_join
 from vigil.plans import replay as R
 from vigil.plans.registry import register
+from vigil.session import stored
 from vigil.sources import orderdata as O
 from vigil.sources import testdata as T
 
@@ -323,9 +324,11 @@ def live_and_closed(spark, sf):
     def out_of_outage(col):
         return ~((F.col(col) >= F.lit(OUTAGE[0]).cast("timestamp")) & (F.col(col) < F.lit(OUTAGE[1]).cast("timestamp")))
 
-    closed = R.incidents(spark, sf, P).filter(F.col("recovered_at").isNotNull() & out_of_outage("recovered_at")).select(
+    found = stored(R.suppressed(spark, sf, P), "suppressed")  # both come from one replay
+    inc = I.incidents(I.with_replay_end(found, R.replay_end(spark, sf, P)), P)
+    closed = inc.filter(F.col("recovered_at").isNotNull() & out_of_outage("recovered_at")).select(
         "fingerprint", F.col("recovered_at").alias("closed_at"))
-    return R.suppressed(spark, sf, P).filter(out_of_outage("pass_ts")).select("fingerprint", "detected_at", "queue_rank", "severity_rank"), closed
+    return found.filter(out_of_outage("pass_ts")).select("fingerprint", "detected_at", "queue_rank", "severity_rank"), closed
 
 
 @register("incident_sessions_open", sql=SQL_SESSIONS_OPEN)
