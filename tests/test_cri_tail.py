@@ -150,3 +150,15 @@ def test_a_new_stream_from_the_end(spark):
     assert run(spark, base, name, **options).count() == 0
     write(path, b"2024-01-01T00:00:00Z stdout F new\n", "ab")
     assert [r.log for r in run(spark, base, name, **options).collect()] == ["new"]
+
+
+def test_the_number_of_files_follows_the_lines(spark, monkeypatch):
+    """No task writes more than about ``LINES_OF_FILE`` lines."""
+    from vigil.plans import q_cluster
+
+    made, real = [], q_cluster._grow_files
+    monkeypatch.setattr(q_cluster, "LINES_OF_FILE", 50)
+    monkeypatch.setattr(q_cluster, "_grow_files", lambda lines, path, upto, files=8: made.append(files) or real(lines, path, upto, files))
+    lines = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert q_cluster.q_ingest_tail_logs(spark, "/root/testdata/sf0.001").count() == lines
+    assert set(made) == {-(-lines // 50)} and made[0] > 8

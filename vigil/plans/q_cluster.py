@@ -330,6 +330,9 @@ def q_ingest_container_logs(spark, sf):
     return got.select("container", "log")
 
 
+LINES_OF_FILE = 100_000  # at most, about: a file is sorted and written by one task
+
+
 def _grow_files(lines, path: str, upto: int, files: int = 8) -> None:
     """Write the lines of the parts up to ``upto`` to ``files`` log files, in place, and of the part after them one
     line without its end. What a file held before stays at its place, so a repeated task changes nothing."""
@@ -373,12 +376,13 @@ def q_ingest_tail_logs(spark, sf):
 
     chunks = F.when(F.length("msg") > 40, F.array(chunk("P", F.substring("msg", 1, 40)), chunk("F", F.substring("msg", 41, 1 << 30)))).otherwise(
         F.array(chunk("F", F.col("msg"))))
-    lines = lg.select("event_id", (F.col("event_id") % 8).alias("file_no"), F.floor((F.dayofmonth("ts") - 1) / 11).cast("int").alias("part"),
+    files = max(8, -(-T.read(spark, sf, "events").count() // LINES_OF_FILE))
+    lines = lg.select("event_id", (F.col("event_id") % files).alias("file_no"), F.floor((F.dayofmonth("ts") - 1) / 11).cast("int").alias("part"),
                       F.posexplode(chunks).alias("place", "value"))
     name = f"tail-logs-{uuid.uuid4().hex[:12]}"
     path = os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-files")
     for part in range(3):
-        _grow_files(lines, path, part)
+        _grow_files(lines, path, part, files)
         S.run_upserts(tail_cri(spark, path, block_bytes=1 << 20), name, mode="append")
     got = S.read_step(spark, name)
     return got.select(F.regexp_extract("log", r"^\d+ (\S+) ", 1).alias("pod"), F.regexp_replace("log", r"^(\d+ )\S+ ", "$1").alias("log"))
