@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+from tests.conftest import SF0001
 from vigil.config import Params
 from vigil.operators import memory as SM
 from vigil.operators import metrics as M
@@ -59,3 +60,28 @@ def test_memory_against_the_last_limit(spark):
                                     ("n", "p", "proxy", at(30), 10.0)], shape)
     got = {(r.container, int((r.ts - T0).total_seconds())): (r.limit_bytes, r.ratio) for r in M.memory_vs_limit(used, limits, p).collect()}
     assert got == {("app", 10): (100.0, 0.5), ("app", 299): (100.0, 0.5), ("app", 301): (200.0, 0.25)}
+
+
+def test_signatures_are_counted_once_and_only_where_used(spark, monkeypatch):
+    """Both inputs of the open sessions come from one replay; metrics of a bundle read no lines."""
+    from vigil.operators import logs
+    from vigil.plans import q_bundle, q_detect
+
+    counted, real = [], logs.stored
+    monkeypatch.setattr(logs, "stored", lambda df, name: counted.append(name) or real(df, name))
+    q_detect.live_and_closed(spark, SF0001)
+    assert counted == ["signature-counts"]
+    counted.clear()
+    q_bundle.metric_evidence(spark, SF0001)
+    assert counted == []
+
+
+def test_texts_of_events_are_made_after_the_limits(spark):
+    """Redaction stands above the ranks of the events, not below them."""
+    from vigil.operators import cluster
+    from vigil.sources import k8sdata
+
+    events = k8sdata.events(spark, SF0001)
+    names = events.selectExpr("metadata.namespace AS namespace", "substring_index(involvedObject.name, '-', 2) AS workload").distinct()
+    plan = cluster.k8s_events(events, names, "2024-01-01 00:00:00", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "REDACTED" in plan and plan.rindex("REDACTED") < plan.index("Window [")

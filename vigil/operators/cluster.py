@@ -136,7 +136,20 @@ def prefix_workloads(names: DataFrame, workloads: DataFrame) -> DataFrame:
 def k8s_events(events: DataFrame, workloads: DataFrame | None, since, limit: int | None = 200) -> DataFrame:
     """K3 for every workload at once: occurred = last ?? event ?? first time;
     drop NULL or older than ``since``; the involved object name must start
-    with the workload name; newest first, ``limit`` per workload."""
+    with the workload name; newest first, ``limit`` per workload. Texts are made of what is left."""
+    e = event_rows(events, workloads, since)
+    if limit is None:
+        return event_evidence(e)
+    w = Window.partitionBy("namespace", "workload").orderBy(F.col("occurred_at").desc(), F.col("evidence_id"))
+    return event_evidence(e.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit), after=["rank"])
+
+
+def _event_iso() -> Column:
+    return F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS'+00:00'")
+
+
+def event_rows(events: DataFrame, workloads: DataFrame | None, since) -> DataFrame:
+    """The events of the workloads (all, if None) with occurred_at, involved, namespace, workload and evidence_id."""
     occurred = F.coalesce("lastTimestamp", "eventTime", "firstTimestamp")
     e = events.select("*", occurred.alias("occurred_at"), F.coalesce(F.col("involvedObject.name"), F.lit("")).alias("involved"),
                       F.col("metadata.namespace").alias("namespace"))
@@ -145,11 +158,15 @@ def k8s_events(events: DataFrame, workloads: DataFrame | None, since, limit: int
         e = e.join(prefix_workloads(e, workloads), ["namespace", "involved"])
     else:
         e = e.withColumn("workload", F.lit(None).cast("string"))
-    e = with_redaction(e, "message", "redacted_message", "redacted_value_count")
-    iso = F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS'+00:00'")
-    out = e.select(
-        "namespace", "workload", "involved", "occurred_at",
-        ids.evidence_id("KubernetesEvent", SOURCE_K8S, F.col("namespace"), F.col("involved"), F.col("reason"), iso).alias("evidence_id"),
+    return e.withColumn("evidence_id", ids.evidence_id(
+        "KubernetesEvent", SOURCE_K8S, F.col("namespace"), F.col("involved"), F.col("reason"), _event_iso()))
+
+
+def event_evidence(rows: DataFrame, before: list[str] | None = None, after: list[str] | None = None) -> DataFrame:
+    """``event_rows`` as evidence: redacted summary and attributes; ``before`` and ``after``: further columns to keep."""
+    e = with_redaction(rows, "message", "redacted_message", "redacted_value_count")
+    return e.select(
+        *(before or []), "namespace", "workload", "involved", "occurred_at", "evidence_id",
         F.concat(F.lit("["), F.coalesce("type", F.lit("")), F.lit("] "), F.coalesce("reason", F.lit("")), F.lit(" on "),
                  F.coalesce(F.col("involvedObject.kind"), F.lit("")), F.lit(" "), F.col("involved"), F.lit(": "),
                  F.col("redacted_message")).alias("summary"),
@@ -158,12 +175,9 @@ def k8s_events(events: DataFrame, workloads: DataFrame | None, since, limit: int
         F.lit("KubernetesEvent").alias("kind"), F.lit(SOURCE_K8S).alias("source"),
         attribute_map(type=F.coalesce("type", F.lit("Normal")), reason=F.coalesce("reason", F.lit("Unknown")),
                       object=F.concat(F.coalesce(F.col("involvedObject.kind"), F.lit("")), F.lit("/"), F.col("involved")),
-                      count=F.coalesce("count", F.lit(1)).cast("string"), occurredAtUtc=iso).alias("attributes"),
+                      count=F.coalesce("count", F.lit(1)).cast("string"), occurredAtUtc=_event_iso()).alias("attributes"),
+        *(after or []),
     )
-    if limit is None:
-        return out
-    w = Window.partitionBy("namespace", "workload").orderBy(F.col("occurred_at").desc(), F.col("evidence_id"))
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
 def deployment_status(deps: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -236,8 +236,9 @@ def bundle(moments: DataFrame, src: BundleSources, params: Params, max_log_sampl
         return _as_of(m, cluster.deployment_status(src.deployments, keep=["observed_at"]).withColumnRenamed("deployment", "workload"))
 
     def events():
-        every = cluster.k8s_events(src.events, m.select("namespace", "workload"), EPOCH, limit=None).withColumn("observed_at", F.col("occurred_at"))
-        return newest_in_window(m, every, params, params.max_items, "occurred_at", [F.col("occurred_at").desc(), F.col("evidence_id")])
+        every = cluster.event_rows(src.events, m.select("namespace", "workload"), EPOCH)
+        few = newest_in_window(m, every, params, params.max_items, "occurred_at", [F.col("occurred_at").desc(), F.col("evidence_id")])
+        return cluster.event_evidence(few, before=["incident_id"]).withColumn("observed_at", F.col("occurred_at"))
 
     def metrics():
         return _at_pass(m, src.metrics, "observed_at")

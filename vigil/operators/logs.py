@@ -21,7 +21,7 @@ from vigil.config import Params
 from vigil.functions import ids, text
 from vigil.functions.ids import SOURCE_LOGS
 from vigil.operators.windows import expand_to_passes, slide_bucket
-from vigil.session import stored
+from vigil.session import spread, stored
 
 # The closed set of log levels.
 LEVELS = ["trace", "debug", "info", "warn", "error", "fatal"]
@@ -263,7 +263,7 @@ def error_signatures(logs: DataFrame, params: Params, top: int | None = None, by
         lines = messages(raw).filter(F.col("level").isin("error", "warn")).withColumn("normalised", text.normalise(F.col("message")))
         return lines.withColumn("signature_hash", text.signature_hash("normalised"))
 
-    parts = signed(logs).groupBy(*scope, "signature_hash", "pod", slide_bucket("ts", params.slide_seconds).alias("__bucket")).agg(
+    parts = signed(spread(logs)).groupBy(*scope, "signature_hash", "pod", slide_bucket("ts", params.slide_seconds).alias("__bucket")).agg(
         F.count(F.lit(1)).alias("__n"), F.min("ts").alias("__first"), F.max("ts").alias("__last"))
     w = expand_to_passes(stored(parts, "signature-counts"), "__bucket", params)
     if passes is not None:

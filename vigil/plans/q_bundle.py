@@ -29,7 +29,9 @@ WINDOW_MIN = P.window_minutes
 
 
 def metric_evidence(spark, sf, params=P):
-    snap = R.build_snapshot(spark, sf, params)
+    tel = R.test_data_telemetry(spark, sf)
+    tel.pods = tel.logs = None  # metrics need neither
+    snap = R.snapshot_from(tel, params)
     dep = M.dependency_latency_p95(T.dep_calls(spark, sf), params)
     return E.service_metric_evidence(snap.error_rate, snap.latency_p95, snap.dependency_failures, dep, params.window_minutes)
 
@@ -206,8 +208,8 @@ SELECT fc.scope AS incident_id, facts, CAST(coalesce(n, 0) AS VARCHAR) || ' open
 def q_cluster_health_facts(spark, sf):
     """A report per namespace and snapshot: a bundle per Deployment with ten
     log lines each, trimmed together, and the incidents open at that time."""
-    d = KD.deployment_snapshots(spark, sf).select(
-        F.col("metadata.namespace").alias("namespace"), F.col("metadata.name").alias("workload"), F.col("observed_at").alias("moment_ts"))
+    d = stored(KD.deployment_snapshots(spark, sf).select(
+        F.col("metadata.namespace").alias("namespace"), F.col("metadata.name").alias("workload"), F.col("observed_at").alias("moment_ts")), "moments")
     scope = F.concat(F.col("namespace"), F.lit("@"), F.date_format("moment_ts", "yyyy-MM-dd"))
     got, _ = E.bundle(d.withColumn("incident_id", F.concat(scope, F.lit("/"), F.col("workload"))), sources(spark, sf), P, HEALTH_LINES)
     got = got.withColumn("incident_id", F.substring_index("incident_id", "/", 1))
