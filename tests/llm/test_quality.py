@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF0001
 from vigil.llm import quality
@@ -161,3 +162,36 @@ def test_quantile_is_exact_however_few_cells(spark, share):
     df = spark.createDataFrame([(x,) for x in [*values, None]], "v double")
     assert quality.quantile(df, "v", share, cells=8) == pytest.approx(np.quantile(values, share), rel=1e-12)
     assert quality.quantile(df.filter("v IS NULL"), "v", share) is None
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("bits", [{}, {"max_bits": 1}, {"bits_per_id": 1, "probes": 1}])
+def test_listed_documents_are_exact_whatever_the_filter_lets_through(spark, kind, bits):
+    docs = spark.range(-3000, 6000).selectExpr(f"cast(id as {kind}) id", "'text ' || id text")
+    docs = docs.unionAll(docs.limit(50)).unionAll(spark.sql(f"select cast(null as {kind}), 'none'"))
+    good = spark.range(-6000, 5000, 3).selectExpr("cast(id as int) _good").unionAll(spark.sql("select cast(null as int)"))
+    expected = docs.join(good, docs.id.cast("long") == good._good, "left_semi")
+    # with one block of bits for 2,667 ids, and one bit an id, many others pass by chance
+    assert sorted(quality.listed(docs, good, **bits).collect()) == sorted(expected.collect())
+
+
+def test_listed_documents_without_good_ids(spark):
+    docs = spark.range(9).withColumn("text", F.lit("x"))
+    assert quality.listed(docs, spark.range(0).toDF("_good")).count() == 0
+
+
+def test_learning_does_not_shuffle_texts(spark, tmp_path):
+    """Whatever is labelled good, no exchange on the way to the texts carries them (before: a join by id did)."""
+    docs = spark.range(2000).selectExpr("id doc_id", "'xx' lang", "repeat('zap bim bom ', 40) || id text")
+    docs.write.parquet(f"{tmp_path}/documents")
+    good = spark.range(0, 2000, 2).toDF("_good")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")  # fewer than the labels have
+    try:
+        docs = spark.read.parquet(f"{tmp_path}/documents").select(F.col("doc_id").alias("id"), "text")
+        found = quality.listed(docs, good)
+        plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert found.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -29,6 +29,7 @@ from dataclasses import dataclass, replace
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -192,6 +193,42 @@ def quantile(values: DataFrame, column: str, share: float, cells: int = 4096) ->
     return at if part == 0 else at * (1 - part) + after * part
 
 
+BLOCK = 1 << 15  # bits in a row of Spark's bitmap functions
+
+
+def listed(docs: DataFrame, good: DataFrame, bits_per_id: int = 16, probes: int = 8, max_bits: int = 1 << 28) -> DataFrame:
+    """The rows of ``docs`` whose ``id`` is among ``good._good``: a semi join that moves ids only, no other column.
+
+    The ids found in both make a Bloom filter, which every task holds; the ids that pass it by chance are
+    found by an anti join of ids and taken out again, so the result is exact whatever the filter lets
+    through. The filter has ``bits_per_id`` bits an id and never more than ``max_bits``: with more ids than those
+    suit more pass by chance, and where these are too many to broadcast, Spark shuffles what has passed.
+    """
+    ids = docs.select("id").filter("id IS NOT NULL")
+    known = stored(ids.join(good, F.col("id") == F.col("_good"), "left_semi").distinct(), "reference-ids")
+    n_bits = BLOCK * max(1, -(-min(bits_per_id * known.count(), max_bits) // BLOCK))
+    key = F.xxhash64("id")
+    first, step = key.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(key, 32).bitwiseOR(F.lit(1))
+    at = known.select(F.explode(F.array(*((first + step * i) % n_bits + 1 for i in range(probes)))).alias("at"))
+    at = at.select(F.bitmap_bucket_number("at").alias("block"), F.bitmap_bit_position("at").alias("bit")).repartition("block")
+    bits = np.zeros(n_bits // 8, np.uint8)
+    for block, part in at.groupBy("block").agg(F.bitmap_construct_agg("bit")).collect():
+        bits[(block - 1) * BLOCK // 8 : block * BLOCK // 8] = np.frombuffer(part, np.uint8)
+
+    def passes(keys: pd.Series) -> pd.Series:
+        x = keys.to_numpy(np.int64)
+        first, step = x & 0xFFFFFFFF, x >> 32 & 0xFFFFFFFF | 1
+        found = np.ones(len(x), bool)
+        for i in range(probes):
+            at = (first + step * i) % n_bits
+            found &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return pd.Series(found)
+
+    passed = F.pandas_udf(passes, "boolean")(key)
+    chance = stored(ids.filter(passed).join(known, "id", "left_anti").distinct(), "reference-chance")
+    return docs.filter("id IS NOT NULL").filter(passed).join(chance, "id", "left_anti")
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int | None = None, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang", common: int = 20, min_words: int = 1000, rules: Rules = Rules(), inside: float = 0.999, margin: float = 1.5) -> References:
     """References of the languages, and bounds, of all documents labelled quality = 1.
@@ -207,8 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int | None = None, id
         per_million = -(-sample_docs * 1_000_000 // max(1, good.count()))
         good = good.filter(F.pmod(F.xxhash64("_good"), F.lit(1_000_000)) < per_million)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    chosen = chosen.filter("lang IS NOT NULL").join(good, F.col("id") == F.col("_good"), "left_semi").select("lang", "text")
-    chosen = stored(chosen, "reference-documents")
+    chosen = stored(listed(chosen.filter("lang IS NOT NULL"), good).select("lang", "text"), "reference-documents")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = _classes()
