@@ -4,8 +4,10 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from vigil import session
 from vigil.config import Params
 from vigil.operators import metrics as M
+from vigil.sources import testdata as T
 
 T0 = datetime(2024, 1, 1, 0, 0)
 P = Params(window_seconds=300, slide_seconds=60, cooldown_seconds=900, recovery_seconds=600)
@@ -83,3 +85,46 @@ def test_extrapolation_to_the_edges(spark):
     assert extrapolated(spark, [(30, 100)]) is None
     assert extrapolated(spark, [(30, 100), (30, 107)]) == 7.0
     assert extrapolated(spark, [(30, 7), (90, 7)]) == 0.0
+
+
+def _buckets(spark, n=240):
+    """Running bucket counts of two services with resets, three buckets each."""
+    rows = [("default", f"svc-{i % 2}", le, T0 + timedelta(seconds=37 * i), i, float((i * (k + 1)) % 90))
+            for i in range(n) for k, le in enumerate((0.5, 1.0, float("inf")))]
+    return spark.createDataFrame(rows, "namespace string, service string, le double, ts timestamp, event_id long, value double")
+
+
+def test_increase_sorts_in_as_many_tasks_as_its_rows_ask_for(spark, monkeypatch):
+    """Before, a fixed number of tasks sorted whatever there was."""
+    series = ["namespace", "service", "le"]
+    samples = _buckets(spark).localCheckpoint()
+    few = M.increase(samples, series, P)
+    expected = sorted(few.collect())
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 20)
+    many = M.increase(samples, series, P)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Window ["):]
+    # 720 rows; one exchange serves the window, also with a fraction as a key
+    assert below.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in below and ", 36)" in below
+    assert sorted(many.collect()) == expected and expected
+
+
+def test_bucket_counters_sort_one_row_per_request(spark, tmp_path, monkeypatch):
+    values = [0.5, 1.0, 2.5, 3.0, 40.0, 100.0, 999.0, 5000.0, None, float("nan")]
+    rows = [(i, T0 + timedelta(minutes=13 * i) if i % 17 else None, i % 3, ("error", "view")[i % 2], values[i % 10], '{"k": 1}') for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(
+        f"{tmp_path}/events.parquet")
+    expected = []
+    for le in [*M.BUCKET_BOUNDS, float("inf")]:
+        seen = {}
+        for r in sorted(T.requests(spark, tmp_path).collect(), key=lambda r: (r.ts is not None, r.ts or T0, r.event_id)):
+            key = r.namespace, r.service, r.ts and r.ts.date()
+            seen[key] = seen.get(key, 0.0) + float(r.duration_s is not None and r.duration_s <= le)
+            expected.append((r.namespace, r.service, le, r.ts, r.event_id, seen[key]))
+    for limit in (session.ROWS_PER_TASK, 40):
+        monkeypatch.setattr(session, "ROWS_PER_TASK", limit)
+        found = T.bucket_counters(spark, tmp_path)
+        assert found.columns == ["namespace", "service", "le", "ts", "event_id", "value"]
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate") < plan.index("Window")  # the buckets unfold above the sort

@@ -17,6 +17,7 @@ from pyspark.sql import Window
 
 from vigil.config import Params
 from vigil.operators.windows import expand_to_passes, running_sum, slide_bucket
+from vigil.session import keyed
 
 # Histogram bucket upper bounds in seconds (+Inf is implicit).
 BUCKET_BOUNDS = [0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0]
@@ -55,7 +56,8 @@ def increase(
 
     1. inside each (series, slide bucket): deltas between neighbours (a window
        function partitioned by series *and* bucket, so a hot series is split
-       into one task per bucket), plus the bucket's first and last value;
+       into one task per bucket), plus the bucket's first and last value; the
+       samples are counted first, as the number of tasks follows them;
     2. buckets are expanded into the windows containing them (bucket rows,
        not raw rows);
     3. per (series, window): the in-bucket sums plus the deltas across
@@ -67,17 +69,19 @@ def increase(
     """
     order = [F.col(ts), F.col(tiebreak)] if tiebreak else [F.col(ts)]
     key = F.struct(*order)
-    d = samples.withColumn("__b", slide_bucket(ts, params.slide_seconds))
-    w = Window.partitionBy(*series, "__b").orderBy(*order)
+    # by one number: Spark does not reuse a partitioning by a fraction (as le), and would shuffle again
+    d = samples.withColumn("__b", slide_bucket(ts, params.slide_seconds)).withColumn("__k", F.xxhash64(*series, "__b"))
+    d = keyed(d, samples.count(), "__k")
+    w = Window.partitionBy("__k", *series, "__b").orderBy(*order)
     prev = F.lag("value").over(w)
     d = d.withColumn("__d", F.when(prev.isNull(), F.lit(0.0)).otherwise(_reset_delta(prev, F.col("value"))))
-    parts = d.groupBy(*series, "__b").agg(
+    parts = d.groupBy("__k", *series, "__b").agg(
         F.sum("__d").alias("__in"),
         F.min_by("value", key).alias("__first"),
         F.max_by("value", key).alias("__last"),
         F.count(F.lit(1)).alias("__n"),
         *([F.min(_seconds(ts)).alias("__from"), F.max(_seconds(ts)).alias("__to")] if extrapolate else []),
-    ).withColumn("__bk", F.col("__b"))
+    ).drop("__k").withColumn("__bk", F.col("__b"))
     x = expand_to_passes(parts, "__b", params)
     agg = x.groupBy(*series, "window_start", "pass_ts").agg(
         F.sum("__in").alias("__in"),

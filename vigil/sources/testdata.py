@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from vigil.session import keyed
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -107,12 +109,14 @@ def bucket_counters(spark, sf_dir, services: int = DEFAULT_SERVICES) -> DataFram
     the day so far that took at most ``le`` (so they reset at midnight)."""
     from vigil.operators.metrics import BUCKET_BOUNDS
 
-    r = requests(spark, sf_dir, services).select("event_id", "ts", "namespace", "service", "duration_s")
-    bounds = F.array(*[F.lit(float(b)) for b in [*BUCKET_BOUNDS, float("inf")]])
-    x = r.withColumn("le", F.explode(bounds))
-    w = Window.partitionBy("namespace", "service", "le", F.date_trunc("day", "ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.when(F.col("duration_s") <= F.col("le"), 1.0).otherwise(0.0)
-    return x.select("namespace", "service", "le", "ts", "event_id", F.sum(hit).over(w).alias("value"))
+    r = requests(spark, sf_dir, services).select("event_id", "ts", "namespace", "service", "duration_s", F.date_trunc("day", "ts").alias("day"))
+    r = keyed(r, r.count(), "namespace", "service", "day")
+    bounds = [F.lit(float(b)) for b in [*BUCKET_BOUNDS, float("inf")]]
+    w = Window.partitionBy("namespace", "service", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    counts = F.array(*[F.sum(F.when(F.col("duration_s") <= b, 1.0).otherwise(0.0)).over(w) for b in bounds])
+    # one sorted row per request; the buckets unfold after the sort
+    x = r.withColumn("counts", counts).select("*", F.posexplode(F.array(*bounds)).alias("at", "le"))
+    return x.select("namespace", "service", "le", "ts", "event_id", F.get("counts", "at").alias("value"))
 
 
 def failure_counters(spark, sf_dir, services: int = DEFAULT_SERVICES) -> DataFrame:
