@@ -214,3 +214,51 @@ def test_queries_are_copied_to_their_cells_by_spark(spark):
     assert sorted(r.cell for r in found.collect()) == list(range(8))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(cells") < plan.index("MapInPandas")
+
+
+def test_a_query_returns_its_best_rows_once_a_task_not_once_a_cell(spark, monkeypatch):
+    c, q, _ = clustered(spark)
+    p = P(max_distance=2.0, ann_cells=40, ann_probes=40)
+    index, cells = SM.ann_index(c, p)
+    seen, passing = [], SM._passing_by
+    monkeypatch.setattr(SM, "_passing_by", lambda *a: seen.append(passing(*a)) or seen[-1])
+    left = SM.survivors(index, cells, q)
+    assert (len(cells.centres), cells.probes) == (40, 40)
+    assert seen[0].count() == left.count() == 20 * cells.survivors
+
+
+def test_nearest_keeps_the_best_by_score_and_id(monkeypatch):
+    """Against a plain sort, with ties, facets, cells that a query does not need, and few rows waiting at a time."""
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(SM, "WAITING", 50)
+    monkeypatch.setattr(SM, "QUERY_TILE", 3)
+    monkeypatch.setattr(SM, "MEMORY_TILE", 16)
+    rng = np.random.default_rng(1)
+    queries = pd.DataFrame({"query_id": [f"q{i}" for i in range(7)], "kind": ["a", "b", None, "a", " ", "a", "z"],
+                            "workload": ["w0", None, "w1", "", "w0", "w2", None], "category": [None, "c1", None, None, "c0", None, None],
+                            "exclude_incident_id": ["i3", None, "i5", "i9", None, "none", None]})
+    n = 90
+    part = pd.DataFrame({"id": [f"m{i * 7 % n:02d}" for i in range(n)], "kind": [["a", "b", None][i % 3] for i in range(n)],
+                         "incident_id": [None if i % 4 == 0 else f"i{i % 11}" for i in range(n)],
+                         "workload": [None if i % 5 == 0 else f"w{i % 2}" for i in range(n)], "category": [None if i % 2 else f"c{i % 3}" for i in range(n)]})
+    cell, needed = np.arange(n) // 30, rng.random((7, 3)) < 0.7
+    score = rng.integers(0, 6, (7, n)) / 4.0
+    base, strict = SM._allowed(queries, part)
+    for i, r in queries.iterrows():
+        for j, m in part.iterrows():
+            own = (r.kind is None or not r.kind.strip() or r.kind == m.kind) and (
+                r.exclude_incident_id is None or m.incident_id is None or r.exclude_incident_id != m.incident_id)
+            like = all(not (r[f] or "").strip() or m[f] is None or r[f] == m[f] for f in ("workload", "category"))
+            assert (base[i, j], strict[i, j]) == (own, own and like)
+    near = SM.Nearest(queries, 4, 1.0, True, ["id"])
+    for a in range(0, n, 45):
+        near.meet(part.iloc[a:a + 45], cell[a:a + 45], needed, lambda at, some: score[at][:, a + some])
+    got = {(r.query_id, r.mode, r.id, r.score) for r in near.best().itertuples()}
+    want = set()
+    for i in range(7):
+        for mode, mask in (("strict", strict[i]), ("relaxed", base[i] & SM._facetted(queries)[i])):
+            best = sorted((score[i, j], part["id"][j]) for j in range(n) if mask[j] and needed[i, cell[j]] and score[i, j] <= 1.0)[:4]
+            want |= {(f"q{i}", mode, k, s) for s, k in best}
+    assert got == want

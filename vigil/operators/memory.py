@@ -9,18 +9,24 @@ around centres trained on a bounded sample, and a cell is cut into blocks of
 a bounded number of rows. The angle between vectors is a metric, so a cell of
 radius r around c holds nothing nearer to a query q than angle(q, c) - r: cells
 beyond the query's limit are skipped. The limit is the distance
-of its K-th match within the sample, or ``max_distance`` if the sample has fewer. A block
-meets the queries that need it in groups of a bounded number, and is scanned
-by tiles with numpy (matrix product, facet masks, top-K by (distance, id)), so
-a task's memory depends on neither the corpus nor the batch. No (query, memory) pair
-becomes a row. Every block's top-K contains the global top-K restricted to it,
-so a final ``row_number`` over the small per-block results is exact.
+of its K-th match within the sample, or ``max_distance`` if the sample has fewer. Queries
+of near cells form groups of a bounded number, each of which has a task or a few; the
+blocks that a group needs pass by it in batches, and are scanned
+by tiles with numpy (matrix product, facet masks). The group keeps its best rows by
+(distance, id) only, so a task's memory depends on neither the corpus nor the batch. A memory is
+copied once for each group that needs its cell, and a query returns a few rows from each of its
+tasks, not from each block; no (query, memory) pair becomes a row. Every task's top-K contains the
+global top-K restricted to it, so a final ``row_number`` over these small results is exact.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -68,70 +74,121 @@ def _blank(s: pd.Series) -> np.ndarray:
     return s.isna().to_numpy() | (s.fillna("").str.strip() == "").to_numpy()
 
 
-def _allowed(queries: pd.DataFrame, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Which memories each query may have: by kind and self-exclusion, and by the facets too."""
-    def equal(name):  # a blank facet of the query matches all, a NULL one of the memory too
-        column, q = part[name].to_numpy(dtype=object), queries[name]
-        return _blank(q)[:, None] | pd.isna(column)[None, :] | (column[None, :] == q.to_numpy(dtype=object)[:, None])
+class Facets:
+    """Which memories each query may have: by kind and self-exclusion, and by the facets too. Values are compared by numbers."""
+
+    # of a query, of a memory
+    PAIRS = (("kind", "kind"), ("exclude_incident_id", "incident_id"), ("workload", "workload"), ("category", "category"))
+
+    def __init__(self, queries: pd.DataFrame):
+        self.asked, self.known = {}, {}
+        for name, held in self.PAIRS:
+            codes, values = pd.factorize(queries[name].to_numpy(dtype=object))  # -1: NULL
+            self.asked[held], self.known[held] = codes.astype(np.int32), pd.Index(values)
+        self.blank = {name: _blank(queries[name]) for name in ("kind", "workload", "category")}
+
+    def numbers(self, part: pd.DataFrame) -> dict[str, np.ndarray]:
+        """A memory's values as the numbers that queries have for them; -2: no query has it, -3: NULL."""
+        out = {}
+        for _, held in self.PAIRS:
+            column = part[held].to_numpy(dtype=object)
+            found = self.known[held].get_indexer(column) if len(self.known[held]) else np.full(len(column), -1)
+            out[held] = np.where(pd.isna(column), -3, np.where(found < 0, -2, found)).astype(np.int32)
+        return out
 
-    kind, inc = part["kind"].to_numpy(dtype=object), part["incident_id"].to_numpy(dtype=object)
-    kind_ok = _blank(queries["kind"])[:, None] | (kind[None, :] == queries["kind"].to_numpy(dtype=object)[:, None])
-    excluded = queries["exclude_incident_id"]
-    other = excluded.isna().to_numpy()[:, None] | pd.isna(inc)[None, :] | (inc[None, :] != excluded.to_numpy(dtype=object)[:, None])
-    base = kind_ok & other
-    return base, base & equal("workload") & equal("category")
+    def allowed(self, at: slice, numbers: dict[str, np.ndarray], rows: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        def same(name):
+            return self.asked[name][at, None] == numbers[name][None, rows]
+
+        def equal(name):  # a blank facet of the query matches all, a NULL one of the memory too
+            return same(name) | self.blank[name][at, None] | (numbers[name][rows] == -3)[None, :]
+
+        base = (same("kind") | self.blank["kind"][at, None]) & ~same("incident_id")
+        return base, base & equal("workload") & equal("category")
+
+
+def _allowed(queries: pd.DataFrame, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    facets = Facets(queries)
+    return facets.allowed(slice(None), facets.numbers(part))
 
 
 def _facetted(queries: pd.DataFrame) -> np.ndarray:
     return ~(_blank(queries["workload"]) & _blank(queries["category"]))
 
 
-def _cosine_distances(Q: np.ndarray, part: pd.DataFrame) -> np.ndarray:
-    A = np.vstack([np.asarray(v, dtype=np.float64) for v in part["embedding"]])
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
+
+
+def _cosine_distances(Q: np.ndarray, A: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         return 1.0 - (Q @ A.T) / np.outer(np.linalg.norm(Q, axis=1), np.linalg.norm(A, axis=1))
 
 
-def _tile(Q, queries: pd.DataFrame, part: pd.DataFrame, top_k: int, max_distance: float, relaxed: bool) -> list[pd.DataFrame]:
-    """Matches of one tile of queries against one tile of memories."""
-    dist = _cosine_distances(Q, part)
-    base, strict = _allowed(queries, part)
-    near, has_facet = dist <= max_distance, _facetted(queries)
-    modes = [("strict", strict & near)]
-    if relaxed:
-        modes.append(("relaxed", base & near))
-    out = []
-    for mode, mask in modes:
-        masked = np.where(mask, dist, np.inf)
-        k = min(top_k, masked.shape[1])
-        kth = np.partition(masked, k - 1, axis=1)[:, k - 1]
-        qi, ci = np.nonzero((masked <= kth[:, None]) & mask)
-        if len(qi):
-            out.append(pd.DataFrame({
-                "query_id": queries["query_id"].to_numpy()[qi], **{c: part[c].to_numpy(dtype=object)[ci] for c in (
-                    "id", "kind", "source_ref", "workload", "category", "incident_id")},
-                "distance": dist[qi, ci], "mode": mode, "has_facet": has_facet[qi],
-            }))
-    return out
-
-
-def _block_search(top_k: int, max_distance: float, relaxed: bool):
-    names = [c.split(" ")[0] for c in SEARCH_SCHEMA.split(", ")]
-
-    def run(corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame(columns=names)]
-        for q0 in range(0, len(queries) if len(corpus) else 0, QUERY_TILE):
-            tile = queries.iloc[q0:q0 + QUERY_TILE]
-            Q = np.vstack([np.asarray(v, dtype=np.float64) for v in tile["embedding"]])
-            got = []
-            for c0 in range(0, len(corpus), MEMORY_TILE):
-                got += _tile(Q, tile, corpus.iloc[c0:c0 + MEMORY_TILE], top_k, max_distance, relaxed)
-            if got:
-                best = pd.concat(got, ignore_index=True).sort_values(["query_id", "mode", "distance", "id"])
-                found.append(best.groupby(["query_id", "mode"], sort=False).head(top_k))
-        return pd.concat([f for f in found if len(f)] or found[:1], ignore_index=True)[names]
-
-    return run
+MODES = ("strict", "relaxed")
+WAITING = 1_000_000  # rows found that are kept before the best of them are taken
+
+
+class Nearest:
+    """The ``keep`` best memories of some queries in each mode, by (score, id), of those that pass by; less is better."""
+
+    def __init__(self, queries: pd.DataFrame, keep: int, worst: float, relaxed: bool, columns: list[str]):
+        self.queries, self.keep, self.columns = queries.reset_index(drop=True), keep, columns
+        self.facet, self.modes, self.facets = _facetted(queries), 1 + relaxed, Facets(self.queries)
+        self.worst = np.full((len(MODES), len(queries)), worst)  # scores beyond it are out
+        self.found, self.waiting = [], 0
+
+    def meet(self, part: pd.DataFrame, cell: np.ndarray, needed: np.ndarray, scores: Callable[[slice, np.ndarray], np.ndarray]) -> None:
+        """Each query meets the rows of ``part`` whose ``cell`` it has ``needed`` (queries x cells); ``scores``: of some queries
+        and some rows."""
+        taken = pa.Table.from_pandas(part[self.columns], schema=pa.schema([(c, pa.string()) for c in self.columns]), preserve_index=False)
+        numbers = self.facets.numbers(part)
+        for a in range(0, len(self.queries), QUERY_TILE):
+            at = slice(a, a + QUERY_TILE)
+            rows = np.flatnonzero(needed[at].any(0)[cell])
+            for b in range(0, len(rows), MEMORY_TILE):
+                some = rows[b:b + MEMORY_TILE]
+                score = scores(at, some)
+                base, strict = self.facets.allowed(at, numbers, some)
+                met = needed[at][:, cell[some]]
+                for mode, mask in enumerate((strict, base & self.facet[at, None])[:self.modes]):
+                    hit = mask & met & (score <= self.worst[mode, at][:, None])
+                    if np.count_nonzero(hit) > self.keep * len(hit):
+                        masked = np.where(hit, score, np.inf)
+                        n = min(self.keep, masked.shape[1])
+                        hit &= masked <= np.partition(masked, n - 1, axis=1)[:, n - 1:n]
+                    qi, ci = np.nonzero(hit)
+                    if len(qi):
+                        self.found.append(taken.take(pa.array(some[ci])).append_column("_score", pa.array(score[qi, ci])).append_column(
+                            "_of", pa.array((a + qi) * len(MODES) + mode)))
+                        self.waiting += len(qi)
+                if self.waiting > WAITING:
+                    self.settle()
+
+    def settle(self) -> None:
+        """Only the best stay, and the last of them bounds what may follow."""
+        if not self.found:
+            return
+        every = pa.concat_tables(self.found)
+        keys = [("_of", "ascending"), ("_score", "ascending"), ("id", "ascending")]
+        every = every.take(pc.sort_indices(every, sort_keys=keys, null_placement="at_start"))
+        of = every["_of"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        place = np.arange(len(of)) - np.repeat(starts, np.diff(np.r_[starts, len(of)]))
+        last = np.flatnonzero(place == self.keep - 1)
+        self.worst[of[last] % len(MODES), of[last] // len(MODES)] = every["_score"].to_numpy()[last]
+        self.found, self.waiting = [every.filter(pa.array(place < self.keep))], 0
+
+    def best(self) -> pd.DataFrame | None:
+        """A row per query, mode and memory: query_id, mode, has_facet, score and the memory's columns."""
+        self.settle()
+        if not self.found:
+            return None
+        out = self.found[0].to_pandas()
+        of = out.pop("_of").to_numpy()
+        q = of // len(MODES)
+        return out.rename(columns={"_score": "score"}).assign(
+            query_id=self.queries["query_id"].to_numpy()[q], mode=np.array(MODES, dtype=object)[of % len(MODES)], has_facet=self.facet[q])
 
 
 def _best(partial: DataFrame, params: Params, relaxed: bool) -> DataFrame:
@@ -153,11 +210,39 @@ CORPUS_COLUMNS = ["id", "kind", "incident_id", "source_ref", "workload", "catego
 QUERY_COLUMNS = ["query_id", "embedding", "kind", "workload", "category", "exclude_incident_id"]
 
 
-def _grouped(queries: DataFrame) -> tuple[DataFrame, int]:
-    """The usable queries in groups of a bounded number, and the number of groups."""
-    q = stored(V.nonzero(queries.select(*QUERY_COLUMNS)), "queries")
-    groups = max(1, -(-q.count() // V.QUERY_ROWS))
-    return q.withColumn("query_group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")), groups
+def _grouped(queries: DataFrame, cells: V.Cells) -> tuple[DataFrame, int]:
+    """The usable queries in groups of about ``V.QUERY_ROWS``, those of near cells together, and the number of groups."""
+    q = stored(V.in_cells(V.nonzero(queries.select(*QUERY_COLUMNS)), cells, codes=False).drop("angle"), "queries")
+    sizes = {r["cell"]: r["count"] for r in q.groupBy("cell").count().collect()}  # no more than there are cells
+    before, n = [], 0
+    for c in V.walk(cells.centres):
+        if c in sizes:
+            before.append((int(c), n, sizes[c]))
+            n += sizes[c]
+    groups = max(1, -(-n // V.QUERY_ROWS))
+    places = q.sparkSession.createDataFrame(before, "cell int, before long, held long")
+    within = F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)) * F.col("held") / F.lit(float(1 << 20))
+    group = F.least(F.floor((F.col("before") + within) * groups / F.lit(max(1, n))), F.lit(groups - 1)).cast("int")
+    return q.join(F.broadcast(places), "cell").select(*QUERY_COLUMNS, group.alias("query_group"), F.col("cell").alias("home")), groups
+
+
+def _need(cells: V.Cells, radius: dict[int, float], some: pd.DataFrame, params: Params) -> tuple[np.ndarray, Callable]:
+    """The cells that hold anything, and a function from queries and their vectors to which of them each needs (see ``needed_cells``)."""
+    held = np.array(sorted(radius))
+    around = np.array([radius[c] for c in held])
+
+    def need(tile: pd.DataFrame, vectors: pd.Series) -> np.ndarray:
+        unit = V.unit_rows(vectors)
+        limit = np.full(len(tile), params.max_distance)
+        if len(some) >= params.top_k:
+            # rows outside the facets do not count, so fewer than K of them leave max_distance as the limit
+            dist = np.where(_allowed(tile, some)[1], _cosine_distances(unit, _matrix(some["embedding"])), np.inf)
+            limit = np.minimum(limit, np.partition(dist, params.top_k - 1, axis=1)[:, params.top_k - 1])
+        angle = np.arccos(np.clip(unit @ cells.centres[held].T, -1, 1))
+        widest = np.arccos(np.clip(1 - limit, -1, 1))
+        return angle - around[None, :] <= widest[:, None] + 1e-9
+
+    return held, need
 
 
 def needed_cells(queries: DataFrame, cells: V.Cells, radius: dict[int, float], some: pd.DataFrame, params: Params) -> DataFrame:
@@ -165,23 +250,13 @@ def needed_cells(queries: DataFrame, cells: V.Cells, radius: dict[int, float], s
 
     ``some``: rows of the corpus whose K-th match bounds each query's distance.
     """
-    held = np.array(sorted(radius))
-    around = np.array([radius[c] for c in held])
+    held, need = _need(cells, radius, some, params)
 
     def run(batches):
         for batch in batches:
             for a in range(0, len(batch), QUERY_TILE):
                 tile = batch.iloc[a:a + QUERY_TILE]
-                unit = V.unit_rows(tile["embedding"])
-                limit = np.full(len(tile), params.max_distance)
-                if len(some) >= params.top_k:
-                    # rows outside the facets do not count, so fewer than K of them leave max_distance as the limit
-                    dist = np.where(_allowed(tile, some)[1], _cosine_distances(unit, some), np.inf)
-                    limit = np.minimum(limit, np.partition(dist, params.top_k - 1, axis=1)[:, params.top_k - 1])
-                angle = np.arccos(np.clip(unit @ cells.centres[held].T, -1, 1))
-                widest = np.arccos(np.clip(1 - limit, -1, 1))
-                need = angle - around[None, :] <= widest[:, None] + 1e-9
-                yield tile.assign(cells=[held[row].astype(np.int32) for row in need])
+                yield tile.assign(cells=[held[row].astype(np.int32) for row in need(tile, tile["embedding"])])
 
     return _one_row_a_cell(queries.mapInPandas(run, f"{queries.schema.simpleString()[7:-1]},cells:array<int>"))
 
@@ -191,6 +266,52 @@ def _one_row_a_cell(queries: DataFrame) -> DataFrame:
     return queries.select("*", F.explode("cells").alias("cell")).drop("cells")
 
 
+def _tiled(n: int, rows: Callable[[slice], np.ndarray]) -> np.ndarray:
+    """``rows`` of all queries, taken by tiles."""
+    return np.vstack([rows(slice(a, a + QUERY_TILE)) for a in range(0, n, QUERY_TILE)])
+
+
+def _passing_by(queries: DataFrame, groups: int, needs: DataFrame, memories: DataFrame, count: int, scan: Callable, schema: str) -> DataFrame:
+    """Every group of ``queries`` meets the ``count`` memories of the cells that ``needs`` (query_group, cell) names for it.
+
+    ``scan``: from the queries of a group (their vector in ``vector``) to a function that takes some memories, and one that
+    gives the result. Memories come cell by cell, behind the queries; a group has several tasks where memories are many or
+    groups are few.
+    """
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    slices = max(-(-count // V.SLICE_ROWS), min(-(-cores // groups), -(-count // MEMORY_TILE)), 1)
+    by_cell = needs.distinct().groupBy("cell").agg(F.collect_list("query_group").alias("query_groups"))
+    held = V.in_parts(memories)[0].join(by_cell, "cell").withColumn("slice", F.pmod(F.col("cell") + F.col("part"), F.lit(slices)))
+    held = held.withColumn("query_group", F.explode("query_groups")).drop("query_groups", "part")
+    asked = queries.withColumnRenamed("embedding", "vector").withColumn("cell", F.lit(-1)).withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    task = ["query_group", "slice"]
+    both = asked.withColumn("place", F.col("home") - F.lit(1 << 30)).drop("home").unionByName(held.withColumn("place", F.col("cell")), allowMissingColumns=True)
+    both = both.repartition(3 * groups * slices, *task).sortWithinPartitions(*task, "place")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, first, meet, best = None, [], None, None
+        for batch in batches:
+            marks = np.column_stack([batch[task].to_numpy(), batch["cell"].to_numpy() < 0])
+            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(batch)] if len(batch) else []):
+                if tuple(marks[a, :2]) != now:
+                    if best is not None and (out := best()) is not None:
+                        yield out
+                    now, first, meet, best = tuple(marks[a, :2]), [], None, None
+                if marks[a, 2]:
+                    first.append(batch.iloc[a:b])
+                else:
+                    if meet is None:
+                        meet, best = scan(pd.concat(first, ignore_index=True))
+                        first = []
+                    meet(batch.iloc[a:b])
+        if best is not None and (out := best()) is not None:
+            yield out
+
+    return both.mapInPandas(run, schema)
+
+
 def search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool = False, blocks: int | None = None) -> DataFrame:
     """Exact faceted nearest-neighbour search for a batch of queries.
 
@@ -209,15 +330,30 @@ def search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool
         return _best(c.sparkSession.createDataFrame([], SEARCH_SCHEMA), params, relaxed)
     c = stored(V.in_cells(c, cells, codes=False), "cells")
     radius = {r["cell"]: r["r"] for r in c.groupBy("cell").agg(F.max("angle").alias("r")).collect()}  # 1,024 at most
-    c, parts = V.in_parts(c.drop("angle"))
-    q, groups = _grouped(queries)
+    c = c.drop("angle")
+    q, groups = _grouped(queries, cells)
     some = V.sample(c, count, [x for x in CORPUS_COLUMNS if x != "source_ref"], size=2048)
-    q = needed_cells(q, cells, radius, some, params).join(parts, "cell")
-    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    c = c.withColumn("query_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    key = ["cell", "part", "query_group"]
-    partial = c.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(_block_search(params.top_k, params.max_distance, relaxed), SEARCH_SCHEMA)
-    return _best(partial, params, relaxed)
+    held, need = _need(cells, radius, some, params)
+    columns = ["id", "kind", "source_ref", "workload", "category", "incident_id"]
+    names = [x.split(" ")[0] for x in SEARCH_SCHEMA.split(", ")]
+
+    def scan(asked: pd.DataFrame):
+        Q = _matrix(asked["vector"])
+        needed = _tiled(len(asked), lambda x: need(asked.iloc[x], asked["vector"].iloc[x]))
+        near = Nearest(asked, params.top_k, params.max_distance, relaxed, columns)
+
+        def meet(part: pd.DataFrame) -> None:
+            A = _matrix(part["embedding"])
+            near.meet(part, np.searchsorted(held, part["cell"].to_numpy()), needed, lambda at, some: _cosine_distances(Q[at], A[some]))
+
+        def best() -> pd.DataFrame | None:
+            found = near.best()
+            return None if found is None else found.rename(columns={"score": "distance"})[names]
+
+        return meet, best
+
+    needs = needed_cells(q, cells, radius, some, params).select("query_group", "cell")
+    return _best(_passing_by(q, groups, needs, c, count, scan, SEARCH_SCHEMA), params, relaxed)
 
 
 def to_evidence(matches: DataFrame, kind: str) -> DataFrame:
@@ -375,56 +511,45 @@ def survivors(index: DataFrame, cells: V.Cells, queries: DataFrame, relaxed: boo
     Per query and mode the ``cells.survivors`` memories with the largest estimated cosine that facets and
     self-exclusion allow.
     """
-    q, groups = _grouped(queries)
+    q, groups = _grouped(queries, cells)
     schema = "query_id string, id string, mode string, has_facet boolean, estimate double"
 
+    def nearest_cells(vectors: pd.Series) -> np.ndarray:
+        return _tiled(len(vectors), lambda x: cells.order(V.unit_rows(vectors.iloc[x]))[:, :cells.probes].astype(np.int32))
+
     def probed(batches):
         for batch in batches:
             if len(batch):
-                order = [cells.order(V.unit_rows(batch["embedding"].iloc[a:a + QUERY_TILE]))[:, :cells.probes] for a in range(0, len(batch), QUERY_TILE)]
-                yield batch.assign(cells=list(np.vstack(order).astype(np.int32)))
-
-    def scan(key, memories: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame(columns=["query_id", "id", "mode", "has_facet", "estimate"])]
-        if len(memories) and len(asked):
-            codes = np.vstack([np.frombuffer(c, np.uint8) for c in memories["code"]])
-            for a in range(0, len(asked), QUERY_TILE):
-                tile = asked.iloc[a:a + QUERY_TILE]
-                unit, facet = V.unit_rows(tile["embedding"]), _facetted(tile)
-                got = []
-                for b in range(0, len(memories), MEMORY_TILE):
-                    part = memories.iloc[b:b + MEMORY_TILE]
-                    close = cells.scores(unit, key[0], codes[b:b + MEMORY_TILE])
-                    base, strict = _allowed(tile, part)
-                    for mode, mask in [("strict", strict)] + [("relaxed", base & facet[:, None])] * relaxed:
-                        masked = np.where(mask, close, -np.inf)
-                        n = min(cells.survivors, masked.shape[1])
-                        kth = -np.partition(-masked, n - 1, axis=1)[:, n - 1]
-                        qi, ci = np.nonzero((masked >= kth[:, None]) & mask)
-                        got.append(pd.DataFrame({"query_id": tile["query_id"].to_numpy()[qi], "id": part["id"].to_numpy()[ci], "mode": mode,
-                                                 "has_facet": facet[qi], "estimate": masked[qi, ci]}))
-                best = pd.concat([g for g in got if len(g)] or got[:1], ignore_index=True)
-                if len(got) > 1:  # of all tiles only what may survive
-                    best = best.sort_values(["query_id", "mode", "estimate", "id"], ascending=[True, True, False, True])
-                    best = best.groupby(["query_id", "mode"], sort=False).head(cells.survivors)
-                out.append(best)
-        return pd.concat([o for o in out if len(o)] or out[:1], ignore_index=True)
-
-    held, parts = V.in_parts(index.drop("embedding"))
-    asked = _one_row_a_cell(q.mapInPandas(probed, f"{q.schema.simpleString()[7:-1]},cells:array<int>")).join(parts, "cell")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    held = held.withColumn("query_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    key = ["cell", "part", "query_group"]
-    found = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(scan, schema)
+                yield batch[["query_group"]].assign(cells=list(nearest_cells(batch["embedding"])))
+
+    def scan(asked: pd.DataFrame):
+        unit = V.unit_rows(asked["vector"])
+        needed = np.zeros((len(asked), len(cells.centres)), bool)
+        np.put_along_axis(needed, nearest_cells(asked["vector"]), True, axis=1)
+        near = Nearest(asked, cells.survivors, np.inf, relaxed, ["id"])
+
+        def meet(part: pd.DataFrame) -> None:
+            cell, codes = part["cell"].to_numpy(), np.vstack([np.frombuffer(c, np.uint8) for c in part["code"]])
+            near.meet(part, cell, needed, lambda at, some: -cells.scores(unit[at], cell[some], codes[some]))
+
+        def best() -> pd.DataFrame | None:
+            found = near.best()
+            return None if found is None else found.assign(estimate=-found["score"])[["query_id", "id", "mode", "has_facet", "estimate"]]
+
+        return meet, best
+
+    needs = _one_row_a_cell(q.mapInPandas(probed, "query_group int, cells array<int>"))
+    found = _passing_by(q, groups, needs, index.drop("embedding", "source_ref"), index.count(), scan, schema)
     w = Window.partitionBy("query_id", "mode").orderBy(F.desc("estimate"), "id")
-    found = found.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= cells.survivors).drop("__n", "estimate")
+    found = found.repartition("query_id").withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= cells.survivors).drop("__n", "estimate")
     # a facetted query's memories may survive in both modes; they are compared once
     return found.groupBy("query_id", "id", "has_facet").agg(F.sort_array(F.collect_set("mode")).alias("modes"))
 
 
 def rerank(left: DataFrame, index: DataFrame, queries: DataFrame, params: Params, relaxed: bool = True) -> DataFrame:
     """Exact distances of the survivors, and the ranks of ``search`` among them."""
-    pairs = left.join(queries.select("query_id", F.col("embedding").alias("query")), "query_id").join(index.select(*CORPUS_COLUMNS), "id")
+    # ids meet their vectors first, so that vectors are shuffled once, to their query, and stay there for the ranks
+    pairs = left.join(index.select(*CORPUS_COLUMNS), "id").join(queries.select("query_id", F.col("embedding").alias("query")), "query_id")
     near = pairs.withColumn("distance", cosine_distance("query", "embedding")).filter(F.col("distance") <= params.max_distance)
     partial = near.select("query_id", "id", "kind", "source_ref", "workload", "category", "incident_id", "distance",
                           F.explode("modes").alias("mode"), "has_facet")

@@ -22,8 +22,9 @@ SAMPLE = 32_768
 SUB = 4            # dimensions of one code byte
 BOOK = 256         # values of one code byte
 COVER = 0.98       # share of the sample's neighbours that the probed cells must hold
-CELL_ROWS = 65_536  # rows of a cell that one task scans
-QUERY_ROWS = 4096   # queries that meet a block at once
+CELL_ROWS = 65_536  # rows of a block of a cell
+SLICE_ROWS = 1 << 19  # rows that pass by a group of queries in one task
+QUERY_ROWS = 16_384  # queries of a group: the memories are copied once for each of them
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -95,13 +96,14 @@ class Cells:
         """Cells of each row, nearest first."""
         return np.argsort(-(unit @ self.centres.T), axis=1, kind="stable")
 
-    def scores(self, unit: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Estimated cosines of queries to the coded vectors of one cell."""
+    def scores(self, unit: np.ndarray, cell: np.ndarray | int, codes: np.ndarray) -> np.ndarray:
+        """Estimated cosines of queries to coded vectors of one cell, or of a cell each."""
         padded = np.pad(unit, ((0, 0), (0, -unit.shape[1] % SUB))).reshape(len(unit), -1, SUB)
-        out = np.repeat((unit @ self.centres[cell])[:, None], len(codes), axis=1)
+        held, at = np.unique(np.broadcast_to(cell, len(codes)), return_inverse=True)
+        out = (self.centres[held] @ unit.T)[at]  # a row per vector: whole rows are copied faster
         for m in range(codes.shape[1]):
-            out += (padded[:, m] @ self.books[m].T)[:, codes[:, m]]
-        return out
+            out += (self.books[m] @ padded[:, m].T)[codes[:, m]]
+        return np.ascontiguousarray(out.T)
 
 
 def train(df: DataFrame, top_k: int, cells: int = 0, probes: int = 0) -> Cells | None:
@@ -152,7 +154,17 @@ def in_cells(df: DataFrame, cells: Cells, codes: bool) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def walk(centres: np.ndarray) -> list[int]:
+    """The centres in an order in which neighbours are near: each next to the one before, as far as any are left."""
+    left, out = np.ones(len(centres), bool), [0]
+    left[0] = False
+    while left.any():
+        out.append(int(np.where(left, centres @ centres[out[-1]], -np.inf).argmax()))
+        left[out[-1]] = False
+    return out
+
+
 def in_parts(df: DataFrame, rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
     """``df`` with ``part``, by which a cell is cut into pieces of about ``rows`` rows, and (cell, parts)."""
     parts = df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("parts"))
-    return df.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts"), parts
+    return df.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts"), parts
