@@ -6,6 +6,7 @@ import os
 import uuid
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from vigil.operators import detect as D
@@ -283,3 +284,37 @@ def test_source_that_fails_while_running_costs_only_itself(spark):
     got, failed = E.bundle(moments, broken, p)
     assert {r.source.split(" (")[0] for r in failed.collect()} == {"log signatures", "error log samples"}
     assert "LogSample" not in {r.kind for r in got.collect()}
+
+
+@pytest.mark.parametrize("query", ["cluster_health_facts", "evidence_bundle", "incident_prompt"])
+def test_a_failed_source_is_no_result(spark, monkeypatch, query):
+    """These results cannot say that a family of evidence is missing, so it is an error."""
+    from dataclasses import replace
+
+    from tests.conftest import SF0001
+    from vigil.plans import q_bundle as QB
+
+    src = QB.sources(spark, SF0001)
+    down = F.when(F.col("observed_at").isNotNull(), F.raise_error(F.lit("connection reset")).cast("timestamp")).otherwise(F.col("observed_at"))
+    monkeypatch.setattr(QB, "sources", lambda *a: replace(src, pods=src.pods.withColumn("observed_at", down)))
+    with pytest.raises(RuntimeError, match="would lack kubernetes pod state"):
+        getattr(QB, f"q_{query}")(spark, SF0001)
+
+
+def test_a_failed_rule_or_log_store_is_no_replay(spark, monkeypatch):
+    from tests.conftest import SF0001
+    from vigil.config import replay_params
+    from vigil.plans import replay as R
+
+    def broken(snap, params):
+        raise ValueError("no such column")
+
+    with monkeypatch.context() as m:
+        m.setitem(D.RULES, "dependency-failure", broken)
+        with pytest.raises(RuntimeError, match="dependency-failure"):
+            R.incidents(spark, SF0001, replay_params())
+    t = R.test_data_telemetry(spark, SF0001)
+    t.logs = t.logs.withColumn("pod", F.when(F.length("line") > 0, F.raise_error(F.lit("down")).cast("string")).otherwise(F.col("pod")))
+    monkeypatch.setattr(R, "test_data_telemetry", lambda *a: t)
+    with pytest.raises(Exception, match="down"):
+        R.build_snapshot(spark, SF0001, replay_params())

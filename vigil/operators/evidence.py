@@ -216,7 +216,8 @@ def newest_in_window(moments: DataFrame, rows: DataFrame, params: Params, limit:
     return met.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= limit).drop("__r")
 
 
-def bundle(moments: DataFrame, src: BundleSources, params: Params, max_log_samples: int | None = None) -> tuple[DataFrame, DataFrame]:
+def bundle(moments: DataFrame, src: BundleSources, params: Params, max_log_samples: int | None = None,
+           whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """The evidence of many incidents at once, and what could not be had.
 
     ``moments``: (incident_id, namespace, workload, moment_ts), moment_ts a
@@ -225,6 +226,7 @@ def bundle(moments: DataFrame, src: BundleSources, params: Params, max_log_sampl
     lines. Text work (redaction, hashing) is done on what is left after the
     limits. The second result, (incident_id, source), names the families
     whose source is missing or failed, in planning or while it was read; the others are still collected.
+    With ``whole`` such a family is an error: for results that have no place to say what they lack.
     """
     samples = params.max_log_samples if max_log_samples is None else min(max_log_samples, params.max_log_samples)
     m = moments.select("incident_id", "namespace", "workload", "moment_ts")
@@ -264,6 +266,8 @@ def bundle(moments: DataFrame, src: BundleSources, params: Params, max_log_sampl
                 raise ValueError("no such source")
             parts.append(stored(build().select(*BUNDLE_COLUMNS), "evidence"))  # read now: a source may fail while it is read
         except Exception as error:  # noqa: BLE001 - a failing source must not cost the others
+            if whole:
+                raise RuntimeError(f"the bundles would lack {name}: {error}") from error
             log.warning("%s left out of the bundles: %s", name, error)
             missing.append(f"{name} ({type(error).__name__})")
     if not parts:

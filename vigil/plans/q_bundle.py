@@ -164,7 +164,7 @@ def incident_moments(spark, sf):
 )
 def q_evidence_bundle(spark, sf):
     """All six families for every incident of the replay."""
-    got, _ = E.bundle(incident_moments(spark, sf), sources(spark, sf), P)
+    got, _ = E.bundle(incident_moments(spark, sf), sources(spark, sf), P, whole=True)
     return got.select("incident_id", "evidence_id", "kind", "observed_at", "workload", "summary", D.signals_text("attributes").alias("attributes"))
 
 
@@ -211,7 +211,7 @@ def q_cluster_health_facts(spark, sf):
     d = stored(KD.deployment_snapshots(spark, sf).select(
         F.col("metadata.namespace").alias("namespace"), F.col("metadata.name").alias("workload"), F.col("observed_at").alias("moment_ts")), "moments")
     scope = F.concat(F.col("namespace"), F.lit("@"), F.date_format("moment_ts", "yyyy-MM-dd"))
-    got, _ = E.bundle(d.withColumn("incident_id", F.concat(scope, F.lit("/"), F.col("workload"))), sources(spark, sf), P, HEALTH_LINES)
+    got, _ = E.bundle(d.withColumn("incident_id", F.concat(scope, F.lit("/"), F.col("workload"))), sources(spark, sf), P, HEALTH_LINES, whole=True)
     got = got.withColumn("incident_id", F.substring_index("incident_id", "/", 1))
     scopes = d.select("namespace", "moment_ts", scope.alias("incident_id")).distinct()
     live = I.open_at(R.incidents(spark, sf, P), scopes)
@@ -248,5 +248,5 @@ def q_incident_prompt(spark, sf):
     """Header, signals and trimmed evidence of every incident."""
     inc = stored(R.incidents(spark, sf, P), "incidents")
     moments = inc.select("incident_id", "namespace", F.get("affected_workloads", 0).alias("workload"), F.col("first_detected_at").alias("moment_ts"))
-    got, _ = E.bundle(moments, sources(spark, sf), P)
+    got, _ = E.bundle(moments, sources(spark, sf), P, whole=True)
     return E.prompt(inc, E.digest(got, P.max_evidence_items))

@@ -32,7 +32,8 @@ def flagship_params() -> Params:
 
 
 def build_snapshot(spark: SparkSession, sf: str, params: Params, services: int = T.DEFAULT_SERVICES) -> D.Snapshot:
-    return snapshot_from(test_data_telemetry(spark, sf, services), params)
+    """Inputs from the driver's tables, all of which are there: one that fails is an error."""
+    return snapshot_from(test_data_telemetry(spark, sf, services), params, whole=True)
 
 
 @dataclass
@@ -60,8 +61,9 @@ class Telemetry:
     failure_counters: DataFrame | None = None
 
 
-def snapshot_from(t: Telemetry, params: Params) -> D.Snapshot:
-    """Per-pass rule inputs for every pass at once (lazy, but for the counts of signatures)."""
+def snapshot_from(t: Telemetry, params: Params, whole: bool = False) -> D.Snapshot:
+    """Per-pass rule inputs for every pass at once (lazy, but for the counts of signatures). Lines that cannot be read
+    leave the signatures out, with ``whole`` they are an error."""
     either = {"requests": t.latency_buckets, "dep_calls": t.failure_counters}
     missing = tuple(n for n in ("counters", "requests", "dep_calls", "pods", "logs") if getattr(t, n) is None and either.get(n) is None)
     p95 = fails = None
@@ -82,6 +84,8 @@ def snapshot_from(t: Telemetry, params: Params) -> D.Snapshot:
         try:
             signatures = L.error_signatures(t.logs, params)  # counts them now, so the lines may turn out to be unreadable
         except Exception as error:  # noqa: BLE001 - a failing source must not cost the others
+            if whole:
+                raise
             log.warning("loki was unavailable: %s", error)
             missing += ("loki",)
     return D.Snapshot(
@@ -139,7 +143,11 @@ def replay_end(spark: SparkSession, sf: str, params: Params) -> DataFrame:
 
 
 def candidates(spark, sf, params: Params, services: int = T.DEFAULT_SERVICES) -> DataFrame:
-    return D.detect_all(build_snapshot(spark, sf, params, services), params)[0]
+    """Candidates of every rule; one that fails to plan is an error, as the result could not name it."""
+    cands, failed = D.detect_all(build_snapshot(spark, sf, params, services), params)
+    if failed:
+        raise RuntimeError(f"rules that failed to plan: {', '.join(failed)}")
+    return cands
 
 
 def suppressed(spark, sf, params: Params, services: int = T.DEFAULT_SERVICES) -> DataFrame:
