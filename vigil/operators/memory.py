@@ -10,13 +10,13 @@ a bounded number of rows. The angle between vectors is a metric, so a cell of
 radius r around c holds nothing nearer to a query q than angle(q, c) - r: cells
 beyond the query's limit are skipped. The limit is the distance
 of its K-th match within the sample, or ``max_distance`` if the sample has fewer. Queries
-of near cells form groups of a bounded number, each of which has a task or a few; the
-blocks that a group needs pass by it in batches, and are scanned
-by tiles with numpy (matrix product, facet masks). The group keeps its best rows by
-(distance, id) only, so a task's memory depends on neither the corpus nor the batch. A memory is
-copied once for each group that needs its cell, and a query returns a few rows from each of its
-tasks, not from each block; no (query, memory) pair becomes a row. Every task's top-K contains the
-global top-K restricted to it, so a final ``row_number`` over these small results is exact.
+of near cells form groups of a bounded number; the
+blocks that a group needs meet it one by one, and are scanned
+by tiles with numpy (matrix product, facet masks, top-K by (distance, id)), so
+a task's memory depends on neither the corpus nor the batch. A memory is
+copied once for each group that needs its cell; no (query, memory) pair becomes a row. Every block's
+top-K contains the global top-K restricted to it, so a final ``row_number`` over these small results
+is exact.
 """
 
 from __future__ import annotations
@@ -226,13 +226,16 @@ def _grouped(queries: DataFrame, cells: V.Cells) -> tuple[DataFrame, int]:
     return q.join(F.broadcast(places), "cell").select(*QUERY_COLUMNS, group.alias("query_group"), F.col("cell").alias("home")), groups
 
 
-def _need(cells: V.Cells, radius: dict[int, float], some: pd.DataFrame, params: Params) -> tuple[np.ndarray, Callable]:
-    """The cells that hold anything, and a function from queries and their vectors to which of them each needs (see ``needed_cells``)."""
+def needed_cells(queries: DataFrame, cells: V.Cells, radius: dict[int, float], some: pd.DataFrame, params: Params) -> DataFrame:
+    """``queries`` once for each cell that may hold one of its top K (``cell``), by the triangle inequality on angles.
+
+    ``some``: rows of the corpus whose K-th match bounds each query's distance.
+    """
     held = np.array(sorted(radius))
     around = np.array([radius[c] for c in held])
 
-    def need(tile: pd.DataFrame, vectors: pd.Series) -> np.ndarray:
-        unit = V.unit_rows(vectors)
+    def need(tile: pd.DataFrame) -> np.ndarray:
+        unit = V.unit_rows(tile["embedding"])
         limit = np.full(len(tile), params.max_distance)
         if len(some) >= params.top_k:
             # rows outside the facets do not count, so fewer than K of them leave max_distance as the limit
@@ -242,21 +245,11 @@ def _need(cells: V.Cells, radius: dict[int, float], some: pd.DataFrame, params:
         widest = np.arccos(np.clip(1 - limit, -1, 1))
         return angle - around[None, :] <= widest[:, None] + 1e-9
 
-    return held, need
-
-
-def needed_cells(queries: DataFrame, cells: V.Cells, radius: dict[int, float], some: pd.DataFrame, params: Params) -> DataFrame:
-    """``queries`` once for each cell that may hold one of its top K (``cell``), by the triangle inequality on angles.
-
-    ``some``: rows of the corpus whose K-th match bounds each query's distance.
-    """
-    held, need = _need(cells, radius, some, params)
-
     def run(batches):
         for batch in batches:
             for a in range(0, len(batch), QUERY_TILE):
                 tile = batch.iloc[a:a + QUERY_TILE]
-                yield tile.assign(cells=[held[row].astype(np.int32) for row in need(tile, tile["embedding"])])
+                yield tile.assign(cells=[held[row].astype(np.int32) for row in need(tile)])
 
     return _one_row_a_cell(queries.mapInPandas(run, f"{queries.schema.simpleString()[7:-1]},cells:array<int>"))
 
@@ -320,7 +313,7 @@ def search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool
     most ``max_distance``; top ``top_k`` by distance (ties by id). With
     ``relaxed=True`` a query that gave a facet but found nothing is answered
     without the facets (kind and self-exclusion still apply); both result
-    sets come from the same pass. ``blocks``: cells of the corpus (default: one for each ``CELL_ROWS`` rows, 1,024 at most).
+    sets come from the same pass. A query without an id gets no rows. ``blocks``: cells of the corpus (default: one for each ``CELL_ROWS`` rows, 1,024 at most).
     """
     c = V.nonzero(corpus.select(*CORPUS_COLUMNS))
     count = c.count()
@@ -331,29 +324,27 @@ def search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool
     c = stored(V.in_cells(c, cells, codes=False), "cells")
     radius = {r["cell"]: r["r"] for r in c.groupBy("cell").agg(F.max("angle").alias("r")).collect()}  # 1,024 at most
     c = c.drop("angle")
-    q, groups = _grouped(queries, cells)
+    q, groups = _grouped(queries.filter("query_id IS NOT NULL"), cells)
     some = V.sample(c, count, [x for x in CORPUS_COLUMNS if x != "source_ref"], size=2048)
-    held, need = _need(cells, radius, some, params)
     columns = ["id", "kind", "source_ref", "workload", "category", "incident_id"]
     names = [x.split(" ")[0] for x in SEARCH_SCHEMA.split(", ")]
 
-    def scan(asked: pd.DataFrame):
-        Q = _matrix(asked["vector"])
-        needed = _tiled(len(asked), lambda x: need(asked.iloc[x], asked["vector"].iloc[x]))
-        near = Nearest(asked, params.top_k, params.max_distance, relaxed, columns)
-
-        def meet(part: pd.DataFrame) -> None:
-            A = _matrix(part["embedding"])
-            near.meet(part, np.searchsorted(held, part["cell"].to_numpy()), needed, lambda at, some: _cosine_distances(Q[at], A[some]))
-
-        def best() -> pd.DataFrame | None:
+    def block(memories: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = None
+        if len(memories) and len(asked):
+            Q, A = _matrix(asked["embedding"]), _matrix(memories["embedding"])
+            near = Nearest(asked, params.top_k, params.max_distance, relaxed, columns)
+            near.meet(memories, np.zeros(len(memories), int), np.ones((len(asked), 1), bool), lambda at, x: _cosine_distances(Q[at], A[x]))
             found = near.best()
-            return None if found is None else found.rename(columns={"score": "distance"})[names]
-
-        return meet, best
-
-    needs = needed_cells(q, cells, radius, some, params).select("query_group", "cell")
-    return _best(_passing_by(q, groups, needs, c, count, scan, SEARCH_SCHEMA), params, relaxed)
+        return pd.DataFrame(columns=names) if found is None else found.rename(columns={"score": "distance"})[names]
+
+    q = needed_cells(q.drop("home"), cells, radius, some, params)
+    c, parts = V.in_parts(c)
+    c = c.join(q.select("query_group", "cell").distinct(), "cell")  # a copy for each group that needs the cell
+    q = q.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    key = ["cell", "part", "query_group"]
+    partial = c.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(block, SEARCH_SCHEMA)
+    return _best(partial, params, relaxed)
 
 
 def to_evidence(matches: DataFrame, kind: str) -> DataFrame:
