@@ -264,6 +264,12 @@ def _tiled(n: int, rows: Callable[[slice], np.ndarray]) -> np.ndarray:
     return np.vstack([rows(slice(a, a + QUERY_TILE)) for a in range(0, n, QUERY_TILE)])
 
 
+def _for_groups(memories: DataFrame, needs: DataFrame) -> DataFrame:
+    """``memories`` once for each ``query_group`` that ``needs`` names for their cell."""
+    by_cell = needs.select("query_group", "cell").distinct().groupBy("cell").agg(F.collect_list("query_group").alias("query_groups"))
+    return memories.join(by_cell, "cell").withColumn("query_group", F.explode("query_groups")).drop("query_groups")
+
+
 def _passing_by(queries: DataFrame, groups: int, needs: DataFrame, memories: DataFrame, count: int, scan: Callable, schema: str) -> DataFrame:
     """Every group of ``queries`` meets the ``count`` memories of the cells that ``needs`` (query_group, cell) names for it.
 
@@ -273,9 +279,7 @@ def _passing_by(queries: DataFrame, groups: int, needs: DataFrame, memories: Dat
     """
     cores = queries.sparkSession.sparkContext.defaultParallelism
     slices = max(-(-count // V.SLICE_ROWS), min(-(-cores // groups), -(-count // MEMORY_TILE)), 1)
-    by_cell = needs.distinct().groupBy("cell").agg(F.collect_list("query_group").alias("query_groups"))
-    held = V.in_parts(memories)[0].join(by_cell, "cell").withColumn("slice", F.pmod(F.col("cell") + F.col("part"), F.lit(slices)))
-    held = held.withColumn("query_group", F.explode("query_groups")).drop("query_groups", "part")
+    held = _for_groups(V.in_parts(memories)[0], needs).withColumn("slice", F.pmod(F.col("cell") + F.col("part"), F.lit(slices))).drop("part")
     asked = queries.withColumnRenamed("embedding", "vector").withColumn("cell", F.lit(-1)).withColumn(
         "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     task = ["query_group", "slice"]
@@ -340,7 +344,7 @@ def search(corpus: DataFrame, queries: DataFrame, params: Params, relaxed: bool
 
     q = needed_cells(q.drop("home"), cells, radius, some, params)
     c, parts = V.in_parts(c)
-    c = c.join(q.select("query_group", "cell").distinct(), "cell")  # a copy for each group that needs the cell
+    c = _for_groups(c, q)
     q = q.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     key = ["cell", "part", "query_group"]
     partial = c.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(block, SEARCH_SCHEMA)
